@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, mixing, quality_rules, sharding, token_output
+from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, sharding, substring_dedup, token_output
 from ._common import tables
 
 #: Output shards of the sharding and mixing queries.
@@ -23,6 +23,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).drop("matches")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return lm_scoring.score_documents(docs)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_components(docs)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
     return decontaminate.find_leaks(docs, benchmark)
@@ -50,6 +60,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_and_digest(docs, tokenizer_path()).drop("shard")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeats(docs).drop("spans")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return sharding.place(docs, "doc_id", SHARDS)
