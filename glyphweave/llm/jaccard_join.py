@@ -9,7 +9,8 @@
 4. In a pair of blocks the sets' distances to a leader are computed. By the triangle inequality they decide most pairs: a set's
    answers follow from those of the similar leader. Only sets with undecided pairs are compared. A task emits a link count per
    set and a spanning forest, not the pairs.
-5. Pairs with different labels come from the shared prefix shingles; those that share enough of them are verified on whole sets.
+5. Pairs with different labels come from the shared prefix shingles, rarest first and without each set's most frequent ones, and are
+   verified on whole sets.
 6. Components are minimum labels over the forests' edges.
 
 Null, empty and blank texts have an empty set, are linked with nothing and are their own component. Fewer words than a shingle's are one
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 5, 80
 #: Shared prefix shingles that two linked sets have beyond one, per cent of the set's size.
 EXTRA = 15
 BLOCK = 256
+#: Shingles per set and rounds of the labels; more of either give fewer and larger labels, with the same links.
+KEYS, ROUNDS = 4, 3
 
 
 def missing(n: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def _extra(n: Column) -> Column:
 
 
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, shared): pairs of sets with different labels and sizes that may link, of the tokens of one bucket."""
+    """(a, b): pairs of sets with different labels and sizes that may link, of the tokens of one bucket."""
     pdf = pdf.sort_values(["token", "n", "sig"])
     token, n, sig, label = (pdf[c].to_numpy() for c in ("token", "n", "sig", "label"))
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
@@ -117,9 +120,9 @@ def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
                 x, y = np.full(len(j), sig[a + i]), sig[a + j]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
     if not found:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)})
-    pair, shared = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "shared": shared})
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    pair = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -239,9 +242,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = materialise(shared.join(able.select("sig", "n"), "sig"), "tokens")
 
     # labels: the smallest signature seen over the first shared shingles, in a few rounds
-    keys = tokens.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("token"))).filter("k <= 4").select("sig", "token")
+    keys = tokens.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("token"))).filter(F.col("k") <= KEYS).select("sig", "token")
     labels = able.select("sig", F.col("sig").alias("label"))
-    for _ in range(3):
+    for _ in range(ROUNDS):
         low = keys.join(labels, "sig").groupBy("token").agg(F.min("label").alias("low"))
         labels = materialise(keys.join(low, "token").groupBy("sig").agg(F.min("low").alias("label")), "labels")
     members = able.join(labels, "sig").withColumn("cls", F.floor(F.log(F.col("n")) / math.log(100 / 90)).cast("int"))
@@ -271,12 +274,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = blocked.join(pairs.filter("not (cls = cls2 and sub = sub2)").drop("cls", "sub").withColumnsRenamed({"cls2": "cls", "sub2": "sub"}), ["label", "cls", "sub"]).select("task", F.lit(1).alias("side"), "label", "sig", "copies", "set")
     inside = materialise(small.union(one).union(two).groupBy("task").applyInPandas(_compare, "a long, b long, links long"), "inside")
 
-    # between labels
-    labelled = tokens.join(labels, "sig").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * p)))
-    near = labelled.select("bucket", "token", "sig", "n", "label").groupBy("bucket").applyInPandas(_cross, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    # between labels: two linked sets share so many of these shingles that they share one even without a set's most frequent ones
+    order = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
+    order = order.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token"))).withColumn("c", F.count("*").over(Window.partitionBy("sig")))
+    labelled = order.filter(F.col("rank") <= F.col("c") - _extra(F.col("n")) + 1).join(labels, "sig").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * p)))
+    near = labelled.select("bucket", "token", "sig", "n", "label").groupBy("bucket").applyInPandas(_cross, "a long, b long").distinct()
     of = full.select("sig", "n", "copies", "set")
-    near = near.join(able.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(able.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter(F.col("shared") >= F.least(F.floor(F.col("na") * EXTRA / 100), F.floor(F.col("nb") * EXTRA / 100)) + 1)
     sided = near.select("a", "b").join(of.select(F.col("sig").alias("a"), F.col("copies").alias("ca"), F.col("set").alias("sa")), "a").join(of.select(F.col("sig").alias("b"), F.col("copies").alias("cb"), F.col("set").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
