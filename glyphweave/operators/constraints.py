@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .layout import pairs
 
 # Codes of the entity names.
-NER_CODES = {"PERSON": 0, "NORP": 1, "FAC": 2, "ORG": 3, "GPE": 4, "LOC": 5, "PRODUCT": 6, "EVENT": 7, "DATE": 11}
+NER_CODES = {
+    "PERSON": 0, "NORP": 1, "FACILITY": 2, "ORGANIZATION": 3, "ORG": 3, "GPE": 4, "LOCATION": 5, "PRODUCT": 6, "EVENT": 7, "WORK OF ART": 8, "LAW": 9,
+    "LANGUAGE": 10, "DATE": 11, "TIME": 12, "PERCENT": 12, "QUANTITY": 15, "ORDINAL": 12, "CARDINAL": 12, "MONEY": 13, "MIX": 14, "LOC": 16,
+}
 
 
 def group_pairs(members: DataFrame, by: str, label: int, confidence: float) -> DataFrame:
