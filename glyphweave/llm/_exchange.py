@@ -50,7 +50,7 @@ SENT = "kind int, bucket int, part int, chunk long, keys binary, counts binary"
 COUNTED = "chunk long, kind int, bucket int, counts binary, in_part_1 binary, n_keys long, n_total long, n_part_1 long"
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None = None, most: int = 8 << 20) -> DataFrame:
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None = None, most: int = 3 << 20) -> DataFrame:
     """The texts in compressed chunks of about `most` bytes, written once, so that later passes see the same chunks.
 
     A chunk holds rows of one part only. Null texts are empty; null ids stay null."""

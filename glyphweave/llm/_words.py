@@ -102,7 +102,7 @@ def windows(words: np.ndarray, first: np.ndarray, k: int, short: bool = False) -
     return _spans(words, starts, ends, _WORD_ROOT) ^ U64(k), of
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
