@@ -13,13 +13,16 @@ of their texts; repeated rows are each written. An empty table writes no shard.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,7 +46,7 @@ class WaveletShard:
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, levels: int) -> WaveletShard:
         planes = []
         for k in range(levels - 1, -1, -1):
-            bit = (ids >> k & 1).astype(bool)
+            bit = (ids & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             ids = np.concatenate([ids[~bit], ids[bit]])
         return cls(planes, len(ids), doc_ids, known, lengths)
@@ -127,10 +130,24 @@ class WaveletShard:
         return ids
 
 
+# The byte-level pre-tokenizer's pattern, and the bytes that stand for themselves in its alphabet.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character of each byte: itself, or the next one from 256 on."""
+    other = (b for b in range(256) if b not in PLAIN_BYTES)
+    return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 class PieceTokenizer:
-    """The tokenizer's ids of whole texts. Its pre-tokenizer never joins what stands before a single space with what follows,
-    so a text is encoded by the library piece by piece, a space with its follower, and pieces' ids are kept for reuse. Texts
-    with doubled spaces, where a run's last space alone joins its follower, are encoded as they are."""
+    """The library's ids of whole texts.
+
+    Its pre-tokenizer never joins what stands before a single space with what follows, so a text is a sequence of pieces, a space with
+    its follower. Pieces' ids are kept for reuse. A new piece is cut by the pre-tokenizer's pattern and the library's model encodes each new
+    part. Texts with doubled spaces (a run's last space alone joins its follower), with an added token or beyond Latin letters
+    go through the whole library as they are, so that no rule but these stands outside it."""
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,22 +155,46 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = {np.uint16: "H", np.uint32: "I"}[self.kind]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.alphabet, self.model = byte_alphabet(), self.library.model
         self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        return got
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self._part, PATTERN.findall(piece)))
+
+    def _simple(self, text: str) -> bool:
+        return "  " not in text and (text.isascii() or max(text) < "\u0250") and not any(t in text for t in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as the bytes of an array of `kind`."""
-        split = [None if "  " in t else t.split(" ") for t in texts]
+        split = [t.split(" ") if self._simple(t) else None for t in texts]
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        new = list(set().union(*(s[1:] for s in split if s)) - self.pieces.keys())
-        self.pieces.update(zip(new, self._bytes([" " + p for p in new]), strict=True))
-        plain = [s[0] if s else t for s, t in zip(split, texts, strict=True)]
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        new = set().union(*(s[1:] for s in split if s)) - self.pieces.keys()
+        self.pieces.update([(p, self._piece(" " + p)) for p in new])
+        hard = iter(self.whole([t for s, t in zip(split, texts, strict=True) if s is None]))
         get = self.pieces.__getitem__
-        return [first + b"".join(map(get, s[1:])) if s else first for first, s in zip(self._bytes(plain), split, strict=True)]
+        return [self._piece(s[0]) + b"".join(map(get, s[1:])) if s else next(hard) for s in split]
+
+
+@functools.lru_cache(maxsize=1)
+def piece_tokenizer(path: str) -> PieceTokenizer:
+    """One per Python worker: its tasks share the kept pieces."""
+    return PieceTokenizer(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 21) -> DataFrame:
@@ -161,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceTokenizer(tokenizer_path)
+        tokenizer = piece_tokenizer(tokenizer_path)
         levels = max(1, (max(tokenizer.library.get_vocab_size() - 1, end_id)).bit_length())
         end = np.array([end_id], tokenizer.kind).tobytes()
         base, seq = TaskContext.get().partitionId() << 32, 0
