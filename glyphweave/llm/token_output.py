@@ -141,15 +141,15 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-class PieceTokenizer:
+class PieceTokenizer(dict):
     """The library's ids of whole texts.
 
     Its pre-tokenizer never joins what stands before a single space with what follows, so a text is a sequence of pieces, a space with
-    its follower. Pieces' ids are kept for reuse. A new piece is cut by the pre-tokenizer's pattern and the library's model encodes each new
-    part. Texts with doubled spaces (a run's last space alone joins its follower), with an added token or beyond Latin letters
+    its follower. Pieces' ids are kept for reuse (the pieces are this
+    dict's keys). A new piece is cut by the pre-tokenizer's pattern and the library's model encodes each part. Texts with doubled spaces (a run's last space alone joins its follower), with an added token or beyond Latin letters
     go through the whole library as they are, so that no rule but these stands outside it."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,37 +158,40 @@ class PieceTokenizer:
         self.code = {np.uint16: "H", np.uint32: "I"}[self.kind]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.alphabet, self.model = byte_alphabet(), self.library.model
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.marks = {m: self._part(m) for m in ".,;:!?"}
         self.most = most
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        """The model's ids of one part of the pre-tokenizer's."""
+        spelled = "Ġ" + part[1:] if part[0] == " " and part.isascii() and part[1:].isalnum() else part.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        """What follows a single space: letters are one part, and so is a mark after them."""
+        if piece.isalpha():
+            got = self._part(" " + piece)
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():
+            got = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            got = b"".join(map(self._part, PATTERN.findall(" " + piece)))
+        self[piece] = got
         return got
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self._part, PATTERN.findall(piece)))
-
     def _simple(self, text: str) -> bool:
         return "  " not in text and (text.isascii() or max(text) < "\u0250") and not any(t in text for t in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as the bytes of an array of `kind`."""
         split = [t.split(" ") if self._simple(t) else None for t in texts]
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        new = set().union(*(s[1:] for s in split if s)) - self.pieces.keys()
-        self.pieces.update([(p, self._piece(" " + p)) for p in new])
+        if len(self) > self.most:
+            self.clear()
         hard = iter(self.whole([t for s, t in zip(split, texts, strict=True) if s is None]))
-        get = self.pieces.__getitem__
-        return [self._piece(s[0]) + b"".join(map(get, s[1:])) if s else next(hard) for s in split]
+        get = self.__getitem__
+        start = lambda x: b"".join(map(self._part, PATTERN.findall(x)))
+        return [start(s[0]) + b"".join(map(get, s[1:])) if s else next(hard) for s in split]
 
 
 @functools.lru_cache(maxsize=1)

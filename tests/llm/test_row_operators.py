@@ -157,7 +157,7 @@ def test_token_output(docs, rows, empty, clashing):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\tab'sé1. \x1c<|endoft>X", max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet=" \n\tab'sé1.,²_ª \x1c\u2003<|endoft>X漢🙂ǅ", max_size=40), max_size=5))
 def test_pieces_equal_whole_texts(texts):
     t = token_output.PieceTokenizer(queries.tokenizer_path())
     texts = [*texts, "a <|endoftext|> b", "it's  two", "x \n y", "tail "]
