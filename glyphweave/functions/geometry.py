@@ -39,15 +39,24 @@ def gap_distance(a: str, b: str) -> Column:
     return F.when((dx == 0) & (dy == 0), F.lit(float("inf"))).otherwise(F.sqrt(dx * dx + dy * dy))
 
 
-def crop_window(size: int, pad: float) -> list[Column]:
-    """Pixel bounds x0, y0, x1, y1 of a padded crop, clamped to the page; rounding is half-even."""
+def crop_window(size: int, pad: float, wide: bool = True) -> list[Column]:
+    """Pixel bounds x0, y0, x1, y1 of a padded crop, clamped to the page; rounding is half-even.
+
+    The padding in y is a share of the crop's height; in x it is the same, or three heights for crops that are not wider than high (`wide`)."""
     edge = lambda x: F.bround(x * size).cast("int")
-    y_pad = F.floor(F.lit(pad) * (edge(bottom()) - edge(F.col("t")))).cast("int")
-    x_pad = F.when(F.col("h") < F.col("w"), y_pad).otherwise(3 * (edge(bottom()) - edge(F.col("t"))))
+    high, broad = edge(bottom()) - edge(F.col("t")), edge(right()) - edge(F.col("l"))
+    y_pad = F.floor(F.lit(pad) * high).cast("int")
+    x_pad = F.when(high < broad, y_pad).otherwise(3 * high) if wide else y_pad
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(size), x))
     return [clamp(edge(F.col("l")) - x_pad).alias("x0"), clamp(edge(F.col("t")) - y_pad).alias("y0"), clamp(edge(right()) + x_pad).alias("x1"), clamp(edge(bottom()) + y_pad).alias("y1")]
 
 
+def normalised_box(xs: Column, ys: Column, width: Column, height: Column) -> list[Column]:
+    """l, t, w, h in page units of the box around vertices given in pixels."""
+    l, t = F.array_min(xs) / width, F.array_min(ys) / height  # noqa: E741
+    return [l.alias("l"), t.alias("t"), (F.array_max(xs) / width - l).alias("w"), (F.array_max(ys) / height - t).alias("h")]
+
+
 def caps_class(text: Column) -> Column:
     """0 upper, 1 lower, 2 mixed or without case."""
     up, low = text.rlike(r"\p{Lu}"), text.rlike(r"\p{Ll}")

@@ -6,51 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import constraints, graph, layout, measures
-from ..sources.pages import duckdb_prefix, page_views
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-_OVERLAP = """case when least(u.w * u.h, v.w * v.h) = 0 then 0 else greatest(0, least(u.l + u.w, v.l + v.w) - greatest(u.l, v.l))
-  * greatest(0, least(u.t + u.h, v.t + v.h) - greatest(u.t, v.t)) / least(u.w * u.h, v.w * v.h) end"""
-_CLEAN = """, base as (select * from fx_words where score >= 0.1 and length(text) > 0),
-p as (select doc_id, round(quantile_cont(w * h, 0.2), 12) as p20 from base group by doc_id),
-clean as (select base.* from base join p using (doc_id) where not (case when round(w * h, 12) > p20 then 2.0 else 5.0 end * w < h))"""
-_EDGES = """, m as (select doc_id, least(1.0, min(h)) as min_h from clean group by doc_id),
-edges as (select u.doc_id, u.word_id as src, v.word_id as dst, greatest(v.l - (u.l + u.w), 0) / greatest(u.h, v.h) as dist
-  from clean u join clean v on u.doc_id = v.doc_id and u.word_id <> v.word_id join m on m.doc_id = u.doc_id
-  where u.l + u.w / 2 <= v.l + v.w / 2 and abs((u.t + u.h / 2) - (v.t + v.h / 2)) <= min_h / 2 and greatest(v.l - (u.l + u.w), 0) / greatest(u.h, v.h) < 0.55)"""
-_REACH = """, both_ways as (select doc_id, src as a, dst as b from edges union select doc_id, dst, src from edges),
-reach as (select doc_id, a, b from both_ways union select r.doc_id, r.a, e.b from reach r join both_ways e on r.doc_id = e.doc_id and r.b = e.a),
-comp as (select doc_id, a as word_id, least(a, min(b)) as root from reach group by doc_id, a)"""
-
-
-def register(name: str, views: tuple[str, ...], sql: str | None = None):
-    """Register f(*views) under a name; sql follows the views' `with` clause."""
-
-    def add(f):
-        _QUERIES[name] = lambda spark, sf_dir: f(*page_views(spark, sf_dir, *views))
-        if sql is not None:
-            _SQL[name] = f"{duckdb_prefix(*views)}{sql}"
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-W, L, V = "fx_words", "fx_lines", "fx_vec"
-
-
-def clean(words):
-    """Scored, worded, not slim: the words that phrases are made of."""
-    return layout.drop_slim(layout.keep_worded(layout.keep_scored(words, 0.1)))
+from . import pair_queries, score_queries  # noqa: F401
+from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register  # noqa: F401
 
 
 @register("f1_word_score", (W,), " select doc_id, word_id, score from fx_words where score >= 0.1")
@@ -68,7 +25,7 @@ def _f3(w):
     return layout.keep_worded(w).select("doc_id", "word_id", "text")
 
 
-@register("f5_aspect_filter", (W,), _CLEAN + " select doc_id, word_id, w, h from clean")
+@register("f5_aspect_filter", (W,), CLEAN + " select doc_id, word_id, w, h from clean")
 def _f5(w):
     return clean(w).select("doc_id", "word_id", "w", "h")
 
@@ -88,19 +45,19 @@ def _f13(w):
     return w.select("doc_id", "word_id", geo.caps_class(F.col("text")).alias("caps"))
 
 
-@register("j1_word_line", (W, L), f""", best as (select u.doc_id, u.word_id, v.line_id, {_OVERLAP} as overlap from fx_words u join fx_lines v on u.doc_id = v.doc_id where v.score >= 0.8)
+@register("j1_word_line", (W, L), f""", best as (select u.doc_id, u.word_id, v.line_id, {OVERLAP} as overlap from fx_words u join fx_lines v on u.doc_id = v.doc_id where v.score >= 0.8)
 select doc_id, word_id, line_id from (select *, row_number() over (partition by doc_id, word_id order by overlap desc, line_id) as k from best where overlap > 0.7) where k = 1""")
 def _j1(w, lines):
     return layout.assign_lines(w, layout.keep_scored(lines, 0.8)).select("doc_id", "word_id", "line_id")
 
 
-@register("f6_line_snap", (W, L), f""", best as (select u.doc_id, u.word_id, v.line_id, u.l, v.t, u.w, v.h, {_OVERLAP} as overlap from fx_words u join fx_lines v on u.doc_id = v.doc_id where v.score >= 0.8)
+@register("f6_line_snap", (W, L), f""", best as (select u.doc_id, u.word_id, v.line_id, u.l, v.t, u.w, v.h, {OVERLAP} as overlap from fx_words u join fx_lines v on u.doc_id = v.doc_id where v.score >= 0.8)
 select doc_id, word_id, l, t, w, h from (select *, row_number() over (partition by doc_id, word_id order by overlap desc, line_id) as k from best where overlap > 0.7) where k = 1""")
 def _f6(w, lines):
     return layout.assign_lines(w, layout.keep_scored(lines, 0.8)).select("doc_id", "word_id", "l", "t", "w", "h")
 
 
-@register("j3_overlap_candidates", (W,), f" select u.doc_id, u.word_id as i, v.word_id as j from fx_words u join fx_words v on u.doc_id = v.doc_id and u.word_id <> v.word_id where u.w * u.h >= v.w * v.h and {_OVERLAP} > 0.7")
+@register("j3_overlap_candidates", (W,), f" select u.doc_id, u.word_id as i, v.word_id as j from fx_words u join fx_words v on u.doc_id = v.doc_id and u.word_id <> v.word_id where u.w * u.h >= v.w * v.h and {OVERLAP} > 0.7")
 def _j3(w):
     return layout.overlap_candidates(w)
 
@@ -120,17 +77,17 @@ def _a4(w):
     return layout.area_p20(w)
 
 
-@register("j4_horizontal_edges", (W,), _CLEAN + _EDGES + " select doc_id, src, dst, round(dist, 9) as dist from edges")
+@register("j4_horizontal_edges", (W,), CLEAN + EDGES + " select doc_id, src, dst, round(dist, 9) as dist from edges")
 def _j4(w):
     return layout.horizontal_edges(clean(w)).withColumn("dist", F.round("dist", 9))
 
 
-@register("g2_components", (W,), _CLEAN + _EDGES + _REACH + " select doc_id, word_id, root from comp")
+@register("g2_components", (W,), CLEAN + EDGES + REACH + " select doc_id, word_id, root from comp")
 def _g2(w):
     return graph.components(layout.horizontal_edges(clean(w)))
 
 
-@register("g5_phrases", (W,), _CLEAN + _EDGES + _REACH + """ select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h,
+@register("g5_phrases", (W,), CLEAN + EDGES + REACH + """ select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h,
   string_agg(text, ' ' order by l + w / 2, word_id) as text, count(*) as n_words
 from (select clean.*, coalesce(root, clean.word_id) as phrase_id from clean left join comp using (doc_id, word_id)) group by doc_id, phrase_id""")
 def _g5(w):

@@ -35,6 +35,18 @@ from fx_words f join embeddings e on e.vec_id = (length(f.text) * 31 + ascii(f.t
     "fx_must": "select doc_id, label as group_id, word_id from fx_vec where word_id < 16",
     "fx_cannot": """select doc_id, 0 as pair_id, 'A' as side, word_id from fx_vec where label = 0 and word_id < 32
 union all select doc_id, 0, 'B', word_id from fx_vec where label = 1 and word_id < 32""",
+    "fx_members": """select doc_id, word_id, text, l, t, w, h, phrase_id, cast(row_number() over (partition by doc_id, phrase_id order by word_id) as int) as pos
+from (select *, max(case when fresh then word_id end) over (partition by doc_id, row_id order by word_id rows between unbounded preceding and current row) as phrase_id
+  from (select *, coalesce(right(lag(text) over (partition by doc_id, row_id order by word_id), 1) in (',', '.', ';', ':', '!', '?'), true) as fresh
+    from (select *, floor(word_id / 8) as row_id from fx_words where word_id < 1000) a) b) c""",
+    "fx_mvec": """select m.*, e.label, cast(e.label % 4 - 1 as int) as ner_tag, e.embedding as vec
+from fx_members m join embeddings e on e.vec_id = (length(m.text) * 31 + ascii(m.text)) % 500""",
+    "fx_budget": """select doc_id, count(*) as in_phrase, sum(case when label < 3 then 1 else 0 end) as knn_must, sum(case when word_id < 4 then 1 else 0 end) as manual_must,
+  sum(case when label = 5 then 1 else 0 end) as knn_cannot, sum(case when label = 6 then 1 else 0 end) as manual_cannot from fx_mvec group by doc_id""",
+    "fx_clog": """select event_id as seq, user_id as doc_id,
+  case event_type when 'click' then 'add_must' when 'view' then 'stage_cannot' when 'purchase' then 'submit_cannot'
+    when 'signup' then 'pop_must' else 'pop_cannot' end as action,
+  cast(event_id % 16 as int) as w1, cast(event_id % 11 as int) as w2 from events""",
     "fx_tagged": """select doc_id, word_id, case word_id % 8 when 0 then concat(text, ' <S-PERSON>') when 1 then concat(text, ' <S-GPE>')
   when 2 then concat('$', cast(word_id as varchar(20))) when 3 then concat(cast(word_id as varchar(20)), 'kg')
   when 4 then 'May' when 5 then concat(text, ' <B-ORG> of <I-ORG> x <E-ORG>')
@@ -44,7 +56,7 @@ union all select doc_id, 0, 'B', word_id from fx_vec where label = 1 and word_id
 
 def page_views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named layout tables over a data folder."""
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "events"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     spark.sql(SPARK_TOKENS).createOrReplaceTempView("fx_tok")
     for name, sql in VIEWS.items():
