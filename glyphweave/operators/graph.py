@@ -22,3 +22,49 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("doc_id", "word_id", "root")
         if new.filter("root <> was").limit(1).count() == 0:
             return labels
+
+
+def rooted(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, id_col, root) of all nodes, lone ones included; edges are (doc_id, a, b)."""
+    found = components(edges.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("word_id", id_col)
+    return nodes.select("doc_id", id_col).join(found, ["doc_id", id_col], "left").withColumn("root", F.coalesce("root", id_col))
+
+
+def dbscan(nodes: DataFrame, near: DataFrame, least: int, id_col: str = "word_id") -> DataFrame:
+    """(doc_id, id_col, root): density clusters from neighbours (doc_id, a, b), a's at b; noise is left out.
+
+    A node with `least` neighbours, itself included, is a core; cores that are neighbours share a cluster, and another neighbour of cores
+    joins the cluster of smallest root."""
+    near = written(near.select("doc_id", "a", "b").distinct(), "near")
+    degree = near.groupBy("doc_id", F.col("a").alias(id_col)).count()
+    cores = written(nodes.select("doc_id", id_col).join(degree, ["doc_id", id_col], "left").filter(F.coalesce("count", F.lit(0)) + 1 >= least).select("doc_id", id_col), "cores")
+    side = lambda c: cores.withColumnRenamed(id_col, c)
+    found = written(rooted(cores, near.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"]), id_col), "roots")
+    border = near.join(cores.withColumnRenamed(id_col, "a"), ["doc_id", "a"], "left_anti").join(found.withColumnRenamed(id_col, "b"), ["doc_id", "b"])
+    return found.unionByName(border.groupBy("doc_id", F.col("a").alias(id_col)).agg(F.min("root").alias("root")))
+
+
+def attach_islands(clusters: DataFrame, distances: DataFrame, isolated: DataFrame, least: float, id_col: str = "phrase_id") -> DataFrame:
+    """Clusters (doc_id, id_col, root) after each node alone in its cluster, but the isolated ones (doc_id, id_col), joined the nearest
+    node that is no such island, if that is nearer than `least`. Distances (doc_id, a, b, dist) run from the island a."""
+    clusters = written(clusters, "clusters")
+    alone = clusters.groupBy("doc_id", "root").count().filter("count = 1").select("doc_id", F.col("root").alias(id_col))
+    islands = written(alone.join(isolated, ["doc_id", id_col], "left_anti"), "islands")
+    others = clusters.join(islands, ["doc_id", id_col], "left_anti").select("doc_id", F.col(id_col).alias("b"), F.col("root").alias("to"))
+    reach = distances.filter(F.col("dist") < least).join(islands.withColumnRenamed(id_col, "a"), ["doc_id", "a"]).join(others, ["doc_id", "b"])
+    best = reach.groupBy("doc_id", F.col("a").alias(id_col)).agg(F.min_by("to", F.struct("dist", "b")).alias("to"))
+    return clusters.join(best, ["doc_id", id_col], "left").select("doc_id", id_col, F.coalesce("to", "root").alias("root"))
+
+
+def entity_clusters(members: DataFrame, must: DataFrame, threshold: float = 0.15, attach: float = 0.5, isolation: float = 2.0) -> DataFrame:
+    """(doc_id, word_id, phrase_id, root): phrases joined below the distance threshold or by must-link groups, islands attached."""
+    from .affinity import neural_affinity, threshold_graph
+    from .layout import nearest_gaps
+    from .linking import boxed_phrases, group_phrase_pairs
+
+    distances = written(neural_affinity(members).withColumn("dist", F.round("dist", 9)), "distances")
+    boxes = boxed_phrases(members)
+    links = threshold_graph(distances, threshold).union(group_phrase_pairs(must, members))
+    far = nearest_gaps(boxes.withColumnRenamed("phrase_id", "word_id"), isolation).filter("isolated").select("doc_id", F.col("word_id").alias("phrase_id"))
+    found = attach_islands(rooted(boxes, links, "phrase_id"), distances, far, attach)
+    return members.select("doc_id", "word_id", "phrase_id").join(found, ["doc_id", "phrase_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import constraints, graph, layout, measures
-from . import pair_queries, score_queries  # noqa: F401
+from . import choice_queries, pair_queries, score_queries  # noqa: F401
 from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register  # noqa: F401
 
 
