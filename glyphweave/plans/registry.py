@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import constraints, graph, layout, measures
 from . import choice_queries, pair_queries, score_queries  # noqa: F401
+from .vector_queries import FARTHEST_SQL, MUTUAL_SQL, NEAREST_SQL
 from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register  # noqa: F401
 
 
@@ -118,17 +119,17 @@ def _j22(w):
     return constraints.height_pairs(w)
 
 
-@register("t1_nearest_words", (V,))
+@register("t1_nearest_words", (V,), NEAREST_SQL)
 def _t1(v):
     return constraints.nearest(v, 6)
 
 
-@register("t2_farthest_words", (V,))
+@register("t2_farthest_words", (V,), FARTHEST_SQL)
 def _t2(v):
     return constraints.nearest(v, 3, farthest=True)
 
 
-@register("t3_mutual_neighbours", (V,))
+@register("t3_mutual_neighbours", (V,), MUTUAL_SQL)
 def _t3(v):
     return constraints.mutual(constraints.nearest(v, 6))
 
