@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import constraints, graph, linking, measures, selection
+from ..sources import ocr
+from ..streaming import constraint_log
 from .catalog import CLEAN, MV, M, V, W, clean, register
 from .pair_queries import _BOXES, _INSIDE, _MANUAL, _XC, _ROW
 from .score_queries import _BLOCK
@@ -150,3 +152,18 @@ def _g6(m, g):
 def _io11(m):
     spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]), " ")
     return m.groupBy("doc_id", F.col("label").alias("cluster_id")).agg(F.count("*").alias("size"), spelled.alias("text"))
+
+
+@register("io5_result_rows", (MV,))
+def _io5(m):
+    return ocr.result_rows(m, m.filter("label < 5").select("doc_id", "word_id", F.col("label").alias("cluster")))
+
+
+@register("io6_constraint_rows", ("fx_must", "fx_cannot"))
+def _io6(must, cannot):
+    return ocr.constraint_rows(must, cannot)
+
+
+@register("w2_constraint_replay", ("fx_clog",))
+def _w2(log):
+    return constraint_log.replay(log)
