@@ -21,7 +21,12 @@ def _page() -> Column:
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, type, object_id, text, score, l, t, w, h) of pages that hold `objects`; ids are places in the file."""
-    pages = spark.read.schema(OBJECTS).json(path, multiLine=True).select(_page(), F.posexplode("objects").alias("object_id", "o"), "imageSize")
+    return laid_out(spark.read.schema(OBJECTS).json(path, multiLine=True))
+
+
+def laid_out(files: DataFrame) -> DataFrame:
+    """The columns of read_objects from files' rows, of a table or of a stream."""
+    pages = files.select(_page(), F.posexplode("objects").alias("object_id", "o"), "imageSize")
     xs, ys = F.transform("o.bbox.vertices", lambda v: v["x"]), F.transform("o.bbox.vertices", lambda v: v["y"])
     return pages.select("doc_id", F.col("o.type").alias("type"), "object_id", F.col("o.text.content").alias("text"), F.col("o.score").alias("score"), *normalised_box(xs, ys, F.col("imageSize.width"), F.col("imageSize.height")))
 

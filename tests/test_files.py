@@ -8,6 +8,7 @@ import numpy as np
 from glyphweave.operators.measures import best_assignment
 from glyphweave.sources import ocr
 from glyphweave.streaming.constraint_log import replay
+from glyphweave.streaming.ingest import ingest
 
 
 def test_objects_and_constraints(spark, tmp_path):
@@ -22,6 +23,18 @@ def test_objects_and_constraints(spark, tmp_path):
     assert (back.doc_id, back.must_link, back.must_not_link) == ("links", [[1, 2], [4, 5]], [[[1], [3, 6]]])
 
 
+def test_ingest(spark, tmp_path):
+    box = {"vertices": [{"x": 10, "y": 20}, {"x": 50, "y": 40}]}
+    source = tmp_path / "in"
+    source.mkdir()
+    words = [{"type": "Word", "score": s, "text": {"content": t}, "bbox": box} for s, t in ((0.9, "ab"), (0.05, "low"), (0.9, ""))]
+    for name in ("p", "q"):
+        (source / f"{name}.json").write_text(json.dumps({"objects": [*words, {"type": "Line", "score": 0.9, "bbox": box}], "imageSize": {"width": 100, "height": 100}}))
+        ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("p", "ab"), ("q", "ab")]
+
+
 def test_replay(spark):
     events = [(1, "add_must", 1, 2), (2, "pop_must", 0, 0), (3, "pop_must", 0, 0), (4, "stage_cannot", 1, 1), (5, "submit_cannot", 0, 0), (6, "stage_cannot", 2, 3), (7, "submit_cannot", 0, 0), (8, "add_must", 5, 6)]
     (row,) = replay(spark.createDataFrame([(s, 7, a, x, y) for s, a, x, y in events], "seq int, doc_id long, action string, w1 int, w2 int")).collect()
