@@ -82,9 +82,7 @@ emi as (select doc_id, sum(x / total * ln(total * x / (a * b)) * exp(lgamma(a +
 hp as (select doc_id, -sum(a / total * ln(a / total)) as h, count(*) as k from p join z using (doc_id) group by doc_id), ht as (select doc_id, -sum(b / total * ln(b / total)) as h, count(*) as k from t join z using (doc_id) group by doc_id)
 select doc_id, round(case when hp.k = 1 and ht.k = 1 then 1 when abs(greatest(hp.h, ht.h) - emi) < 1e-9 then 0 else (mi - emi) / (greatest(hp.h, ht.h) - emi) end, 6) as ami from mi join emi using (doc_id) join hp using (doc_id) join ht using (doc_id)""")
 def _a17(v):
-    # Where the larger entropy is its expectation (every word alone on one side), the ratio has no digits: 0 on both sides.
-    found = measures.ami(_table(v))
-    return found.withColumn("ami", F.round(F.when(F.abs("ami") > 1e6, 0.0).otherwise(F.col("ami")), 6))
+    return measures.ami(_table(v)).withColumn("ami", F.round("ami", 6))
 
 
 @register("a18_matched_labels", (V,))
