@@ -14,7 +14,9 @@ of their texts; repeated rows are each written. An empty table writes no shard.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -22,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -130,26 +131,20 @@ class WaveletShard:
         return ids
 
 
-# The byte-level pre-tokenizer's pattern, and the bytes that stand for themselves in its alphabet.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: A space before other white space or the end of a text: one that does not join its follower.
+LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The character of each byte: itself, or the next one from 256 on."""
-    other = (b for b in range(256) if b not in PLAIN_BYTES)
-    return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
-class PieceTokenizer(dict):
+class PieceTokenizer:
     """The library's ids of whole texts.
 
-    Its pre-tokenizer never joins what stands before a single space with what follows, so a text is a sequence of pieces, a space with
-    its follower. Pieces' ids are kept for reuse (the pieces are this
-    dict's keys). A new piece is cut by the pre-tokenizer's pattern and the library's model encodes each part. Texts with doubled spaces (a run's last space alone joins its follower), with an added token or beyond Latin letters
-    go through the whole library as they are, so that no rule but these stands outside it."""
+    A byte-level pre-tokenizer never joins what stands before a space with what follows, where the space joins its follower. Such a text
+    is a sequence of pieces, a space with its follower. The library encodes all new pieces of a batch as one text; the ids that begin with
+    a space part them. Pieces' ids are kept for reuse in two generations: of about `most` pieces each, those used since the last
+    change, and the ones before, which go at the next change unless used again. Texts with a loose space or an added token, and all texts
+    where the library's file has another pre-tokenizer or a normalizer, are encoded as they are."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,41 +152,45 @@ class PieceTokenizer(dict):
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = {np.uint16: "H", np.uint32: "I"}[self.kind]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.alphabet, self.model = byte_alphabet(), self.library.model
-        self.marks = {m: self._part(m) for m in ".,;:!?"}
+        rule = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
+        self.by_pieces = self.library.normalizer is None and rule.get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the space of the byte alphabet
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        """The model's ids of one part of the pre-tokenizer's."""
-        spelled = "Ġ" + part[1:] if part[0] == " " and part.isascii() and part[1:].isalnum() else part.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        """What follows a single space: letters are one part, and so is a mark after them."""
-        if piece.isalpha():
-            got = self._part(" " + piece)
-        elif piece[-1:] in self.marks and piece[:-1].isalpha():
-            got = self[piece[:-1]] + self.marks[piece[-1]]
-        else:
-            got = b"".join(map(self._part, PATTERN.findall(" " + piece)))
-        self[piece] = got
-        return got
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        (raw,) = self.whole([" " + " ".join(pieces)])
+        ids = np.frombuffer(raw, self.kind)
+        at = (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
+        return dict(zip(pieces, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of different pieces."""
+        found = dict(zip(pieces, map(self.recent.get, pieces), strict=True))
+        others = {p: self.older.get(p) for p, x in found.items() if x is None}
+        new = [p for p, x in others.items() if x is None]
+        if new:
+            others |= self._learn(new)
+        self.recent |= others
+        if len(self.recent) > self.most:
+            self.older, self.recent = self.recent, {}
+        return found | others
 
     def _simple(self, text: str) -> bool:
-        return "  " not in text and (text.isascii() or max(text) < "\u0250") and not any(t in text for t in self.added)
+        return self.by_pieces and LOOSE_SPACE.search(text) is None and not any(t in text for t in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as the bytes of an array of `kind`."""
         split = [t.split(" ") if self._simple(t) else None for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        hard = iter(self.whole([t for s, t in zip(split, texts, strict=True) if s is None]))
-        get = self.__getitem__
-        start = lambda x: b"".join(map(self._part, PATTERN.findall(x)))
-        return [start(s[0]) + b"".join(map(get, s[1:])) if s else next(hard) for s in split]
+        heads = self.whole([t if s is None else s[0] for s, t in zip(split, texts, strict=True)])
+        get = self._pieces(list({p for s in split if s for p in s[1:]})).__getitem__
+        return [head + b"".join(map(get, s[1:])) if s else head for head, s in zip(heads, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -218,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             made = WaveletShard.build(np.frombuffer(b"".join(ids), tokenizer.kind), np.array([d or 0 for d, _ in docs_], np.int64), known, np.array([n for _, n in docs_], np.int64), levels)
             return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([made.n], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["shard", "n_tokens", "content"])
 
-        for block in blocks(batches, "text", 1 << 20):
+        for block in blocks(batches, "text", 4 << 20):
             texts = block.column("text").fill_null("").to_pylist()
             for d, x in zip(block.column("id").to_pylist(), tokenizer.encode(texts), strict=True):
                 ids += [x, end]

@@ -159,10 +159,17 @@ def test_token_output(docs, rows, empty, clashing):
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\tab'sé1.,²_ª \x1c\u2003<|endoft>X漢🙂ǅ", max_size=40), max_size=5))
 def test_pieces_equal_whole_texts(texts):
-    t = token_output.PieceTokenizer(queries.tokenizer_path())
-    texts = [*texts, "a <|endoftext|> b", "it's  two", "x \n y", "tail "]
-    want = [np.array(t.library.encode(x, add_special_tokens=False).ids, t.kind).tobytes() for x in texts]
-    assert t.encode(texts) == want
+    texts = [*texts, "a <|endoftext|> b", "it's  two", "x \n y", "x\u00a0 \u00a0y", "tail ", " head", " "]
+    for t in (token_output.piece_tokenizer(queries.tokenizer_path()), token_output.PieceTokenizer(queries.tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"), most=2)):
+        want = [np.array(t.library.encode(x, add_special_tokens=False).ids, t.kind).tobytes() for x in texts]
+        assert t.encode(texts) == want
+
+
+def test_pieces_are_kept_in_two_generations():
+    t = token_output.PieceTokenizer(queries.tokenizer_path(), most=2)
+    for x in ("a b c", "d b", "e f g b", "b c d e f g h"):
+        assert t.encode([x, x]) == t.whole([x, x])
+        assert len(t.recent) <= 2 and len(t.older) < 8
 
 
 @settings(max_examples=30, deadline=None)
