@@ -56,8 +56,34 @@ def attach_islands(clusters: DataFrame, distances: DataFrame, isolated: DataFram
     return clusters.join(best, ["doc_id", id_col], "left").select("doc_id", id_col, F.coalesce("to", "root").alias("root"))
 
 
-def entity_clusters(members: DataFrame, must: DataFrame, threshold: float = 0.15, attach: float = 0.5, isolation: float = 2.0) -> DataFrame:
-    """(doc_id, word_id, phrase_id, root): phrases joined below the distance threshold or by must-link groups, islands attached."""
+def attach_small(clusters: DataFrame, distances: DataFrame, isolated: DataFrame, least: float, largest: int, id_col: str = "phrase_id") -> DataFrame:
+    """As attach_islands, where islands are the nodes of clusters of up to `largest` nodes.
+
+    Edges from islands to other nodes count in order of (dist, a, b); one is used while a's cluster has `largest` nodes or fewer. A round
+    uses each edge that is the first of both clusters it touches (larger clusters take all that come): no other edge of the round
+    can change whether it is used, so rounds give what one ordered pass gives."""
+    state = written(clusters.select("doc_id", id_col, "root"), "clusters")
+    sized = lambda t: t.join(t.groupBy("doc_id", "root").agg(F.count("*").alias("n")), ["doc_id", "root"])
+    islands = written(sized(state).filter(F.col("n") <= largest).select("doc_id", id_col).join(isolated, ["doc_id", id_col], "left_anti"), "islands")
+    others = state.select("doc_id", id_col).join(islands, ["doc_id", id_col], "left_anti")
+    edges = distances.filter(F.col("dist") < least).join(islands.withColumnRenamed(id_col, "a"), ["doc_id", "a"]).join(others.withColumnRenamed(id_col, "b"), ["doc_id", "b"])
+    edges = edges.select("doc_id", "a", "b", F.struct("dist", "a", "b").alias("key"))
+    while True:
+        side = lambda c, t=sized(state): t.select("doc_id", F.col(id_col).alias(c), F.col("root").alias(f"{c}_root"), F.col("n").alias(f"{c}_n"))
+        edges = written(edges.select("doc_id", "a", "b", "key").join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"]).filter(F.col("a_root") != F.col("b_root")).filter(F.col("a_n") <= largest), "edges")
+        touched = edges.select("doc_id", F.col("a_root").alias("root"), "key").union(edges.filter(F.col("b_n") <= largest).select("doc_id", "b_root", "key"))
+        first = touched.groupBy("doc_id", "root").agg(F.min("key").alias("first"))
+        of = lambda c: first.select("doc_id", F.col("root").alias(f"{c}_root"), F.col("first").alias(f"{c}_first"))
+        used = edges.join(of("a"), ["doc_id", "a_root"]).filter("key = a_first").join(of("b"), ["doc_id", "b_root"], "left").filter((F.col("b_n") > largest) | (F.col("key") == F.col("b_first")))
+        moved = written(used.select("doc_id", F.col("a_root").alias("root"), F.col("b_root").alias("to")), "moved")
+        if moved.limit(1).count() == 0:
+            return state
+        state = written(state.join(moved, ["doc_id", "root"], "left").select("doc_id", id_col, F.coalesce("to", "root").alias("root")), "clusters")
+
+
+def entity_clusters(members: DataFrame, must: DataFrame, threshold: float = 0.15, attach: float = 0.5, isolation: float = 2.0, largest: int = 1) -> DataFrame:
+    """(doc_id, word_id, phrase_id, root): phrases joined below the distance threshold or by must-link groups, islands of up to `largest`
+    phrases attached."""
     from .affinity import neural_affinity, threshold_graph
     from .layout import nearest_gaps
     from .linking import boxed_phrases, group_phrase_pairs
@@ -66,5 +92,6 @@ def entity_clusters(members: DataFrame, must: DataFrame, threshold: float = 0.15
     boxes = boxed_phrases(members)
     links = threshold_graph(distances, threshold).union(group_phrase_pairs(must, members))
     far = nearest_gaps(boxes.withColumnRenamed("phrase_id", "word_id"), isolation).filter("isolated").select("doc_id", F.col("word_id").alias("phrase_id"))
-    found = attach_islands(rooted(boxes, links, "phrase_id"), distances, far, attach)
+    clusters = rooted(boxes, links, "phrase_id")
+    found = attach_islands(clusters, distances, far, attach) if largest == 1 else attach_small(clusters, distances, far, attach, largest)
     return members.select("doc_id", "word_id", "phrase_id").join(found, ["doc_id", "phrase_id"])

@@ -146,6 +146,11 @@ def _g6(m, g):
     return graph.entity_clusters(m, g).select("doc_id", "word_id", "phrase_id", "root")
 
 
+@register("g4_small_islands", (MV, "fx_must"))
+def _g4(m, g):
+    return graph.entity_clusters(m, g, largest=2).select("doc_id", "word_id", "phrase_id", "root")
+
+
 @register("io11_cluster_listing", (MV,), " select doc_id, label as cluster_id, count(*) as size, string_agg(text, ' ' order by word_id) as text from fx_mvec group by doc_id, label")
 def _io11(m):
     spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]), " ")

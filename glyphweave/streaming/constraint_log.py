@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def fold(state: dict, action: str, w1: int, w2: int) -> dict:
@@ -36,3 +38,18 @@ def replay(events: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "must_link": [json.dumps(state["must"])], "must_not_link": [json.dumps(state["cannot"])]})
 
     return events.select("seq", "doc_id", "action", "w1", "w2").groupBy("doc_id").applyInPandas(run, "doc_id long, must_link string, must_not_link string")
+
+
+def replay_stream(events: DataFrame) -> DataFrame:
+    """The same of a stream of events: each batch gives the pages it changed as they are then. A page's state is its lists as JSON;
+    events of one batch are ordered by seq, batches by arrival."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        for action, w1, w2 in pd.concat(list(frames)).sort_values("seq")[["action", "w1", "w2"]].itertuples(index=False):
+            held = fold(held, action, int(w1), int(w2))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame({"doc_id": [key[0]], "must_link": [json.dumps(held["must"])], "must_not_link": [json.dumps(held["cannot"])]})
+
+    grouped = events.select("seq", "doc_id", "action", "w1", "w2").groupBy("doc_id")
+    return grouped.applyInPandasWithState(run, "doc_id long, must_link string, must_not_link string", "held string", "update", GroupStateTimeout.NoTimeout)

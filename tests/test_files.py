@@ -5,9 +5,10 @@ import json
 
 import numpy as np
 
+from glyphweave.operators import graph, vectors
 from glyphweave.operators.measures import best_assignment
 from glyphweave.sources import ocr
-from glyphweave.streaming.constraint_log import replay
+from glyphweave.streaming.constraint_log import replay, replay_stream
 from glyphweave.streaming.ingest import ingest
 
 
@@ -49,3 +50,63 @@ def test_assignment():
             got = best_assignment(gain)
             assert sorted(got) == list(range(n))
             assert gain[np.arange(n), got].sum() == max(sum(gain[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_replay_stream(spark, tmp_path):
+    schema, source = "seq int, doc_id long, action string, w1 int, w2 int", str(tmp_path / "in")
+    batches = [[(1, 7, "add_must", 1, 2), (2, 7, "stage_cannot", 1, 1), (3, 8, "add_must", 3, 4)], [(5, 7, "submit_cannot", 0, 0), (4, 7, "stage_cannot", 2, 3), (6, 8, "pop_must", 0, 0), (7, 8, "pop_must", 0, 0)]]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
+        stream = replay_stream(spark.readStream.schema(schema).parquet(source))
+        save = lambda rows, k: rows.write.mode("overwrite").parquet(str(tmp_path / f"out-{k}"))
+        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out-1")).collect()))
+    assert rows == sorted(map(tuple, replay(spark.createDataFrame(sum(batches, []), schema)).collect())) == [(7, "[[1, 2]]", "[[[1, 1], [2, 3]]]"), (8, "[]", "[]")]
+
+
+def ordered_pass(root, dist, isolated, least, largest):
+    """Islands attached edge by edge in order, in plain Python."""
+    root = dict(root)
+    size = lambda r: sum(x == r for x in root.values())
+    island = {n for n in root if size(root[n]) <= largest and n not in isolated}
+    for _, a, b in sorted((d, a, b) for (a, b), d in dist.items() if d < least and a in island and b not in island):
+        if size(root[a]) <= largest and root[a] != root[b]:
+            was, to = root[a], root[b]
+            root = {n: to if r == was else r for n, r in root.items()}
+    return {frozenset(n for n in root if root[n] == r) for r in root.values()}
+
+
+def test_islands_of_several(spark):
+    rng, nodes, dists, far, want = np.random.default_rng(3), [], [], [], {}
+    for doc in range(24):
+        root = {n: int(min(n, rng.integers(0, 9))) for n in range(12)}
+        root = {n: min(m for m in root if root[m] == r) for n, r in root.items()}
+        dist = {(a, b): float(rng.integers(0, 20)) / 20 for a in root for b in root if a != b}
+        alone = [n for n in root if rng.random() < 0.3]
+        nodes += [(doc, n, r) for n, r in root.items()]
+        dists += [(doc, a, b, d) for (a, b), d in dist.items()]
+        far += [(doc, n) for n in alone]
+        want[doc] = {k: ordered_pass(root, dist, alone, 0.4, k) for k in (1, 3)}
+    clusters, distances = spark.createDataFrame(nodes, "doc_id long, phrase_id int, root int"), spark.createDataFrame(dists, "doc_id long, a int, b int, dist double")
+    isolated = spark.createDataFrame(far, "doc_id long, phrase_id int")
+    for k, found in ((1, graph.attach_islands(clusters, distances, isolated, 0.4)), (1, graph.attach_small(clusters, distances, isolated, 0.4, 1)), (3, graph.attach_small(clusters, distances, isolated, 0.4, 3))):
+        groups: dict = {}
+        for r in found.collect():
+            groups.setdefault(r.doc_id, {}).setdefault(r.root, set()).add(r.phrase_id)
+        assert {d: {frozenset(x) for x in g.values()} for d, g in groups.items()} == {d: w[k] for d, w in want.items()}
+
+
+def test_refinement_goes_on_from_a_saved_state(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = spark.createDataFrame([(1, i, rng.normal(i % 2, 0.3, 4).tolist()) for i in range(12)], "doc_id long, word_id int, vec array<double>")
+    pairs = spark.createDataFrame([(1, a, b, int(a % 2 == b % 2), 1.0) for a in range(12) for b in range(a)], "doc_id long, a int, b int, label int, confidence double")
+    history: list = []
+    w, losses = vectors.refine(pairs, words, out=2, epochs=3, history=history)
+    vectors.save_matrix(spark, w, str(tmp_path / "state"))
+    back = vectors.load_matrix(spark, str(tmp_path / "state"))
+    assert np.array_equal(back, w) and np.array_equal(history[-1], w)
+    assert vectors.refine(pairs, words, out=2, epochs=2, start=back)[1][0] <= losses[-1]
+    rows = vectors.epoch_vectors(words, history).filter("word_id = 5").orderBy("epoch").collect()
+    x = np.array(words.filter("word_id = 5").first().vec)
+    assert [r.epoch for r in rows] == list(range(1, len(history) + 1))
+    assert all(np.allclose(r.raw, x @ m) and np.isclose(np.linalg.norm(r.vec), 1) for r, m in zip(rows, history, strict=True))
