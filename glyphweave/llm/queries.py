@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, quality_sql, sharding, substring_dedup, token_output
+from . import chat_format, decontaminate, jaccard_join, jaccard_sql, license_scan, lm_scoring, mixing, quality_rules, quality_sql, repeats_sql, sharding, substring_dedup, token_output
 from ._common import tables
 
 #: Output shards of the sharding and mixing queries.
@@ -75,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_sql.QUALITY}
+    return {"op3_jaccard_join": jaccard_sql.JACCARD, "op4_benchmark_decontamination": repeats_sql.LEAKS, "op6_quality_rules": quality_sql.QUALITY, "op9_substring_dedup": repeats_sql.REPEATS}
