@@ -6,7 +6,8 @@ in a text must share a sketch hash with it, however long that text is: of n shin
 k is larger. Texts are probed for sketch hashes; texts with a hit are verified against the items' whole shingle sets.
 
 The index is built from the benchmark table alone. Its size is checked: up to most_broadcast characters it is sent to the
-executors and texts are read once, without a shuffle; beyond that, shingles and sketches are joined by hash.
+executors and texts are read once, without a shuffle; beyond that, shingles and sketches are joined by hash under a key of the
+text itself, and each row takes the result of its text. Ids are carried along and never joined.
 
 Words are runs of letters and digits, A-Z in lower case. Null and empty texts match nothing, and neither does an item of fewer
 than five words. Repeated rows give repeated results; items with a null id keep it. Other columns are kept inside `row`.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._words import NOT_ALNUM, U64, Texts, blocks, windows
@@ -121,8 +122,13 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return schema.mapInArrow(scan, f"row {out['row'].dataType.simpleString()}, leaks array<struct<item_id: long, containment: double>>")
 
 
-def _hash_rows(df: DataFrame, id_col: str, text_col: str, containment: float | None) -> DataFrame:
-    """id, h (a distinct shingle's hash), n (the set's size), low (whether it is in the sketch)."""
+def _text_key(text: Column) -> Column:
+    """128 bits of the text's SHA-256, null for a null text: rows of equal keys have equal shingles, in every retry."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _hash_rows(df: DataFrame, text_col: str, containment: float | None) -> DataFrame:
+    """k (the text's key), h (a distinct shingle's hash), n (the set's size), low (whether it is in the sketch)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "t"):
@@ -130,9 +136,19 @@ def _hash_rows(df: DataFrame, id_col: str, text_col: str, containment: float | N
             n = np.bincount(doc, minlength=block.num_rows)
             place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
             low = place < sketch_size(n, containment)[doc] if containment is not None else np.zeros(len(h), bool)
-            yield pa.RecordBatch.from_arrays([block.column("i").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(n[doc]), pa.array(low)], ["i", "h", "n", "low"])
+            yield pa.RecordBatch.from_arrays([block.column("k").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(n[doc]), pa.array(low)], ["k", "h", "n", "low"])
+
+    return df.select(_text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("t")).mapInArrow(rows, "k binary, h long, n long, low boolean")
+
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(rows, "i long, h long, n long, low boolean")
+def _leaks_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, containment: float) -> DataFrame:
+    """d, i, containment: the keys of each text and item text of which the second lies in the first. Joins shingles by hash; no ids."""
+    items = _hash_rows(benchmark, item_text_col, containment).withColumnRenamed("k", "i").distinct()
+    hashes = _hash_rows(docs, text_col, None).select(F.col("k").alias("d"), "h")
+    near = hashes.join(items.filter("low").select("h", "i"), "h").select("d", "i").distinct()
+    both = hashes.join(items.select("h", "i", "n"), "h").join(near, ["d", "i"], "left_semi")
+    found = both.groupBy("d", "i", "n").agg(F.count_distinct("h").alias("shared"))
+    return found.filter(F.col("shared") >= containment * F.col("n") - 1e-9).select("d", "i", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = 0.8, most_broadcast: int = 32 << 20) -> DataFrame:
@@ -140,12 +156,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if _small(benchmark, item_text_col, most_broadcast):
         marked = mark_contaminated(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, containment)
         return marked.select(F.col("row")[id_col].alias(id_col), F.explode("leaks").alias("x")).select(id_col, "x.item_id", "x.containment")
-    items = _hash_rows(benchmark, item_col, item_text_col, containment).withColumnRenamed("i", "item_id")
-    hashes = _hash_rows(docs, id_col, text_col, None).select(F.col("i").alias(id_col), "h")
-    near = hashes.join(items.filter("low").select("h", "item_id"), "h").select(id_col, "item_id").distinct()
-    both = hashes.join(items.select("h", "item_id", "n"), "h").join(near, [id_col, "item_id"], "left_semi")
-    found = both.groupBy(id_col, "item_id").agg((F.count_distinct("h") / F.first("n")).alias("containment"))
-    return found.filter(F.col("containment") >= containment - 1e-12)
+    found = _leaks_by_text(docs, benchmark, text_col, item_text_col, containment)
+    texts = docs.select(F.struct(F.col(id_col)).alias("row"), _text_key(F.col(text_col)).alias("d"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), _text_key(F.col(item_text_col)).alias("i"))
+    return texts.join(found, "d").join(items, "i").select(F.col("row")[id_col].alias(id_col), F.col("item").alias("item_id"), "containment")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 32 << 20, **kw) -> DataFrame:
@@ -153,4 +167,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     if _small(benchmark, kw.get("item_text_col", "text"), most_broadcast):
         marked = mark_contaminated(docs, benchmark, text_col, **kw).filter(F.size("leaks") == 0)
         return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    return docs.join(find_leaks(docs, benchmark, id_col, text_col, most_broadcast=most_broadcast, **kw).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    found = _leaks_by_text(docs, benchmark, text_col, kw.get("item_text_col", "text"), kw.get("containment", 0.8)).select("d").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _text_key(F.col(text_col)).alias("d"))
+    return keyed.join(found, "d", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

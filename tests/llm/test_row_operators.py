@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -215,6 +216,27 @@ def test_decontamination(spark, sf, docs, rows, empty, clashing):
     assert decontaminate.drop_contaminated(clashing, benchmark).columns == clashing.columns
 
 
+def test_decontamination_by_shuffle(spark):
+    """Null and repeated ids of texts and items: the same rows whether the benchmark is sent or joined."""
+    words = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcde"]
+    texts = [
+        (None, words[0]), (None, "x y " + words[1] + " z"), (None, "clean text of a null id here"), (None, None), (None, ""),
+        (1, words[0][: len(words[0]) // 2]), (1, words[0][len(words[0]) // 2 :]), (1, "clean text of a shared id here"), (2, words[2]), (2, "another clean text of that id"),
+        (3, words[3] + " " + words[4]), (3, words[3] + " " + words[4]), (4, words[4]), (4, words[4]), (5, "short"), (6, words[3].upper()), (7, words[0] + " " + words[1]),
+    ]
+    items = [(None, words[0]), (None, words[2]), (8, words[1]), (8, words[3] + " tail of the same item id"), (9, words[4]), (9, words[4]), (10, None), (11, ""), (12, "too few words"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("d", F.lit(1)).withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: [(x is None, x) for x in r]
+    for containment in (0.5, 0.8, 1.0):
+        sent, joined = (sorted(map(tuple, decontaminate.find_leaks(docs, bench, containment=containment, most_broadcast=most).collect()), key=key) for most in (32 << 20, 0))
+        assert joined == sent and any(r[0] is None for r in sent) and any(r[1] is None for r in sent)
+        kept, by_join = (decontaminate.drop_contaminated(docs, bench, containment=containment, most_broadcast=most) for most in (32 << 20, 0))
+        assert by_join.columns == docs.columns
+        assert sorted(map(tuple, by_join.collect()), key=key) == sorted(map(tuple, kept.collect()), key=key)
+    assert joined.count((4, 9, 1.0)) == 4 and (None, None, 1.0) in joined and (2, None, 1.0) in joined
+
+
 def test_chat_formatting(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     got = chat_format.format_chats(*chat_format.from_turns(turns), chat_format.REPLY).collect()
