@@ -8,7 +8,7 @@ import numpy as np
 from glyphweave.operators import graph, vectors
 from glyphweave.operators.measures import best_assignment
 from glyphweave.sources import ocr
-from glyphweave.streaming.constraint_log import replay, replay_stream
+from glyphweave.streaming.constraint_log import Reduced, _apply, replay, replay_stream
 from glyphweave.streaming.ingest import ingest
 
 
@@ -42,6 +42,51 @@ def test_replay(spark):
     assert (json.loads(row.must_link), json.loads(row.must_not_link)) == ([[5, 6]], [[[1, 1], [2, 3]]])
 
 
+def fold(state: dict, action: str, w1: int, w2: int) -> dict:
+    """A page's state after an event, in plain Python. Popping from nothing, and submitting fewer than two staged sides, changes nothing."""
+    must, cannot, staged = list(state.get("must", [])), list(state.get("cannot", [])), list(state.get("staged", []))
+    if action == "add_must":
+        must.append([w1, w2])
+    elif action == "stage_cannot":
+        staged = (staged + [[w1, w2]])[-2:]
+    elif action == "submit_cannot" and len(staged) == 2:
+        cannot, staged = [*cannot, staged], []
+    elif action == "pop_must":
+        must = must[:-1]
+    elif action == "pop_cannot":
+        cannot = cannot[:-1]
+    elif action == "clear":
+        must, cannot, staged = [], [], []
+    return {"must": must, "cannot": cannot, "staged": staged}
+
+
+def test_replay_of_one_large_key(spark):
+    """One key over all ranges and small ones beside it, as the plain fold gives them; no task reads all of the large key's events."""
+    rng = np.random.default_rng(5)
+    names = ["add_must", "stage_cannot", "submit_cannot", "pop_must", "pop_cannot", "clear", "unknown"]
+    share = [0.3, 0.28, 0.15, 0.16, 0.1, 0.002, 0.008]
+    events = [(i, 7 if rng.random() < 0.9 else int(rng.integers(0, 12)), str(rng.choice(names, p=share)), int(rng.integers(0, 16)), int(rng.integers(0, 11))) for i in range(3000)]
+    want = {}
+    for _, doc, *event in events:
+        want[doc] = fold(want.get(doc, {}), *event)
+    frame = spark.createDataFrame([events[i] for i in rng.permutation(len(events)).tolist()], "seq int, doc_id long, action string, w1 int, w2 int")
+    got = {r.doc_id: (json.loads(r.must_link), json.loads(r.must_not_link)) for r in replay(frame).collect()}
+    assert got == {doc: (state["must"], state["cannot"]) for doc, state in want.items()}
+    plan = replay(frame)._jdf.queryExecution().toString()
+    assert "rangepartitioning(doc_id" in plan and "stretch" in plan
+    for cuts in range(40):
+        at, state = sorted(rng.integers(0, 60, 3).tolist()), {"must": [], "cannot": [], "staged": []}
+        some = [(str(rng.choice(names)), i, i) for i in range(60)]
+        plain = {}
+        for a, b in itertools.pairwise([0, *at, 60]):
+            part = Reduced()
+            for event in some[a:b]:
+                part.add(*event)
+                plain = fold(plain, *event)
+            _apply(part.packed(), state)
+            assert state == {"must": [], "cannot": [], "staged": []} | plain
+
+
 def test_assignment():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 5):
