@@ -10,17 +10,23 @@ to their block's draws (a broadcast of bounded size) and ordered inside a shard
 
 A null source is a source of its own, last in order. Rows without words have size 0 and are taken as often as
 their block. Repeated rows share a block and are each counted. An empty table gives no rows. All draws depend on
-the seed and on the rows alone, so reruns agree. Sources are taken to be a label set: one number per source
-and block goes to the driver; more than most_sources sources raise an error.
+the seed and on the rows alone, so reruns agree. Up to driver_sources sources go to the driver, one number per source and
+block; of more, neighbours in order are drawn and split in tasks, each group a population of its own, and the block table is
+joined by shuffle unless it is small.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import space_words
+from ._common import materialise, partitions, space_words
+
+BLOCK_TABLE = "b_src string, b_block int, source_size long, target double, shards array<int>"
+#: Sources that one task draws and splits, where the driver does not: so many times blocks_per_source rows at most.
+SOURCES_A_TASK = 256
 
 
 def targets(sizes: dict, weights: tuple[float, ...], most_times: float, total: float) -> dict:
@@ -79,38 +85,97 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
+def deal(blocks: list[list[tuple[int, int]]], goals: list[float], most_times: int, shards: int, rng: np.random.Generator) -> list[list[list[int]]]:
+    """Per source and block (number, words): the shards of the block's draws."""
+    drawn = [draw_blocks(np.array([w for _, w in of], float), goal, most_times, rng) for of, goal in zip(blocks, goals, strict=True)]
+    quotas = split_quotas(np.array([len(d) for d in drawn], np.int64), shards, rng) if blocks else np.zeros((shards, 0), np.int64)
+    out = []
+    for j, of in enumerate(blocks):
+        into: list[list[int]] = [[] for _ in of]
+        for i, shard in zip(drawn[j], np.repeat(np.arange(shards), quotas[:, j]).tolist(), strict=True):
+            into[i].append(shard)
+        out.append(into)
+    return out
+
+
+def _many_targets(sums: DataFrame, weights: tuple[float, ...], most_times: int) -> DataFrame:
+    """src, source_size, rank, target as `targets` has them, of any number of sources: only sums per weight go to the driver.
+
+    A source stops where the share of a unit of weight is above most_times * size / weight, and shares only grow from round to round."""
+    spark, by_name = sums.sparkSession, F.col("src").asc_nulls_last()
+    sizes = sums.groupBy("src").agg(F.sum("words").alias("source_size"))
+    sizes = materialise(sizes.repartitionByRange(partitions(spark), by_name).withColumn("part", F.spark_partition_id()), "sources")
+    offsets, n = {}, 0
+    for r in sizes.groupBy("part").count().orderBy("part").collect():
+        offsets[r["part"]], n = n, n + r["count"]
+    offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1 + F.element_at(offset, F.col("part")).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    ranked = materialise(ranked.select("src", "source_size", "rank", weight.alias("weight")), "ranks")
+    share = 0.0
+    total = ranked.agg(F.sum("source_size")).first()[0]
+    full = lambda share: F.col("weight") * F.lit(share) > most_times * F.col("source_size")
+    while True:
+        sums_of = ranked.filter("source_size > 0").groupBy("weight", full(share).alias("full")).agg(F.sum("source_size").alias("words"), F.count("*").alias("n")).collect()
+        open_ = sum(r["n"] * r["weight"] for r in sorted(sums_of, key=lambda r: r["weight"]) if not r["full"])
+        if not open_:
+            break
+        further = (total - most_times * sum(r["words"] for r in sums_of if r["full"])) / open_
+        if further <= share:
+            break
+        share = further
+    target = F.when(F.col("source_size") <= 0, F.lit(0.0)).when(full(share), (most_times * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.lit(share))
+    return ranked.select("src", "source_size", "rank", target.alias("target"))
+
+
+def _many_draws(sums: DataFrame, weights: tuple[float, ...], most_times: int, shards: int, seed: int) -> DataFrame:
+    """The block table of any number of sources: SOURCES_A_TASK neighbours are one population, split by a tree in one task. Each tree's
+    shards start at another one, so that what a tree leaves uneven is spread."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "b_block"], ignore_index=True)
+        rank, group = pdf["rank"].to_numpy(), int(pdf["task"].iloc[0])
+        rng = np.random.default_rng([seed, group])
+        turn = int(rng.integers(shards))
+        cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])).tolist()
+        pairs = list(zip(pdf["b_block"].tolist(), pdf["words"].tolist(), strict=True))
+        dealt = deal([pairs[a:b] for a, b in zip(cuts, [*cuts[1:], len(pairs)], strict=True)], pdf["target"].iloc[cuts].tolist(), most_times, shards, rng)
+        pdf["shards"] = [[(x + turn) % shards for x in block] for source in dealt for block in source]
+        return pdf[["b_src", "b_block", "source_size", "target", "shards"]]
+
+    goals = _many_targets(sums, weights, most_times).withColumnRenamed("src", "b_src")
+    blocks = sums.join(goals, F.col("src").eqNullSafe(F.col("b_src"))).select("b_src", F.col("block").alias("b_block"), "words", "source_size", "target", "rank", F.floor(F.col("rank") / SOURCES_A_TASK).alias("task"))
+    return blocks.groupBy("task").applyInPandas(draw, BLOCK_TABLE)
+
+
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_times: int = 3, shards: int = 16, blocks_per_source: int = 2048, seed: int = 20, most_sources: int = 10_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_times: int = 3, shards: int = 16, blocks_per_source: int = 2048, seed: int = 20, most_sources: int | None = None, driver_sources: int = 256
 ) -> DataFrame:
-    """Struct `row` of the input's columns, size, source_size, target, taken, and shards: the shard of each time the row is taken."""
+    """Struct `row` of the input's columns, size, source_size, target, taken, and shards: the shard of each time the row is taken.
+
+    More than driver_sources sources are drawn in tasks; more than most_sources, where given, raise an error."""
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("src"), F.size(space_words(F.col(text_col))).cast("long").alias("size"), F.pmod(key, F.lit(blocks_per_source)).cast("int").alias("block"))
     sums = base.groupBy("src", "block").agg(F.sum("size").alias("words"))
-    per_source = {r["src"]: r["words"] for r in sums.groupBy("src").agg(F.sum("words").alias("words")).limit(most_sources + 1).collect()}
-    if len(per_source) > most_sources:
-        raise ValueError(f"more than {most_sources} sources: raise most_sources, or blocks_per_source will not bound the driver's table")
-    blocks: dict = {s: [] for s in per_source}
-    for r in sums.toLocalIterator():
-        blocks[r["src"]].append((r["block"], r["words"]))
-    goal = targets(per_source, weights, most_times, float(sum(per_source.values())))
-
-    order = sorted((s for s in blocks if s is not None), key=lambda s: s.encode()) + [s for s in blocks if s is None]
-    rng = np.random.default_rng(seed)
-    drawn = {}
-    for s in order:
-        blocks[s].sort()
-        drawn[s] = draw_blocks(np.array([w for _, w in blocks[s]], float), goal[s], most_times, rng)
-    quotas = split_quotas(np.array([len(drawn[s]) for s in order], np.int64), shards, rng) if order else np.zeros((shards, 0), np.int64)
-    rows = []
-    for j, s in enumerate(order):
-        of = np.repeat(np.arange(shards), quotas[:, j]).tolist()
-        into: dict[int, list[int]] = {}
-        for b, shard in zip(drawn[s], of, strict=True):
-            into.setdefault(b, []).append(shard)
-        rows += [(s, block, per_source[s], goal[s], into.get(i, [])) for i, (block, _) in enumerate(blocks[s])]
-    table = spark.createDataFrame(rows, "b_src string, b_block int, source_size long, target double, shards array<int>")
-    joined = base.join(F.broadcast(table), F.col("src").eqNullSafe(F.col("b_src")) & (F.col("block") == F.col("b_block")), "left")
+    most = driver_sources if most_sources is None else max(most_sources, driver_sources)
+    per_source = {r["src"]: r["words"] for r in sums.groupBy("src").agg(F.sum("words").alias("words")).limit(most + 1).collect()}
+    if most_sources is not None and len(per_source) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    on = F.col("src").eqNullSafe(F.col("b_src")) & (F.col("block") == F.col("b_block"))
+    if len(per_source) > driver_sources:
+        table = materialise(_many_draws(materialise(sums, "sums"), weights, most_times, shards, seed), "draws")
+        joined = base.join(table, on, "left")
+    else:
+        blocks: dict = {s: [] for s in per_source}
+        for r in sums.toLocalIterator():
+            blocks[r["src"]].append((r["block"], r["words"]))
+        goal = targets(per_source, weights, most_times, float(sum(per_source.values())))
+        order = sorted((s for s in blocks if s is not None), key=lambda s: s.encode()) + [s for s in blocks if s is None]
+        held = [sorted(blocks[s]) for s in order]
+        dealt = deal(held, [goal[s] for s in order], most_times, shards, np.random.default_rng(seed))
+        rows = [(s, block, per_source[s], goal[s], into) for s, of, each in zip(order, held, dealt, strict=True) for (block, _), into in zip(of, each, strict=True)]
+        joined = base.join(F.broadcast(spark.createDataFrame(rows, BLOCK_TABLE)), on, "left")
     return joined.select("row", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 

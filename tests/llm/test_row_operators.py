@@ -99,6 +99,31 @@ def test_mixing(docs, rows, empty, clashing):
         mixing.mix(docs, most_sources=2)
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than the old cap of 10,000, most of one text, null among them: targets and draws as the rules have them."""
+    texts = [(i, "w " * (1 + i % 7), None if i % 5003 == 0 else f"www.{i}.example") for i in range(10_500)]
+    texts += [(20_000 + i, "v " * (1 + i % 9), "www.large.example") for i in range(3000)] + [(None, None, "empty"), (30_000, "", "empty")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shards=5).collect()
+    per = collections.Counter()
+    for _, text, source in texts:
+        per[source] += len((text or "").split())
+    goal = mixing.targets(per, (5, 2, 1), 3, sum(per.values()))
+    took, load = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r["source_size"] == per[r["row"]["source"]] and abs(r["target"] - goal[r["row"]["source"]]) < 1e-6
+        assert r["taken"] == r["size"] * len(r["shards"]) <= 3 * r["size"]
+        took[r["row"]["source"]] += r["taken"]
+        load.update(r["shards"])
+    assert len(got) == len(texts) and len(per) > 10_000
+    # each source stays within its target and misses less than its smallest text that may be taken once more
+    assert all(0 <= goal[s] - took[s] + 1e-6 for s in per) and all(goal[s] - took[s] < per[s] + 1e-6 for s in per if s != "empty")
+    assert goal["www.large.example"] - took["www.large.example"] < 10
+    assert set(load) == set(range(5)) and max(load.values()) < 1.2 * min(load.values())
+    again = mixing.mix(docs.repartition(7), shards=5).collect()
+    assert collections.Counter(map(str, again)) == collections.Counter(map(str, got))
+
+
 def test_splitting_tree():
     rng = np.random.default_rng(1)
     quotas = np.array([1000, 0, 17, 333])
