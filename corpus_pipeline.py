@@ -48,7 +48,8 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: Link components, block draws and a tokenizer are beyond SQL; tests compare the stages with brute force.
+#: Link components, block draws and a tokenizer are beyond SQL. Tests compare the rows of decontamination with plain Python, those of quality and
+#: source_mixing with their operators' verdicts and draws; near_duplicates and token_files by columns, counts and gapless starts alone.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,12 @@
 """The pipeline's stages, chained on the small corpus."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline
 
+from glyphweave.llm import mixing, quality_rules, queries
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -15,3 +20,37 @@ def test_stages(spark, sf):
     assert len(last) == counts[4]
     at = sorted((r["start"], r["n_tokens"]) for r in last)
     assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
+
+
+def test_rows_of_stages(spark, sf, docs):
+    """Ids, texts and multiplicities after quality, decontamination and mixing, chained, with edge rows."""
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    item = next(t for _, t in bench if len(t.split()) > 20)
+    filler = " ".join(f"prose{i}" for i in range(60))
+    bad, end = "click here to go on", " ".join(f"more{i}" for i in range(60))
+    odd = [(None, f"{filler}\n{item}", None, "s", 1), (None, f"{filler} null id and clean", None, "s", 1), (300001, f"{filler}\n{bad}\n{end}", None, None, 1), (300001, f"{filler}\n{bad}\n{end}", None, None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).cache()
+
+    clean = stages["quality"](spark, docs, sf).select(*columns).cache()
+    want = Counter()
+    for r in quality_rules.judge(docs).filter("kept").collect():
+        row = r["row"].asDict()
+        if r["n_lines_removed"]:
+            row |= {"text": r["clean_text"], "n_chars": len(r["clean_text"])}
+        want[tuple(row[c] for c in columns)] += 1
+    assert Counter(map(tuple, clean.collect())) == want
+    assert want[(300001, f"{filler}\n{end}", None, None, len(f"{filler}\n{end}"))] == 2
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    sets = [g for _, t in bench if (g := grams(t))]
+    hit = lambda t, g: any(100 * len(s & g) >= 80 * len(s) for s in sets)
+    pure = stages["decontamination"](spark, clean, sf).cache()
+    kept = Counter(r for r in map(tuple, clean.collect()) if not hit(r[1], grams(r[1])))
+    assert Counter(map(tuple, pure.collect())) == kept and kept[odd[1]] == 1 and kept[odd[0]] == 0 and want[odd[0]] == 1
+
+    times = Counter()
+    for r in mixing.mix(pure, shards=len(queries.SHARDS)).collect():
+        times[tuple(r["row"])] += len(r["shards"])
+    assert Counter(map(tuple, stages["source_mixing"](spark, pure, sf).collect())) == +times
