@@ -19,7 +19,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,64 +132,128 @@ class WaveletShard:
 
 #: A space before other white space or the end of a text: one that does not join its follower.
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+# Classes of bytes: what may follow a space in white space (all ASCII control bytes, and first bytes of longer white space); ASCII letters;
+# ASCII marks and the newline, with which no letter joins.
+_BYTES = np.arange(256)
+_MAYBE_WHITE = (_BYTES <= 0x20) | np.isin(_BYTES, [0xC2, 0xE1, 0xE2, 0xE3])
+_LETTER = np.isin(_BYTES & 0xDF, np.arange(0x41, 0x5B)) & (_BYTES < 0x80)
+_MARK = (_BYTES > 0x20) & (_BYTES < 0x7F) & ~_LETTER & ~np.isin(_BYTES, np.arange(0x30, 0x3A))
+# Second bytes that end a letter after C3, C4 or C5: all of U+00C0 to U+017F but the signs of multiplication and division.
+_LATIN_FIRST = np.isin(_BYTES, [0xC3, 0xC4, 0xC5])
+_SIGN_SECOND = np.isin(_BYTES, [0x97, 0xB7])
+_NEWLINE, _SPACE = 0x0A, 0x20
+
+
+def piece_borders(buffer: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the texts' pieces begin, and the last one's end: at each space, where a letter meets a mark or a newline, and where a newline after
+    a letter or mark meets a letter. No token of a byte-level pre-tokenizer crosses such a border, where each space joins its follower."""
+    cut = np.zeros(len(buffer) + 1, bool)
+    cut[texts] = True
+    if len(buffer) > 1:
+        before, here = buffer[:-1], buffer[1:]
+        letter = _LETTER[before]
+        latin = _LATIN_FIRST[before[:-1]] & (here[:-1] >= 0x80) & ~((before[:-1] == 0xC3) & _SIGN_SECOND[here[:-1]])
+        letter[1:] |= latin
+        cut[1:-1] |= (here == _SPACE) | (letter & (_MARK[here] | (here == _NEWLINE)))
+        line = np.flatnonzero((before[1:] == _NEWLINE) & _LETTER[here[1:]])
+        cut[line[letter[line] | _MARK[before[line]]] + 2] = True
+    return np.flatnonzero(cut)
 
 
 class PieceTokenizer:
     """The library's ids of whole texts.
 
-    A byte-level pre-tokenizer never joins what stands before a space with what follows, where the space joins its follower. Such a text
-    is a sequence of pieces, a space with its follower. The library encodes all new pieces of a batch as one text; the ids that begin with
-    a space part them. Pieces' ids are kept for reuse in two generations: of about `most` pieces each, those used since the last
-    change, and the ones before, which go at the next change unless used again. Texts with a loose space or an added token, and all texts
-    where the library's file has another pre-tokenizer or a normalizer, are encoded as they are."""
+    Texts are cut into pieces (see piece_borders), a batch's pieces are dictionary-encoded, and the library encodes those that are new, once each.
+    Those that begin with a space are encoded as one text: the ids that begin with a space part them. Pieces' ids are kept for reuse
+    in two generations: of about `most` pieces each, those used since the last change, and the ones before, which go at the next change
+    unless used again. Texts with a loose space or an added token, and all texts where the library's file has another pre-tokenizer or a
+    normalizer, are encoded as they are."""
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = {np.uint16: "H", np.uint32: "I"}[self.kind]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         rule = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
         self.by_pieces = self.library.normalizer is None and rule.get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
         vocabulary = self.library.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the space of the byte alphabet
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        (raw,) = self.whole([" " + " ".join(pieces)])
-        ids = np.frombuffer(raw, self.kind)
-        at = (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
-        return dict(zip(pieces, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        spaced = [p for p in pieces if p[0] == _SPACE]
+        others = [p for p in pieces if p[0] != _SPACE]
+        found = dict(zip(others, self.whole([p.decode() for p in others]), strict=True))
+        if spaced:
+            (raw,) = self.whole([b"".join(spaced).decode()])
+            ids = np.frombuffer(raw, self.kind)
+            at = (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
+            found |= zip(spaced, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True)
+        return found
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of different pieces."""
-        found = dict(zip(pieces, map(self.recent.get, pieces), strict=True))
-        others = {p: self.older.get(p) for p, x in found.items() if x is None}
-        new = [p for p, x in others.items() if x is None]
-        if new:
-            others |= self._learn(new)
-        self.recent |= others
-        if len(self.recent) > self.most:
-            self.older, self.recent = self.recent, {}
-        return found | others
-
-    def _simple(self, text: str) -> bool:
-        return self.by_pieces and LOOSE_SPACE.search(text) is None and not any(t in text for t in self.added)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as the bytes of an array of `kind`."""
-        split = [t.split(" ") if self._simple(t) else None for t in texts]
-        heads = self.whole([t if s is None else s[0] for s, t in zip(split, texts, strict=True)])
-        get = self._pieces(list({p for s in split if s for p in s[1:]})).__getitem__
-        return [head + b"".join(map(get, s[1:])) if s else head for head, s in zip(heads, split, strict=True)]
+        found = list(map(self.recent.get, pieces))
+        lacking = [k for k, x in enumerate(found) if x is None]
+        if lacking:
+            others = {pieces[k]: self.older.get(pieces[k]) for k in lacking}
+            others |= self._learn([p for p, x in others.items() if x is None])
+            for k in lacking:
+                found[k] = others[pieces[k]]
+            self.recent |= others
+            if len(self.recent) > self.most:
+                self.older, self.recent = self.recent, {}
+        return found
+
+    def _by_pieces(self, buffer: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts buffer[texts[d]:texts[d + 1]], and their number by text."""
+        borders = piece_borders(buffer, texts)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(buffer)]).dictionary_encode()
+        raw = self._known(pieces.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(raw), self.kind), np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.kind).itemsize
+        start, of = np.cumsum(size) - size, np.asarray(pieces.indices)
+        n = size[of]
+        to = np.cumsum(n)
+        at = np.repeat(start[of] - (to - n), n)
+        at += np.arange(len(at))
+        return flat[at], np.diff(np.concatenate([[0], to])[np.searchsorted(borders, texts)])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, and their number by text; a null text has none."""
+        column = column.fill_null("").cast(pa.large_string()).take(pa.array(np.arange(len(column))))
+        texts = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2]
+        buffer = np.frombuffer(data, np.uint8)[: texts[-1]] if data is not None else np.zeros(0, np.uint8)
+        simple = np.full(len(column), self.by_pieces)
+        if self.by_pieces:
+            space = np.flatnonzero(buffer == _SPACE)
+            after = np.minimum(space + 1, len(buffer) - 1)
+            odd = np.unique(np.searchsorted(texts, space[_MAYBE_WHITE[buffer[after]] | np.isin(space + 1, texts)], "right") - 1)
+            if any(t.encode() in memoryview(buffer).tobytes() for t in self.added):
+                odd = np.arange(len(column))
+            for d in odd.tolist():
+                text = column[d].as_py()
+                simple[d] = LOOSE_SPACE.search(text) is None and not any(t in text for t in self.added)
+        if simple.all() and len(column):
+            return self._by_pieces(buffer, texts)
+        parts: list[np.ndarray] = [np.zeros(0, self.kind)] * len(column)
+        for d, ids in zip(np.flatnonzero(~simple).tolist(), self.whole([x.as_py() for x in column.filter(pa.array(~simple))]), strict=True):
+            parts[d] = np.frombuffer(ids, self.kind)
+        if simple.any():
+            kept = np.flatnonzero(simple)
+            sizes = np.diff(texts)[kept]
+            ids, n = self._by_pieces(np.concatenate([buffer[texts[d] : texts[d + 1]] for d in kept.tolist()]), np.concatenate([[0], np.cumsum(sizes)]))
+            for d, x in zip(kept.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[d] = x
+        return np.concatenate([np.zeros(0, self.kind), *parts]), np.array([len(x) for x in parts], np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -199,37 +262,41 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 21) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 23) -> DataFrame:
     """Write the shards (shard, n_tokens, content) under path in ascending id order, and return that table."""
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = piece_tokenizer(tokenizer_path)
         levels = max(1, (max(tokenizer.library.get_vocab_size() - 1, end_id)).bit_length())
-        end = np.array([end_id], tokenizer.kind).tobytes()
         base, seq = TaskContext.get().partitionId() << 32, 0
-        ids: list[bytes] = []
-        docs_: list[tuple[int | None, int]] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        keys: list[pa.Array] = []
         size = 0
 
         def shard() -> pa.RecordBatch:
-            known = np.array([d is not None for d, _ in docs_], bool)
-            made = WaveletShard.build(np.frombuffer(b"".join(ids), tokenizer.kind), np.array([d or 0 for d, _ in docs_], np.int64), known, np.array([n for _, n in docs_], np.int64), levels)
+            key = pa.chunked_array(keys, pa.int64())
+            made = WaveletShard.build(np.concatenate(ids), np.asarray(key.fill_null(0)), np.asarray(key.is_valid()), np.concatenate(lengths), levels)
             return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([made.n], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["shard", "n_tokens", "content"])
 
         for block in blocks(batches, "text", 4 << 20):
-            texts = block.column("text").fill_null("").to_pylist()
-            for d, x in zip(block.column("id").to_pylist(), tokenizer.encode(texts), strict=True):
-                ids += [x, end]
-                n = len(x) // len(end) + 1
-                docs_.append((d, n))
-                size += n
-                if size >= shard_tokens:
-                    yield shard()
-                    seq, size = seq + 1, 0
-                    ids.clear()
-                    docs_.clear()
-        if docs_:
+            found, n = tokenizer.encode(block.column("text"))
+            to = np.cumsum(n + 1)
+            every = np.full(len(found) + len(n), end_id, tokenizer.kind)
+            inside = np.ones(len(every), bool)
+            inside[to - 1] = False
+            every[inside] = found
+            ids.append(every)
+            lengths.append(n + 1)
+            keys.append(block.column("id"))
+            size += len(every)
+            if size >= shard_tokens:
+                yield shard()
+                seq, size = seq + 1, 0
+                for held in (ids, lengths, keys):
+                    held.clear()
+        if keys:
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
