@@ -40,6 +40,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(size: int, least: int, most_bytes: int = 16 << 20) -> int:
+    """Into how many buckets so many bytes go for none to have more than most_bytes on average; `least` at least."""
+    return max(least, -(-int(size) // most_bytes))
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named Parquet tables of a data folder."""
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]

@@ -31,27 +31,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+#: Powers of each root that a worker keeps; those of longer texts are made anew.
+_KEPT = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(root: int, n: int) -> np.ndarray:
-    """root ** 0 .. root ** (n - 1), modulo 2 ** 64; the longest asked for is kept."""
+    """root ** 0 .. root ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(root)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), root, U64)
+        have = np.full(max(n, _KEPT), root, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[root] = have
+        if len(have) <= _KEPT:
+            _powers[root] = have
     return have[:n]
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, root: int) -> np.ndarray:
-    """A hash of values[start:end] for each span; equal spans have equal hashes wherever they stand."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * _power(root, n), out=total[1:])
-    inverse = pow(root, -1, 1 << 64)
-    return mix((total[ends] - total[starts]) * _power(inverse, n + 1)[starts])
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, root: int, of: np.ndarray | None = None) -> np.ndarray:
+    """A hash of values[start:end], or of values[of[start:end]], for each span; equal spans have equal hashes wherever they stand.
+
+    starts and ends ascend."""
+    # In pieces of about _KEPT values, as the arrays of a piece stay in the processor's cache; a span longer than that makes its piece longer.
+    inverse, out, at = pow(root, -1, 1 << 64), np.empty(len(starts), U64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + _KEPT - 1, "right")))
+        n = int(ends[to - 1]) - low
+        total = np.zeros(n + 1, U64)
+        np.cumsum((values[low : low + n] if of is None else values[of[low : low + n]]) * _power(root, n), out=total[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (total[b] - total[a]) * _power(inverse, n + 1)[a]
+        at = to
+    return mix(out)
 
 
 class Texts:
@@ -82,7 +94,7 @@ class Texts:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return _spans(_BYTE_VALUES[self._buffer], self.starts, self.ends, _BYTE_ROOT)
+        return _spans(_BYTE_VALUES, self.starts, self.ends, _BYTE_ROOT, self._buffer)
 
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]]
@@ -102,7 +114,7 @@ def windows(words: np.ndarray, first: np.ndarray, k: int, short: bool = False) -
     return _spans(words, starts, ends, _WORD_ROOT) ^ U64(k), of
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -30,16 +30,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, partitions
-from ._exchange import bucket_borders, pack_sorted, unpack_sorted
+from ._common import buckets_for, materialise, partitions
+from ._exchange import bucket_borders, pack, pack_sorted, unpack, unpack_sorted
 from ._words import U64, Texts, blocks, windows
 
 SHINGLE, PERCENT = 5, 80
 #: Shared prefix shingles that two linked sets have beyond one, per cent of the set's size.
 EXTRA = 15
-BLOCK = 256
+#: Most sets of a label that one task compares whole, most sets of a block of a larger label, and bytes of either.
+SMALL, BLOCK, BLOCK_BYTES = 256, 1024, 4 << 20
+#: Leaders of a block at most, and their sets' least similarity to them, per cent. Sets without a leader are compared on their own shingles.
+LEADERS, SIMILAR = 8, 60
 #: Shingles per set and rounds of the labels; more of either give fewer and larger labels, with the same links.
-KEYS, ROUNDS = 4, 3
+KEYS, ROUNDS, SALTS = 4, 3, 8
 
 
 def missing(n: np.ndarray) -> np.ndarray:
@@ -73,29 +76,32 @@ def _postings(buckets: int):
             low = missing(sizes) + 1 + sizes * EXTRA // 100
             token = np.concatenate([s[:k] for s, k in zip(once.values(), low.tolist(), strict=True)])
             token = token << U64(32) | token >> U64(32)  # prefixes hold low hashes; their low halves are even
+            place = np.arange(len(token)) - np.repeat(np.cumsum(low) - low, low)
             order = np.argsort(token)
-            token, sig = token[order], np.repeat(np.array(list(once), np.int64), low)[order]
+            token, sig, place = token[order], np.repeat(np.array(list(once), np.int64), low)[order], place[order].astype(np.uint32)
             at = bucket_borders(token, buckets)
             full = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([pack_sorted(token[at[k] : at[k + 1]]) for k in full], pa.binary()), pa.array([sig[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "tokens", "sigs"]
-            )
+            cut = lambda f, x: pa.array([f(x[at[k] : at[k + 1]]) for k in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(pack_sorted, token), cut(bytes, sig), cut(pack, place)], ["bucket", "tokens", "sigs", "places"])
 
     return rows
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The postings of one bucket whose shingle is in two different sets or more."""
+    """The postings of one bucket whose shingle is in two different sets or more, with that number of sets."""
     token = np.concatenate([unpack_sorted(x) for x in pdf["tokens"]])
     sig = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sigs"]])
+    place = np.concatenate([unpack(x, np.uint32) for x in pdf["places"]])
     order = np.lexsort((sig, token))
-    token, sig = token[order], sig[order]
+    token, sig, place = token[order], sig[order], place[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-    token, sig = token[new], sig[new]
-    same = token[1:] == token[:-1]
-    keep = np.append(same, False) | np.append(False, same)
-    return pd.DataFrame({"token": token[keep].view(np.int64), "sig": sig[keep]})
+    token, sig, place = token[new], sig[new], place[new]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    df = np.diff(np.append(first, len(token)))
+    df = np.repeat(df, df)
+    keep = df > 1
+    return pd.DataFrame({"token": token[keep].view(np.int64), "sig": sig[keep], "pos": place[keep].astype(np.int32), "df": df[keep]})
 
 
 def _extra(n: Column) -> Column:
@@ -104,44 +110,73 @@ def _extra(n: Column) -> Column:
 
 
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): pairs of sets with different labels and sizes that may link, of the tokens of one bucket."""
-    pdf = pdf.sort_values(["token", "n", "sig"])
-    token, n, sig, label = (pdf[c].to_numpy() for c in ("token", "n", "sig", "label"))
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-    found: list[np.ndarray] = []
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True):
-        if (label[a:b] == label[a]).all():
-            continue
-        ends = np.searchsorted(n[a:b], n[a:b] * 100 // PERCENT, "right")  # beyond: too large to link
-        for i in range(b - a - 1):
-            j = np.arange(i + 1, ends[i])
-            j = j[label[a + j] != label[a + i]]
-            if len(j):
-                x, y = np.full(len(j), sig[a + i]), sig[a + j]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-    if not found:
+    """(a, b): pairs of sets with different labels that may link, of the tokens of one bucket.
+
+    A token's list is in the order of the token's place in the sets. Two linked sets of x and y shingles that share the token at the places i and
+    j share min(i, j) shingles before it at most and min(x - i, y - j) from it on, so |i - j| is at most a quarter of either size: of
+    each list, only the block within that distance is read, and of a list's most frequent label only the other labels' sets look for partners."""
+    pdf = pdf.sort_values(["token", "pos"], ignore_index=True)
+    token, n, sig, label, pos = (pdf[c].to_numpy().astype(np.int64) for c in ("token", "n", "sig", "label", "pos"))
+    if not len(token):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    pair = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
-
-
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    a, b = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(a, b)
-    ra, rb = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
-    ka, kb = np.searchsorted(both, a), np.searchsorted(both, b)
-    in_a = ka < len(both)
-    in_a[in_a] = both[ka[in_a]] == a[in_a]
-    in_b = kb < len(both)
-    in_b[in_b] = both[kb[in_b]] == b[in_b]
-    ra, ka, rb, kb = ra[in_a], ka[in_a], rb[in_b], kb[in_b]
-    step = 8192
-    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-    ra, ka, rb, kb = ra[oa], ka[oa], rb[ob], kb[ob]
+    of = np.cumsum(np.append(False, token[1:] != token[:-1]))
+    by = np.lexsort((label, of))
+    runs = np.flatnonzero(np.append(True, (of[by][1:] != of[by][:-1]) | (label[by][1:] != label[by][:-1])))
+    size = np.diff(np.append(runs, len(by)))
+    last = np.lexsort((size, of[by][runs]))  # by list, the most frequent label last
+    last = last[np.append(np.flatnonzero(np.diff(of[by][runs][last])), len(last) - 1)]
+    main = label[by][runs][last]
+    seek = np.flatnonzero(label != main[of])
+    slack = n // 4 + 1
+    width = int(pos.max() + 2 * slack.max() + 2)
+    line = of * width + pos + int(slack.max())
+    low, high = np.searchsorted(line, line[seek] - slack[seek], "left"), np.searchsorted(line, line[seek] + slack[seek], "right")
+    ends = np.cumsum(high - low)
+    found, at = np.zeros((0, 2), np.int64), 0
+    while at < len(seek):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        each = (high - low)[at:to]
+        i = np.repeat(seek[at:to], each)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[at:to], each)
+        total = n[i] + n[j]
+        may = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        may &= (100 + PERCENT) * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= PERCENT * total
+        x, y = sig[i[may]], sig[j[may]]
+        found = np.unique(np.concatenate([found, np.stack([np.minimum(x, y), np.maximum(x, y)], 1)]), axis=0)
+        at = to
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _differences(sets: list[np.ndarray], leader: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle): what each set has beyond the leader, or lacks of it."""
+    flat, row = np.concatenate([*sets, leader[:0]]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(leader):
+        return row, flat
+    k = np.minimum(np.searchsorted(leader, flat), len(leader) - 1)
+    both = leader[k] == flat
+    have = np.zeros((len(sets), len(leader)), bool)
+    have[row[both], k[both]] = True
+    lacking = np.nonzero(~have)
+    return np.concatenate([row[~both], lacking[0]]), np.concatenate([flat[~both], leader[lacking[1]]])
+
+
+def _overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, cols: int, step: int = 4096) -> np.ndarray:
+    """How many shingles each left and each right row have in common."""
+    out = np.zeros((rows, cols), np.float32)
+    both = np.intersect1d(left[1], right[1])
+    if not len(both):
+        return out
+
+    def placed(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum(np.searchsorted(both, shingle), len(both) - 1)
+        known = both[k] == shingle
+        row, k = row[known], k[known]
+        order = np.argsort(k, kind="stable")
+        return row[order], k[order]
+
+    (ra, ka), (rb, kb) = placed(*left), placed(*right)
     for c in range(0, len(both), step):
-        x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        x, y = np.zeros((rows, step), np.float32), np.zeros((cols, step), np.float32)
         i, j = slice(*np.searchsorted(ka, [c, c + step])), slice(*np.searchsorted(kb, [c, c + step]))
         x[ra[i], ka[i] - c] = 1
         y[rb[j], kb[j] - c] = 1
@@ -149,23 +184,45 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _led(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(leader, numbers of the sets that are highly similar to it); at the end the empty leader and the rest."""
+    rest, out = np.arange(len(sets)), []
+    sizes = np.array([len(s) for s in sets])
+    while len(rest) > 1 and len(out) < LEADERS:
+        least, n = np.unique([sets[i][0] for i in rest], return_counts=True)
+        leader = next(sets[i] for i in rest if sets[i][0] == least[n.argmax()])
+        d = np.bincount(_differences([sets[i] for i in rest], leader)[0], minlength=len(rest))
+        near = (100 + SIMILAR) * d <= (100 - SIMILAR) * (sizes[rest] + len(leader))
+        out.append((leader, rest[near]))
+        rest = rest[~near]
+    return [*out, (np.zeros(0, U64), rest)] if len(rest) else out
+
+
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Whether each left and each right set link. Their distances to a leader decide what they can; the rest is computed."""
+    """Whether each left and each right set link.
+
+    Each left set has a leader that it is highly similar to. All distances to the leader are computed once; by the triangle inequality they
+    answer for most pairs. What a set's answers differ in is derived from its difference to the leader alone: two sets' distance is that of
+    their differences, |x - l| + |y - l| - 2 |x - l and y - l|."""
     nl, nr = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    total = nl[:, None] + nr[None, :]
-    leader = left[len(left) // 2]
-    dl = nl + len(leader) - 2 * _overlaps(left, [leader])[:, 0].astype(int)
-    dr = nr + len(leader) - 2 * _overlaps(right, [leader])[:, 0].astype(int)
-    # a difference of d has 100 (total - d) >= PERCENT (total + d) when it links
-    near = (100 + PERCENT) * (dl[:, None] + dr[None, :]) <= (100 - PERCENT) * total
-    far = (100 + PERCENT) * np.abs(dl[:, None] - dr[None, :]) > (100 - PERCENT) * total
-    out = near.copy()
-    open_ = ~near & ~far
-    rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-    if len(rows):
-        shared = _overlaps([left[i] for i in rows], [right[j] for j in cols]).astype(np.int64)
-        yes = 100 * shared >= PERCENT * (total[np.ix_(rows, cols)] - shared)
-        out[np.ix_(rows, cols)] = np.where(open_[np.ix_(rows, cols)], yes, out[np.ix_(rows, cols)])
+    out = np.zeros((len(left), len(right)), bool)
+    for leader, rows in _led(left):
+        cols = np.flatnonzero((100 * nr >= PERCENT * nl[rows].min()) & (PERCENT * nr <= 100 * nl[rows].max()))
+        if not len(cols):
+            continue
+        one, two = _differences([left[i] for i in rows], leader), _differences([right[j] for j in cols], leader)
+        dl, dr = np.bincount(one[0], minlength=len(rows)), np.bincount(two[0], minlength=len(cols))
+        total = nl[rows][:, None] + nr[cols][None, :]
+        # a difference of d links when (100 + PERCENT) d <= (100 - PERCENT) total
+        links = (100 + PERCENT) * (dl[:, None] + dr[None, :]) <= (100 - PERCENT) * total
+        open_ = ~links & ((100 + PERCENT) * np.abs(dl[:, None] - dr[None, :]) <= (100 - PERCENT) * total)
+        i, j = open_.any(1), open_.any(0)
+        if i.any():
+            some = lambda d, keep: ((np.cumsum(keep) - 1)[d[0][keep[d[0]]]], d[1][keep[d[0]]])
+            shared = _overlaps(some(one, i), some(two, j), int(i.sum()), int(j.sum())).astype(np.int64)
+            cell = np.ix_(i, j)
+            links[cell] |= open_[cell] & ((100 + PERCENT) * (dl[i][:, None] + dr[j][None, :] - 2 * shared) <= (100 - PERCENT) * total[cell])
+        out[np.ix_(rows, cols)] = links
     return out
 
 
@@ -198,17 +255,17 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(l) or not len(r):
             continue
-        yes = linked_pairs([sets[i] for i in l], [sets[i] for i in r])
-        yes &= sig[l][:, None] != sig[r][None, :]
         both = (side == 2).all()
-        for k, v in zip(sig[l].tolist(), (yes @ copies[r]).tolist(), strict=True):
-            counts[k] = counts.get(k, 0) + v
-        if not both:
-            for k, v in zip(sig[r].tolist(), (copies[l] @ yes).tolist(), strict=True):
+        for strip in np.split(l, range(SMALL, len(l), SMALL)):
+            yes = linked_pairs([sets[i] for i in strip], [sets[i] for i in r])
+            yes &= sig[strip][:, None] != sig[r][None, :]
+            for k, v in zip(sig[strip].tolist(), (yes @ copies[r]).tolist(), strict=True):
                 counts[k] = counts.get(k, 0) + v
-        # one edge from each set to its first link, and what else joins trees
-        i, j = np.nonzero(yes)
-        edges += _forest(sig[l][i], sig[r][j])
+            if not both:
+                for k, v in zip(sig[r].tolist(), (copies[strip] @ yes).tolist(), strict=True):
+                    counts[k] = counts.get(k, 0) + v
+            i, j = np.nonzero(yes)
+            edges += _forest(sig[strip][i], sig[r][j])
     counts = {k: v for k, v in counts.items() if v}
     return pd.DataFrame({"a": pd.array([*counts, *(x for x, _ in edges)], "Int64"), "b": pd.array([*([None] * len(counts)), *(y for _, y in edges)], "Int64"), "links": pd.array([*counts.values(), *([0] * len(edges))], "Int64")})
 
@@ -229,24 +286,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, n_links (rows that link with it directly, its copies included)."""
-    spark = docs.sparkSession
-    p = partitions(spark)
+    p = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialise(base.mapInArrow(_profiles, "id long, n long, sig long"), "profiles")
     known = base.filter(F.col("id").isNotNull())
     groups = rows.filter("id is not null and n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
-    shared = materialise(known.mapInArrow(_postings(p), "bucket int, tokens binary, sigs binary").groupBy("bucket").applyInPandas(_shared, "token long, sig long"), "shared")
+    posted = (rows.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT + EXTRA) // 100
+    shared = known.mapInArrow(_postings(buckets_for(posted * 20, p)), "bucket int, tokens binary, sigs binary, places binary")
+    shared = materialise(shared.groupBy("bucket").applyInPandas(_shared, "token long, sig long, pos int, df long"), "shared")
     enough = shared.groupBy("sig").agg(F.count("*").alias("c")).join(groups, "sig").filter(F.col("c") >= _extra(F.col("n")))
-    able = materialise(enough.select("sig", "n", "rep", "copies"), "able")
-    tokens = materialise(shared.join(able.select("sig", "n"), "sig"), "tokens")
+    able = materialise(enough.select("sig", "n", "c", "rep", "copies"), "able")
+    tokens = materialise(shared.join(able.select("sig", "n", "c"), "sig"), "tokens")
 
-    # labels: the smallest signature seen over the first shared shingles, in a few rounds
-    keys = tokens.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("token"))).filter(F.col("k") <= KEYS).select("sig", "token")
+    # labels: the smallest signature seen over the first shared shingles, in a few rounds; a shingle's answer is salted, as its sets may be many
+    keys = tokens.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("token"))).filter(F.col("k") <= KEYS)
+    keys = materialise(keys.select("sig", "token", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).alias("salt")), "keys")
     labels = able.select("sig", F.col("sig").alias("label"))
     for _ in range(ROUNDS):
         low = keys.join(labels, "sig").groupBy("token").agg(F.min("label").alias("low"))
-        labels = materialise(keys.join(low, "token").groupBy("sig").agg(F.min("low").alias("label")), "labels")
+        low = low.select("token", "low", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
+        labels = materialise(keys.join(low, ["token", "salt"]).groupBy("sig").agg(F.min("low").alias("label")), "labels")
     members = able.join(labels, "sig").withColumn("cls", F.floor(F.log(F.col("n")) / math.log(100 / 90)).cast("int"))
 
     # whole sets, of one text of each able set
@@ -262,9 +322,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = materialise(full.dropDuplicates(["sig"]), "sets")
 
     # inside labels: small ones whole, many to a task; large ones in pairs of blocks
-    sizes = members.groupBy("label").agg(F.count("*").alias("members"))
-    small = full.join(sizes.filter(f"members between 2 and {BLOCK}"), "label").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(8 * p))).alias("task"), F.lit(2).alias("side"), "label", "sig", "copies", "set")
-    large = materialise(members.join(sizes.filter(f"members > {BLOCK}"), "label").groupBy("label", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs")), "blocks")
+    sizes = materialise(members.groupBy("label").agg(F.count("*").alias("members"), (8 * F.sum("n")).alias("bytes")).filter("members > 1"), "label-sizes")
+    is_small = (F.col("members") <= SMALL) & (F.col("bytes") <= 4 * BLOCK_BYTES)
+    tasks = buckets_for(sizes.filter(is_small).agg(F.sum("bytes")).first()[0] or 0, 4 * p)
+    small = full.join(sizes.filter(is_small), "label").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(tasks))).alias("task"), F.lit(2).alias("side"), "label", "sig", "copies", "set")
+    subs = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    large = materialise(members.join(sizes.filter(~is_small), "label").groupBy("label", "cls").agg(subs.alias("subs")), "blocks")
     cells = large.select("label", "cls", "subs", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     other = cells.select("label", F.col("cls").alias("cls2"), F.col("sub").alias("sub2"))
     pairs = cells.drop("subs").join(other, "label").filter("cls2 between cls and cls + 3 and (cls2 > cls or sub2 >= sub)")
@@ -275,10 +338,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = materialise(small.union(one).union(two).groupBy("task").applyInPandas(_compare, "a long, b long, links long"), "inside")
 
     # between labels: two linked sets share so many of these shingles that they share one even without a set's most frequent ones
-    order = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
-    order = order.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token"))).withColumn("c", F.count("*").over(Window.partitionBy("sig")))
+    order = tokens.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token")))
     labelled = order.filter(F.col("rank") <= F.col("c") - _extra(F.col("n")) + 1).join(labels, "sig").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * p)))
-    near = labelled.select("bucket", "token", "sig", "n", "label").groupBy("bucket").applyInPandas(_cross, "a long, b long").distinct()
+    near = materialise(labelled.select("bucket", "token", "sig", "n", "label", "pos").groupBy("bucket").applyInPandas(_cross, "a long, b long").distinct(), "near")
     of = full.select("sig", "n", "copies", "set")
     sided = near.select("a", "b").join(of.select(F.col("sig").alias("a"), F.col("copies").alias("ca"), F.col("set").alias("sa")), "a").join(of.select(F.col("sig").alias("b"), F.col("copies").alias("cb"), F.col("set").alias("sb")), "b")
 

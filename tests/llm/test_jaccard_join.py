@@ -68,7 +68,8 @@ def test_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = by_hand(rows)
     assert got(df) == want and len({r[2] for r in want}) < len(want) - 50
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # large labels in pairs of blocks
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)  # large labels in pairs of blocks, strips of six
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     assert got(df) == want
     kept = jaccard_join.keep_one(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[2] for r in want})
