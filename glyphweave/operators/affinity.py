@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .layout import prefixed
 from .linking import boxed_phrases, close_heights, content_words
+from .paged import over_pages
 
 SCORES = ["mean", "mean_without_log", "middle", "middle_without_log", "l2_mean"]
 
@@ -17,13 +17,11 @@ def word_scores(members: DataFrame) -> DataFrame:
     """(doc_id, a, b, scores) of the ordered pairs of a page's phrases, from the distances d of their words' vectors.
 
     mean is that of d^2 / 1.5, 100 at most; mean_without_log is 1 - mean(exp(-d^2 / 1.5)). middle takes the element at place n // 2 of the
-    word pairs, ordered by a's then b's place, in both forms. l2_mean is the mean of d. One distance matrix per page (applyInPandas):
-    a page's words are the group, and a page is bounded by its layout."""
+    word pairs, ordered by a's then b's place, in both forms. l2_mean is the mean of d. One distance matrix per page, many pages to a batch."""
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["phrase_id", "pos", "word_id"])
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        ids, at, n = np.unique(pdf["phrase_id"].to_numpy(), return_index=True, return_counts=True)
+    def score(phrase: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        x = x.astype(float)
+        ids, at, n = np.unique(phrase, return_index=True, return_counts=True)
         d2 = np.stack([((x - row) ** 2).sum(1) for row in x]) / 1.5
         total = lambda m: np.add.reduceat(np.add.reduceat(m, at, axis=0), at, axis=1)
         size = np.outer(n, n)
@@ -31,10 +29,9 @@ def word_scores(members: DataFrame) -> DataFrame:
         middle = d2[at[:, None] + mid // n[None, :], at[None, :] + mid % n[None, :]]
         found = [total(np.minimum(d2, 100)) / size, 1 - total(np.exp(-d2)) / size, np.minimum(middle, 100), 1 - np.exp(-middle), total(np.sqrt(d2 * 1.5)) / size]
         a, b = np.nonzero(~np.eye(len(ids), dtype=bool))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "a": ids[a], "b": ids[b], **{k: m[a, b] for k, m in zip(SCORES, found, strict=True)}})
+        return ids[a].astype(np.int32), ids[b].astype(np.int32), *[m[a, b] for m in found]
 
-    kept = members.select("doc_id", "phrase_id", "pos", "word_id", "vec")
-    return kept.groupBy("doc_id").applyInPandas(score, "doc_id long, a int, b int, " + ", ".join(f"{k} double" for k in SCORES))
+    return over_pages(members, ["phrase_id", "vec"], ["phrase_id", "pos", "word_id"], score, {"a": "int", "b": "int"} | dict.fromkeys(SCORES, "double"))
 
 
 def neural_affinity(members: DataFrame, reduce: str = "mean_without_log", cutoff: float = 0.25) -> DataFrame:
@@ -55,9 +52,10 @@ def threshold_graph(distances: DataFrame, threshold: float) -> DataFrame:
 
 
 def pooled(members: DataFrame, how: str = "mean") -> DataFrame:
-    """(doc_id, phrase_id, dim, value): words' vectors pooled to phrases by mean, max or min."""
+    """(doc_id, phrase_id, vec): words' vectors pooled to phrases by mean, max or min, component by component; all have one length."""
     long = members.select("doc_id", "phrase_id", F.posexplode("vec").alias("dim", "x"))
-    return long.groupBy("doc_id", "phrase_id", "dim").agg({"mean": F.avg, "max": F.max, "min": F.min}[how](F.col("x").cast("double")).alias("value"))
+    cells = long.groupBy("doc_id", "phrase_id", "dim").agg({"mean": F.avg, "max": F.max, "min": F.min}[how](F.col("x").cast("double")).alias("x"))
+    return cells.groupBy("doc_id", "phrase_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("vec"))
 
 
 def stacked(members: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .layout import pairs
+from .paged import over_pages
 
 # Codes of the entity names.
 NER_CODES = {
@@ -37,11 +37,10 @@ def height_pairs(words: DataFrame, ratio: float = 1.5) -> DataFrame:
 def nearest(vectors: DataFrame, k: int, farthest: bool = False) -> DataFrame:
     """(doc_id, word_id, other, rank): by cosine distance inside a page, itself first on ties, then by id; rank 1 is skipped.
 
-    One matrix product per page (applyInPandas): a page's vectors are the group, and a page is bounded by its layout."""
+    One matrix product per page, many pages to a batch (see over_pages)."""
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_id")
-        ids, x = pdf["word_id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
+    def rank(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        x = x.astype(float)
         norm = np.sqrt((x * x).sum(1))
         ok = norm > 0
         ids, x = ids[ok], x[ok] / norm[ok][:, None]
@@ -49,9 +48,9 @@ def nearest(vectors: DataFrame, k: int, farthest: bool = False) -> DataFrame:
         tie = np.where(np.eye(len(ids), dtype=bool), -1, np.arange(len(ids))[None, :])
         order = np.lexsort((tie, -d if farthest else d), axis=1)[:, 1 : k + 1]
         n = order.shape[1]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "word_id": np.repeat(ids, n), "other": ids[order.ravel()], "rank": np.tile(np.arange(2, n + 2), len(ids))})
+        return np.repeat(ids, n).astype(np.int32), ids[order.ravel()].astype(np.int32), np.tile(np.arange(2, n + 2), len(ids)).astype(np.int32)
 
-    return vectors.select("doc_id", "word_id", "vec").groupBy("doc_id").applyInPandas(rank, "doc_id long, word_id int, other int, rank int")
+    return over_pages(vectors, ["word_id", "vec"], ["word_id"], rank, {"word_id": "int", "other": "int", "rank": "int"})
 
 
 def mutual(near: DataFrame) -> DataFrame:
@@ -60,6 +59,18 @@ def mutual(near: DataFrame) -> DataFrame:
     return near.select("doc_id", "word_id", "other").join(back, ["doc_id", "word_id", "other"]).filter("word_id < other").select("doc_id", F.col("word_id").alias("a"), F.col("other").alias("b"))
 
 
+def mutual_weights(near: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, a, b, degree_a, degree_b, weight): mutual pairs with their words' numbers of pairs; weight is the page's mean number over the
+    root of both words' numbers. Words without a pair count in the mean. words: (doc_id, word_id), one row per word."""
+    found = mutual(near)
+    degrees = found.select("doc_id", F.explode(F.array("a", "b")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("degree"))
+    mean = words.groupBy("doc_id").agg(F.count("*").alias("words"))
+    mean = degrees.groupBy("doc_id").agg(F.sum("degree").alias("ends")).join(mean, "doc_id").select("doc_id", (F.col("ends") / F.col("words")).alias("mean"))
+    one, two = (degrees.select("doc_id", F.col("w").alias(x), F.col("degree").alias(f"degree_{x}")) for x in "ab")
+    both = found.join(one, ["doc_id", "a"]).join(two, ["doc_id", "b"]).join(mean, "doc_id")
+    return both.select("doc_id", "a", "b", "degree_a", "degree_b", (F.col("mean") / F.sqrt(F.col("degree_a") * F.col("degree_b"))).alias("weight"))
+
+
 def ner_code(tagged: Column) -> Column:
     """Entity code of a tagged text; -1 for none, 13 money, 15 quantity, 11 date, 14 several."""
     tokens = F.filter(F.split(tagged, " "), lambda x: x != "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, bottom, centre_x, centre_y, gap_distance, overlap, right
 from .graph import components
+from .paged import over_pages
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -36,7 +37,8 @@ def area_p20(words: DataFrame) -> DataFrame:
 def drop_slim(words: DataFrame, large: float = 2.0, small: float = 5.0) -> DataFrame:
     """Drop words higher than wide: by a factor of `large` above the page's p20 area, of `small` at or below it."""
     factor = F.when(F.round(area(), 12) > F.col("p20"), large).otherwise(small)
-    return words.join(area_p20(words), "doc_id").filter(~(factor * F.col("w") < F.col("h"))).select(*words.columns)
+    sized = words.withColumn("p20", F.round(F.percentile(area(), 0.2).over(Window.partitionBy("doc_id")), 12))
+    return sized.filter(~(factor * F.col("w") < F.col("h"))).select(*words.columns)
 
 
 def assign_lines(words: DataFrame, lines: DataFrame, least: float = 0.7) -> DataFrame:
@@ -47,24 +49,30 @@ def assign_lines(words: DataFrame, lines: DataFrame, least: float = 0.7) -> Data
 
 
 def overlap_candidates(words: DataFrame, least: float = 0.7) -> DataFrame:
-    """(doc_id, i, j): words whose boxes overlap above `least`, i not smaller than j."""
-    return pairs(words).filter((F.col("u_word_id") != F.col("v_word_id")) & (area("u_") >= area("v_")) & (overlap("u_", "v_") > least)).select("doc_id", F.col("u_word_id").alias("i"), F.col("v_word_id").alias("j"))
+    """(doc_id, i, j): words whose boxes overlap above `least` (0 or more), i not smaller than j.
+
+    Boxes that overlap share a row of the page's largest height: a box is in the rows of its top and its bottom, and a pair meets in the first
+    row that both are in."""
+    tall = F.greatest(F.max("h").over(Window.partitionBy("doc_id")), F.lit(1e-9))
+    rowed = words.withColumn("tall", tall).withColumns({"row_a": F.floor(F.col("t") / F.col("tall")), "row_b": F.floor(bottom() / F.col("tall"))}).drop("tall")
+    u, v = (prefixed(rowed, p).withColumn("cell", F.explode(F.sequence(f"{p}row_a", f"{p}row_b"))) for p in ("u_", "v_"))
+    both = u.join(v, ["doc_id", "cell"]).filter(F.col("cell") == F.greatest("u_row_a", "v_row_a"))
+    return both.filter((F.col("u_word_id") != F.col("v_word_id")) & (area("u_") >= area("v_")) & (overlap("u_", "v_") > least)).select("doc_id", F.col("u_word_id").alias("i"), F.col("v_word_id").alias("j"))
 
 
 def drop_duplicate_boxes(words: DataFrame, least: float = 0.7) -> DataFrame:
     """Drop a word that overlaps a word not larger than it, unless that one stands before it and is dropped itself.
 
-    A page's words are decided in id order (applyInPandas per page; only pages with candidates go there)."""
-    found = overlap_candidates(words, least)
+    A page's words are decided in id order; only those with candidates go to Python, many pages to a batch."""
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray]:
         gone: set[int] = set()
-        for i, js in pdf.sort_values("i").groupby("i")["j"]:
-            if any(j > i or j not in gone for j in js):
-                gone.add(i)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(gone), "word_id": sorted(gone)})
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if b > a or b not in gone:
+                gone.add(a)
+        return (np.array(sorted(gone), np.int32),)
 
-    dropped = found.groupBy("doc_id").applyInPandas(decide, "doc_id long, word_id int")
+    dropped = over_pages(overlap_candidates(words, least), ["i", "j"], ["i", "j"], decide, {"word_id": "int"})
     return words.join(dropped, ["doc_id", "word_id"], "left_anti")
 
 
@@ -95,7 +103,7 @@ def union_boxes(members: DataFrame, by: str) -> DataFrame:
 def phrases(words: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(doc_id, phrase_id, box, text, n_words): words joined by horizontal edges; the smallest word id names a phrase.
 
-    The vertical pass of the default threshold 0 joins nothing (its test is strict)."""
+    The horizontal pass alone: a vertical one of threshold 0 joins nothing (its test is strict); linking.two_pass_phrases has one above 0."""
     found = components(horizontal_edges(words, threshold))
     named = words.join(found, ["doc_id", "word_id"], "left").withColumn("phrase_id", F.coalesce("root", "word_id"))
     return union_boxes(named, "phrase_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bottom, caps_class, centre_x, centre_y, right
-from .layout import min_sizes, pairs
+from ..plans.lineage import written
+from .graph import rooted
+from .layout import min_sizes, pairs, phrases
 
 PAIR = ["doc_id", "a", "b"]
 
@@ -152,3 +156,26 @@ def peel_ends(members: DataFrame, threshold: float) -> DataFrame:
     wide = lambda g: (F.col("n") >= 3) & ~F.col("text").rlike(r"\p{L}") & (F.round(F.col(g), 12) >= F.round((F.col("total") - F.col(g)) / (F.col("n") - 2) * threshold, 12))
     part = F.when((F.col("k") == 1) & wide("gap"), 0).when((F.col("k") == F.col("n")) & wide("before"), 2).otherwise(1)
     return laid.select("doc_id", "phrase_id", "word_id", part.alias("part"))
+
+
+def two_pass_phrases(words: DataFrame, horizontal: float = 0.55, vertical: float = 0.8) -> DataFrame:
+    """(doc_id, phrase_id, box, text, n_words): phrases of the horizontal pass, joined by vertical edges between their boxes below the threshold.
+
+    The least sizes are those of the horizontal pass's boxes. Texts stand one below the other: by centre_y, then by id. The smallest word
+    id names a phrase."""
+    rows = written(phrases(words, horizontal), "rows")
+    if vertical <= 0:
+        return rows
+    named = rooted(rows, edges(rows, vertical, direction="vertical", id_col="phrase_id"), "phrase_id")
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(centre_y().alias("y"), F.col("phrase_id").alias("i"), F.col("text").alias("s")))), lambda x: x["s"]), " ")
+    return rows.join(named, ["doc_id", "phrase_id"]).groupBy("doc_id", F.col("root").alias("phrase_id")).agg(
+        F.min("l").alias("l"), F.min("t").alias("t"), (F.max(right()) - F.min("l")).alias("w"), (F.max(bottom()) - F.min("t")).alias("h"), spelled.alias("text"), F.sum("n_words").alias("n_words")
+    )
+
+
+def linked_by(nodes: DataFrame, distance: Callable[[DataFrame], Column], threshold: float, id_col: str = "word_id") -> DataFrame:
+    """(doc_id, id_col, root): clusters of a page's nodes whose distance, of the caller's making, is below the threshold.
+
+    distance gets the ordered pairs of different nodes, columns prefixed u_ and v_, and returns a column; a null distance links nothing."""
+    both = pairs(nodes).filter(F.col(f"u_{id_col}") != F.col(f"v_{id_col}"))
+    return rooted(nodes, _named(both.filter(distance(both) < threshold), id_col), id_col)

@@ -3,28 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paged import over_pages
+
 
 def capped_pairs(found: DataFrame, cap: int) -> DataFrame:
     """Pairs taken in (rank, a, b) order while neither word was taken more than cap times; rank is a column of the input.
 
-    The choice is sequential in a page (applyInPandas), and a page is bounded by its layout."""
+    The choice is sequential in a page; a task holds a batch of pairs and a page's (see over_pages)."""
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+    def take(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
         used: dict[int, int] = {}
-        kept = []
-        pdf = pdf.sort_values(["rank", "a", "b"])
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            ok = used.get(a, 0) <= cap and used.get(b, 0) <= cap
-            kept.append(ok)
-            if ok:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return pdf.loc[kept, ["doc_id", "a", "b"]]
+        kept = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            if used.get(x, 0) <= cap and used.get(y, 0) <= cap:
+                kept[k] = True
+                used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
+        return a[kept].astype(np.int32), b[kept].astype(np.int32)
 
-    return found.select("doc_id", "a", "b", "rank").groupBy("doc_id").applyInPandas(take, "doc_id long, a int, b int")
+    return over_pages(found, ["rank", "a", "b"], ["rank", "a", "b"], take, {"a": "int", "b": "int"})
 
 
 def sampled_pairs(found: DataFrame, n: Column, seed: int = 0, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -37,19 +36,22 @@ def sampled_pairs(found: DataFrame, n: Column, seed: int = 0, by: tuple[str, ...
 def furthest_words(words: DataFrame, cluster: str, k: int) -> DataFrame:
     """(doc_id, cluster, word_id, rank): from the smallest id on, each next word has the largest summed distance to those chosen."""
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_id")
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        picked, total = [0], np.zeros(len(x))
-        while len(picked) < min(k, len(x)):
-            total += np.sqrt(((x - x[picked[-1]]) ** 2).sum(1))
-            left = np.round(total, 9)
-            left[picked] = -1
-            picked.append(int(left.argmax()))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], cluster: pdf[cluster].iloc[0], "word_id": pdf["word_id"].to_numpy()[picked], "rank": range(1, len(picked) + 1)})
-
-    kept = words.select("doc_id", F.col(cluster).cast("int").alias(cluster), "word_id", "vec")
-    return kept.groupBy("doc_id", cluster).applyInPandas(choose, f"doc_id long, {cluster} int, word_id int, rank int")
+    def choose(of: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, ...]:
+        rows, ranks = [], []
+        for at in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1):
+            x, picked = vec[at].astype(float), [0]
+            total = np.zeros(len(x))
+            while len(picked) < min(k, len(x)):
+                total += np.sqrt(((x - x[picked[-1]]) ** 2).sum(1))
+                left = np.round(total, 9)
+                left[picked] = -1
+                picked.append(int(left.argmax()))
+            rows += at[picked].tolist()
+            ranks += range(1, len(picked) + 1)
+        return of[rows].astype(np.int32), ids[rows].astype(np.int32), np.array(ranks, np.int32)
+
+    kept = words.select("doc_id", F.col(cluster).cast("int").alias("cluster"), "word_id", "vec").filter("cluster is not null")
+    return over_pages(kept, ["cluster", "word_id", "vec"], ["cluster", "word_id"], choose, {cluster: "int", "word_id": "int", "rank": "int"})
 
 
 def numbered(members: DataFrame, group: str) -> DataFrame:

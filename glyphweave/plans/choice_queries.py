@@ -90,10 +90,10 @@ def _a18(v):
     return measures.matched_labels(_table(v))
 
 
-@register("a19_top_accuracy", (V,), """, s as (select doc_id * 4096 + word_id as sample, label, unnest(range(10)) as class, unnest(vec[1:10]) as score from fx_vec), r as (select *, row_number() over (partition by sample order by score desc, class) as k from s),
+@register("a19_top_accuracy", (V,), """, s as (select doc_id || ':' || word_id as sample, label, unnest(range(10)) as class, unnest(vec[1:10]) as score from fx_vec), r as (select *, row_number() over (partition by sample order by score desc, class) as k from s),
 g as (select sample, min(case when class = label then k end) as k from r group by sample) select round(avg(case when k <= 1 then 1 else 0 end), 9) as top1, round(avg(case when k <= 5 then 1 else 0 end), 9) as top5 from g""")
 def _a19(v):
-    scores = v.select((F.col("doc_id") * 4096 + F.col("word_id")).alias("sample"), "label", F.posexplode(F.slice("vec", 1, 10)).alias("class", "score"))
+    scores = v.select(F.concat_ws(":", "doc_id", "word_id").alias("sample"), "label", F.posexplode(F.slice("vec", 1, 10)).alias("class", "score"))
     return measures.top_accuracy(scores).select(F.round("top1", 9).alias("top1"), F.round("top5", 9).alias("top5"))
 
 
@@ -115,6 +115,18 @@ def _g7(w, m):
     return graph.rooted(w, constraints.group_pairs(m, "group_id", 1, 1.5), "word_id")
 
 
+@register("io8_label_table", (W, "fx_must"), """, r as (select doc_id, w.word_id, coalesce(root, w.word_id) as root from fx_words w left join (select *, min(word_id) over (partition by doc_id, group_id) as root from fx_must) using (doc_id, word_id))
+select doc_id, word_id, cast(dense_rank() over (partition by doc_id order by root) - 1 as int) as label from r""")
+def _io8(w, m):
+    return ocr.label_table(w, m)
+
+
+@register("io9_study_rows", (V, "fx_must", "fx_cannot"))
+def _io9(v, must, cannot):
+    initial = v.select("doc_id", "word_id", F.floor((F.col("word_id") % 64) / 8).cast("int").alias("label"))
+    return ocr.study_rows(initial, v, must, cannot)
+
+
 _CONNECT = """both_ways as (select doc_id, a, b from e union select doc_id, b, a from e),
 reach as (select doc_id, a, b from both_ways union select r.doc_id, r.a, x.b from reach r join both_ways x on r.doc_id = x.doc_id and r.b = x.a),
 comp as (select doc_id, a as id, least(a, min(b)) as root from reach group by doc_id, a)"""
@@ -132,6 +144,12 @@ def _g3(w):
     return graph.dbscan(kept, near, 3)
 
 
+@register("u1_custom_distance", (W,), CLEAN + f""", e as (select u.doc_id, u.word_id as a, v.word_id as b from clean u join clean v on u.doc_id = v.doc_id and u.word_id <> v.word_id where greatest(abs(u.l - v.l), abs(u.t - v.t)) < 0.03125), {_CONNECT}
+select clean.doc_id, word_id, coalesce(root, word_id) as root from clean left join comp on comp.doc_id = clean.doc_id and comp.id = word_id""")
+def _u1(w):
+    return linking.linked_by(clean(w), lambda both: F.greatest(F.abs(F.col("u_l") - F.col("v_l")), F.abs(F.col("u_t") - F.col("v_t"))), 0.03125)
+
+
 @register("g6_entity_clusters", (MV, "fx_must"), f"""{_BLOCK}, dist as (select doc_id, a, b, round(1 - avg(exp(-d * d / 1.5)), 9) as dist from d group by doc_id, a, b),
 held as (select distinct doc_id, group_id, phrase_id from fx_must join fx_mvec using (doc_id, word_id)),
 e as (select doc_id, a, b from dist where dist < 0.15 union select u.doc_id, u.phrase_id, v.phrase_id from held u join held v on u.doc_id = v.doc_id and u.group_id = v.group_id and u.phrase_id < v.phrase_id), {_CONNECT},

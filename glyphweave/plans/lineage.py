@@ -5,13 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir or setCheckpointDir names. Where neither does, a temporary one on a local master, as in tests; on a
+    cluster an error, as executors do not share such a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphweave-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it. A temporary folder serves where none is set, as in tests."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphweave-")
-    path = f"{folder.rstrip('/')}/glyphweave/{name}-{uuid.uuid4().hex}"
+    """Write a table in the shared folder and read it."""
+    path = f"{shared_folder(df.sparkSession)}/glyphweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import constraints, graph, layout, measures
+from ..operators import constraints, graph, layout, linking, measures
 from . import choice_queries, pair_queries, score_queries  # noqa: F401
 from .vector_queries import FARTHEST_SQL, MUTUAL_SQL, NEAREST_SQL
 from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register  # noqa: F401
+from .lineage import written
 
 
 @register("f1_word_score", (W,), " select doc_id, word_id, score from fx_words where score >= 0.1")
@@ -63,7 +64,12 @@ def _j3(w):
     return layout.overlap_candidates(w)
 
 
-@register("j3_duplicate_boxes", (W,))
+@register("j3_duplicate_boxes", (W,), f""", cand as (select u.doc_id, u.word_id as i, v.word_id as j from fx_words u join fx_words v on u.doc_id = v.doc_id and u.word_id <> v.word_id where u.w * u.h >= v.w * v.h and {OVERLAP} > 0.7),
+steps as (select doc_id, i, list(j) as js, row_number() over (partition by doc_id order by i) as k from cand group by doc_id, i),
+run as (select distinct doc_id, 0::bigint as k, []::int[] as gone from steps union all
+  select r.doc_id, s.k, case when len(list_filter(s.js, lambda j: j > s.i or not list_contains(r.gone, j))) > 0 then list_append(r.gone, s.i) else r.gone end from run r join steps s on s.doc_id = r.doc_id and s.k = r.k + 1),
+lost as (select doc_id, unnest(arg_max(gone, k)) as word_id from run group by doc_id)
+select w.doc_id, w.word_id from fx_words w anti join lost on lost.doc_id = w.doc_id and lost.word_id = w.word_id""")
 def _j3_drop(w):
     return layout.drop_duplicate_boxes(w).select("doc_id", "word_id")
 
@@ -131,10 +137,31 @@ def _t2(v):
 
 @register("t3_mutual_neighbours", (V,), MUTUAL_SQL)
 def _t3(v):
-    return constraints.mutual(constraints.nearest(v, 6))
+    near = written(constraints.nearest(v, 6), "near")
+    return constraints.mutual_weights(near, v.select("doc_id", "word_id")).withColumn("weight", F.round("weight", 9))
 
 
-@register("f12_ner_code", ("fx_tagged",))
+@register("g5_two_pass", (W,), CLEAN + EDGES + REACH + f""", ph as (select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h, string_agg(text, ' ' order by l + w / 2, word_id) as text, count(*) as n
+  from (select clean.*, coalesce(root, clean.word_id) as phrase_id from clean left join comp using (doc_id, word_id)) group by doc_id, phrase_id),
+s as (select doc_id, least(1.0, min(w)) as min_w from ph group by doc_id),
+down as (select u.doc_id, u.phrase_id as a, v.phrase_id as b from ph u join ph v on u.doc_id = v.doc_id and u.phrase_id <> v.phrase_id join s on s.doc_id = u.doc_id
+  where u.t + u.h / 2 <= v.t + v.h / 2 and v.l - (u.l + u.w) <= s.min_w / 2 and u.l - (v.l + v.w) <= s.min_w / 2 and greatest(v.t - (u.t + u.h), 0) / ((u.h + v.h) / 2) < 0.8),
+ways as (select doc_id, a, b from down union select doc_id, b, a from down),
+reach2 as (select doc_id, a, b from ways union select r.doc_id, r.a, e.b from reach2 r join ways e on r.doc_id = e.doc_id and r.b = e.a), comp2 as (select doc_id, a as phrase_id, least(a, min(b)) as root from reach2 group by doc_id, a)
+select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h, string_agg(text, ' ' order by t + h / 2, id) as text, cast(sum(n) as bigint) as n_words
+from (select ph.doc_id, ph.phrase_id as id, coalesce(root, ph.phrase_id) as phrase_id, l, t, w, h, text, n from ph left join comp2 using (doc_id, phrase_id)) group by doc_id, phrase_id""")
+def _g5_two(w):
+    return linking.two_pass_phrases(clean(w), 0.55, 0.8)
+
+
+_NER = " ".join(f"when '{k}' then {v}" for k, v in constraints.NER_CODES.items())
+
+
+@register("f12_ner_code", ("fx_tagged",), f""", t as (select doc_id, word_id, list_filter(string_split(tagged, ' '), lambda x: x <> '') as tokens from fx_tagged),
+g as (select *, list_filter(tokens, lambda x: starts_with(x, '<') and ends_with(x, '>') and length(x) > 4) as tags from t),
+c as (select *, len(tags) as n, (len(tags) = 0 and len(tokens) = 1) or (len(tags) = 1 and len(tokens) = 2) as alone from g)
+select doc_id, word_id, case when alone and regexp_matches(tokens[1], '^\\$[0-9.]+$') then 13 when alone and regexp_matches(tokens[1], '^[0-9]+([.][0-9]*)?[^ ]g$') and regexp_matches(tokens[1], '^[0-9.]+[0-9.a-zA-Z]g$') then 15
+  when alone and tokens[1] in ('MAY', 'May') then 11 when n = 1 and len(tokens) = 2 then case substr(tags[1], 4, length(tags[1]) - 4) {_NER} else -1 end when n >= 3 then 14 else -1 end as ner_tag from c""")
 def _f12(t):
     return t.select("doc_id", "word_id", constraints.ner_code(F.col("tagged")).alias("ner_tag"))
 

@@ -28,20 +28,23 @@ for _how, _expr in _SCORE.items():
     )
 
 
-@register("j12_embedding_distance", (MV,), f"{_BLOCK} select doc_id, a, b, round(1 - avg(d) / 2, 6) as dist, round(avg(d), 6) as l2_mean from d group by doc_id, a, b")
+_NO_WINDOW = _BLOCK.replace(""",
+  row_number() over (partition by u.doc_id, u.phrase_id, v.phrase_id order by u.pos, v.pos) - 1 as k, count(*) over (partition by u.doc_id, u.phrase_id, v.phrase_id) as n""", "")
+
+
+@register("j12_embedding_distance", (MV,), f"{_NO_WINDOW} select doc_id, a, b, round(1 - avg(d) / 2, 6) as dist, round(avg(d), 6) as l2_mean from d group by doc_id, a, b")
 def _j12(m):
     return affinity.embedding_distance(m).select("doc_id", "a", "b", F.round("dist", 6).alias("dist"), F.round("l2_mean", 6).alias("l2_mean"))
 
 
-@register("g1_threshold_graph", (MV,), f"{_BLOCK}, e as (select doc_id, a, b, 1 - avg(exp(-d * d / 1.5)) as dist from d group by doc_id, a, b) select distinct doc_id, least(a, b) as a, greatest(a, b) as b from e where round(dist, 9) < 0.6")
+@register("g1_threshold_graph", (MV,), f"{_NO_WINDOW}, e as (select doc_id, a, b, 1 - avg(exp(-d * d / 1.5)) as dist from d group by doc_id, a, b) select distinct doc_id, least(a, b) as a, greatest(a, b) as b from e where round(dist, 9) < 0.6")
 def _g1(m):
     return affinity.threshold_graph(affinity.neural_affinity(m).withColumn("dist", F.round("dist", 9)), 0.6)
 
 
 for _how in ("mean", "max", "min"):
-    register(f"a8_pooled_{_how}", (MV,), f", x as (select doc_id, phrase_id, cast(unnest(range(64)) as int) as dim, unnest(vec)::double as x from fx_mvec) select doc_id, phrase_id, dim, round({'avg' if _how == 'mean' else _how}(x), 9) as value from x group by all")(
-        lambda m, how=_how: affinity.pooled(m, how).withColumn("value", F.round("value", 9))
-    )
+    register(f"a8_pooled_{_how}", (MV,), f""", x as (select doc_id, phrase_id, unnest(range(64)) as dim, unnest(vec)::double as x from fx_mvec), y as (select doc_id, phrase_id, dim, {'avg' if _how == 'mean' else _how}(x) as x from x group by all)
+select doc_id, phrase_id, list(round(x, 9) order by dim) as vec from y group by all""")(lambda m, how=_how: affinity.pooled(m, how).withColumn("vec", F.transform("vec", lambda x: F.round(x, 9))))
 
 
 @register("a8_stacked", (MV,), " select doc_id, phrase_id, list(vec order by pos) as vecs from fx_mvec group by doc_id, phrase_id")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import normalised_box
+from ..operators import measures
+from ..operators.graph import rooted
+from ..plans.lineage import written
 
 # The files' fields.
 OBJECTS = "objects array<struct<type string, score double, text struct<content string, score double>, bbox struct<vertices array<struct<x double, y double>>>>>, imageSize struct<width int, height int>"
@@ -14,33 +19,45 @@ CONSTRAINTS = "must_link array<array<int>>, must_not_link array<array<array<int>
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "bmp"]
 
 
-def _page() -> Column:
-    """A page's name: its file's, without the suffixes."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("doc_id")
+def page_name(path: Column, root: str, suffixes: list[str]) -> Column:
+    """A page's name: its file's path below the root folder (up to a pattern's first sign, where the root is one) without its last suffix, then
+    without a listed one. A root that is a file gives the file's own name."""
+    folder = re.split(r"[*?\[{]", root)[0]
+    folder = root.rstrip("/") + "/" if folder == root else folder[: folder.rfind("/") + 1]
+    folder = re.sub(r"^[a-z0-9+.-]+:/*", "", folder, flags=re.IGNORECASE).lstrip("/")
+    decoded = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    below = F.regexp_replace(decoded, r"^[a-z0-9+.-]+:/*([^/]*/)??\Q" + folder + r"\E", "")
+    own = F.when(decoded.endswith("/" + folder.rstrip("/")), F.regexp_extract(decoded, r"([^/]*)$", 1)).otherwise(below)
+    name = F.regexp_replace(own, r"\.[^./]*$", "")
+    return F.regexp_replace(name, rf"(?i)\.({'|'.join(suffixes)})$", "") if suffixes else name
+
+
+def _page(root: str) -> Column:
+    return page_name(F.col("_metadata.file_path"), root, IMAGE_SUFFIXES).alias("doc_id")
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, type, object_id, text, score, l, t, w, h) of pages that hold `objects`; ids are places in the file."""
-    return laid_out(spark.read.schema(OBJECTS).json(path, multiLine=True))
+    return laid_out(spark.read.schema(OBJECTS).json(path, multiLine=True), path)
 
 
-def laid_out(files: DataFrame) -> DataFrame:
-    """The columns of read_objects from files' rows, of a table or of a stream."""
-    pages = files.select(_page(), F.posexplode("objects").alias("object_id", "o"), "imageSize")
+def laid_out(files: DataFrame, root: str) -> DataFrame:
+    """The columns of read_objects from files' rows, of a table or of a stream; root is where they were read from."""
+    pages = files.select(_page(root), F.posexplode("objects").alias("object_id", "o"), "imageSize")
     xs, ys = F.transform("o.bbox.vertices", lambda v: v["x"]), F.transform("o.bbox.vertices", lambda v: v["y"])
     return pages.select("doc_id", F.col("o.type").alias("type"), "object_id", F.col("o.text.content").alias("text"), F.col("o.score").alias("score"), *normalised_box(xs, ys, F.col("imageSize.width"), F.col("imageSize.height")))
 
 
 def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
     """The same columns of pages that are a list of words in page units."""
-    rows = spark.read.schema(WORDS).json(path, multiLine=True).select(_page(), "DetectedText", "Geometry.BoundingBox.*", F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.schema(WORDS).json(path, multiLine=True).select(_page(path), "DetectedText", "Geometry.BoundingBox.*", F.monotonically_increasing_id().alias("at"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
     return rows.select("doc_id", F.lit("Word").alias("type"), place.alias("object_id"), F.col("DetectedText").alias("text"), F.lit(1.0).alias("score"), *[F.col(a).alias(b) for a, b in (("Left", "l"), ("Top", "t"), ("Width", "w"), ("Height", "h"))])
 
 
 def read_constraints(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """must (doc_id, group_id, word_id) and cannot (doc_id, pair_id, side, word_id)."""
-    rows = spark.read.schema(CONSTRAINTS).json(path, multiLine=True).select(_page(), "must_link", "must_not_link")
+    rows = spark.read.schema(CONSTRAINTS).json(path, multiLine=True).select(_page(path), "must_link", "must_not_link")
     must = rows.select("doc_id", F.posexplode("must_link").alias("group_id", "g")).select("doc_id", "group_id", F.explode("g").alias("word_id"))
     cannot = rows.select("doc_id", F.posexplode("must_not_link").alias("pair_id", "p")).select("doc_id", "pair_id", F.posexplode("p").alias("i", "s"))
     return must, cannot.select("doc_id", "pair_id", F.when(F.col("i") == 0, "A").otherwise("B").alias("side"), F.explode("s").alias("word_id"))
@@ -78,10 +95,32 @@ def result_rows(members: DataFrame, clusters: DataFrame) -> DataFrame:
 def paired_images(spark: SparkSession, images: str, pages: DataFrame) -> DataFrame:
     """Pages with the path of the image of their name, whatever its suffix."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(images).select("path")
-    named = found.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(IMAGE_SUFFIXES)).select(F.regexp_extract("path", r"([^/.]*)\.[^/]*$", 1).alias("doc_id"), "path")
+    named = found.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(IMAGE_SUFFIXES)).select(page_name(F.col("path"), images, []).alias("doc_id"), "path")
     return pages.join(named, "doc_id")
 
 
+def label_table(words: DataFrame, must: DataFrame) -> DataFrame:
+    """(doc_id, word_id, label): words that must groups (doc_id, group_id, word_id) join share a label; a page's labels count from 0 in the order
+    of their first words. Write it with `write.parquet`."""
+    first = F.min("word_id").over(Window.partitionBy("doc_id", "group_id"))
+    rooted_ = rooted(words, must.select("doc_id", F.col("word_id").alias("b"), first.alias("a")).filter("a <> b"), "word_id")
+    return rooted_.select("doc_id", "word_id", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("root")) - 1).alias("label"))
+
+
+def study_rows(initial: DataFrame, user: DataFrame, must: DataFrame, cannot: DataFrame) -> DataFrame:
+    """Per page: initial_clusters and user_clusters (labels in word order), ami, nmi, acc, user_constraints; write it with `write.json`.
+
+    initial, user: (doc_id, word_id, label) of the same words."""
+    both = initial.select("doc_id", "word_id", F.col("label").alias("pred")).join(user.select("doc_id", "word_id", F.col("label").alias("truth")), ["doc_id", "word_id"])
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("word_id", c))), lambda x: x[c])
+    labels = both.groupBy("doc_id").agg(listed("pred").alias("initial_clusters"), listed("truth").alias("user_clusters"))
+    table = written(measures.contingency(both, "pred", "truth"), "contingency")
+    matched = measures.matched_labels(table).groupBy("doc_id").agg(F.max("accuracy").alias("acc"))
+    scored = labels.join(measures.ami(table), "doc_id", "left").join(measures.nmi(table), "doc_id", "left").join(matched, "doc_id", "left")
+    links = constraint_rows(must, cannot).select("doc_id", F.struct("must_link", "must_not_link").alias("user_constraints"))
+    return scored.join(links, "doc_id", "left").select("doc_id", "initial_clusters", "user_clusters", "ami", "nmi", "acc", "user_constraints")
+
+
 def labelled_images(spark: SparkSession, root: str) -> DataFrame:
     """(phase, class, label, path) of root/phase/class/file; labels number the sorted class names from 0, few per phase."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")

@@ -1,16 +1,18 @@
 """Word and line boxes laid out from the texts of `documents`, page by page, and vectors from `embeddings`.
 
-A page holds 64 words, 8 to a row; a text has as many pages as it needs, numbered page_id = doc_id * 65536 + page. The layout is SQL that
-Spark and DuckDB share, but for the word split, so that both engines see the same boxes. Coordinates are multiples of 1/1024.
+A page holds 64 words, 8 to a row; a text has as many pages as it needs, numbered doc_id * 2 ** 25 + page: no text of 2 GiB, the most that a
+cell holds, has more pages than that, and an id beyond 2 ** 38 is an overflow error. The layout is SQL that Spark and DuckDB share, but for the
+word split, so that both engines see the same boxes. Coordinates are multiples of 1/1024. A word's vector is that of its text and page, of
+all rows of `embeddings`, whatever their number (vec_id counts them from 0).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK_TOKENS = r"""select doc_id * 65536 + cast(floor(pos / 64) as bigint) as doc_id, cast(pos % 64 as int) as idx, w0 as text from (
+SPARK_TOKENS = r"""select doc_id * 33554432 + cast(floor(pos / 64) as bigint) as doc_id, cast(pos % 64 as int) as idx, w0 as text from (
   select doc_id, posexplode(filter(split(regexp_replace(text, '\\s+', ' '), ' '), x -> x <> '')) as (pos, w0) from documents)"""
-DUCKDB_TOKENS = r"""select doc_id * 65536 + cast(floor(pos / 64) as bigint) as doc_id, cast(pos % 64 as int) as idx, text from (
+DUCKDB_TOKENS = r"""select doc_id * 33554432 + cast(floor(pos / 64) as bigint) as doc_id, cast(pos % 64 as int) as idx, text from (
   select doc_id, unnest(range(len(ws))) as pos, unnest(ws) as text from (
     select doc_id, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') as ws from documents))"""
 
@@ -31,7 +33,7 @@ from (select doc_id, idx as word_id, text, x, y, w, h from fx_layout
   case when row_no % 7 = 6 then 0.5 else 0.95 end as score
 from fx_layout group by doc_id, row_no""",
     "fx_vec": """select f.doc_id, f.word_id, e.label, e.embedding as vec
-from fx_words f join embeddings e on e.vec_id = (length(f.text) * 31 + ascii(f.text)) % 500""",
+from (select *, (length(text) * 31 + ascii(text) + doc_id) % (select count(*) from embeddings) as at from fx_words) f join embeddings e on e.vec_id = f.at""",
     "fx_must": "select doc_id, label as group_id, word_id from fx_vec where word_id < 16",
     "fx_cannot": """select doc_id, 0 as pair_id, 'A' as side, word_id from fx_vec where label = 0 and word_id < 32
 union all select doc_id, 0, 'B', word_id from fx_vec where label = 1 and word_id < 32""",
@@ -39,13 +41,14 @@ union all select doc_id, 0, 'B', word_id from fx_vec where label = 1 and word_id
 from (select *, max(case when fresh then word_id end) over (partition by doc_id, row_id order by word_id rows between unbounded preceding and current row) as phrase_id
   from (select *, coalesce(right(lag(text) over (partition by doc_id, row_id order by word_id), 1) in (',', '.', ';', ':', '!', '?'), true) as fresh
     from (select *, floor(word_id / 8) as row_id from fx_words where word_id < 1000) a) b) c""",
-    "fx_mvec": """select m.*, e.label, cast(e.label % 4 - 1 as int) as ner_tag, e.embedding as vec
-from fx_members m join embeddings e on e.vec_id = (length(m.text) * 31 + ascii(m.text)) % 500""",
+    "fx_mvec": """select m.doc_id, m.word_id, m.text, m.l, m.t, m.w, m.h, m.phrase_id, m.pos, e.label, cast(e.label % 4 - 1 as int) as ner_tag, e.embedding as vec
+from (select *, (length(text) * 31 + ascii(text) + doc_id) % (select count(*) from embeddings) as at from fx_members) m join embeddings e on e.vec_id = m.at""",
     "fx_budget": """select doc_id, count(*) as in_phrase, sum(case when label < 3 then 1 else 0 end) as knn_must, sum(case when word_id < 4 then 1 else 0 end) as manual_must,
   sum(case when label = 5 then 1 else 0 end) as knn_cannot, sum(case when label = 6 then 1 else 0 end) as manual_cannot from fx_mvec group by doc_id""",
     "fx_clog": """select event_id as seq, user_id as doc_id,
   case event_type when 'click' then 'add_must' when 'view' then 'stage_cannot' when 'purchase' then 'submit_cannot'
-    when 'signup' then 'pop_must' else 'pop_cannot' end as action,
+    when 'signup' then case when event_id % 5 = 0 then 'replace_must' else 'pop_must' end else case when event_id % 5 = 0 then 'replace_cannot' else 'pop_cannot' end end as action,
+  case when event_type in ('click', 'view', 'purchase') or event_id % 5 <> 0 then null when event_type = 'signup' then concat('[[', event_id % 7, ', ', event_id % 9, ']]') else concat('[[[', event_id % 3, '], [4]]]') end as value,
   cast(event_id % 16 as int) as w1, cast(event_id % 11 as int) as w2 from events""",
     "fx_tagged": """select doc_id, word_id, case word_id % 8 when 0 then concat(text, ' <S-PERSON>') when 1 then concat(text, ' <S-GPE>')
   when 2 then concat('$', cast(word_id as varchar(20))) when 3 then concat(cast(word_id as varchar(20)), 'kg')

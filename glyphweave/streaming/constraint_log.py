@@ -1,4 +1,6 @@
-"""Replay of a page's constraint events: add_must, stage_cannot, submit_cannot, pop_must, pop_cannot, clear."""
+"""Replay of a page's constraint events: add_must, stage_cannot, submit_cannot, pop_must, pop_cannot, clear, replace_must, replace_cannot.
+
+An event has two words, w1 and w2; those that replace a list have the new one as JSON in `value`, a column that logs without them can lack."""
 
 from __future__ import annotations
 
@@ -29,8 +31,13 @@ class Reduced:
         elif held["pops"] is not None:
             held["pops"] += 1
 
-    def add(self, action: str, w1: int, w2: int) -> None:
-        if action == "add_must":
+    def add(self, action: str, w1: int, w2: int, value: str | None = None) -> None:
+        if action == "replace_must":
+            self.must = {"pops": None, "pushed": json.loads(value or "[]")}
+        elif action == "replace_cannot":
+            for held in self.cannot:
+                held |= {"pops": None, "pushed": json.loads(value or "[]")}
+        elif action == "add_must":
             self.must["pushed"].append([w1, w2])
         elif action == "pop_must":
             self._pop(self.must)
@@ -70,18 +77,22 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, first, held = None, None, None
     pack = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([first], pa.int64()), pa.array([held.packed()])], ["doc_id", "first", "stretch"])
     for batch in batches:
-        for doc, seq, action, w1, w2 in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "action", "w1", "w2")), strict=True):
+        for doc, seq, *event in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "action", "w1", "w2", "value")), strict=True):
             if held is None or doc != key:
                 if held is not None:
                     yield pack()
                 key, first, held = doc, seq, Reduced()
-            held.add(action, w1, w2)
+            held.add(*event)
     if held is not None:
         yield pack()
 
 
+def _valued(events: DataFrame) -> DataFrame:
+    return events if "value" in events.columns else events.withColumn("value", F.lit(None).cast("string"))
+
+
 def replay(events: DataFrame) -> DataFrame:
-    """(doc_id, must_link, must_not_link as JSON) after all events (seq, doc_id, action, w1, w2), by seq.
+    """(doc_id, must_link, must_not_link as JSON) after all events (seq, doc_id, action, w1, w2, value), by seq.
 
     Events are dealt by ranges of key and seq, so that a key with many of them is cut. Each range is reduced to the pairs that are left of
     it, and one task puts a key's few ranges together: it holds what the key's row holds, and pairs that later ranges pop."""
@@ -93,7 +104,7 @@ def replay(events: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "must_link": [json.dumps(state["must"])], "must_not_link": [json.dumps(state["cannot"])]})
 
     order = [F.col("doc_id"), F.col("seq").asc_nulls_last()]
-    whole = events.select(*[F.col(c).cast("long") for c in ("doc_id", "seq", "w1", "w2")], "action")
+    whole = _valued(events).select(*[F.col(c).cast("long") for c in ("doc_id", "seq", "w1", "w2")], "action", "value")
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reduced = whole.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_reduce, "doc_id long, first long, stretch string")
     return reduced.groupBy("doc_id").applyInPandas(run, "doc_id long, must_link string, must_not_link string")
@@ -105,11 +116,11 @@ def replay_stream(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, batch = json.loads(state.get[0]) if state.exists else {"must": [], "cannot": [], "staged": []}, Reduced()
-        for action, w1, w2 in pd.concat(list(frames)).sort_values("seq")[["action", "w1", "w2"]].itertuples(index=False):
-            batch.add(action, int(w1), int(w2))
+        for action, w1, w2, value in pd.concat(list(frames)).sort_values("seq")[["action", "w1", "w2", "value"]].itertuples(index=False):
+            batch.add(action, int(w1), int(w2), value)
         _apply(batch.packed(), held)
         state.update((json.dumps(held),))
         yield pd.DataFrame({"doc_id": [key[0]], "must_link": [json.dumps(held["must"])], "must_not_link": [json.dumps(held["cannot"])]})
 
-    grouped = events.select("seq", "doc_id", "action", "w1", "w2").groupBy("doc_id")
+    grouped = _valued(events).select("seq", "doc_id", "action", "w1", "w2", "value").groupBy("doc_id")
     return grouped.applyInPandasWithState(run, "doc_id long, must_link string, must_not_link string", "held string", "update", GroupStateTimeout.NoTimeout)

@@ -21,4 +21,4 @@ def ingest(spark: SparkSession, path: str, target: str, checkpoint: str) -> None
     A page is one file and so stands in one batch. A batch that is run again overwrites its own folder."""
     files = spark.readStream.schema(OBJECTS).option("multiLine", True).json(path)
     write = lambda batch, k: clean_words(batch).write.mode("overwrite").parquet(f"{target}/batch={k}")
-    laid_out(files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    laid_out(files, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
