@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 #: Words that white space separates, as a Java regular expression.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphweave-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names."""
+    return f"{shared_folder(spark)}/glyphweave/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/glyphweave/{name}-{uuid.uuid4().hex}"
+def no_clash(id_col: str, results: list[str]) -> None:
+    """An error where the id column has the name of a result (`name` or `name type`)."""
+    if id_col in {r.split()[0] for r in results}:
+        raise ValueError(f"the id column has the name of a result: {id_col}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

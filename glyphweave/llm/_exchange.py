@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import buckets_for, materialise, partitions
 from ._words import U64, blocks
 
 
@@ -47,13 +47,13 @@ def bucket_borders(ordered: np.ndarray, buckets: int, bits: int = 64) -> np.ndar
 
 
 SENT = "kind int, bucket int, part int, chunk long, keys binary, counts binary"
-COUNTED = "chunk long, kind int, bucket int, counts binary, in_part_1 binary, n_keys long, n_total long, n_part_1 long"
+COUNTED = "chunk long, kind int, bucket int, counts binary, in_part_1 binary, in_part_2 binary, n_keys long, n_total long, n_part_1 long, n_repeated long"
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None = None, most: int = 3 << 20) -> DataFrame:
     """The texts in compressed chunks of about `most` bytes, written once, so that later passes see the same chunks.
 
-    A chunk holds rows of one part only. Null texts are empty; null ids stay null."""
+    A chunk holds rows of one part only. Null texts are empty; null ids stay null. `size` is the bytes of its texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
@@ -66,13 +66,19 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None
                     offsets = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]
                     data = text.buffers()[2]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([base + seq], pa.int64()), pa.array([k], pa.int32()), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([pack(np.diff(offsets))], pa.binary()), pa.array([squeeze(data.to_pybytes() if data is not None else b"")], pa.binary())],
-                        ["chunk", "part", "ids", "lengths", "text"],
+                        [pa.array([base + seq], pa.int64()), pa.array([k], pa.int32()), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([pack(np.diff(offsets))], pa.binary()), pa.array([squeeze(data.to_pybytes() if data is not None else b"")], pa.binary()), pa.array([int(offsets[-1])], pa.int64())],
+                        ["chunk", "part", "ids", "lengths", "text", "size"],
                     )
                     seq += 1
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.lit(0) if part is None else part).cast("int").alias("part"))
-    return materialise(base.mapInArrow(rows, "chunk long, part int, ids array<long>, lengths binary, text binary"), "chunks")
+    return materialise(base.mapInArrow(rows, "chunk long, part int, ids array<long>, lengths binary, text binary, size long"), "chunks")
+
+
+def buckets_of(chunks: DataFrame) -> int:
+    """Buckets for the hashes of the chunks' words: about 6 MB of text each, which is at most as much of packed hashes; no fewer than the
+    session's parts."""
+    return buckets_for(chunks.agg(F.sum("size")).first()[0] or 0, partitions(chunks.sparkSession), 6 << 20)
 
 
 def chunk_texts(lengths: bytes, text: bytes) -> pa.Array:
@@ -86,7 +92,7 @@ def chunk_texts(lengths: bytes, text: bytes) -> pa.Array:
 def sent_rows(kind: int, part: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, bits: int) -> list[tuple]:
     """One row per bucket of a chunk's distinct ascending keys and their counts."""
     at = bucket_borders(keys, buckets, bits)
-    return [(kind, k, part, chunk, pack_sorted(keys[at[k] : at[k + 1]]), pack(counts[at[k] : at[k + 1]].astype(np.uint32))) for k in np.flatnonzero(np.diff(at)).tolist()]
+    return [(kind, k, part, chunk, pack_sorted(keys[at[k] : at[k + 1]]), pack(counts[at[k] : at[k + 1]].astype(np.uint64))) for k in np.flatnonzero(np.diff(at)).tolist()]
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -94,23 +100,26 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "part", "chunk", "keys", "counts"])
 
 
-def count_keys(sent: DataFrame, name: str, most: int = (1 << 32) - 1) -> DataFrame:
-    """For each sent row the corpus counts of its keys, in its order, `most` at most: over parts 0 and 1, and over part 1 alone.
+def count_keys(sent: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """For each sent row the corpus counts of its keys, in its order: over parts 0 and 1, over part 1 alone, and whether
+    part 2 has them. most: larger counts are given as that, where their size is not asked for.
 
-    n_keys, n_total, n_part_1: of the bucket, on one of its rows; keys and counts over parts 0 and 1."""
+    n_keys, n_total, n_part_1, n_repeated: of the bucket, on one of its rows; keys and counts over parts 0 and 1, and keys counted twice or more."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(x) for x in pdf["keys"]]
         sizes = np.array([len(k) for k in keys])
-        count = np.concatenate([unpack(x, np.uint32) for x in pdf["counts"]]).astype(np.float64)
+        count = np.concatenate([unpack(x, np.uint64) for x in pdf["counts"]]).astype(np.float64)  # exact to 2 ** 53
         part = np.repeat(pdf["part"].to_numpy(), sizes)
         uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
         every, one = np.bincount(at, count * (part < 2), len(uniq)), np.bincount(at, count * (part == 1), len(uniq))
+        two = np.bincount(at, part == 2, len(uniq)) > 0
         ends = np.cumsum(sizes)
-        cut = lambda x: [pack(np.minimum(x[at[b - n : b]], most).astype(np.uint32)) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        cut = lambda x, kind=np.uint64: [pack((x if most is None else np.minimum(x, most))[at[b - n : b]].astype(kind)) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         first = np.zeros(len(pdf), np.int64)
         first[0] = 1
-        return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": cut(every), "in_part_1": cut(one), "n_keys": first * int((every > 0).sum()), "n_total": first * int(every.sum()), "n_part_1": first * int(one.sum())})
+        of = {"n_keys": (every > 0).sum(), "n_total": every.sum(), "n_part_1": one.sum(), "n_repeated": (every > 1).sum()}
+        return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": cut(every), "in_part_1": cut(one), "in_part_2": cut(two, np.uint8), **{k: first * int(v) for k, v in of.items()}})
 
     return materialise(sent.groupBy("kind", "bucket").applyInPandas(total, COUNTED), name)
 
@@ -118,13 +127,13 @@ def count_keys(sent: DataFrame, name: str, most: int = (1 << 32) - 1) -> DataFra
 def counts_of(pdf: pd.DataFrame, kind: int, column: str) -> np.ndarray:
     """The counts of a chunk's ascending keys, from its rows of count_keys."""
     rows = pdf[pdf["kind"] == kind].sort_values("bucket")
-    return np.concatenate([unpack(x, np.uint32) for x in rows[column]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    return np.concatenate([unpack(x, np.uint8 if column == "in_part_2" else np.uint64) for x in rows[column]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
 
 
 def with_counts(chunks: DataFrame, counted: DataFrame, f: Callable[[pd.Series, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """f(chunk's row, its rows of count_keys) of each chunk."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([f(r, right) for _, r in left.iterrows()]) if len(left) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return pd.concat([f(r, right) for _, r in left.iterrows()]) if len(left) else pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
 
     return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(run, schema)

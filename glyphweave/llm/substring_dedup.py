@@ -1,9 +1,9 @@
 """Substring deduplication by level-wise doubling.
 
-A window can repeat only where both its halves do. Windows of half the asked length (of a quarter, with more levels) are counted first;
-those that repeat alone are extended to twice their length and counted again, until the asked length is reached or no candidate
-is left. A level's hashes are sent once per chunk of texts, sorted and merged; the answers come back in the same order. Lower levels
-only rule windows out, so short hashes serve them; the last level has 64-bit hashes of whole windows.
+A window can repeat only where both its halves do. Windows of about five words are counted first; those that repeat alone are extended to twice
+their length (to the asked length at the end) and counted again, until the asked length is reached or no candidate survives. A level's
+hashes are sent once per chunk of texts, sorted and merged; the answers come back in the same order. Lower levels only rule windows
+out, so short hashes serve them; the last level has 64-bit hashes of whole windows.
 
 Words that a repeated window covers, in whatever text, are removed; windows are judged on the input. A null text has no words. A text of
 fewer words than a window keeps all. Repeated rows are copies of one another and lose what their windows cover. Null ids stay null. An empty
@@ -20,19 +20,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import partitions
-from ._exchange import SENT, as_batch, chunk_table, chunk_texts, count_keys, counts_of, sent_rows, with_counts
+from ._exchange import SENT, as_batch, buckets_of, chunk_table, chunk_texts, count_keys, counts_of, sent_rows, with_counts
 from ._words import U64, Texts, windows
 
 #: Bits of the lower levels' hashes: they may take a few windows more for repeated.
 SHORT_BITS = 44
 
 
-def level_lengths(window: int, levels: int) -> list[int]:
-    """Window lengths, the last the asked one, each at most twice the one before."""
+def level_lengths(window: int, shortest: int) -> list[int]:
+    """Window lengths, the last the asked one, each at most twice the one before, the first `shortest` at most."""
     out = [window]
-    while len(out) < levels and out[0] > 1:
+    while out[0] > max(shortest, 1):
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -66,11 +66,11 @@ def _alive(t: Texts, words: np.ndarray, lengths: list[int], counted: pd.DataFram
     return h, of, alive
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, levels: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shortest: int = 5) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (kept words, one space between), spans (first and last removed word of each stretch)."""
     chunks = chunk_table(docs, id_col, text_col)
-    buckets = partitions(docs.sparkSession)
-    lengths = level_lengths(window, levels)
+    buckets = buckets_of(chunks)
+    lengths = level_lengths(window, shortest)
     counted = None
 
     def sent(lengths_text: bytes, text: bytes, chunk: int, k: int, answers: pd.DataFrame | None) -> list[tuple]:
@@ -94,13 +94,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = with_counts(chunks, counted, lambda r, c, k=k: pd.DataFrame(sent(r["lengths"], r["text"], r["chunk"], k, c), columns=columns), SENT)
         level = count_keys(rows, f"level-{lengths[k]}", 2)
         counted = level if counted is None else counted.union(level)
+        if not (level.agg(F.sum("n_repeated")).first()[0] or 0):
+            break
+    survivors = k + 1 == len(lengths)
 
     def finish(r: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
         t = Texts(chunk_texts(r["lengths"], r["text"]), lower=False)
-        _, of, repeated = _alive(t, t.hashes(), lengths, answers, len(lengths))
+        repeated = np.zeros(0, bool)
+        if survivors:
+            _, of, repeated = _alive(t, t.hashes(), lengths, answers, len(lengths))
         # a stretch of covered words begins with a repeated window's start and ends `window` words after the last one's
         start = np.flatnonzero(repeated)
-        start += np.repeat(t.first[:-1] - of[:-1], np.diff(of))[start]
+        if len(start):
+            start += np.repeat(t.first[:-1] - of[:-1], np.diff(of))[start]
         edge = np.zeros(len(t.starts) + 1, np.int64)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + window, -1)

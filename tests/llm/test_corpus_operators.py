@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from glyphweave.llm import lm_scoring, substring_dedup
+from glyphweave.llm import _exchange, lm_scoring, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -25,58 +25,94 @@ def removed_by_hand(rows, window):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize(("window", "levels"), [(35, 2), (7, 3), (1, 2)])
-def test_substring_dedup(docs, rows, empty, clashing, window, levels):
-    out = substring_dedup.remove_repeats(docs, window=window, levels=levels).collect()
+@pytest.mark.parametrize(("window", "shortest"), [(35, 5), (7, 2), (1, 5), (3000, 5)])
+def test_substring_dedup(docs, rows, empty, clashing, window, shortest):
+    out = substring_dedup.remove_repeats(docs, window=window, shortest=shortest).collect()
     assert collections.Counter(tuple(r)[:4] for r in out) == removed_by_hand(rows, window)
     assert all(sum(s["to"] - s["from"] + 1 for s in r["spans"]) == r["n_removed"] for r in out)
     if window == 35:
         assert substring_dedup.remove_repeats(empty).count() == 0 and substring_dedup.remove_repeats(clashing).count() == 1
-    assert substring_dedup.level_lengths(35, 3) == [9, 18, 35] and substring_dedup.level_lengths(1, 2) == [1]
+    assert substring_dedup.level_lengths(35, 5) == [5, 9, 18, 35] and substring_dedup.level_lengths(1, 5) == [1]
 
 
-def test_lm_scoring(docs, rows, empty, clashing):
-    got = lm_scoring.score_documents(docs).collect()
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scoring(docs, rows, empty, clashing, order):
+    """Counts, expectation-maximisation and scores in plain Python, over n-grams as tuples."""
+    rounds = 4
+    got = lm_scoring.score_documents(docs, order=order, rounds=rounds, settled=0).collect()
     fold = lambda i: zlib.crc32(str(i).encode()) % 7 if i is not None else -1
     tokens = [([*re.findall(SPACE_WORD, (r["text"] or "").translate(LOWER)), None], r["doc_id"]) for r in rows]
-    one, two, one_del, two_del = (collections.Counter() for _ in range(4))
+
+    def grams(t):
+        padded = ["<s>"] * (order - 1) + t
+        return [tuple(padded[i : i + order]) for i in range(len(t))]
+
+    all_, deleted, texts = collections.Counter(), collections.Counter(), collections.Counter()
     for t, i in tokens:
         if fold(i) != 2:
-            one.update(t)
-            two.update(zip(["<s>", *t], t, strict=False))
-            if fold(i) == 3:
-                one_del.update(t)
-                two_del.update(zip(["<s>", *t], t, strict=False))
-    n, v = one.total(), len(one)
-    seen = lambda c, k: c[None] if k == "<s>" else c[k]
-
-    def estimates(prev, tok, c1, c2, total):
-        ctx = seen(c1, prev)
-        return min(int(math.log2(ctx + 1)), 23), c2[prev, tok] / ctx if ctx else 0, c1[tok] / total
-
-    kept1, kept2 = one - one_del, two - two_del
-    events = [estimates(a, b, kept1, kept2, n - one_del.total()) for t, i in tokens if fold(i) == 3 for a, b in zip(["<s>", *t], t, strict=False)]
-    b, p2, p1 = map(np.array, zip(*events, strict=True))
-    weights = lm_scoring.fit_weights(b, p2, p1, 1 / (v + 1), np.ones(len(b)))
+            texts["all"] += 1
+            texts["deleted"] += fold(i) == 3
+            for g in grams(t):
+                for k in range(order):
+                    all_[g[k:]] += 1
+                    deleted[g[k:]] += fold(i) == 3
+    kept = all_ - deleted
+    n, v = sum(c for g, c in all_.items() if len(g) == 1), sum(len(g) == 1 for g in all_)
+    n_deleted = sum(c for g, c in deleted.items() if len(g) == 1)
+
+    def estimates(g, counts, total, starts):
+        p, cell = [], []
+        for k in range(order - 1):
+            h = g[k:-1]
+            seen = starts if h[-1] == "<s>" else counts[h]
+            p.append(counts[g[k:]] / seen if seen else 0)
+            cell.append(min(int(math.log2(seen + 1)), 23))
+        return tuple(cell[:2]), np.array([*p, counts[g[-1:]] / total, 1 / (v + 1)])
+
+    events = [estimates(g, kept, n - n_deleted, texts["all"] - texts["deleted"]) for t, i in tokens if fold(i) == 3 for g in grams(t)]
+    weights, every = {}, np.full(order + 1, 1 / (order + 1))
+    for _ in range(rounds):
+        uses = collections.defaultdict(lambda: np.zeros(order + 1))
+        for cell, p in events:
+            share = p * weights.get(cell, every)
+            uses[cell] += share / share.sum()
+        normal = lambda x: np.maximum(x / x.sum(), 1e-6) / np.maximum(x / x.sum(), 1e-6).sum()
+        weights, every = {c: normal(u) for c, u in uses.items()}, normal(sum(uses.values()))
     want = {}
     for t, i in tokens:
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in t)
-        score = sum(math.log10(np.dot(weights[k], [q2, q1, 1 / (v + 1)])) for k, q2, q1 in (estimates(a, x, one, two, n) for a, x in zip(["<s>", *t], t, strict=False)))
-        want.setdefault(i, []).append((fold(i) == 2, len(t), sum(one[x] > 0 for x in t), n, base, score))
+        base = sum(math.log10((all_[x,] + 1) / (n + v + 1)) for x in t)
+        found = [estimates(g, all_, n, texts["all"]) for g in grams(t)]
+        score = sum(math.log10(np.dot(weights.get(c, every), p)) for c, p in found)
+        want.setdefault(i, []).append((fold(i) == 2, len(t), sum(all_[x,] > 0 for x in t), n, base, score))
     assert len(got) == len(rows)
     for r in got:
-        close = [w for w in want[r["doc_id"]] if tuple(r)[1:5] == w[:4] and math.isclose(w[4], r["base_score"], rel_tol=1e-9) and math.isclose(w[5], r["score"], rel_tol=0.01)]
+        close = [w for w in want[r["doc_id"]] if tuple(r)[1:5] == w[:4] and math.isclose(w[4], r["base_score"], rel_tol=1e-9) and math.isclose(w[5], r["score"], rel_tol=1e-9)]
         assert close, (tuple(r), want[r["doc_id"]])
-    # held-out texts are better predicted than by the base model
-    held = [r for r in got if r["held_out"]]
-    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert lm_scoring.score_documents(empty).count() == 0 and lm_scoring.score_documents(clashing).count() == 1
+    if order == 3:
+        held = [r for r in lm_scoring.score_documents(docs).collect() if r["held_out"]]
+        assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # held-out texts are better predicted than by the base model
+        assert lm_scoring.score_documents(empty).count() == 0 and lm_scoring.score_documents(clashing).count() == 1
+        with pytest.raises(ValueError, match="name of a result"):
+            lm_scoring.score_documents(clashing.withColumnRenamed("doc_id", "score"), "score")
 
 
 def test_em_recovers_weights():
     rng = np.random.default_rng(3)
     w = np.array([0.6, 0.3, 0.1])
-    p2, p1, p0 = rng.random(50_000), rng.random(50_000), 0.5
-    keep = rng.random(50_000) < (w[0] * p2 + w[1] * p1 + w[2] * p0)
-    got = lm_scoring.fit_weights(np.full(keep.sum(), 4), p2[keep], p1[keep], p0, np.ones(keep.sum()))
-    assert got.shape == (24, 3) and np.allclose(got.sum(1), 1) and np.allclose(got[4], w, atol=0.05)
+    p = np.stack([rng.random(50_000), rng.random(50_000), np.full(50_000, 0.5)], 1)
+    p = p[rng.random(50_000) < p @ w]
+    got = np.full((24, 3), 1 / 3)
+    for _ in range(100):
+        got = lm_scoring.new_weights(lm_scoring.em_round(p, np.full(len(p), 4), got))
+    assert np.allclose(got.sum(1), 1) and np.allclose(got[4], w, atol=0.05)
+
+
+def test_counts_beyond_32_bits(spark):
+    """Large counts pass the exchange whole."""
+    keys, most = np.array([3, 1 << 63], np.uint64), (1 << 40) + 1
+    rows = [_exchange.sent_rows(0, part, chunk, keys, np.array([most, 1], np.uint64), 4, 64) for chunk, part in ((1, 0), (2, 1))]
+    out = _exchange.count_keys(spark.createDataFrame(sum(rows, []), _exchange.SENT), "large").toPandas()
+    for chunk in (1, 2):
+        of = out[out["chunk"] == chunk]
+        assert _exchange.counts_of(of, 0, "counts").tolist() == [2 * most, 2] and _exchange.counts_of(of, 0, "in_part_1").tolist() == [most, 1]
+    assert out["n_total"].sum() == 2 * most + 2 and out["n_keys"].sum() == out["n_repeated"].sum() == 2
