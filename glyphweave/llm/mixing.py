@@ -2,7 +2,8 @@
 
 Sizes are words. Each source's rows are dealt by a hash into blocks; block sizes are summed in one aggregation
 (sources times blocks_per_source rows at most, whatever the input). A source's target words are met by whole
-passes over all its blocks and then by blocks drawn once more in a permuted order while they fit. The draws of
+passes over all its blocks and then by blocks drawn once more in a permuted order while they fit. What is left then is less than
+the smallest block that may be drawn: of that one, rows are drawn in the order of a hash, up to the one that brings the sum nearest. The draws of
 all sources are one population of coloured balls: a binary tree over the output shards splits it, each node
 giving its left half an exact number of draws of each source by a multivariate hypergeometric draw. At the leaves
 every shard has exact quotas and takes the next, disjoint, permuted blocks of each source. Rows are then joined
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, partitions, space_words
 
-BLOCK_TABLE = "b_src string, b_block int, source_size long, target double, shards array<int>"
+BLOCK_TABLE = "b_src string, b_block int, source_size long, target double, shards array<int>, part_words double, part_shard int"
 #: Sources that one task draws and splits, where the driver does not: so many times blocks_per_source rows at most.
 SOURCES_A_TASK = 256
 
@@ -51,22 +52,25 @@ def targets(sizes: dict, weights: tuple[float, ...], most_times: float, total: f
     return out
 
 
-def draw_blocks(sizes: np.ndarray, target: float, most_times: int, rng: np.random.Generator) -> list[int]:
-    """Draws of blocks of one source: whole passes, each in its own permuted order, then the blocks that still fit, in further
-    rounds while a block may be drawn again. What is missing at the end is less than the smallest block that may be."""
+def draw_blocks(sizes: np.ndarray, target: float, most_times: int, rng: np.random.Generator) -> tuple[list[int], float]:
+    """Draws of blocks of one source, and the words to draw of the last of them, 0 for all: whole passes, each in its own permuted order,
+    then the blocks that still fit, in further rounds while a block may be drawn again, then the smallest that may be in part."""
     total, draws, n = float(sizes.sum()), [], len(sizes)
     if total <= 0 or n == 0:
-        return draws
+        return draws, 0.0
     passes = int((target + 1e-6) // total)
     for _ in range(passes):
         draws += rng.permutation(n).tolist()
-    left = target - passes * total + 1e-6
+    left = target - passes * total
     for _ in range(passes, most_times):
         for b in rng.permutation(n).tolist():
-            if 0 < sizes[b] <= left:
+            if 0 < sizes[b] <= left + 1e-6:
                 draws.append(b)
                 left -= sizes[b]
-    return draws
+    may = np.flatnonzero((sizes > 0) & (np.bincount(draws, minlength=n) < most_times))
+    if left < 0.5 or not len(may):
+        return draws, 0.0
+    return [*draws, int(may[sizes[may].argmin()])], float(left)
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -85,15 +89,20 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
-def deal(blocks: list[list[tuple[int, int]]], goals: list[float], most_times: int, shards: int, rng: np.random.Generator) -> list[list[list[int]]]:
-    """Per source and block (number, words): the shards of the block's draws."""
+def deal(blocks: list[list[tuple[int, int]]], goals: list[float], most_times: int, shards: int, rng: np.random.Generator) -> list[list[tuple]]:
+    """Per source and block (number, words): the shards of the block's draws, and of a draw in part its words and shard, else nulls."""
     drawn = [draw_blocks(np.array([w for _, w in of], float), goal, most_times, rng) for of, goal in zip(blocks, goals, strict=True)]
-    quotas = split_quotas(np.array([len(d) for d in drawn], np.int64), shards, rng) if blocks else np.zeros((shards, 0), np.int64)
+    quotas = split_quotas(np.array([len(d) for d, _ in drawn], np.int64), shards, rng) if blocks else np.zeros((shards, 0), np.int64)
     out = []
     for j, of in enumerate(blocks):
-        into: list[list[int]] = [[] for _ in of]
-        for i, shard in zip(drawn[j], np.repeat(np.arange(shards), quotas[:, j]).tolist(), strict=True):
-            into[i].append(shard)
+        into: list[tuple] = [([], None, None) for _ in of]
+        draws, left = drawn[j]
+        to = np.repeat(np.arange(shards), quotas[:, j])
+        to = rng.permutation(to).tolist() if left else to.tolist()  # else a draw in part, the last, would always go to the last shard
+        for i, shard in zip(draws[: len(draws) - bool(left)], to, strict=False):
+            into[i][0].append(shard)
+        if left:
+            into[draws[-1]] = (into[draws[-1]][0], left, to[-1])
         out.append(into)
     return out
 
@@ -140,8 +149,11 @@ def _many_draws(sums: DataFrame, weights: tuple[float, ...], most_times: int, sh
         cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])).tolist()
         pairs = list(zip(pdf["b_block"].tolist(), pdf["words"].tolist(), strict=True))
         dealt = deal([pairs[a:b] for a, b in zip(cuts, [*cuts[1:], len(pairs)], strict=True)], pdf["target"].iloc[cuts].tolist(), most_times, shards, rng)
-        pdf["shards"] = [[(x + turn) % shards for x in block] for source in dealt for block in source]
-        return pdf[["b_src", "b_block", "source_size", "target", "shards"]]
+        every = [block for source in dealt for block in source]
+        pdf["shards"] = [[(x + turn) % shards for x in to] for to, _, _ in every]
+        pdf["part_words"] = pd.array([w for _, w, _ in every], "Float64")
+        pdf["part_shard"] = pd.array([None if k is None else (k + turn) % shards for _, _, k in every], "Int32")
+        return pdf[["b_src", "b_block", "source_size", "target", "shards", "part_words", "part_shard"]]
 
     goals = _many_targets(sums, weights, most_times).withColumnRenamed("src", "b_src")
     blocks = sums.join(goals, F.col("src").eqNullSafe(F.col("b_src"))).select("b_src", F.col("block").alias("b_block"), "words", "source_size", "target", "rank", F.floor(F.col("rank") / SOURCES_A_TASK).alias("task"))
@@ -149,23 +161,24 @@ def _many_draws(sums: DataFrame, weights: tuple[float, ...], most_times: int, sh
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_times: int = 3, shards: int = 16, blocks_per_source: int = 2048, seed: int = 20, most_sources: int | None = None, driver_sources: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_times: int = 3, shards: int = 16, blocks_per_source: int = 2048, seed: int = 20, most_sources: int | None = None, driver_sources: int = 64
 ) -> DataFrame:
     """Struct `row` of the input's columns, size, source_size, target, taken, and shards: the shard of each time the row is taken.
 
     More than driver_sources sources are drawn in tasks; more than most_sources, where given, raise an error."""
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("src"), F.size(space_words(F.col(text_col))).cast("long").alias("size"), F.pmod(key, F.lit(blocks_per_source)).cast("int").alias("block"))
-    sums = base.groupBy("src", "block").agg(F.sum("size").alias("words"))
+    sized = lambda rows: rows.withColumn("size", F.size(space_words(F.col("row")[text_col])).cast("long"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("src"), F.pmod(key, F.lit(blocks_per_source)).cast("int").alias("block"), key.alias("key"))
+    sums = sized(base).groupBy("src", "block").agg(F.sum("size").alias("words"))
     most = driver_sources if most_sources is None else max(most_sources, driver_sources)
     per_source = {r["src"]: r["words"] for r in sums.groupBy("src").agg(F.sum("words").alias("words")).limit(most + 1).collect()}
     if most_sources is not None and len(per_source) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     on = F.col("src").eqNullSafe(F.col("b_src")) & (F.col("block") == F.col("b_block"))
-    if len(per_source) > driver_sources:
+    few = len(per_source) <= driver_sources
+    if not few:
         table = materialise(_many_draws(materialise(sums, "sums"), weights, most_times, shards, seed), "draws")
-        joined = base.join(table, on, "left")
     else:
         blocks: dict = {s: [] for s in per_source}
         for r in sums.toLocalIterator():
@@ -174,14 +187,26 @@ def mix(
         order = sorted((s for s in blocks if s is not None), key=lambda s: s.encode()) + [s for s in blocks if s is None]
         held = [sorted(blocks[s]) for s in order]
         dealt = deal(held, [goal[s] for s in order], most_times, shards, np.random.default_rng(seed))
-        rows = [(s, block, per_source[s], goal[s], into) for s, of, each in zip(order, held, dealt, strict=True) for (block, _), into in zip(of, each, strict=True)]
-        joined = base.join(F.broadcast(spark.createDataFrame(rows, BLOCK_TABLE)), on, "left")
-    return joined.select("row", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+        # driver_sources times blocks_per_source rows at most
+        table = spark.createDataFrame([(s, block, per_source[s], goal[s], *into) for s, of, each in zip(order, held, dealt, strict=True) for (block, _), into in zip(of, each, strict=True)], BLOCK_TABLE)
+    sent = lambda which: F.broadcast(table.filter(which)) if few else table.filter(which)
+    whole = sized(base.join(sent("part_words is null"), on)).select("row", "size", "source_size", "target", "shards")
+    # one block of a source at most is drawn in part; its rows alone are put in order
+    part = sized(base.join(sent("part_words is not null"), on))
+    before = F.sum("size").over(Window.partitionBy("src", "block").orderBy("key", F.col("row")[id_col], F.col("row")[text_col]).rowsBetween(Window.unboundedPreceding, -1))
+    more = (F.col("size") > 0) & (F.coalesce(before, F.lit(0)) + F.col("size") / 2 <= F.col("part_words"))
+    part = part.withColumn("more", more).select("row", "size", "source_size", "target", F.when(F.col("more"), F.array_append("shards", F.col("part_shard"))).otherwise(F.col("shards")).alias("shards"))
+    return whole.unionByName(part).select("row", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", seed: int = 20, **kw) -> DataFrame:
-    """The input's columns, each row as often as it is taken, dealt to the output shards and shuffled inside each."""
-    out = mix(docs, id_col=id_col, seed=seed, **kw).select("row", F.posexplode("shards").alias("k", "shard"))
+    """The input's columns, each row as often as it is taken, dealt to the output shards and shuffled inside each.
+
+    A shard is dealt in ranges of its shuffle's hash, so that a task's share is that of the session's parts, whatever the shards' number."""
     n = kw.get("shards", 16)
-    out = out.repartition(n, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), F.col("row")[id_col].cast("string"), "k"))
+    pieces = max(1, -(-2 * partitions(docs.sparkSession) // n))
+    out = mix(docs, id_col=id_col, seed=seed, **kw).select("row", F.posexplode("shards").alias("k", "shard"))
+    out = out.withColumn("place", F.xxhash64(F.lit(seed), F.col("row")[id_col].cast("string"), "k"))
+    out = out.withColumn("piece", F.floor((F.shiftrightunsigned("place", 32) * pieces) / (1 << 32)).cast("int"))
+    out = out.repartition(n * pieces, "shard", "piece").sortWithinPartitions("shard", F.shiftrightunsigned("place", 1))
     return out.select("row.*")
