@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from glyphweave.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, queries, sharding, token_output
@@ -61,6 +61,45 @@ def test_quality_rules(docs, rows, empty, clashing):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.judge(clashing).select("row.*").columns == clashing.columns
 
 
+def bad_lines(text):
+    """Which lines fail, in plain Python."""
+    lines = text.split("\n")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+    end = quality_rules.END_MARK.replace("\\z", r"\Z")
+    item = [0 < len(w) <= 4 and not re.search(end, x) for x, w in zip(lines, words, strict=True)]
+    out = []
+    for i, (x, w) in enumerate(zip(lines, words, strict=True)):
+        low, n = x.translate(str.maketrans(quality_rules.UPPER, quality_rules.LOWER)), len(w)
+        run = any(a >= 0 and item[a : a + 3] == [True] * 3 for a in (i - 2, i - 1, i))
+        phrase = any(re.search(rf"(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])", low) for p in quality_rules.BOILERPLATE)
+        date = re.search(quality_rules.DATE_LINE.replace("\\z", r"\Z"), low)
+        links = len(re.findall(r"https?://|www[.]", x))
+        capitals = sum("A" <= c <= "Z" for c in x) if not re.search("[a-z]", x) else 0
+        out.append(
+            len(re.findall(quality_rules.ODD_MARKS, x)) > 0.25 * n or x.endswith(("...", "…")) or capitals >= 10 or sum(c in "|»›·" for c in x) > 0.25 * n or (links > 0 and 2 * links >= n)
+            or bool(0 < n <= 8 and date) or (item[i] and run) or (0 < n <= 20 and phrase)
+        )
+    return out
+
+
+LINES = [
+    "Home", "About us", "Contact", "", " ", "The first sentence stands here.", "In the catalog in front of the blog in question.", "Please log in", "LOG IN!", "Mentions légales", "Aviso legal.", "xaviso legal", "Posted on 12/03/2021", "12:30 am",
+    "2021-03-12", "They met on 12/03/2021 at noon and left.", "https://a.example/b", "See https://a.example/b for the rest of it.", "www.a.example www.b.example", "Read more about this in the long report that follows below, which has many more words than twenty.",
+    "To be continued...", "And so on…", "ALL CAPITALS HERE", "NASA", "ÉCOLE NORMALE SUPÉRIEURE DE PARIS", "a | b | c", "Home › News › Sport", "What?! No!!", "x # y", "one two three four", "one two three four five", "end\r", "Nutzungsbedingungen", "conditions d'utilisation", "\u2028", "Zum Inhalt springen",
+]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(LINES), max_size=12), min_size=1, max_size=40))
+def test_quality_line_rules(spark, texts):
+    frame = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality_rules.judge(frame).collect():
+        lines = r["row"]["text"].split("\n")
+        bad = bad_lines(r["row"]["text"])
+        assert r["clean_text"].split("\n") == ([x for x, b in zip(lines, bad, strict=True) if not b] or [""]), (lines, bad)
+        assert r["n_lines_removed"] == sum(bad)
+
+
 def test_quality_lines(spark):
     prose = " ".join(f"word{i}" for i in range(60)) + "."
     junk = " ".join(f"w{i}$$$" for i in range(10))
