@@ -4,91 +4,95 @@
    folder (they are few, the texts are not carried on).
 2. Document frequencies of the licence words over all files give their IDF. The vocabulary of the templates
    bounds that table.
-3. For each template a file's highest-IDF words of that template that it holds are looked up. Positions less
-   the word's place in the template are possible starts; the starts of the looked-up words are intersected.
-4. A start counts when the template's key phrase stands, word by word, at its place after that start.
-
-Nulls and empty texts have no words, no labels and a score of 0. Repeated rows give repeated results; a null id
-stays null. Other columns are not read, so their names cannot clash.
+3. For each template a file's highest-IDF words of that template that it holds are looked up. A word's positions less
+   its places in the template are possible starts; the starts of the looked-up words are intersected, with
+   the template's drift to spare.
+4. A start counts when all key phrases of the template stand, word by word, at their places after it, within the drift, and when
+   the rarity of the template's words in place covers enough of all its words'.
+
+Nulls and empty texts have no words, no labels and a score of 0. A text of any length is one row's work, on its licence words alone. Equal starts
+of a template count once. Repeated rows give repeated results; a null id stays null. An empty table gives no rows. Other columns are not
+read, so their names cannot clash; an id named like a result raises an error.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import re
-from typing import NamedTuple
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, no_clash
+from .license_texts import STOP_WORDS, TEMPLATES, Template
 
 #: Runs of ASCII letters and digits and of characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 
 
-class Template(NamedTuple):
-    label: str
-    text: str
-    key: str
-    base: bool = False
-
-
-# Labels, licence phrases and their key phrases. No indexed word has a k, whose lower case a
-# character beyond ASCII (the kelvin sign) shares.
-TEMPLATES = [
-    Template("mit", "mit license", "mit license", True),
-    Template("apache", "apache license", "apache license", True),
-    Template("gpl", "general public license", "general public license", True),
-    Template("lgpl", "gnu lesser general public license", "lesser general public license"),
-    Template("agpl", "gnu affero general public license", "affero general public license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
-    Template("bsd", "bsd license", "bsd license"),
-    Template("mpl", "mozilla public license", "mozilla public license"),
-    Template("epl", "eclipse public license", "eclipse public license"),
-    Template("isc", "isc license", "isc license"),
-    Template("cc", "licensed under a creative commons attribution license", "creative commons"),
-    Template("unlicense", "free and unencumbered software released into the public domain", "unencumbered software released"),
-]
-# Words of the templates that are too frequent to index.
-STOP_WORDS = {"a", "and", "any", "are", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "copy", "free"}
+def places(t: Template) -> list[tuple[str, int]]:
+    """The template's indexed words with their places."""
+    return [(w, i) for i, w in enumerate(t.text.split()) if w not in STOP_WORDS]
 
 
-def _places(text: str, stop: set[str]) -> list[tuple[str, int]]:
-    return [(w, i) for i, w in enumerate(text.split()) if w not in stop]
-
-
-def _key_places(t: Template) -> list[tuple[str, int]]:
-    at = re.search(rf"\b{t.key}\b", t.text).start()
-    before = len(t.text[:at].split())
-    return [(w, before + i) for i, w in enumerate(t.key.split())]
+def key_places(t: Template) -> list[tuple[list[str], int]]:
+    """The words of each key phrase and its first place in the template."""
+    words = t.text.split()
+    found = []
+    for key in t.keys:
+        k = key.split()
+        found.append((k, next(i for i in range(len(words)) if words[i : i + len(k)] == k)))
+    return found
 
 
 def vocabulary(templates: list[Template]) -> list[str]:
-    return sorted({w for t in templates for w, _ in _places(t.text, STOP_WORDS) + _key_places(t)})
+    """The words whose positions are kept: indexed ones and those of key phrases."""
+    return sorted({w for t in templates for w, _ in places(t)} | {w for t in templates for k in t.keys for w in k.split()})
 
 
 def word_hits(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """Per file: number of words, and its licence words with their positions."""
+    """Per file: number of words, and the ascending positions of each licence word that it holds."""
     split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
     placed = F.transform("words", lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("pos")))
-    return split.select("id", F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda h: h["w"].isin(words)).alias("hits"))
+    hits = split.select("id", F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda h: h["w"].isin(words)).alias("hits"))
+    return hits.select("id", "n_words", F.array_distinct(F.transform("hits", lambda h: h["w"])).alias("held"), "hits")
+
 
+def _literal(rows: list[tuple], fields: str) -> Column:
+    """A constant array of structs, in one expression."""
+    names = [f.split(":")[0] for f in fields.split(", ")]
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{fields}>>")
 
-def _starts_of(word: str, place: int) -> Column:
-    return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["pos"] - F.lit(place))
+
+def _at(word: Column) -> Column:
+    return F.coalesce(F.col("at")[word], F.array().cast("array<int>"))
+
+
+def _key_stands(words: list[str], place: int, near: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    """Whether a key phrase's words follow one another near their place after a start."""
+    rest = _literal(list(enumerate(words))[1:], "k:int, w:string") if len(words) > 1 else None
+    follow = lambda x: F.lit(True) if rest is None else F.forall(rest, lambda q: F.array_contains(_at(q["w"]), x + q["k"]))
+    return lambda s: F.exists(_at(F.lit(words[0])), lambda x: near(x, s + place) & follow(x))
 
 
 def _match(t: Template, idf: dict[str, float], lookups: int) -> Column:
-    """The template's verified starts, and the IDF share of its words that stand at one of those."""
-    places = sorted(_places(t.text, STOP_WORDS), key=lambda p: (-idf[p[0]], p))
-    by_rarity = F.array(*[_starts_of(*p) for p in places])
-    looked_up = F.slice(F.filter(by_rarity, lambda s: F.size(s) > 0), 1, lookups)
-    starts = F.aggregate(F.slice(looked_up, 2, lookups), F.coalesce(F.get(looked_up, F.lit(0)), F.array().cast("array<int>")), lambda a, s: F.array_intersect(a, s))
-    for p in _key_places(t):
-        starts = F.array_intersect(starts, _starts_of(*p))
-    return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.array_distinct(starts).alias("starts"), F.array(*[F.struct(_starts_of(*p).alias("at"), F.lit(idf[p[0]]).alias("idf")) for p in places]).alias("words"))
+    """The template's verified starts, and the largest share of its words' IDF that stands in place after one of those."""
+    # a word's first place in the template leads the look-up; the rarest first
+    indexed = _literal(sorted(((w, i, idf[w]) for w, i in places(t)), key=lambda p: (-p[2], p[1])), "w:string, i:int, idf:double")
+    near = lambda x, y: F.abs(x - y) <= t.drift
+    looked_up = F.slice(F.filter(indexed, lambda q: F.size(_at(q["w"])) > 0), 1, lookups)
+    lists = F.transform(looked_up, lambda q: F.transform(_at(q["w"]), lambda x: x - q["i"]))
+    starts = F.coalesce(F.get(lists, F.lit(0)), F.array().cast("array<int>"))
+    starts = F.filter(starts, lambda s: F.forall(F.slice(lists, 2, lookups), lambda other: F.exists(other, lambda x: near(x, s))))
+    for words, i in key_places(t):
+        starts = F.filter(starts, _key_stands(words, i, near))
+    every = sum(idf[w] for w, _ in places(t))
+    share = lambda s: F.aggregate(indexed, F.lit(0.0), lambda a, q: a + F.when(F.exists(_at(q["w"]), lambda x: near(x, s + q["i"])), q["idf"]).otherwise(0.0)) / every
+    # looked-up words may lie a drift apart, and so may their starts: each place of the rarest one counts once
+    found = F.filter(F.transform(F.array_distinct(starts), lambda s: F.struct(s.alias("start"), share(s).alias("share"))), lambda m: m["share"] >= t.covered)
+    return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), found.alias("found"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] = TEMPLATES, lookups: int = 3) -> DataFrame:
@@ -96,31 +100,30 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     matches: label and start words of each template that was found. score: the largest IDF share of a found
     template's words that stand in their places, 0 when none is found."""
+    no_clash(id_col, RESULTS)
     words = vocabulary(templates)
     hits = materialise(word_hits(docs, id_col, text_col, words), "license-hits")
     total = hits.count()
-    seen = {r["w"]: r["n"] for r in hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    seen = {r["w"]: r["n"] for r in hits.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     idf = {w: math.log(1 + (total + 1) / (seen.get(w, 0) + 1)) for w in words}
 
-    found = hits.select("id", "n_words", F.when(F.size("hits") > 0, F.array(*[_match(t, idf, lookups) for t in templates])).alias("m"))
-    found = found.select("id", "n_words", F.coalesce(F.filter("m", lambda m: F.size(m["starts"]) > 0), F.filter(F.col("m"), lambda m: F.lit(False)), F.array().cast(found.schema["m"].dataType)).alias("m"))
-
-    def share(m: Column) -> Column:
-        every = F.aggregate(m["words"], F.lit(0.0), lambda a, w: a + w["idf"])
-        here = F.aggregate(m["words"], F.lit(0.0), lambda a, w: a + F.when(F.arrays_overlap(w["at"], m["starts"]), w["idf"]).otherwise(0.0))
-        return here / every
-
+    by_word = F.map_from_arrays("held", F.transform("held", lambda w: F.transform(F.filter("hits", lambda h: h["w"] == w), lambda h: h["pos"])))
+    placed = hits.select("id", "n_words", F.when(F.size("held") > 0, by_word).alias("at"))
+    matched = [_match(t, idf, lookups) for t in templates]
+    tried = placed.select("id", "n_words", F.when(F.col("at").isNotNull(), F.filter(F.array(*matched), lambda m: F.size(m["found"]) > 0)).alias("m"))
+    found = tried.select("id", "n_words", F.coalesce("m", F.array().cast(tried.schema["m"].dataType)).alias("m"))
     base = F.filter("m", lambda m: m["base"])
-    places = F.flatten(F.transform(base, lambda m: m["starts"]))
+    starts = F.flatten(F.transform(base, lambda m: F.transform(m["found"], lambda f: f["start"])))
     joined = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    shares = F.flatten(F.transform("m", lambda m: F.transform(m["found"], lambda f: f["share"])))
     return found.select(
         F.col("id").alias(id_col),
         "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.col("m")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("m", share)), F.lit(0.0)).alias("score"),
-        F.transform("m", lambda m: F.struct(m["label"].alias("label"), m["starts"].alias("starts"))).alias("matches"),
+        F.least(F.coalesce(F.array_max(shares), F.lit(0.0)), F.lit(1.0)).alias("score"),
+        F.transform("m", lambda m: F.struct(m["label"].alias("label"), F.transform(m["found"], lambda f: f["start"]).alias("starts"))).alias("matches"),
     )
