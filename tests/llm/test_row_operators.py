@@ -1,6 +1,7 @@
 """Operators that judge a row by itself, against plain Python."""
 
 import collections
+import json
 import math
 import random
 import re
@@ -373,15 +374,112 @@ def test_decontamination_by_shuffle(spark):
     assert joined.count((4, 9, 1.0)) == 4 and (None, None, 1.0) in joined and (2, None, 1.0) in joined
 
 
+def chats_by_hand(messages, calls, fields):
+    """All rows of format_chats in plain Python: (conv_id, turn, kind, call_id, linked, valid, problems, order_turn, order_depth, json)."""
+    most = lambda *x: max((v for v in x if v is not None), default=None)
+    text = lambda d: json.dumps({k: v for k, v in sorted(d.items()) if v is not None}, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
+    first, n = {}, collections.Counter()
+    nulls_first = lambda t: tuple((v is not None, v) if not isinstance(v, list) else (True, [(x is not None, x) for x in v]) for v in t)
+    for conv, turn, call, tool, arguments, uses in calls:
+        if call is not None:
+            n[conv, call] += 1
+            row = (turn, tool, arguments, uses or [])
+            first[conv, call] = min(first.get((conv, call), row), row, key=nulls_first)
+    result_turns = collections.defaultdict(list)
+    for conv, turn, _, _, of in messages:
+        if of is not None:
+            result_turns[conv, of].append(turn)
+    result_at = {k: min((t for t in v if t is not None), default=None) for k, v in result_turns.items()}
+    uses = {k: {(k[0], u) for u in v[3] if (k[0], u) in first} for k, v in first.items()}
+    unknown = {k for k, v in first.items() if any(u is not None and (k[0], u) not in first for u in v[3])}
+    at = {k: v[0] for k, v in first.items()}
+    for _ in range(len(first) + 1):
+        at = {k: most(t, *[most(at[u], result_at.get(u)) for u in uses[k]]) for k, t in at.items()}
+    tied = {k: {u for u in uses[k] if most(at[u], result_at.get(u)) == at[k] and at[k] is not None} for k in first}
+    waits = {k: {u for u in tied[k] if at[u] == at[k]} for k in first}
+    depth: dict = {}
+    for _ in range(len(first) + 1):
+        for k in first:
+            if all(u in depth for u in waits[k]):
+                depth[k] = max([3 if tied[k] - waits[k] else 1, *[depth[u] + 2 for u in waits[k]]])
+
+    def wrong(tool, arguments, more):
+        try:
+            v = json.loads(arguments) if arguments is not None else None
+        except ValueError:
+            v = None
+        out = ([] if tool in {f.tool for f in fields} else ["unknown tool"]) + ([] if isinstance(v, dict) else ["arguments are not an object"])
+        for f in fields:
+            if tool == f.tool:
+                x = v.get(f.name) if isinstance(v, dict) else None
+                kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+                if x is None:
+                    out += [f"{f.name} is missing"] * f.required
+                elif not isinstance(x, kinds[f.kind]) or (isinstance(x, bool) and f.kind != "boolean"):
+                    out.append(f"{f.name} is not {f.kind}")
+        return out + more, v
+
+    out = []
+    for conv, turn, role, content, of in messages:
+        if of is None:
+            out.append((conv, turn, "message", None, False, True, (), turn, 0, text({"content": content, "role": role})))
+        elif (conv, of) in first:
+            k = (conv, of)
+            to = most(turn, at[k])
+            out.append((conv, turn, "result", of, True, True, (), to, depth.get(k, 1) + 1 if to is not None and to == at[k] else 2, text({"content": content, "name": first[k][1], "role": "tool", "tool_call_id": of})))
+        else:
+            out.append((conv, turn, "result", of, False, False, ("no such call",), turn, 2, text({"content": content, "role": "tool", "tool_call_id": of})))
+    for conv, turn, call, tool, arguments, _ in calls:
+        k = (conv, call)
+        if call is None:
+            found, v = wrong(tool, arguments, [])
+            out.append((conv, turn, "call", None, False, False, ("no identifier", *found), turn, 1, text({"arguments": v, "name": tool, "role": "tool_call"})))
+            continue
+        found, v = wrong(tool, arguments, ["repeated identifier"] * (n[k] > 1) + ["uses an unknown call"] * (k in unknown) + ["circular use"] * (k not in depth))
+        later = turn is not None and at[k] is not None and turn > at[k]
+        out.append((conv, turn, "call", call, k in result_at, not found, tuple(found), most(turn, at[k]), 1 if later else depth.get(k, 1), text({"arguments": v, "id": call, "name": tool, "role": "tool_call"})))
+    return out
+
+
+CHAT_COLUMNS = ["conv_id", "turn", "kind", "call_id", "linked", "valid", "problems", "order_turn", "order_depth", "json"]
+MESSAGES = "conv_id long, turn long, role string, text string, result_of string"
+CALLS = "conv_id long, turn long, call_id string, tool string, arguments string, uses array<string>"
+
+
+def chats(found):
+    return [tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in found.select(*CHAT_COLUMNS).collect()]
+
+
 def test_chat_formatting(spark, sf):
+    """The whole table, row by row."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
-    got = chat_format.format_chats(*chat_format.from_turns(turns), chat_format.REPLY).collect()
-    rows = turns.collect()
-    users = {(r["conv_id"], r["turn"]) for r in rows if r["role"] == "user"}
-    answers = [(r["conv_id"], r["turn"]) for r in rows if r["role"] == "assistant"]
-    assert sum(r["kind"] == "call" for r in got) == len(users)
-    assert sum(r["kind"] == "result" and r["linked"] for r in got) == sum((c, t - 1) in users for c, t in answers)
-    assert sum(r["kind"] != "call" for r in got) == len(rows)
+    messages, calls = [], []
+    for r in turns.collect():
+        messages.append((r["conv_id"], r["turn"], r["role"], r["text"], f"{r['conv_id']}:{r['turn'] - 1}" if r["role"] == "assistant" else None))
+        if r["role"] == "user":
+            arguments = {"words": len(re.split(r"\s+", r["text"].strip(" "))), "prompt": r["text"]}
+            calls.append((r["conv_id"], r["turn"], f"{r['conv_id']}:{r['turn']}", "reply", json.dumps(arguments), [f"{r['conv_id']}:{r['turn'] - 2}"] if r["turn"] >= 2 else []))
+    got = chats(chat_format.format_chats(*chat_format.from_turns(turns), chat_format.REPLY))
+    same(got, chats_by_hand(messages, calls, chat_format.REPLY))
+    assert sum(r[4] for r in got) > 50 and len(got) == len(messages) + len(calls)
+
+
+def test_chat_graphs(spark):
+    """Random calls that use one another, before and after, in circles and twice, with nulls and equal rows."""
+    rng = np.random.default_rng(9)
+    some = lambda *x: x[int(rng.integers(0, len(x)))]
+    turn = lambda: some(None, *range(5), *range(5), *range(5))
+    conv = lambda: some(None, *range(12))
+    name = lambda: some(None, *"abcdefgh", *"abcdefgh", "zz")
+    bodies = [None, "{}", "[1]", "{bad", '{"words":2,"prompt":"p"}', '{"prompt":"é","words":1,"more":{"z":1,"b":[1,2,null]}}', '{"words":"2","prompt":1}', '{"words":true,"prompt":"p"}']
+    messages = [(conv(), turn(), some("user", "tool", None), some("x", "", None), some(None, name())) for _ in range(300)]
+    calls = [(conv(), turn(), name(), some("reply", "nope", None), some(*bodies), [name() for _ in range(int(rng.integers(0, 3)))]) for _ in range(160)]
+    calls += calls[:5]
+    chain = [(50, 1, f"c{i}", "reply", bodies[4], [f"c{i - 1}"] if i else None) for i in range(4)]
+    got = chats(chat_format.format_chats(spark.createDataFrame(messages, MESSAGES), spark.createDataFrame(calls + chain, CALLS), chat_format.REPLY))
+    same(got, chats_by_hand(messages, calls + chain, chat_format.REPLY))
+    assert {r[3]: r[8] for r in got if r[0] == 50} == {"c0": 1, "c1": 3, "c2": 5, "c3": 7}
+    assert any("circular use" in r[6] for r in got) and any("uses an unknown call" in r[6] for r in got) and any("repeated identifier" in r[6] for r in got)
 
 
 def test_chat_cases(spark):
@@ -400,6 +498,7 @@ def test_chat_cases(spark):
         "conv_id long, turn long, call_id string, tool string, arguments string, extra int",
     )
     got = chat_format.format_chats(messages, calls, chat_format.REPLY).collect()
+    assert sum(r["kind"] == "call" for r in got) == 6  # those of one identifier are rows of their own
     call = {(r["conv_id"], r["call_id"]): r for r in got if r["kind"] == "call"}
     assert call[1, "a"]["valid"] and call[1, "a"]["linked"]
     assert call[1, "a"]["json"] == '{"arguments":{"more":{"b":[1,2],"z":1},"prompt":"p","words":2},"id":"a","name":"reply","role":"tool_call"}'
