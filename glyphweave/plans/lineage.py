@@ -22,8 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder of this application's scratch tables."""
+    return f"{shared_folder(spark)}/glyphweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Results that were not written elsewhere cannot be read after that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/glyphweave/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it."""
-    path = f"{shared_folder(df.sparkSession)}/glyphweave/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

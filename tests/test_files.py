@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 
 import numpy as np
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphweave.operators import graph, linking, selection, vectors
 from glyphweave.operators.measures import best_assignment
+from glyphweave.plans import lineage
 from glyphweave.sources import ocr
 from glyphweave.streaming.constraint_log import Reduced, _apply, replay, replay_stream
 from glyphweave.streaming.ingest import ingest
@@ -239,3 +241,11 @@ def test_two_passes_and_attached(spark):
     assert descriptor == [("nlp_word", 1), ("font_word", 2), ("geometry_phrase", 1)]
     assert {r.word_id: r.vec for r in found.collect()} == {0: [0.05, 0.1, 0.1, 2.0], 1: [0.05, 0.21, 0.1, 2.0], 2: [0.05, 0.1, 0.17, 1.0]}
     assert vectors.attached(words, phrases, {})[1] == []
+
+
+def test_scratch_tables_are_deleted(spark):
+    table = lineage.written(spark.range(3).toDF("x"), "numbers")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    lineage.clear_scratch(spark)
+    assert not os.path.exists(path)
