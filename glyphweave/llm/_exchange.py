@@ -57,7 +57,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress  # a chunk crosses several shuffles
         for batch in batches:
             parts = np.asarray(batch.column("part"))
             for k in np.unique(parts).tolist():
@@ -100,9 +100,10 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "part", "chunk", "keys", "counts"])
 
 
-def count_keys(sent: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """For each sent row the corpus counts of its keys, in its order: over parts 0 and 1, over part 1 alone, and whether
-    part 2 has them. most: larger counts are given as that, where their size is not asked for.
+def count_keys(sent: DataFrame, name: str, most: int | None = None, held_from: int | None = None) -> DataFrame:
+    """For each sent row the corpus counts of its keys, in its order: over parts 0 and 1; over part 1 alone, for rows of that part; and, of
+    kinds from held_from on, for rows of parts 0 and 1 whether part 2 has them, as bits. most: larger counts are given as that, where
+    their size is not asked for.
 
     n_keys, n_total, n_part_1, n_repeated: of the bucket, on one of its rows; keys and counts over parts 0 and 1, and keys counted twice or more."""
 
@@ -115,19 +116,28 @@ def count_keys(sent: DataFrame, name: str, most: int | None = None) -> DataFrame
         every, one = np.bincount(at, count * (part < 2), len(uniq)), np.bincount(at, count * (part == 1), len(uniq))
         two = np.bincount(at, part == 2, len(uniq)) > 0
         ends = np.cumsum(sizes)
-        cut = lambda x, kind=np.uint64: [pack((x if most is None else np.minimum(x, most))[at[b - n : b]].astype(kind)) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        limited = every if most is None else np.minimum(every, most)
+        cuts = [at[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        of_part, flagged = pdf["part"].tolist(), held_from is not None and int(pdf["kind"].iloc[0]) >= held_from
+        counts = [pack(limited[c].astype(np.uint64)) for c in cuts]
+        in_part_1 = [pack(one[c].astype(np.uint64)) if p == 1 else None for c, p in zip(cuts, of_part, strict=True)]
+        in_part_2 = [pack(np.packbits(two[c])) if flagged and p < 2 else None for c, p in zip(cuts, of_part, strict=True)]
         first = np.zeros(len(pdf), np.int64)
         first[0] = 1
         of = {"n_keys": (every > 0).sum(), "n_total": every.sum(), "n_part_1": one.sum(), "n_repeated": (every > 1).sum()}
-        return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": cut(every), "in_part_1": cut(one), "in_part_2": cut(two, np.uint8), **{k: first * int(v) for k, v in of.items()}})
+        return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": counts, "in_part_1": in_part_1, "in_part_2": in_part_2, **{k: first * int(v) for k, v in of.items()}})
 
     return materialise(sent.groupBy("kind", "bucket").applyInPandas(total, COUNTED), name)
 
 
 def counts_of(pdf: pd.DataFrame, kind: int, column: str) -> np.ndarray:
-    """The counts of a chunk's ascending keys, from its rows of count_keys."""
+    """The counts (of in_part_2 the bits) of a chunk's ascending keys, from its rows of count_keys."""
     rows = pdf[pdf["kind"] == kind].sort_values("bucket")
-    return np.concatenate([unpack(x, np.uint8 if column == "in_part_2" else np.uint64) for x in rows[column]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    if column == "in_part_2":
+        return np.concatenate([np.unpackbits(unpack(x, np.uint8), count=len(unpack(n, np.uint64))) for x, n in zip(rows[column], rows["counts"], strict=True)]).astype(np.int64)
+    return np.concatenate([unpack(x, np.uint64) for x in rows[column]]).astype(np.int64)
 
 
 def with_counts(chunks: DataFrame, counted: DataFrame, f: Callable[[pd.Series, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

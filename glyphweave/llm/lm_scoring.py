@@ -42,7 +42,7 @@ class Tokens:
     def __init__(self, lengths: bytes, text: bytes, part: int):
         t = Texts(chunk_texts(lengths, text))
         docs = len(t.counts)
-        self.training = part < 2
+        self.part, self.training = part, part < 2
         self.first = t.first + np.arange(docs + 1)
         self.token = np.full(len(t.starts) + docs, END, U64)
         word = np.ones(len(self.token), bool)
@@ -71,15 +71,20 @@ class Tokens:
         return out
 
     def counted(self, answers: pd.DataFrame, orders: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """By order from 1 to `orders`, of which answers are there: training counts of the n-grams at each token, those of the deleted part
-        (asked for by its own texts alone: what is seen once is theirs), and whether held-out texts have them."""
+        """By order from 1 to `orders`, of which answers are there: training counts of the n-grams at each token; in the deleted part's texts those
+        of that part (what is seen once is theirs); in training texts, from two tokens on, whether held-out texts have them."""
         every, deleted, held = [], [], []
         for k in range(1, orders + 1):
             asked = np.flatnonzero(self.open(every, held, k))
             _, at = np.unique(self.grams(k)[asked], return_inverse=True)
-            for out, column, known in ((every, "counts", int(self.training)), (deleted, "in_part_1", 1), (held, "in_part_2", int(not self.training))):
-                out.append(np.full(len(self.token), known, np.int64))
-                out[-1][asked] = counts_of(answers, k - 1, column)[at]
+            every.append(np.full(len(self.token), int(self.training), np.int64))
+            every[-1][asked] = counts_of(answers, k - 1, "counts")[at]
+            if self.part == 1:
+                deleted.append(np.ones(len(self.token), np.int64))
+                deleted[-1][asked] = counts_of(answers, k - 1, "in_part_1")[at]
+            held.append(np.zeros(len(self.token), np.int64))
+            if self.training and k > 1:
+                held[-1][asked] = counts_of(answers, k - 1, "in_part_2")[at]
         return every, deleted, held
 
     def open(self, every: list[np.ndarray], held: list[np.ndarray], order: int) -> np.ndarray:
@@ -151,7 +156,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if rows:
                     yield as_batch(rows)
 
-    counted = count_keys(chunks.select("chunk", "part", "lengths", "text").mapInArrow(first_orders, SENT), "counts")
+    counted = count_keys(chunks.select("chunk", "part", "lengths", "text").mapInArrow(first_orders, SENT), "counts", held_from=1)
     columns = [c.split()[0] for c in SENT.split(", ")]
     for k in range(3, order + 1):
 
@@ -159,7 +164,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             t = read(r)
             return pd.DataFrame(rows_of(t, r, k, t.open(*t.counted(answers, k - 1)[::2], k)), columns=columns)
 
-        counted = counted.union(count_keys(with_counts(chunks, counted, longer, SENT), f"counts-{k}"))
+        counted = counted.union(count_keys(with_counts(chunks, counted, longer, SENT), f"counts-{k}", held_from=1))
     total = counted.filter("kind = 0").agg(F.sum("n_keys"), F.sum("n_total"), F.sum("n_part_1")).first()
     distinct, n_all, n_deleted = (int(x or 0) for x in total)
     uniform = 1 / (distinct + 1)
