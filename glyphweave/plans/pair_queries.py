@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import linking
-from .catalog import CLEAN, MV, M, W, clean, register
+from .catalog import CLEAN, MV, M, W, clean, register, register_by_word
 
 _INSIDE = "select u.doc_id, u.word_id as a, v.word_id as b, 1 as label, 0.9::double as confidence from fx_members u join fx_members v on u.doc_id = v.doc_id and u.phrase_id = v.phrase_id and u.word_id < v.word_id"
 _MANUAL = """select distinct u.doc_id, least(u.word_id, v.word_id) as a, greatest(u.word_id, v.word_id) as b, 0 as label, 1.5::double as confidence
@@ -77,7 +77,7 @@ def _a5(m):
     return linking.boxed_phrases(m).select("doc_id", "phrase_id", "mean_h")
 
 
-@register("f18_close_heights", (M,), f", p as ({_BOXES}) select u.doc_id, u.phrase_id as a, v.phrase_id as b from p u join p v on u.doc_id = v.doc_id and u.phrase_id <> v.phrase_id where u.mean_h / v.mean_h > 0.75 and u.mean_h / v.mean_h < 1.25")
+@register_by_word("f18_close_heights", (M,), f", p as ({_BOXES})", "select u.doc_id, u.phrase_id as a, v.phrase_id as b from p u join p v on u.doc_id = v.doc_id and u.phrase_id <> v.phrase_id where u.mean_h / v.mean_h > 0.75 and u.mean_h / v.mean_h < 1.25")
 def _f18(m):
     return linking.close_heights(linking.boxed_phrases(m))
 
@@ -97,14 +97,10 @@ _METRICS = {
     "j8_horizontal_v2": (0.05, {"version": "v2"}, _XGAP, f"{_AHEAD_X} and {_ROW}"),
     "j8_vertical_v2": (0.05, {"version": "v2", "direction": "vertical"}, _YGAP, f"{_AHEAD_Y} and {_BESIDE}"),
 }
+_SIZES = ", s as (select doc_id, least(1.0, min(w)) as min_w, least(1.0, min(h)) as min_h from clean group by doc_id)"
 for _name, (_t, _kw, _dist, _near) in _METRICS.items():
-    register(
-        _name,
-        (W,),
-        CLEAN
-        + f""", s as (select doc_id, least(1.0, min(w)) as min_w, least(1.0, min(h)) as min_h from clean group by doc_id)
-select u.doc_id, u.word_id as a, v.word_id as b, round({_dist}, 9) as dist from clean u join clean v on u.doc_id = v.doc_id and u.word_id <> v.word_id join s on s.doc_id = u.doc_id where {_near} and {_dist} < {_t}""",
-    )(lambda w, t=_t, kw=_kw: linking.edges(clean(w), t, **kw).withColumn("dist", F.round("dist", 9)))
+    _select = f"select u.doc_id, u.word_id as a, v.word_id as b, {_dist} as dist from clean u join clean v on u.doc_id = v.doc_id and u.word_id <> v.word_id join s on s.doc_id = u.doc_id where {_near} and {_dist} < {_t}"
+    register_by_word(_name, (W,), CLEAN + _SIZES, _select, {"dist": 6})(lambda w, t=_t, kw=_kw: linking.edges(clean(w), t, **kw))
 
 
 @register("j9_geometric_distance", (M,), f""", p as ({_BOXES}) select u.doc_id, u.phrase_id as a, v.phrase_id as b, round(0.4 * (1 - least(v.h / u.h, u.h / v.h)) + 0.4 * least(abs(u.l + u.w - v.l), abs(v.l + v.w - u.l))
@@ -143,13 +139,13 @@ def _j16(m):
     return linking.phrase_pairs(m)
 
 
-@register("j19_push_pairs", (M,), """ select u.doc_id, u.word_id as a, v.word_id as b, case when u.phrase_id = v.phrase_id then 1 else 0 end as label, case when u.phrase_id = v.phrase_id then 0.9::double else 0.6::double end as confidence
-from fx_members u join fx_members v on u.doc_id = v.doc_id and u.word_id < v.word_id""")
+@register_by_word("j19_push_pairs", (M,), "", """select u.doc_id, u.word_id as a, v.word_id as b, case when u.phrase_id = v.phrase_id then 1 else 0 end as label, case when u.phrase_id = v.phrase_id then 0.9::double else 0.6::double end as confidence
+from fx_members u join fx_members v on u.doc_id = v.doc_id and u.word_id < v.word_id""", {"label": 0, "confidence": 6})
 def _j19(m):
     return linking.push_pairs(m)
 
 
-@register("j20_ner_pairs", (MV,), " select u.doc_id, u.word_id as a, v.word_id as b from fx_mvec u join fx_mvec v on u.doc_id = v.doc_id and u.word_id < v.word_id where u.ner_tag > 0 and v.ner_tag > 0 and u.ner_tag <> v.ner_tag")
+@register_by_word("j20_ner_pairs", (MV,), "", "select u.doc_id, u.word_id as a, v.word_id as b from fx_mvec u join fx_mvec v on u.doc_id = v.doc_id and u.word_id < v.word_id where u.ner_tag > 0 and v.ner_tag > 0 and u.ner_tag <> v.ner_tag")
 def _j20(m):
     return linking.ner_pairs(m)
 

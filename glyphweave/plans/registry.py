@@ -8,7 +8,7 @@ from ..functions import geometry as geo
 from ..operators import constraints, graph, layout, linking, measures
 from . import choice_queries, pair_queries, score_queries  # noqa: F401
 from .vector_queries import FARTHEST_SQL, MUTUAL_SQL, NEAREST_SQL
-from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register  # noqa: F401
+from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register, register_by_word  # noqa: F401
 from .lineage import written
 
 
@@ -120,19 +120,24 @@ def _j18(c):
     return constraints.side_pairs(c)
 
 
-@register("j22_height_pairs", (W,), " select u.doc_id, u.word_id as a, v.word_id as b from fx_words u join fx_words v on u.doc_id = v.doc_id and u.word_id < v.word_id where greatest(u.h, v.h) >= 1.5 * least(u.h, v.h)")
+@register_by_word("j22_height_pairs", (W,), "", "select u.doc_id, u.word_id as a, v.word_id as b from fx_words u join fx_words v on u.doc_id = v.doc_id and u.word_id < v.word_id where greatest(u.h, v.h) >= 1.5 * least(u.h, v.h)")
 def _j22(w):
     return constraints.height_pairs(w)
 
 
+def _by_rank(near, k):
+    """One row per word, its others by rank from 2."""
+    return near.groupBy("doc_id", "word_id").agg(*[F.max(F.when(F.col("rank") == r, F.col("other"))).alias(f"other_{r}") for r in range(2, k + 2)])
+
+
 @register("t1_nearest_words", (V,), NEAREST_SQL)
 def _t1(v):
-    return constraints.nearest(v, 6)
+    return _by_rank(constraints.nearest(v, 6), 6)
 
 
 @register("t2_farthest_words", (V,), FARTHEST_SQL)
 def _t2(v):
-    return constraints.nearest(v, 3, farthest=True)
+    return _by_rank(constraints.nearest(v, 3, farthest=True), 3)
 
 
 @register("t3_mutual_neighbours", (V,), MUTUAL_SQL)

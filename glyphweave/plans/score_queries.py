@@ -6,38 +6,37 @@ from pyspark.sql import functions as F
 
 from ..operators import affinity, linking, losses
 from ..operators.constraints import side_pairs
-from .catalog import MV, V, register
+from .catalog import MV, V, register, register_by_word
 
-_BLOCK = """, b as (select doc_id, phrase_id, avg(h) as mean_h from fx_mvec group by doc_id, phrase_id),
+_CLOSE = """, b as (select doc_id, phrase_id, avg(h) as mean_h from fx_mvec group by doc_id, phrase_id),
 close as (select u.doc_id, u.phrase_id as a, v.phrase_id as b from b u join b v on u.doc_id = v.doc_id and u.phrase_id <> v.phrase_id where u.mean_h / v.mean_h > 0.75 and u.mean_h / v.mean_h < 1.25),
-c as (select doc_id, phrase_id, pos, vec::double[] as vec from (select *, max(length(text)) over (partition by doc_id, phrase_id) as most from fx_mvec) where length(text) >= 3 or most < 3),
-d as (select u.doc_id, u.phrase_id as a, v.phrase_id as b, list_distance(u.vec, v.vec) as d,
-  row_number() over (partition by u.doc_id, u.phrase_id, v.phrase_id order by u.pos, v.pos) - 1 as k, count(*) over (partition by u.doc_id, u.phrase_id, v.phrase_id) as n
+c as (select doc_id, phrase_id, row_number() over (partition by doc_id, phrase_id order by pos) - 1 as i, vec::double[] as vec from (select *, max(length(text)) over (partition by doc_id, phrase_id) as most from fx_mvec) where length(text) >= 3 or most < 3)"""
+_BLOCK = _CLOSE + """, d as (select u.doc_id, u.phrase_id as a, v.phrase_id as b, list_distance(u.vec, v.vec) as d
   from close x join c u on u.doc_id = x.doc_id and u.phrase_id = x.a join c v on v.doc_id = x.doc_id and v.phrase_id = x.b)"""
+# of a phrase's m and another's n words, in order, the pair at place m n // 2
+_MIDDLE = _CLOSE + """, k as (select doc_id, phrase_id, count(*) as n from c group by doc_id, phrase_id),
+mid as (select x.doc_id, a, b, (p.n * q.n // 2) // q.n as i, (p.n * q.n // 2) % q.n as j from close x join k p on p.doc_id = x.doc_id and p.phrase_id = a join k q on q.doc_id = x.doc_id and q.phrase_id = b),
+d as (select m.doc_id, a, b, list_distance(u.vec, v.vec) as d from mid m join c u on u.doc_id = m.doc_id and u.phrase_id = a and u.i = m.i join c v on v.doc_id = m.doc_id and v.phrase_id = b and v.i = m.j)"""
 _SCORE = {
-    "mean": "avg(least(100, d * d / 1.5))",
-    "mean_without_log": "1 - avg(exp(-d * d / 1.5))",
-    "middle": "max(case when k = n // 2 then least(100, d * d / 1.5) end)",
-    "middle_without_log": "max(case when k = n // 2 then 1 - exp(-d * d / 1.5) end)",
+    "mean": (_BLOCK, "avg(least(100, d * d / 1.5))"),
+    "mean_without_log": (_BLOCK, "1 - avg(exp(-d * d / 1.5))"),
+    "middle": (_MIDDLE, "max(least(100, d * d / 1.5))"),
+    "middle_without_log": (_MIDDLE, "max(1 - exp(-d * d / 1.5))"),
 }
 
 
-for _how, _expr in _SCORE.items():
-    register("j11_affinity_" + _how, (MV,), f"{_BLOCK} select doc_id, a, b, round({_expr}, 6) as dist from d group by doc_id, a, b")(
-        lambda m, how=_how: affinity.neural_affinity(m, how).withColumn("dist", F.round("dist", 6))
+for _how, (_ctes, _expr) in _SCORE.items():
+    register_by_word("j11_affinity_" + _how, (MV,), _ctes, f"select doc_id, a, b, {_expr} as dist from d group by doc_id, a, b", {"dist": 6})(
+        lambda m, how=_how: affinity.neural_affinity(m, how)
     )
 
 
-_NO_WINDOW = _BLOCK.replace(""",
-  row_number() over (partition by u.doc_id, u.phrase_id, v.phrase_id order by u.pos, v.pos) - 1 as k, count(*) over (partition by u.doc_id, u.phrase_id, v.phrase_id) as n""", "")
-
-
-@register("j12_embedding_distance", (MV,), f"{_NO_WINDOW} select doc_id, a, b, round(1 - avg(d) / 2, 6) as dist, round(avg(d), 6) as l2_mean from d group by doc_id, a, b")
+@register_by_word("j12_embedding_distance", (MV,), _BLOCK, "select doc_id, a, b, 1 - avg(d) / 2 as dist, avg(d) as l2_mean from d group by doc_id, a, b", {"dist": 6, "l2_mean": 6})
 def _j12(m):
-    return affinity.embedding_distance(m).select("doc_id", "a", "b", F.round("dist", 6).alias("dist"), F.round("l2_mean", 6).alias("l2_mean"))
+    return affinity.embedding_distance(m).select("doc_id", "a", "b", "dist", "l2_mean")
 
 
-@register("g1_threshold_graph", (MV,), f"{_NO_WINDOW}, e as (select doc_id, a, b, 1 - avg(exp(-d * d / 1.5)) as dist from d group by doc_id, a, b) select distinct doc_id, least(a, b) as a, greatest(a, b) as b from e where round(dist, 9) < 0.6")
+@register("g1_threshold_graph", (MV,), f"{_BLOCK}, e as (select doc_id, a, b, 1 - avg(exp(-d * d / 1.5)) as dist from d group by doc_id, a, b) select distinct doc_id, least(a, b) as a, greatest(a, b) as b from e where round(dist, 9) < 0.6")
 def _g1(m):
     return affinity.threshold_graph(affinity.neural_affinity(m).withColumn("dist", F.round("dist", 9)), 0.6)
 
