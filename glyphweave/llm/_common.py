@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import scratch
 
 #: Words that white space separates, as a Java regular expression.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names."""
-    return f"{shared_folder(spark)}/glyphweave/{name}-{uuid.uuid4().hex}"
-
-
 def no_clash(id_col: str, results: list[str]) -> None:
     """An error where the id column has the name of a result (`name` or `name type`)."""
     if id_col in {r.split()[0] for r in results}:
@@ -26,7 +19,7 @@ def no_clash(id_col: str, results: list[str]) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it: lineage ends there and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,11 +6,14 @@ in a text must share a sketch hash with it, however long that text is: of n shin
 k is larger. Texts are probed for sketch hashes; texts with a hit are verified against the items' whole shingle sets.
 
 The index is built from the benchmark table alone. Its size is checked: up to most_broadcast characters it is sent to the
-executors and texts are read once, without a shuffle; beyond that, shingles and sketches are joined by hash under a key of the
-text itself, and each row takes the result of its text. Ids are carried along and never joined.
+executors and texts are read once, without a shuffle. Beyond that, a bitmap of fixed size of all sketch hashes is sent in its place: texts' shingles
+that it rules out go nowhere, the others are joined with the sketches by hash, and the shingles of texts with a hit alone are joined with the
+items'. There rows are known by a key of the text itself, and each row takes the result of its text. Both ways give the same rows. Ids are
+carried along and never joined.
 
 Words are runs of letters and digits, A-Z in lower case. Null and empty texts match nothing, and neither does an item of fewer
-than five words. Repeated rows give repeated results; items with a null id keep it. Other columns are kept inside `row`.
+than five words. A very long text is a batch of its own. Repeated rows give repeated results, equal items too; rows and items with a null id keep
+it. Empty tables give no rows. Other columns are kept inside `row`, so names cannot clash; an id named item_id or containment raises an error.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialise, no_clash
 from ._words import NOT_ALNUM, U64, Texts, blocks, windows
 
 SHINGLE = 5
@@ -141,18 +145,46 @@ def _hash_rows(df: DataFrame, text_col: str, containment: float | None) -> DataF
     return df.select(_text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("t")).mapInArrow(rows, "k binary, h long, n long, low boolean")
 
 
-def _leaks_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, containment: float) -> DataFrame:
+def _sketch_bitmap(low: DataFrame, bits: int) -> np.ndarray:
+    """Which of the 2 ** bits leading values of a hash some sketch has. 2 ** bits / 64 rows go to the driver at most."""
+    lead = low.select(F.shiftrightunsigned("h", 64 - bits).alias("x")).distinct()
+    words = np.zeros(1 << (bits - 6), U64)
+    for r in lead.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("b")).toLocalIterator():
+        words[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    return words
+
+
+def _probed(docs: DataFrame, text_col: str, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """d, h: the shingles of each text that the bitmap does not rule out."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        for block in blocks(batches, "t"):
+            t = Texts(block.column("t"), NOT_ALNUM)
+            h, of = windows(t.hashes(), t.first, SHINGLE)
+            lead = h >> U64(64 - bits)
+            at = np.flatnonzero(words[lead >> U64(6)] >> (lead & U64(63)) & U64(1))
+            yield pa.RecordBatch.from_arrays([block.column("d").take(pa.array(np.searchsorted(of, at, "right") - 1)), pa.array(h[at].view(np.int64))], ["d", "h"])
+
+    return docs.select(_text_key(F.col(text_col)).alias("d"), F.col(text_col).alias("t")).mapInArrow(rows, "d binary, h long").distinct()
+
+
+def _leaks_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, containment: float, bits: int = 27) -> DataFrame:
     """d, i, containment: the keys of each text and item text of which the second lies in the first. Joins shingles by hash; no ids."""
-    items = _hash_rows(benchmark, item_text_col, containment).withColumnRenamed("k", "i").distinct()
-    hashes = _hash_rows(docs, text_col, None).select(F.col("k").alias("d"), "h")
-    near = hashes.join(items.filter("low").select("h", "i"), "h").select("d", "i").distinct()
+    items = materialise(_hash_rows(benchmark, item_text_col, containment).withColumnRenamed("k", "i").distinct(), "items")
+    low = items.filter("low").select("h", "i")
+    near = materialise(_probed(docs, text_col, _sketch_bitmap(low, bits), bits).join(low, "h").select("d", "i").distinct(), "near")
+    hit = docs.select(F.col(text_col).alias("t"), _text_key(F.col(text_col)).alias("d")).join(near.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+    hashes = _hash_rows(hit, "t", None).select(F.col("k").alias("d"), "h")
     both = hashes.join(items.select("h", "i", "n"), "h").join(near, ["d", "i"], "left_semi")
-    found = both.groupBy("d", "i", "n").agg(F.count_distinct("h").alias("shared"))
+    found = both.groupBy("d", "i", "n").agg(F.count("*").alias("shared"))
     return found.filter(F.col("shared") >= containment * F.col("n") - 1e-9).select("d", "i", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = 0.8, most_broadcast: int = 32 << 20) -> DataFrame:
     """id, item_id, containment of each text and item whose shingles lie in it to `containment` or more."""
+    no_clash(id_col, ["item_id", "containment"])
     if _small(benchmark, item_text_col, most_broadcast):
         marked = mark_contaminated(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, containment)
         return marked.select(F.col("row")[id_col].alias(id_col), F.explode("leaks").alias("x")).select(id_col, "x.item_id", "x.containment")

@@ -2,20 +2,22 @@
 
 1. Equal sets are one set (its signature); one set's answers are the answers of all its copies.
 2. Shingles are in the order of a hash. A set's prefix is longer than what two linked sets may differ in by e shingles, so two
-   linked sets share more than e prefix shingles. Prefix postings are exchanged once; shingles of one set alone are dropped, and so is
-   every set whose prefix shares too few.
-3. Sets that share one of their first shared shingles get one label (minimum labels over a few rounds). Lists are skipped in blocks: a
-   label's sets are dealt into blocks by size class, and blocks whose sizes or labels cannot link are not compared.
-4. In a pair of blocks the sets' distances to a leader are computed. By the triangle inequality they decide most pairs: a set's
-   answers follow from those of the similar leader. Only sets with undecided pairs are compared. A task emits a link count per
-   set and a spanning forest, not the pairs.
-5. Pairs with different labels come from the shared prefix shingles, rarest first and without each set's most frequent ones, and are
-   verified on whole sets.
+   linked sets share more than e prefix shingles. Prefix postings, with the shingle's place in the set, are exchanged once; shingles of one set
+   alone are dropped, and so is every set whose prefix shares too few.
+3. Sets that share one of their first shared shingles get one label (minimum labels over a few rounds). A label's sets are dealt into blocks by
+   size class, and blocks whose sizes cannot link are not compared.
+4. In a pair of blocks, sets that are highly similar to one leader have their differences to it computed. The distances to the leader decide most
+   pairs by the triangle inequality; the rest of a set's answers is derived from the leader's by the differences alone. A task emits a link
+   count per set and a spanning forest, not the pairs.
+5. Pairs with different labels come from the shared prefix shingles, rarest first and without each set's most frequent ones. A shingle's list
+   is in the order of its places, and only the block of it is read whose places are near enough for a link; sets of the list's most frequent
+   label do not look for partners in it. What is left is verified on whole sets.
 6. Components are minimum labels over the forests' edges.
 
 Null, empty and blank texts have an empty set, are linked with nothing and are their own component. Fewer words than a shingle's are one
 shingle. Rows with a null id take no part: their component is null and they have no links. Repeated rows are copies of one another.
-An empty table gives no rows. Only the id and the text are read, so other columns cannot clash.
+An empty table gives no rows. Only the id and the text are read, so other columns cannot clash; an id named like a
+result raises an error.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, materialise, partitions
+from ._common import buckets_for, materialise, no_clash, partitions
 from ._exchange import bucket_borders, pack, pack_sorted, unpack, unpack_sorted
 from ._words import U64, Texts, blocks, windows
 
@@ -38,7 +40,7 @@ SHINGLE, PERCENT = 5, 80
 #: Shared prefix shingles that two linked sets have beyond one, per cent of the set's size.
 EXTRA = 15
 #: Most sets of a label that one task compares whole, most sets of a block of a larger label, and bytes of either.
-SMALL, BLOCK, BLOCK_BYTES = 256, 1024, 4 << 20
+SMALL, BLOCK, BLOCK_BYTES = 256, 512, 4 << 20
 #: Leaders of a block at most, and their sets' least similarity to them, per cent. Sets without a leader are compared on their own shingles.
 LEADERS, SIMILAR = 8, 60
 #: Shingles per set and rounds of the labels; more of either give fewer and larger labels, with the same links.
@@ -286,6 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, n_links (rows that link with it directly, its copies included)."""
+    no_clash(id_col, ["n_shingles", "component_id", "n_links"])
     p = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialise(base.mapInArrow(_profiles, "id long, n long, sig long"), "profiles")

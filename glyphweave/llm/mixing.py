@@ -10,7 +10,8 @@ every shard has exact quotas and takes the next, disjoint, permuted blocks of ea
 to their block's draws (a broadcast of bounded size) and ordered inside a shard by a hash.
 
 A null source is a source of its own, last in order. Rows without words have size 0 and are taken as often as
-their block. Repeated rows share a block and are each counted. An empty table gives no rows. All draws depend on
+their block. Repeated rows share a block and are each counted. A text of any length is one row's work. All columns are kept inside `row`, so names cannot
+clash. An empty table gives no rows. All draws depend on
 the seed and on the rows alone, so reruns agree. Up to driver_sources sources go to the driver, one number per source and
 block; of more, neighbours in order are drawn and split in tasks, each group a population of its own, and the block table is
 joined by shuffle unless it is small.

@@ -5,7 +5,9 @@ take turns; in its turn a shard claims the first slot of its permutation that is
 differ by one at most, and most slots keep their shard when one shard is added or removed. The table's size is a
 parameter, so it is broadcast whatever the input; a row's shard is one hash and one lookup.
 
-A null key has the hash of a null and so one fixed slot. Equal keys share a slot. An empty table stays empty.
+A null key has the hash of a null and so one fixed slot. Equal keys share a slot, repeated rows too. Texts of any length are hashed whole. An empty
+table stays empty. Other columns are not read by `place`, and kept inside `row` by `write_shards`, so their names cannot clash; a key named like a
+result raises an error.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import no_clash
+
 TABLE_SIZE = 65_537
 
 
@@ -44,8 +48,9 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """The key with its slot and shard number; the table of `size` rows is broadcast."""
+    no_clash(key, ["slot", "shard"])
     table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), "slot int, shard int")
-    return df.select(F.col(key), slot(F.col(key), size).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    return df.select(F.col(f"`{key}`").alias(key), slot(F.col(f"`{key}`"), size).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, parts: int = 8, size: int = TABLE_SIZE) -> None:

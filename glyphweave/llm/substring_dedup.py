@@ -6,8 +6,9 @@ hashes are sent once per chunk of texts, sorted and merged; the answers come bac
 out, so short hashes serve them; the last level has 64-bit hashes of whole windows.
 
 Words that a repeated window covers, in whatever text, are removed; windows are judged on the input. A null text has no words. A text of
-fewer words than a window keeps all. Repeated rows are copies of one another and lose what their windows cover. Null ids stay null. An empty
-table gives no rows. Only the id and the text are read, so other columns cannot clash.
+fewer words than a window keeps all. A very long text is a chunk of its own. Repeated rows are copies of one another and lose what their windows cover. Null ids stay null. An empty
+table gives no rows. Only the id and the text are read, so other columns cannot clash; an id named like a result
+raises an error.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import no_clash
 from ._exchange import SENT, as_batch, buckets_of, chunk_table, chunk_texts, count_keys, counts_of, sent_rows, with_counts
 from ._words import U64, Texts, windows
 
 #: Bits of the lower levels' hashes: they may take a few windows more for repeated.
 SHORT_BITS = 44
+RESULTS = ["n_words", "n_removed", "kept_sha256", "spans"]
 
 
 def level_lengths(window: int, shortest: int) -> list[int]:
@@ -68,6 +71,7 @@ def _alive(t: Texts, words: np.ndarray, lengths: list[int], counted: pd.DataFram
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shortest: int = 5) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (kept words, one space between), spans (first and last removed word of each stretch)."""
+    no_clash(id_col, RESULTS)
     chunks = chunk_table(docs, id_col, text_col)
     buckets = buckets_of(chunks)
     lengths = level_lengths(window, shortest)
@@ -120,4 +124,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((i, b - a, gone, hashlib.sha256(kept).hexdigest(), [{"from": int(x), "to": int(y) - 1} for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
         return pd.DataFrame(out, columns=[id_col, "n_words", "n_removed", "kept_sha256", "spans"]).astype({id_col: "Int64"})
 
-    return with_counts(chunks, counted, finish, f"{id_col} long, n_words long, n_removed long, kept_sha256 string, spans array<struct<from:long,to:long>>")
+    return with_counts(chunks, counted, finish, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, spans array<struct<from:long,to:long>>")

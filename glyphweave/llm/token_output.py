@@ -8,7 +8,8 @@ and lengths, the planes and the directories, each compressed; Spark's Parquet wr
 lost task leaves nothing behind.
 
 A null text is an empty one and has its end id alone. A null id sorts first. Texts with the same id stand in the order
-of their texts; repeated rows are each written. An empty table writes no shard.
+of their texts; repeated rows are each written. A very long text makes its shard as long. An empty table writes no shard. Only the id and the text
+are read, so other columns cannot clash; an id named like a result raises an error.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, scratch_path
+from ..plans.lineage import scratch
+from ._common import no_clash, partitions
 from ._words import blocks
 
 MAGIC, BLOCK = b"WMX1", 512
+DIGESTS = ["start", "n_tokens", "ids_crc32", "shard", "at", "before"]
 
 
 class WaveletShard:
@@ -265,6 +268,7 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 23) -> DataFrame:
     """Write the shards (shard, n_tokens, content) under path in ascending id order, and return that table."""
     spark = docs.sparkSession
+    no_clash(id_col, DIGESTS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = piece_tokenizer(tokenizer_path)
@@ -321,7 +325,7 @@ def read_digests(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(to.tolist(), made.lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made.doc_ids, mask=~made.known), pa.array(to - made.lengths), pa.array(made.lengths), pa.array(crc, pa.int64()), pa.array([k] * len(crc), pa.int64())], [id_col, "at", "n_tokens", "ids_crc32", "shard"])
 
-    docs = shards.select("shard", "content").mapInArrow(decode, f"{id_col} long, at long, n_tokens long, ids_crc32 long, shard long")
+    docs = shards.select("shard", "content").mapInArrow(decode, f"`{id_col}` long, at long, n_tokens long, ids_crc32 long, shard long")
     # One row per shard, a few bytes each, meets here: shards before a shard are summed.
     before = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
     return docs.join(before, "shard").select(id_col, (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
@@ -329,5 +333,5 @@ def read_digests(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def write_and_digest(docs: DataFrame, tokenizer_path: str, **kw) -> DataFrame:
     """Write the shards in the shared folder and read the texts' digests back from the files."""
-    shards = write_tokens(docs, scratch_path(docs.sparkSession, "tokens"), tokenizer_path, **kw)
+    shards = write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer_path, **kw)
     return read_digests(shards, kw.get("id_col", "doc_id"))
