@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: five stages, each written and read again before the next."""
+"""A training-data pipeline over `documents`: five stages, each written and read again before the next.
+
+All stages but the last keep all columns, whatever their names. Rows with null ids pass all stages, as rows of their own; null and empty texts are
+rejected by `quality` as too short. Equal rows are copies: `near_duplicates` keeps one where they have an id. Texts of any length go whole. An
+empty table stays empty."""
 
 from __future__ import annotations
 
@@ -48,8 +52,8 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: Link components, block draws and a tokenizer are beyond SQL. Tests compare the rows of decontamination with plain Python, those of quality and
-#: source_mixing with their operators' verdicts and draws; near_duplicates and token_files by columns, counts and gapless starts alone.
+#: Link components, block draws and a tokenizer are beyond SQL. Tests compare the rows of near_duplicates, decontamination and token_files with plain
+#: Python, those of quality and source_mixing with their operators' verdicts and draws, chained on a small corpus with edge rows.
 ORACLE_SQL = None
 
 

@@ -50,7 +50,7 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) ->
     """The key with its slot and shard number; the table of `size` rows is broadcast."""
     no_clash(key, ["slot", "shard"])
     table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), "slot int, shard int")
-    return df.select(F.col(f"`{key}`").alias(key), slot(F.col(f"`{key}`"), size).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    return df.select(F.col(f"`{key}`").alias(key), slot(F.col(f"`{key}`"), size).alias("slot")).join(F.broadcast(table), "slot").select(f"`{key}`", "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, parts: int = 8, size: int = TABLE_SIZE) -> None:

@@ -1,12 +1,17 @@
 """The pipeline's stages, chained on the small corpus."""
 
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+from tokenizers import Tokenizer
 
 from glyphweave.llm import mixing, quality_rules, queries
 
+from test_jaccard_join import by_hand
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -42,6 +47,14 @@ def test_rows_of_stages(spark, sf, docs):
     assert Counter(map(tuple, clean.collect())) == want
     assert want[(300001, f"{filler}\n{end}", None, None, len(f"{filler}\n{end}"))] == 2
 
+    # one row of each group of near copies stays: that of the smallest id; rows without an id all do
+    ids = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    component = {i: c for i, _, c, _ in by_hand(ids) if i is not None}
+    single = stages["near_duplicates"](spark, clean, sf).cache()
+    every = Counter(map(tuple, clean.collect()))
+    stay = Counter({r: n if r[0] is None else 1 for r, n in every.items() if r[0] is None or component[r[0]] == r[0]})
+    assert Counter(map(tuple, single.collect())) == stay and len(stay) < len(every)
+
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
     sets = [g for _, t in bench if (g := grams(t))]
@@ -53,4 +66,24 @@ def test_rows_of_stages(spark, sf, docs):
     times = Counter()
     for r in mixing.mix(pure, shards=len(queries.SHARDS)).collect():
         times[tuple(r["row"])] += len(r["shards"])
-    assert Counter(map(tuple, stages["source_mixing"](spark, pure, sf).collect())) == +times
+    mixed = stages["source_mixing"](spark, pure, sf).cache()
+    assert Counter(map(tuple, mixed.collect())) == +times
+
+    tokenizer, want, start = Tokenizer.from_file(queries.tokenizer_path()), [], 0
+    for r in sorted(map(tuple, mixed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        tokens = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r[0], start, len(tokens), zlib.crc32(tokens.tobytes())))
+        start += len(tokens)
+    assert sorted((tuple(r)[:4] for r in stages["token_files"](spark, mixed, sf).collect()), key=lambda r: r[1]) == want
+
+
+def test_stages_of_empty_and_odd_tables(spark, sf, empty, clashing):
+    """Each stage on no rows, on a row of nulls, on equal rows, and with columns of the names that stages use."""
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, empty.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+        got = stage(spark, nulls, sf)
+        assert got.count() == (0 if name == "quality" else 2) or name == "source_mixing", name
+        odd = stage(spark, clashing.union(clashing), sf)
+        assert name == "token_files" or odd.columns == clashing.columns
+        assert odd.count() == {"quality": 0, "near_duplicates": 1, "decontamination": 2, "source_mixing": 2, "token_files": 2}[name]

@@ -482,6 +482,34 @@ def test_chat_graphs(spark):
     assert any("circular use" in r[6] for r in got) and any("uses an unknown call" in r[6] for r in got) and any("repeated identifier" in r[6] for r in got)
 
 
+def test_turns_with_nulls_and_repeats(spark):
+    """Nulls in any column, equal rows, columns of other names and an empty table."""
+    schema = "conv_id long, turn long, role string, text string, call_id string, valid int"
+    turns = [(1, 0, "user", "a b", None, 1), (1, 1, "assistant", "c", "x", 1), (1, 2, "user", None, None, 1), (1, 2, "user", None, None, 1), (None, 0, "user", "d", None, 1), (2, None, "assistant", "e", None, None), (3, 0, None, "f", None, 1), (3, 1, "assistant", None, None, 1)]
+    frame = spark.createDataFrame(turns, schema)
+    messages, calls = [], []
+    for conv, turn, role, text, _, _ in turns:
+        known = conv is not None and turn is not None
+        messages.append((conv, turn, role, text, f"{conv}:{turn - 1}" if role == "assistant" and known else None))
+        if role == "user":
+            arguments = {"words": len(re.split(r"\s+", text.strip(" ")))} | {"prompt": text} if text is not None else {"words": None}
+            calls.append((conv, turn, f"{conv}:{turn}" if known else None, "reply", json.dumps({k: v for k, v in arguments.items() if v is not None}), [f"{conv}:{turn - 2}"] if known and turn >= 2 else None))
+    got = chats(chat_format.format_chats(*chat_format.from_turns(frame), chat_format.REPLY))
+    same(got, chats_by_hand(messages, calls, chat_format.REPLY))
+    assert chat_format.format_chats(*chat_format.from_turns(frame.limit(0)), chat_format.REPLY).count() == 0
+
+
+def test_ids_named_like_results(spark, clashing):
+    for call in (
+        lambda: sharding.place(clashing.withColumnRenamed("doc_id", "slot"), "slot", ["a"], 101),
+        lambda: token_output.write_and_digest(clashing.withColumnRenamed("doc_id", "start"), queries.tokenizer_path(), id_col="start"),
+        lambda: decontaminate.find_leaks(clashing.withColumnRenamed("doc_id", "item_id"), clashing, "item_id"),
+    ):
+        with pytest.raises(ValueError, match="name of a result"):
+            call()
+    assert sharding.place(clashing.withColumnRenamed("doc_id", "a.b").withColumn("slot", F.lit(1)), "a.b", ["x", "y"], 101).columns == ["a.b", "slot", "shard"]
+
+
 def test_chat_cases(spark):
     messages = spark.createDataFrame(
         [(1, 0, "user", "hi", None), (1, 1, "tool", "late", "b"), (1, 3, "tool", None, "a"), (1, 4, "tool", "x", "zz"), (None, 1, "tool", "n", "a"), (2, None, "user", None, None), (1, 3, "tool", None, "a")], "conv_id long, turn long, role string, text string, result_of string"
