@@ -1,0 +1,98 @@
+"""Kernels, components, heads, page-wise batches and result rows against numpy and plain Python."""
+
+import numpy as np
+import pytest
+
+from glyphweave.operators import constraints, vectors
+from glyphweave.operators.paged import over_pages
+from glyphweave.sources import ocr
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    """Pages of one to forty words, named by text."""
+    rng = np.random.default_rng(11)
+    rows = [(f"page {d}", w, int(rng.integers(0, 3)), rng.normal(size=5).tolist()) for d in range(20) for w in range(int(rng.integers(1, 40)))]
+    return rows, spark.createDataFrame(rows, "doc_id string, word_id int, label int, vec array<double>").repartition(3)
+
+
+def pages(rows):
+    out: dict = {}
+    for d, w, _, x in rows:
+        out.setdefault(d, {})[w] = np.array(x)
+    return out
+
+
+@pytest.mark.parametrize("kernel", ["linear", "cosine", "poly", "sigmoid", "rbf"])
+def test_gram(words, kernel):
+    rows, frame = words
+    forms = {
+        "linear": lambda x, y: x @ y, "cosine": lambda x, y: x @ y / np.linalg.norm(x) / np.linalg.norm(y), "poly": lambda x, y: (x @ y + 1) ** 3, "sigmoid": lambda x, y: np.tanh(x @ y + 1),
+        "rbf": lambda x, y: np.exp(-((x - y) ** 2).sum()),
+    }
+    got = {(r.doc_id, r.a, r.b): r.k for r in vectors.gram(frame, kernel).collect()}
+    want = {(d, a, b): forms[kernel](x, y) for d, p in pages(rows).items() for a, x in p.items() for b, y in p.items()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], v) for k, v in want.items())
+
+
+def test_kernel_components(words):
+    rows, frame = words
+    got = {(r.doc_id, r.word_id): r.vec for r in vectors.kernel_components(vectors.gram(frame), 2).collect()}
+    for d, p in pages(rows).items():
+        x = np.stack([p[w] for w in sorted(p)])
+        u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        for k in range(2):
+            want = u[:, k] * s[k] if k < len(s) else np.zeros(len(x))
+            assert np.allclose(np.abs([got[d, w][k] for w in sorted(p)]), np.abs(want), atol=1e-6)
+
+
+def test_principal(words):
+    rows, frame = words
+    x = np.array([r[3] for r in rows])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = np.abs(x @ axes[:, np.argsort(-values)[:2]])
+    got = {(r.doc_id, r.word_id): r.vec for r in vectors.principal(frame, 2).collect()}
+    assert np.allclose(np.abs([got[r[0], r[1]] for r in rows]), want, atol=1e-6)
+
+
+def test_head(spark):
+    """Separable classes are told apart."""
+    rng = np.random.default_rng(12)
+    rows = [(1, i, i % 3, (np.eye(3)[i % 3] * 5 + rng.normal(0, 0.3, 3)).tolist()) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, word_id int, label int, vec array<double>")
+    for r in vectors.head_scores(frame, vectors.fit_head(frame)).collect():
+        assert r.predicted == r.word_id % 3 and np.isclose(sum(r.probability), 1)
+
+
+def test_pages_cut_by_batches(spark, words):
+    """A page's rows stay together however batches cut them, and rows without a page are left out."""
+    rows, frame = words
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        lone = spark.createDataFrame([(None, 1, 0, [1.0])], frame.schema)
+        got = over_pages(frame.union(lone), ["word_id", "vec"], ["word_id"], lambda w, x: (np.array([len(w)]), np.array([x.sum()])), {"n": "long", "total": "double"}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.doc_id: r.n for r in got} == {d: len(p) for d, p in pages(rows).items()} and len(got) == 20
+    assert all(np.isclose(r.total, sum(x.sum() for x in pages(rows)[r.doc_id].values())) for r in got)
+    assert over_pages(frame.limit(0), ["word_id"], ["word_id"], lambda w: (w,), {"w": "int"}).count() == 0
+
+
+def test_mutual_weights(spark):
+    lists = {0: [1, 2], 1: [0, 2], 2: [0, 3], 3: [2, 0], 4: [0, 1]}
+    near = spark.createDataFrame([(7, w, o, k + 2) for w, others in lists.items() for k, o in enumerate(others)], "doc_id long, word_id int, other int, rank int")
+    got = {(r.a, r.b): (r.degree_a, r.degree_b, r.weight) for r in constraints.mutual_weights(near, near.select("doc_id", "word_id").distinct()).collect()}
+    # mutual pairs 0-1, 0-2, 2-3: degrees 2, 1, 2, 1, 0, of mean 6 / 5
+    assert got.keys() == {(0, 1), (0, 2), (2, 3)} and got[0, 2][:2] == (2, 2) and got[0, 1][:2] == (2, 1)
+    assert all(np.isclose(w, 1.2 / np.sqrt(a * b)) for a, b, w in got.values())
+
+
+def test_result_rows(spark):
+    members = spark.createDataFrame([(1, w, t, 0.1 * w, 0.2, 0.05, 0.1, p, k) for w, t, p, k in ((0, "a", 0, 1), (1, "b", 0, 2), (2, "c", 2, 1))], "doc_id long, word_id int, text string, l double, t double, w double, h double, phrase_id int, pos int")
+    clusters = spark.createDataFrame([(1, 2, 9), (1, 0, 4)], "doc_id long, word_id int, cluster int")
+    (row,) = ocr.result_rows(members, clusters).collect()
+    assert [(w.DetectedText, w.PhraseId, w.ClusterId, w.Type) for w in row.Words] == [("a", 0, 0, "Word"), ("b", 0, 1, "Word"), ("c", 1, 2, "Word")]
+    assert [p.DetectedText for p in row.Phrases] == ["a b", "c"] and np.isclose(row.Phrases[0].Geometry.BoundingBox.Width, 0.15)
+    (bare,) = ocr.result_rows(members, clusters.limit(0)).collect()
+    assert [w.ClusterId for w in bare.Words] == [-1, -1, -1]
