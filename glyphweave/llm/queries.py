@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, jaccard_sql, license_scan, lm_scoring, mixing, quality_rules, quality_sql, repeats_sql, sharding, substring_dedup, token_output
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, jaccard_sql, license_scan, lm_scoring, mixing, periodic_runs, quality_rules, quality_sql, ranked_search, ranked_sql, repeats_sql, sharding, substring_dedup, token_output
 from ._common import tables
 
 #: Output shards of the sharding and mixing queries.
@@ -70,9 +70,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    return ranked_search.search(docs, benchmark)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return periodic_runs.digest(periodic_runs.find_runs(docs, seed=F.crc32(F.col("doc_id").cast("string"))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard_sql.JACCARD, "op4_benchmark_decontamination": repeats_sql.LEAKS, "op6_quality_rules": quality_sql.QUALITY, "op9_substring_dedup": repeats_sql.REPEATS}
+    return {"op3_jaccard_join": jaccard_sql.JACCARD, "op4_benchmark_decontamination": repeats_sql.LEAKS, "op6_quality_rules": quality_sql.QUALITY, "op9_substring_dedup": repeats_sql.REPEATS, "op11_ranked_search": ranked_sql.SEARCH}
