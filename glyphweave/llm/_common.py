@@ -17,6 +17,14 @@ def no_clash(id_col: str, results: list[str]) -> None:
         raise ValueError(f"the id column has the name of a result: {id_col}")
 
 
+def integer_ids(df: DataFrame, *columns: str) -> None:
+    """An error, before anything runs, where an id column does not hold integers."""
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise TypeError(f"ids must be integers, but the column {c} is {kind}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it: lineage ends there and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, materialise, partitions
+from ._common import buckets_for, integer_ids, materialise, partitions
 from ._words import U64, blocks
 
 
@@ -71,6 +71,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, part: Column | None
                     )
                     seq += 1
 
+    integer_ids(docs, id_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.lit(0) if part is None else part).cast("int").alias("part"))
     return materialise(base.mapInArrow(rows, "chunk long, part int, ids array<long>, lengths binary, text binary, size long"), "chunks")
 

@@ -29,6 +29,8 @@ from ._common import materialise, no_clash
 from ._words import NOT_ALNUM, U64, Texts, blocks, windows
 
 SHINGLE = 5
+#: What an item's row counts beside its text where items are measured for broadcasting.
+ITEM_BYTES = 100
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +105,19 @@ def find_in_block(texts: pa.Array, sketches: Index, shingles: Index, sizes: np.n
     return doc[ok], item[ok], shared[ok]
 
 
-def _small(benchmark: DataFrame, text_col: str, most: int) -> bool:
-    return (benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0) <= most
+def askable(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """The items that have a shingle's words, which their characters bound: shorter ones cannot be found in any text."""
+    return benchmark.filter(F.length(text_col) >= 2 * SHINGLE - 1)
+
+
+def _small(items: DataFrame, text_col: str, most: int) -> bool:
+    """Whether the items' texts and their rows, of ITEM_BYTES each, are no more than `most` bytes."""
+    return (items.agg(F.sum(F.octet_length(text_col) + ITEM_BYTES)).first()[0] or 0) <= most
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = 0.8) -> DataFrame:
     """All columns of docs and `leaks`: an array of (item position, containment), empty for a clean text. The benchmark is broadcast."""
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").collect()
+    rows = askable(benchmark, item_text_col).select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").collect()
     ids = [r["i"] for r in rows]
     sent = docs.sparkSession.sparkContext.broadcast(build_index([r["t"] for r in rows], containment))
     schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
@@ -185,6 +193,7 @@ def _leaks_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str, item_te
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = 0.8, most_broadcast: int = 32 << 20) -> DataFrame:
     """id, item_id, containment of each text and item whose shingles lie in it to `containment` or more."""
     no_clash(id_col, ["item_id", "containment"])
+    benchmark = askable(benchmark, item_text_col)
     if _small(benchmark, item_text_col, most_broadcast):
         marked = mark_contaminated(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, containment)
         return marked.select(F.col("row")[id_col].alias(id_col), F.explode("leaks").alias("x")).select(id_col, "x.item_id", "x.containment")
@@ -196,6 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 32 << 20, **kw) -> DataFrame:
     """The rows of docs in which no item lies, all columns."""
+    benchmark = askable(benchmark, kw.get("item_text_col", "text"))
     if _small(benchmark, kw.get("item_text_col", "text"), most_broadcast):
         marked = mark_contaminated(docs, benchmark, text_col, **kw).filter(F.size("leaks") == 0)
         return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns])

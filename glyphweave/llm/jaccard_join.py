@@ -15,7 +15,7 @@
 6. Components are minimum labels over the forests' edges.
 
 Null, empty and blank texts have an empty set, are linked with nothing and are their own component. Fewer words than a shingle's are one
-shingle. Rows with a null id take no part: their component is null and they have no links. Repeated rows are copies of one another.
+shingle. Ids are integers; others are an error. Rows with a null id take no part: their component is null and they have no links. Repeated rows are copies of one another.
 An empty table gives no rows. Only the id and the text are read, so other columns cannot clash; an id named like a
 result raises an error.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, materialise, no_clash, partitions
+from ._common import buckets_for, integer_ids, materialise, no_clash, partitions
 from ._exchange import bucket_borders, pack, pack_sorted, unpack, unpack_sorted
 from ._words import U64, Texts, blocks, windows
 
@@ -65,7 +65,7 @@ def signature(s: np.ndarray) -> int:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         sets = sets_of(block.column("text"))
-        yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["id", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([block.column("id"), block.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["id", "key", "n", "sig"])
 
 
 def _postings(buckets: int):
@@ -286,12 +286,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "root")
 
 
+def _key(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text, F.length(text))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, n_links (rows that link with it directly, its copies included)."""
+    """Per row: id, n_shingles, component_id, n_links (rows that link with it directly, its copies included). The ids are integers."""
     no_clash(id_col, ["n_shingles", "component_id", "n_links"])
+    out = _rows(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, key (of its text), n (its set's size), component_id, n_links, root (a set that stands for its set's component)."""
+    integer_ids(docs, id_col)
     p = partitions(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(base.mapInArrow(_profiles, "id long, n long, sig long"), "profiles")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key"))
+    rows = materialise(base.mapInArrow(_profiles, "id long, key long, n long, sig long"), "profiles")
     known = base.filter(F.col("id").isNotNull())
     groups = rows.filter("id is not null and n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
@@ -362,18 +374,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(edges)
     links = inside.filter("b is null").select("a", "links").union(between.select("a", "cb")).union(between.select("b", "ca")).groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links"))
     smallest = roots.join(able.select(F.col("sig").alias("v"), "rep"), "v").groupBy("root").agg(F.min("rep").alias("component"))
-    found = roots.join(smallest, "root").select(F.col("v").alias("sig"), "component")
-    answers = groups.join(found, "sig", "left").join(links, "sig", "left").select("sig", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.join(answers.withColumnsRenamed({"sig": "s", "n": "m"}), F.expr("sig = s and n = m"), "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")
-    )
+    found = roots.join(smallest, "root").select(F.col("v").alias("sig"), "component", F.col("root").alias("top"))
+    answers = groups.join(found, "sig", "left").join(links, "sig", "left")
+    answers = answers.select(F.col("sig").alias("s"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"), F.coalesce("top", "sig").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = rows.join(answers, F.expr("sig = s and n = m"), "left")
+    known = F.col("id").isNotNull()
+    return out.select("id", "key", "n", F.when(known, F.coalesce("component", "id")).alias("component_id"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.col("top")).alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's, all columns; of rows that repeat such an id one. Rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
-    stay = found.groupBy(id_col).agg(F.count("*").alias("n"), F.max((F.col("component_id") == F.col(id_col)).cast("int")).alias("own")).filter("own = 1")
-    single = docs.join(stay.filter("n = 1").select(id_col), id_col, "left_semi")
-    several = docs.join(stay.filter("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return single.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    """One row of each component, all columns: of the rows with its smallest id the one of a set that the text's key decides. Texts that are linked with nothing
+    all stay, whatever their ids, and equal rows of such once. Rows with a null id stay."""
+    found = _rows(docs, id_col, text_col).filter("id is not null").withColumn("own", F.struct((F.col("component_id") != F.col("id")).alias("other"), "id", "key"))
+    # a component's row is that of its smallest id, by its text's key; a text without words is a component of its own
+    group = F.coalesce(F.col("root"), F.xxhash64("id", "key")), F.col("root").isNull()
+    stay = found.groupBy(*[c.alias(k) for c, k in zip(group, ("g", "wordless"), strict=True)]).agg(F.min("own").alias("own")).select(F.col("own.id").alias("id"), F.col("own.key").alias("key"))
+    times = found.groupBy("id", "key").agg(F.count("*").alias("times"))
+    stay = stay.distinct().join(times, ["id", "key"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "times")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), _key(F.col(f"`{text_col}`")).alias("key"))
+    held = keyed.join(stay, F.expr("id = s_id and key = s_key"))
+    single = held.filter("times = 1").select("row")
+    several = held.filter("times > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(several).unionByName(keyed.filter("id is null").select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,11 +4,12 @@
    folder (they are few, the texts are not carried on).
 2. Document frequencies of the licence words over all files give their IDF. The vocabulary of the templates
    bounds that table.
-3. For each template a file's highest-IDF words of that template that it holds are looked up. A word's positions less
-   its places in the template are possible starts; the starts of the looked-up words are intersected, with
-   the template's drift to spare.
+3. For each template its highest-IDF words are looked up, down to the first that a match cannot lack: a key phrase's word, or the one with which
+   the looked-up words' rarity is more than a match may miss. So each match has one of them in place, whichever words an edited copy has
+   lost or has elsewhere. A word's positions less its places in the template are possible starts.
 4. A start counts when all key phrases of the template stand, word by word, at their places after it, within the drift, and when
-   the rarity of the template's words in place covers enough of all its words'.
+   the template's postings, intersected by their places relative to it, cover enough of the rarity of all its words. Of starts that lie no further apart
+   than the drift, one after another, the first counts.
 
 Nulls and empty texts have no words, no labels and a score of 0. A text of any length is one row's work, on its licence words alone. Equal starts
 of a template count once. Repeated rows give repeated results; a null id stays null. An empty table gives no rows. Other columns are not
@@ -77,25 +78,42 @@ def _key_stands(words: list[str], place: int, near: Callable[[Column, Column], C
     return lambda s: F.exists(_at(F.lit(words[0])), lambda x: near(x, s + place) & follow(x))
 
 
-def _match(t: Template, idf: dict[str, float], lookups: int) -> Column:
+def looked_up(t: Template, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The template's rarest words with their places: one of them at least stands in place in every match."""
+    indexed = sorted(places(t), key=lambda p: (-idf[p[0]], p[1]))
+    needed = {(w, i + k) for words, i in key_places(t) for k, w in enumerate(words)}
+    spare, out = (1 - t.covered) * sum(idf[w] for w, _ in indexed) + 1e-9, []
+    for place in indexed:
+        out.append(place)
+        spare -= idf[place[0]]
+        if place in needed or spare < 0:
+            break
+    return out
+
+
+def _match(t: Template, idf: dict[str, float]) -> Column:
     """The template's verified starts, and the largest share of its words' IDF that stands in place after one of those."""
-    # a word's first place in the template leads the look-up; the rarest first
-    indexed = _literal(sorted(((w, i, idf[w]) for w, i in places(t)), key=lambda p: (-p[2], p[1])), "w:string, i:int, idf:double")
+    indexed = _literal([(w, i, idf[w]) for w, i in places(t)], "w:string, i:int, idf:double")
     near = lambda x, y: F.abs(x - y) <= t.drift
-    looked_up = F.slice(F.filter(indexed, lambda q: F.size(_at(q["w"])) > 0), 1, lookups)
-    lists = F.transform(looked_up, lambda q: F.transform(_at(q["w"]), lambda x: x - q["i"]))
-    starts = F.coalesce(F.get(lists, F.lit(0)), F.array().cast("array<int>"))
-    starts = F.filter(starts, lambda s: F.forall(F.slice(lists, 2, lookups), lambda other: F.exists(other, lambda x: near(x, s))))
+    lists = F.transform(_literal(looked_up(t, idf), "w:string, i:int"), lambda q: F.transform(_at(q["w"]), lambda x: x - q["i"]))
+    starts = F.array_sort(F.array_distinct(F.flatten(lists)))
     for words, i in key_places(t):
         starts = F.filter(starts, _key_stands(words, i, near))
     every = sum(idf[w] for w, _ in places(t))
     share = lambda s: F.aggregate(indexed, F.lit(0.0), lambda a, q: a + F.when(F.exists(_at(q["w"]), lambda x: near(x, s + q["i"])), q["idf"]).otherwise(0.0)) / every
-    # looked-up words may lie a drift apart, and so may their starts: each place of the rarest one counts once
-    found = F.filter(F.transform(F.array_distinct(starts), lambda s: F.struct(s.alias("start"), share(s).alias("share"))), lambda m: m["share"] >= t.covered)
+    found = F.filter(F.transform(starts, lambda s: F.struct(s.alias("start"), share(s).alias("share"))), lambda m: m["share"] >= t.covered)
+    if t.drift:
+        # looked-up words may lie a drift apart, and so may their starts; a chain of those is one match, with the best of its shares
+        none = F.array().cast("array<struct<start:int,last:int,share:double>>")
+        joins = lambda a, m: F.coalesce(m["start"] - F.get(a, F.size(a) - 1)["last"] <= t.drift, F.lit(False))
+        ended = lambda a, m: F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), m["start"].alias("last"), F.greatest(F.get(a, F.size(a) - 1)["share"], m["share"]).alias("share"))
+        fresh = lambda m: F.struct(m["start"].alias("start"), m["start"].alias("last"), m["share"].alias("share"))
+        chains = F.aggregate(found, none, lambda a, m: F.when(joins(a, m), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(ended(a, m)))).otherwise(F.concat(a, F.array(fresh(m)))))
+        found = F.transform(chains, lambda m: F.struct(m["start"].alias("start"), m["share"].alias("share")))
     return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), found.alias("found"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] = TEMPLATES, lookups: int = 3) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """Per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     matches: label and start words of each template that was found. score: the largest IDF share of a found
@@ -109,7 +127,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     by_word = F.map_from_arrays("held", F.transform("held", lambda w: F.transform(F.filter("hits", lambda h: h["w"] == w), lambda h: h["pos"])))
     placed = hits.select("id", "n_words", F.when(F.size("held") > 0, by_word).alias("at"))
-    matched = [_match(t, idf, lookups) for t in templates]
+    matched = [_match(t, idf) for t in templates]
     tried = placed.select("id", "n_words", F.when(F.col("at").isNotNull(), F.filter(F.array(*matched), lambda m: F.size(m["found"]) > 0)).alias("m"))
     found = tried.select("id", "n_words", F.coalesce("m", F.array().cast(tried.schema["m"].dataType)).alias("m"))
     base = F.filter("m", lambda m: m["base"])

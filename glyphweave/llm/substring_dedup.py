@@ -6,7 +6,7 @@ hashes are sent once per chunk of texts, sorted and merged; the answers come bac
 out, so short hashes serve them; the last level has 64-bit hashes of whole windows.
 
 Words that a repeated window covers, in whatever text, are removed; windows are judged on the input. A null text has no words. A text of
-fewer words than a window keeps all. A very long text is a chunk of its own. Repeated rows are copies of one another and lose what their windows cover. Null ids stay null. An empty
+fewer words than a window keeps all. A very long text is a chunk of its own. Repeated rows are copies of one another and lose what their windows cover. Ids are integers; others are an error. Null ids stay null. An empty
 table gives no rows. Only the id and the text are read, so other columns cannot clash; an id named like a result
 raises an error.
 """

@@ -7,7 +7,7 @@ access, counting and the k-th occurrence of an id take one step per plane. A fil
 and lengths, the planes and the directories, each compressed; Spark's Parquet writer commits it as one row, so a
 lost task leaves nothing behind.
 
-A null text is an empty one and has its end id alone. A null id sorts first. Texts with the same id stand in the order
+A null text is an empty one and has its end id alone. Ids are integers; others are an error. A null id sorts first. Texts with the same id stand in the order
 of their texts; repeated rows are each written. A very long text makes its shard as long. An empty table writes no shard. Only the id and the text
 are read, so other columns cannot clash; an id named like a result raises an error.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import scratch
-from ._common import no_clash, partitions
+from ._common import integer_ids, no_clash, partitions
 from ._words import blocks
 
 MAGIC, BLOCK = b"WMX1", 512
@@ -303,8 +303,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if keys:
             yield shard()
 
+    integer_ids(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
+    # an id's texts are ranged by their beginnings, so that many of one id, or of none, are dealt out
+    rows = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions("id", "text")
     rows.mapInArrow(encode, "shard long, n_tokens long, content binary").write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
     return read_shards(spark, path)
 

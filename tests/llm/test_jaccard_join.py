@@ -84,6 +84,18 @@ def test_corpus(spark, docs, rows, empty, clashing):
     assert got(empty) == [] and got(clashing) == [(1, 2, 1, 0)] and jaccard_join.keep_one(clashing).columns == clashing.columns
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Rows that share an id: unlike texts all stay, copies and near copies once, whatever the partitions."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a + " more"
+    rows = [(7, a), (7, b), (7, a), (7, near), (3, c), (9, c), (9, b + " tail"), (5, ""), (5, ""), (5, None), (None, a), (None, a)]
+    want = [(7, {a, near}, 1), (7, {b}, 1), (3, {c}, 1), (5, {""}, 1), (5, {None}, 1), (None, {a}, 2)]
+    for n in (1, 4):
+        kept = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()]
+        assert len(kept) == sum(k for _, _, k in want)
+        assert all(sum(i == j and t in texts for j, t in kept) == k for i, texts, k in want), kept
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=8), st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=8))
 def test_linked_pairs(left, right):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from glyphweave.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, queries, sharding, token_output
+from glyphweave.llm import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, queries, sharding, substring_dedup, token_output
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 KEY = lambda r: tuple((v is not None, v) for v in r)
@@ -40,24 +40,40 @@ def test_license_scan(docs, rows, empty, clashing):
     assert license_scan.scan_licenses(clashing).count() == 1
 
 
-def labels_by_hand(words, idf, templates, lookups=3):
-    """Labels and score of a file's words, template by template and place by place."""
+def labels_by_hand(words, idf, templates):
+    """Labels and score of a file's words, template by template, from every start that any of its words may mean."""
     labels, score = set(), 0.0
     for t in templates:
-        indexed = sorted(license_scan.places(t), key=lambda p: (-idf[p[0]], p[1]))
+        indexed = license_scan.places(t)
         at = lambda w: [i for i, x in enumerate(words) if x == w]
-        looked_up = [(w, i) for w, i in indexed if w in words][:lookups]
-        for s in [x - looked_up[0][1] for x in at(looked_up[0][0])] if looked_up else []:
-            ok = all(any(abs(x - i - s) <= t.drift for x in at(w)) for w, i in looked_up)
-            for k, i in license_scan.key_places(t):
-                ok = ok and any(words[x : x + len(k)] == k for x in range(max(0, s + i - t.drift), s + i + t.drift + 1))
-            share = sum(idf[w] for w, i in indexed if any(abs(x - i - s) <= t.drift for x in at(w))) / sum(idf[w] for w, _ in indexed)
+        for s in sorted({x - i for w, i in indexed for x in at(w)}):
+            ok = all(any(words[x : x + len(k)] == k for x in range(max(0, s + i - t.drift), s + i + t.drift + 1)) for k, i in license_scan.key_places(t))
+            share = sum(idf[w] for w, i in indexed if ok and any(abs(x - i - s) <= t.drift for x in at(w))) / sum(idf[w] for w, _ in indexed)
             if ok and share >= t.covered:
                 labels.add(t.label)
                 score = max(score, share)
     return ",".join(sorted(labels)), score
 
 
+def test_edited_licenses_in_long_files(spark):
+    """A copy without some of its rarest words is found, whether or not these stand elsewhere in the file."""
+    texts = {t.label: t.text for t in license_scan.TEMPLATES if t.drift}
+    filler = "prose of its own that goes on for long " * 400
+    made = []
+    for label, x in texts.items():
+        t = next(t for t in license_scan.TEMPLATES if t.drift and t.label == label)
+        keys = {w for k in t.keys for w in k.split()}
+        rare = [w for w in sorted({w for w, _ in license_scan.places(t)} - keys, key=x.split().count)][:2]
+        edited = " ".join(w for w in x.split() if w not in rare)
+        made += [(label, edited), (label, f"{filler} {edited} {filler} {' '.join(rare)} {filler}"), (label, f"{' '.join(rare)} {filler} {edited}")]
+    frame = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in license_scan.scan_licenses(frame).collect()}
+    for k in range(0, len(made), 3):
+        found = [made[k][0] in got[k + j][0] for j in range(3)]
+        assert found in ([True] * 3, [False] * 3), (made[k][0], found)
+    assert sum(made[k][0] in got[k][0] for k in range(0, len(made), 3)) >= 8
+
+
 def test_license_texts(spark):
     texts = {t.label: t.text for t in license_scan.TEMPLATES if t.drift}
     prose = "some prose before it with words of its own "
@@ -76,7 +92,8 @@ def test_license_texts(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(frame).collect()}
     for i, x in enumerate(words):
         labels, score = labels_by_hand(x, idf, license_scan.TEMPLATES)
-        assert got[i][0] == labels and math.isclose(got[i][1], min(score, 1), abs_tol=1e-9), (made[i], got[i], labels, score)
+        # another of a match's starts, within the drift, may have a word more in place
+        assert got[i][0] == labels and min(score, 1) - 0.05 <= got[i][1] <= min(score, 1) + 1e-9, (made[i], got[i], labels, score)
     assert all(label in got[i][0].split(",") for i, label in enumerate(texts)) and len(texts) >= 10
     n = len(texts)
     assert [got[n + k][0] for k in range(3)] == ["bsd", "", "gpl"] and {"apache", "bsd", "mit"} <= set(got[n + 3][0].split(","))
@@ -225,7 +242,26 @@ def test_targets_of_few_texts_are_met_nearly(spark):
         assert all(abs(goal[s] - took[s]) <= longest[s] / 2 + 1 for s in goal), [(s, goal[s], took[s], longest[s]) for s in goal if abs(goal[s] - took[s]) > longest[s] / 2 + 1]
 
 
+def test_mixing_of_any_driver_limit(spark, docs):
+    """The rows do not depend on where the draws are made."""
+    many = docs.unionByName(docs.limit(0)).withColumn("source", F.concat("source", F.pmod(F.col("doc_id"), F.lit(90))))
+    for frame in (docs, many):
+        here, there = (collections.Counter(map(str, mixing.mix(frame, shards=5, driver_sources=n).select("row", "taken", "shards").collect())) for n in (1000, 1))
+        assert here == there
+
+
+def test_rows_equal_in_id_and_text_stay_in_order(spark):
+    rows = [(1, "a b c", "s", k) for k in range(50)] + [(None, "d e", "t", k) for k in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    first, second = (collections.Counter(map(str, mixing.mix(frame.repartition(n), shards=3).collect())) for n in (1, 6))
+    assert first == second
+
+
 def test_splitting_tree():
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 0, 3, 9])
+    out = mixing.split_quotas(np.array([10, 7]), 4, rng, sizes)
+    assert (out.sum(0) == [10, 7]).all() and (out.sum(1) == sizes).all()
     rng = np.random.default_rng(1)
     quotas = np.array([1000, 0, 17, 333])
     out = mixing.split_quotas(quotas, 7, rng)
@@ -351,6 +387,9 @@ def test_decontamination(spark, sf, docs, rows, empty, clashing):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in rows if r["doc_id"] not in {w[0] for w in want})
     assert decontaminate.find_leaks(empty, benchmark).count() == 0 and decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(clashing, benchmark).columns == clashing.columns
+    nulls = spark.range(300).selectExpr("id as item_id", "cast(null as string) as text").unionByName(benchmark)
+    assert sorted([(a, b, round(c, 9)) for a, b, c in decontaminate.find_leaks(docs, nulls, most_broadcast=60_000).collect()], key=KEY) == want
+    assert decontaminate.askable(nulls, "text").count() < 300
 
 
 def test_decontamination_by_shuffle(spark):
@@ -499,6 +538,30 @@ def test_turns_with_nulls_and_repeats(spark):
     assert chat_format.format_chats(*chat_format.from_turns(frame.limit(0)), chat_format.REPLY).count() == 0
 
 
+def test_ids_that_are_no_integers(spark):
+    """Operators that need integers say so at once; the others carry ids as they are."""
+    named = spark.createDataFrame([("k1", "a b c d e f g", "s"), (None, None, "s")], "doc_id string, text string, source string")
+    for f in (lm_scoring.score_documents, jaccard_join.jaccard_components, jaccard_join.keep_one, substring_dedup.remove_repeats, lambda d: token_output.write_and_digest(d, queries.tokenizer_path())):
+        with pytest.raises(TypeError, match="ids must be integers"):
+            f(named)
+    for f in (license_scan.scan_licenses, lambda d: mixing.mix(d).select("row.doc_id"), lambda d: quality_rules.judge(d).select("row.doc_id")):
+        assert sorted(str(r["doc_id"]) for r in f(named).collect()) == ["None", "k1"]
+
+
+def test_token_output_of_one_id(spark):
+    """Texts of one id, and of none, in the order of their texts, over many parts."""
+    rng = random.Random(5)
+    texts = [(rng.choice([None, 7, 7, 8]), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(9)))) for _ in range(300)] + [(7, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_output.write_and_digest(frame, queries.tokenizer_path(), shard_tokens=200).collect())
+    tokenizer, want, start = token_output.piece_tokenizer(queries.tokenizer_path()).library, [], 0
+    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        want.append((start, i, n))
+        start += n
+    assert got == want
+
+
 def test_ids_named_like_results(spark, clashing):
     for call in (
         lambda: sharding.place(clashing.withColumnRenamed("doc_id", "slot"), "slot", ["a"], 101),
