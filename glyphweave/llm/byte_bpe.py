@@ -1,8 +1,9 @@
 """Byte-level BPE: encoding by the global table of distinct words, decoding by the table of token bytes.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. A chunk of texts keeps its pre-tokens as a row of numbers, in their places, and its distinct words,
-exploded to one row each. All chunks' words meet in one shuffle, where each distinct word is encoded once; the ids go back to the chunks by a
-join, and each chunk puts its texts together by the numbers. A word has one row per chunk at most, however often a text repeats it.
+dealt to buckets by a hash and packed, one row for each chunk and bucket. All chunks' words meet in one shuffle by bucket, where each distinct word is encoded
+once; the ids go back to the chunks by a join, and each chunk puts its texts together by the numbers. A word is sent once per chunk at most, however often
+a text repeats it.
 
 Decoding looks every id up in the token-byte table, which is broadcast: a vocabulary's size bounds it.
 
@@ -14,17 +15,23 @@ an error.
 from __future__ import annotations
 
 import base64
+import itertools
+import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, no_clash
+from ._common import materialise, no_clash, partitions
 from ._exchange import pack, unpack
 from ._words import blocks
 from .token_output import LOOSE_SPACE, piece_borders
@@ -88,9 +95,32 @@ def spread(flat: np.ndarray, size: np.ndarray, of: np.ndarray, cuts: np.ndarray)
     return flat[at], np.diff(np.concatenate([[0], to])[cuts])
 
 
-def chunks_of(docs: DataFrame, id_col: str, text_col: str, pattern: str, most: int) -> DataFrame:
-    """The texts in chunks of about `most` bytes, written once: the rows' ids, how many pre-tokens each has, their numbers, and the words."""
+def bucket_of(word: bytes, bits: int) -> int:
+    """One of 2 ** bits buckets."""
+    return zlib.crc32(word) >> (32 - bits)
+
+
+#: Least number of buckets, as a power of two, and words that a bucket has of all chunks, about.
+BUCKET_BITS, BUCKET_WORDS = 4, 1 << 20
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words as their number, their lengths and their bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(words)) + np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    (n,) = struct.unpack_from("<I", raw)
+    ends = (4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)])).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def chunks_of(docs: DataFrame, id_col: str, text_col: str, pattern: str, most: int, bits: int) -> DataFrame:
+    """The texts in chunks of about `most` bytes, written once: the rows' ids, how many pre-tokens each has, their numbers, the words by bucket, and the number of each
+    word in the buckets' order."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fields = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -101,55 +131,70 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, pattern: str, most: i
             order = np.argsort(-np.bincount(numbers, minlength=len(pre.numbers)), kind="stable")
             renamed = np.empty(len(order), np.uint32)
             renamed[order] = np.arange(len(order), dtype=np.uint32)
-            words = list(pre.numbers)
-            ids, column = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("id")), lambda x: pa.array([x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), ids, column(pack(counts)), column(pack(renamed[numbers])), pa.array([[words[k] for k in order.tolist()]], pa.list_(pa.string()))], ["chunk", "ids", "counts", "numbers", "words"])
+            dealt = sorted((bucket_of(w, bits), w, k) for w, k in zip((w.encode() for w in pre.numbers), renamed.tolist(), strict=True))
+            held = [{"bucket": b, "n": len(of), "words": pack_words([w for _, w, _ in of])} for b, of in ((b, list(g)) for b, g in itertools.groupby(dealt, key=lambda x: x[0]))]
+            places = np.array([k for _, _, k in dealt], np.uint32)
+            ids, column = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("id")), lambda x: pa.array([pack(x)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), ids, column(counts), column(renamed[numbers]), column(places), pa.array([held], pa.list_(fields))], ["chunk", "ids", "counts", "numbers", "places", "buckets"])
             chunk += 1
 
-    return materialise(base.mapInArrow(rows, f"chunk long, ids array<{base.schema['id'].dataType.simpleString()}>, counts binary, numbers binary, words array<string>"), "pre-tokens")
+    kind = base.schema["id"].dataType.simpleString()
+    return materialise(base.mapInArrow(rows, f"chunk long, ids array<{kind}>, counts binary, numbers binary, places binary, buckets array<struct<bucket:int,n:long,words:binary>>"), "pre-tokens")
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """word, ids (little-endian, 32 bits each) of distinct words, each encoded as one piece."""
-    ranks = words.sparkSession.sparkContext.broadcast(read_ranks(path))
+def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
+    """chunk, bucket, sizes and ids of each row (chunk, bucket, words): how many ids each of its words has, and the ids. A word that several chunks of a
+    bucket have is encoded once, as one piece."""
+    ranks = sent.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
         piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
-        for batch in batches:
-            ids = [np.array(piece(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+        known: dict[bytes, list[int]] = {}
+        sizes, ids = [], []
+        for data in pdf["words"]:
+            words = unpack_words(data)
+            known.update((w, piece(w)) for w in words if w not in known)
+            found = [known[w] for w in words]
+            sizes.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
+            ids.append(pack(np.fromiter(itertools.chain.from_iterable(found), np.uint32)))
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "sizes": sizes, "ids": ids})
 
-    return words.mapInArrow(rows, "word string, ids binary")
+    return sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 8 << 20) -> DataFrame:
     """Per row: id, ids (the text's, little-endian, 32 bits each)."""
     no_clash(id_col, RESULTS)
-    chunks = chunks_of(docs, id_col, text_col, pattern, most)
-    exploded = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    distinct = encode_words(exploded.select("word").distinct(), path, pattern)
-    answers = exploded.join(distinct, "word").groupBy("chunk").agg(F.collect_list(F.struct("number", "ids")).alias("answers"))
+    spark = docs.sparkSession
+    # as many buckets as words of the texts' size may need, and as the session wants parts, in powers of two
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(30, max(BUCKET_BITS, math.ceil(math.log2(max(1, partitions(spark), size // (8 * BUCKET_WORDS))))))
+    chunks = chunks_of(docs, id_col, text_col, pattern, most, bits)
+    sent = chunks.select("chunk", F.explode("buckets").alias("b")).select("chunk", F.col("b.bucket").alias("bucket"), "b.words")
+    answers = encode_words(sent, path, pattern).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                answer = row.column("answers").flatten()
-                word_ids = answer.field("ids").take(pa.compute.sort_indices(answer.field("number")))
-                size = np.asarray(pa.compute.binary_length(word_ids), np.int64) // 4
-                flat = np.frombuffer(b"".join(word_ids.to_pylist()), "<u4")
-                counts = unpack(row.column("counts")[0].as_py(), np.int64)
-                ids, n = spread(flat, size, unpack(row.column("numbers")[0].as_py(), np.uint32), np.concatenate([[0], np.cumsum(counts)]))
+                of = lambda c, kind, row=row: unpack(row.column(c)[0].as_py(), kind)
+                answer = sorted(row.column("answers")[0].as_py(), key=lambda x: x["bucket"])
+                sizes = np.concatenate([np.zeros(0, np.uint32), *[unpack(x["sizes"], np.uint32) for x in answer]]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(x["ids"], np.uint32) for x in answer]])
+                # the words stand by bucket; a text's numbers say where
+                at = np.empty(len(sizes), np.int64)
+                at[of("places", np.uint32)] = np.arange(len(sizes))
+                ids, n = spread(flat, sizes, at[of("numbers", np.uint32)], np.concatenate([[0], np.cumsum(of("counts", np.int64))]))
                 ends = 4 * np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())], ["id", "ids"])
 
     # a chunk of empty texts alone has no words, and so no answers
-    joined = chunks.select("chunk", "ids", "counts", "numbers").join(answers, "chunk", "left")
+    joined = chunks.select("chunk", "ids", "counts", "numbers", "places").join(answers, "chunk", "left")
     joined = joined.withColumn("answers", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)))
-    return joined.select("ids", "counts", "numbers", "answers").mapInArrow(rows, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return joined.select("ids", "counts", "numbers", "places", "answers").mapInArrow(rows, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
