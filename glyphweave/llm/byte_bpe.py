@@ -19,6 +19,7 @@ import itertools
 import math
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,9 +58,11 @@ class PreTokens:
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the texts' pre-tokens, and how many each has."""
-        numbers, found = self.numbers, [self.pattern.findall(x) for x in texts]
-        flat = [numbers.setdefault(w, len(numbers)) for ws in found for w in ws]
-        return np.array(flat, np.int64), np.fromiter(map(len, found), np.int64, len(found))
+        numbers, find, flat, ends = self.numbers, self.pattern.findall, array("q"), np.zeros(len(texts) + 1, np.int64)
+        for k, x in enumerate(texts):
+            flat.extend([numbers.setdefault(w, len(numbers)) for w in find(x)])
+            ends[k + 1] = len(flat)
+        return np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64), np.diff(ends)
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = texts.fill_null("").cast(pa.large_string())
@@ -164,7 +167,7 @@ def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, sizes binary, ids binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
     """Per row: id, ids (the text's, little-endian, 32 bits each)."""
     no_clash(id_col, RESULTS)
     spark = docs.sparkSession
