@@ -71,17 +71,24 @@ def mutual_weights(near: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("doc_id", "a", "b", "degree_a", "degree_b", (F.col("mean") / F.sqrt(F.col("degree_a") * F.col("degree_b"))).alias("weight"))
 
 
+# What is read as a number: digits of any script, single underscores between them, a point, an exponent, or the names of the special values, white space around.
+_WHITE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+_DIGITS = r"\p{Nd}(?:_?\p{Nd})*"
+NUMBER = rf"\A{_WHITE}[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN]){_WHITE}\z"
+
+
 def ner_code(tagged: Column) -> Column:
-    """Entity code of a tagged text; -1 for none, 13 money, 15 quantity, 11 date, 14 several."""
-    tokens = F.filter(F.split(tagged, " "), lambda x: x != "")
+    """Entity code of a tagged text, whose tokens single spaces part (two in a row have an empty token between them); -1 for none, 13 money, 15 quantity,
+    11 date, 14 several. Money is a dollar sign and a number; a quantity ends in g, and is a number without its last two characters."""
+    tokens = F.split(tagged, " ", -1)
     is_tag = lambda x: x.startswith("<") & x.endswith(">") & (F.length(x) > 4)
     tags = F.filter(tokens, is_tag)
     first = F.get(tokens, F.lit(0))
-    name = F.get(F.transform(tags, lambda x: F.substring(x, 4, 1000).substr(F.lit(1), F.length(x) - 4)), F.lit(0))
+    name = F.get(F.transform(tags, lambda x: x.substr(F.lit(4), F.length(x) - 4)), F.lit(0))
     code = F.lit(-1)
     for k, v in NER_CODES.items():
         code = F.when(name == k, v).otherwise(code)
     alone = ((F.size(tags) == 0) & (F.size(tokens) == 1)) | ((F.size(tags) == 1) & (F.size(tokens) == 2))
-    money = first.rlike(r"^\$[0-9.]+$")
-    quantity = first.rlike(r"^[0-9.]+[0-9.a-zA-Z]g$") & first.rlike(r"^[0-9]+(\.[0-9]*)?[^ ]g$")
+    money = first.startswith("$") & first.substr(F.lit(2), F.length(first)).rlike(NUMBER)
+    quantity = first.endswith("g") & first.substr(F.lit(1), F.greatest(F.length(first) - 2, F.lit(0))).rlike(NUMBER)
     return F.when(alone & money, 13).when(alone & quantity, 15).when(alone & first.isin("MAY", "May"), 11).when((F.size(tags) == 1) & (F.size(tokens) == 2), code).when(F.size(tags) >= 3, 14).otherwise(-1)

@@ -2,26 +2,80 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
+from .paged import over_pages
 
+#: Edges of a page that a task may hold; larger pages are solved by rounds over their edges.
+PAGE_EDGES = 500_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, most: int = PAGE_EDGES) -> DataFrame:
     """(doc_id, word_id, root) of each vertex of an edge (doc_id, src, dst): root is the smallest vertex that it reaches.
 
-    Minimum labels with pointer jumping; each round's table is written, so a lost executor costs one round."""
-    both = written(edges.select("doc_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("doc_id", "dst", "src")).distinct(), "edges")
-    labels = written(both.groupBy("doc_id", F.col("a").alias("word_id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    Pages of up to `most` edges are solved many to a batch, after one shuffle; those of more by contraction (see `contracted`)."""
+    kind = edges.schema["src"].dataType.simpleString()
+    kept = written(edges.select("doc_id", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")), "edges")
+    large = kept.groupBy("doc_id").count().filter(F.col("count") > most).select("doc_id")
+    if large.limit(1).count() == 0:
+        return _by_page(kept, kind)
+    large = written(large, "large-pages")
+    return _by_page(kept.join(large, "doc_id", "left_anti"), kind).unionByName(contracted(kept.join(large, "doc_id")))
+
+
+def _by_page(edges: DataFrame, kind: str) -> DataFrame:
+    def solve(page: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Minimum labels with pointer jumping over all pages of a batch."""
+        low, span = min(int(a.min()), int(b.min())), max(int(a.max()), int(b.max())) - min(int(a.min()), int(b.min())) + 1
+        keys, at = np.unique(np.concatenate([page, page]) * span + (np.concatenate([a, b]).astype(np.int64) - low), return_inverse=True)
+        u, v, root = at[: len(a)], at[len(a) :], np.arange(len(keys))
+        ids = np.stack([keys // span, keys % span + low])
+        while True:
+            near = root.copy()
+            np.minimum.at(near, root[u], root[v])
+            np.minimum.at(near, root[v], root[u])
+            near = near[near]
+            if (near == root).all():
+                return ids[0], ids[1].astype(kinds[kind]), ids[1][root].astype(kinds[kind])
+            root = near[near]
+
+    kinds = {"int": np.int32, "bigint": np.int64}
+    return over_pages(edges, ["a", "b"], [], solve, {"word_id": kind, "root": kind}, together=True)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(doc_id, word_id, root) of edges (doc_id, a, b) by large and small stars in turn: each vertex's larger neighbours are tied to its smallest one,
+    then its smaller ones and itself. Edges only fall away, and what is left in the end are stars about the smallest vertices. A round's
+    table is written, so a lost executor costs one round."""
+
+    def tied(table: DataFrame) -> DataFrame:
+        """(doc_id, a, b): b to the smallest of a's neighbours and itself."""
+        low = table.groupBy("doc_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        return table.join(low, ["doc_id", "a"])
+
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "a", "b").cast("decimal(20, 0)"))).first())
+
+    table = written(edges.filter("a <> b").select("doc_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    loops = edges.filter("a = b").select("doc_id", F.col("a").alias("word_id")).distinct()
+    before = state(table)
     while True:
-        seen = both.join(labels.select("doc_id", F.col("word_id").alias("b"), "root"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("word_id")).agg(F.min("root").alias("near"))
-        step = labels.join(seen, ["doc_id", "word_id"]).select("doc_id", "word_id", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        jump = step.select("doc_id", F.col("word_id").alias("to"), F.col("to").alias("further"))
-        new = written(step.join(jump, ["doc_id", "to"], "left").select("doc_id", "word_id", F.least("to", F.coalesce("further", "to")).alias("root"), "was"), "labels")
-        labels = new.select("doc_id", "word_id", "root")
-        if new.filter("root <> was").limit(1).count() == 0:
-            return labels
+        both = table.union(table.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        large = written(tied(both).filter("b > a").select("doc_id", F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct(), "large-stars")
+        small = tied(large)
+        small = small.select("doc_id", F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("doc_id", "a", "low")).filter("a <> b").distinct()
+        table = written(small, "stars")
+        now = state(table)
+        if now == before:
+            break
+        before = now
+    named = table.select("doc_id", F.col("a").alias("word_id"), F.col("b").alias("root"))
+    roots = table.select("doc_id", F.col("b").alias("word_id")).distinct().withColumn("root", F.col("word_id"))
+    alone = loops.join(named.union(roots).select("doc_id", "word_id"), ["doc_id", "word_id"], "left_anti").withColumn("root", F.col("word_id"))
+    return named.union(roots).union(alone)
 
 
 def rooted(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:

@@ -83,13 +83,19 @@ def min_sizes(words: DataFrame) -> DataFrame:
 def horizontal_edges(words: DataFrame, threshold: float = 0.55, id_col: str = "word_id") -> DataFrame:
     """(doc_id, src, dst, dist): v stands right of u in the same row, its gap over the larger height below the threshold.
 
-    Rows are buckets of half the page's least height; a word meets its own and the two next buckets."""
+    Rows are buckets of half the page's least height; a word meets its own and the two next buckets. Other pairs have the distance 1, and above that
+    threshold all pairs of a page meet."""
+    dist = F.greatest(F.col("v_l") - right("u_"), F.lit(0.0)) / F.greatest("u_h", "v_h")
+    in_row = (centre_x("u_") <= centre_x("v_")) & (F.abs(centre_y("u_") - centre_y("v_")) <= F.col("u_min_h") / 2)
+    named = lambda found: found.filter(F.col("dist") < threshold).select("doc_id", F.col(f"u_{id_col}").alias("src"), F.col(f"v_{id_col}").alias("dst"), "dist")
+    if threshold > 1:
+        every = pairs(words.join(min_sizes(words), "doc_id")).filter(F.col(f"u_{id_col}") != F.col(f"v_{id_col}"))
+        return named(every.withColumn("dist", F.when(in_row, dist).otherwise(1.0)))
     sized = words.join(min_sizes(words), "doc_id").withColumn("bucket", F.floor(centre_y() / (F.col("min_h") / 2)).cast("long"))
     u = prefixed(sized, "u_").withColumn("bucket", F.explode(F.array(F.col("u_bucket") - 1, F.col("u_bucket"), F.col("u_bucket") + 1)))
     v = prefixed(sized, "v_").withColumn("bucket", F.col("v_bucket"))
-    both = u.join(v, ["doc_id", "bucket"]).filter((F.col(f"u_{id_col}") != F.col(f"v_{id_col}")) & (centre_x("u_") <= centre_x("v_")) & (F.abs(centre_y("u_") - centre_y("v_")) <= F.col("u_min_h") / 2))
-    dist = F.greatest(F.col("v_l") - right("u_"), F.lit(0.0)) / F.greatest("u_h", "v_h")
-    return both.withColumn("dist", dist).filter(F.col("dist") < threshold).select("doc_id", F.col(f"u_{id_col}").alias("src"), F.col(f"v_{id_col}").alias("dst"), "dist")
+    both = u.join(v, ["doc_id", "bucket"]).filter((F.col(f"u_{id_col}") != F.col(f"v_{id_col}")) & in_row)
+    return named(both.withColumn("dist", dist))
 
 
 def union_boxes(members: DataFrame, by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import bottom, caps_class, centre_x, centre_y, right
 from ..plans.lineage import written
 from .graph import rooted
-from .layout import min_sizes, pairs, phrases
+from .layout import horizontal_edges, min_sizes, pairs, union_boxes
 
 PAIR = ["doc_id", "a", "b"]
 
@@ -114,12 +114,12 @@ def close_heights(boxes: DataFrame, cutoff: float = 0.25) -> DataFrame:
 
 
 def edges(boxes: DataFrame, threshold: float, version: str = "v3", direction: str = "horizontal", symmetric: bool = False, aspect: float = 1.0, id_col: str = "word_id") -> DataFrame:
-    """(doc_id, a, b, dist) of ordered pairs of boxes whose distance in one direction is below the threshold (of 1 at most).
+    """(doc_id, a, b, dist) of ordered pairs of boxes whose distance in one direction is below the threshold.
 
     horizontal: boxes of one row, b right of a. v1 takes the centres' distance; v2 the gap; v3 the gap (times the page's width over its
     height) over the larger height. vertical: boxes of one column, b below a; v3 divides the gap by the mean height.
     symmetric: the centres' distance in either order, whatever the version. One row or column: the centres differ by half the page's
-    least height or width at most; in v2's and v3's columns, no gap in x is wider than that."""
+    least height or width at most; in v2's and v3's columns, no gap in x is wider than that. Pairs that do not stand so have the distance 1, and thresholds above link them."""
     both = pairs(boxes.join(min_sizes(boxes), "doc_id")).filter(F.col(f"u_{id_col}") != F.col(f"v_{id_col}"))
     flat = direction == "horizontal"
     along, across, half = (centre_x, centre_y, F.col("u_min_h") / 2) if flat else (centre_y, centre_x, F.col("u_min_w") / 2)
@@ -135,6 +135,9 @@ def edges(boxes: DataFrame, threshold: float, version: str = "v3", direction: st
             near = (F.col("v_l") - right("u_") <= half) & (F.col("u_l") - right("v_") <= half)
         sized = gap * aspect / F.greatest("u_h", "v_h") if flat else gap / ((F.col("u_h") + F.col("v_h")) / 2)
         dist = sized if version == "v3" else gap
+    if threshold > 1:
+        dist = F.when(near & ahead, dist).otherwise(1.0)
+        return _named(both.filter(dist < threshold), id_col, dist.alias("dist"))
     return _named(both.filter(near & ahead & (dist < threshold)), id_col, dist.alias("dist"))
 
 
@@ -158,18 +161,32 @@ def peel_ends(members: DataFrame, threshold: float) -> DataFrame:
     return laid.select("doc_id", "phrase_id", "word_id", part.alias("part"))
 
 
-def two_pass_phrases(words: DataFrame, horizontal: float = 0.55, vertical: float = 0.8) -> DataFrame:
-    """(doc_id, phrase_id, box, text, n_words): phrases of the horizontal pass, joined by vertical edges between their boxes below the threshold.
+def phrase_members(words: DataFrame, horizontal: float = 0.55, vertical: float = 0.0) -> DataFrame:
+    """The words with phrase_id, pos and row_id: horizontal edges join words to rows, and vertical edges between the rows' boxes join these to phrases; a
+    vertical threshold of 0 joins nothing (its test is strict).
 
-    The least sizes are those of the horizontal pass's boxes. Texts stand one below the other: by centre_y, then by id. The smallest word
-    id names a phrase."""
-    rows = written(phrases(words, horizontal), "rows")
+    The least sizes of the vertical pass are those of the rows' boxes. A phrase's rows stand one below the other (by centre_y, then by id), a row's words from left to
+    right (by centre_x, then by id); pos counts them from 0. The smallest word id names a row, the smallest row a phrase."""
+    words = written(words, "words")
+    links = horizontal_edges(words, horizontal).select("doc_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+    named = written(words.join(rooted(words, links, "word_id"), ["doc_id", "word_id"]).withColumnRenamed("root", "row_id"), "rows")
     if vertical <= 0:
-        return rows
-    named = rooted(rows, edges(rows, vertical, direction="vertical", id_col="phrase_id"), "phrase_id")
-    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(centre_y().alias("y"), F.col("phrase_id").alias("i"), F.col("text").alias("s")))), lambda x: x["s"]), " ")
-    return rows.join(named, ["doc_id", "phrase_id"]).groupBy("doc_id", F.col("root").alias("phrase_id")).agg(
-        F.min("l").alias("l"), F.min("t").alias("t"), (F.max(right()) - F.min("l")).alias("w"), (F.max(bottom()) - F.min("t")).alias("h"), spelled.alias("text"), F.sum("n_words").alias("n_words")
+        found = named.withColumns({"phrase_id": F.col("row_id"), "y": F.lit(0.0)})
+    else:
+        boxes = written(union_boxes(named, "row_id").select("doc_id", F.col("row_id").alias("phrase_id"), *"ltwh"), "boxes")
+        joined = rooted(boxes, edges(boxes, vertical, direction="vertical", id_col="phrase_id"), "phrase_id")
+        joined = joined.join(boxes, ["doc_id", "phrase_id"]).select("doc_id", F.col("phrase_id").alias("row_id"), F.col("root").alias("phrase_id"), centre_y().alias("y"))
+        found = named.join(joined, ["doc_id", "row_id"])
+    place = F.row_number().over(Window.partitionBy("doc_id", "phrase_id").orderBy("y", "row_id", centre_x(), "word_id")) - 1
+    return found.withColumn("pos", place).select(*words.columns, "phrase_id", "row_id", "pos")
+
+
+def two_pass_phrases(words: DataFrame, horizontal: float = 0.55, vertical: float = 0.8) -> DataFrame:
+    """(doc_id, phrase_id, box, text, n_words) of the phrases of phrase_members."""
+    found = phrase_members(words, horizontal, vertical)
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    return found.groupBy("doc_id", "phrase_id").agg(
+        F.min("l").alias("l"), F.min("t").alias("t"), (F.max(right()) - F.min("l")).alias("w"), (F.max(bottom()) - F.min("t")).alias("h"), spelled.alias("text"), F.count("*").alias("n_words")
     )
 
 

@@ -16,9 +16,11 @@ def _column(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def over_pages(df: DataFrame, columns: list[str], order: list[str], f: Callable[..., tuple[np.ndarray, ...]], returns: dict[str, str]) -> DataFrame:
+def over_pages(df: DataFrame, columns: list[str], order: list[str], f: Callable[..., tuple[np.ndarray, ...]], returns: dict[str, str], together: bool = False) -> DataFrame:
     """doc_id and f's columns (name: type) of each page: f gets the page's `columns` as arrays, its rows in `order`.
 
+    together: f gets the rows of a whole batch of pages at once, before them the pages' numbers, and returns such numbers before its columns.
+
     Pages are dealt by doc_id and sorted, and a batch of rows is cut where the page changes, so no group is made per page. Only the page at a
     batch's end is held for the next one: a task holds a batch and a page."""
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -28,6 +30,9 @@ def over_pages(df: DataFrame, columns: list[str], order: list[str], f: Callable[
         held: list[pa.RecordBatch] = []
 
         def results(rows: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            if together:
+                page, *values = f(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), *[_column(rows.column(c).slice(0, cuts[-1])) for c in columns])
+                return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(np.array(cuts)[page])), *map(pa.array, values)], ["doc_id", *names])
             found = [f(*[_column(rows.column(c).slice(a, b - a)) for c in columns]) for a, b in zip(cuts, cuts[1:], strict=False)]
             of = np.repeat(np.array(cuts[:-1], np.int64), [len(x[0]) for x in found])
             return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(of)), *[pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]], ["doc_id", *names])

@@ -162,10 +162,11 @@ def _g5_two(w):
 _NER = " ".join(f"when '{k}' then {v}" for k, v in constraints.NER_CODES.items())
 
 
-@register("f12_ner_code", ("fx_tagged",), f""", t as (select doc_id, word_id, list_filter(string_split(tagged, ' '), lambda x: x <> '') as tokens from fx_tagged),
+@register("f12_ner_code", ("fx_tagged",), f""", t as (select doc_id, word_id, string_split(tagged, ' ') as tokens from fx_tagged),
 g as (select *, list_filter(tokens, lambda x: starts_with(x, '<') and ends_with(x, '>') and length(x) > 4) as tags from t),
 c as (select *, len(tags) as n, (len(tags) = 0 and len(tokens) = 1) or (len(tags) = 1 and len(tokens) = 2) as alone from g)
-select doc_id, word_id, case when alone and regexp_matches(tokens[1], '^\\$[0-9.]+$') then 13 when alone and regexp_matches(tokens[1], '^[0-9]+([.][0-9]*)?[^ ]g$') and regexp_matches(tokens[1], '^[0-9.]+[0-9.a-zA-Z]g$') then 15
+select doc_id, word_id, case when alone and starts_with(tokens[1], '$') and regexp_matches(substr(tokens[1], 2), '{constraints.NUMBER}') then 13
+  when alone and ends_with(tokens[1], 'g') and regexp_matches(substr(tokens[1], 1, greatest(length(tokens[1]) - 2, 0)), '{constraints.NUMBER}') then 15
   when alone and tokens[1] in ('MAY', 'May') then 11 when n = 1 and len(tokens) = 2 then case substr(tags[1], 4, length(tags[1]) - 4) {_NER} else -1 end when n >= 3 then 14 else -1 end as ner_tag from c""")
 def _f12(t):
     return t.select("doc_id", "word_id", constraints.ner_code(F.col("tagged")).alias("ner_tag"))

@@ -14,7 +14,7 @@ from ..plans.lineage import written
 
 # The files' fields.
 OBJECTS = "objects array<struct<type string, score double, text struct<content string, score double>, bbox struct<vertices array<struct<x double, y double>>>>>, imageSize struct<width int, height int>"
-WORDS = "DetectedText string, Geometry struct<BoundingBox struct<Width double, Top double, Height double, Left double>>"
+WORDS = "DetectedText string, Geometry struct<BoundingBox struct<Width double, Top double, Height double, Left double>, Polygon array<struct<X double, Y double>>>"
 CONSTRAINTS = "must_link array<array<int>>, must_not_link array<array<array<int>>>"
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "bmp"]
 
@@ -32,32 +32,39 @@ def page_name(path: Column, root: str, suffixes: list[str]) -> Column:
     return F.regexp_replace(name, rf"(?i)\.({'|'.join(suffixes)})$", "") if suffixes else name
 
 
-def _page(root: str) -> Column:
+def page_of(root: str) -> Column:
+    """The column doc_id of rows of files that were read from root."""
     return page_name(F.col("_metadata.file_path"), root, IMAGE_SUFFIXES).alias("doc_id")
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, type, object_id, text, score, l, t, w, h) of pages that hold `objects`; ids are places in the file."""
-    return laid_out(spark.read.schema(OBJECTS).json(path, multiLine=True), path)
+    return laid_out(spark.read.schema(OBJECTS).json(path, multiLine=True).select("*", page_of(path)))
 
 
-def laid_out(files: DataFrame, root: str) -> DataFrame:
-    """The columns of read_objects from files' rows, of a table or of a stream; root is where they were read from."""
-    pages = files.select(_page(root), F.posexplode("objects").alias("object_id", "o"), "imageSize")
+def laid_out(files: DataFrame) -> DataFrame:
+    """The columns of read_objects from rows of files (doc_id, objects, imageSize)."""
+    pages = files.select("doc_id", F.posexplode("objects").alias("object_id", "o"), "imageSize")
     xs, ys = F.transform("o.bbox.vertices", lambda v: v["x"]), F.transform("o.bbox.vertices", lambda v: v["y"])
     return pages.select("doc_id", F.col("o.type").alias("type"), "object_id", F.col("o.text.content").alias("text"), F.col("o.score").alias("score"), *normalised_box(xs, ys, F.col("imageSize.width"), F.col("imageSize.height")))
 
 
-def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns of pages that are a list of words in page units."""
-    rows = spark.read.schema(WORDS).json(path, multiLine=True).select(_page(path), "DetectedText", "Geometry.BoundingBox.*", F.monotonically_increasing_id().alias("at"))
+def read_word_lists(spark: SparkSession, path: str, polygons: bool = False) -> DataFrame:
+    """The same columns of pages that are a list of words in page units; with their polygons, array<struct<X, Y>>, if asked for."""
+    rows = spark.read.schema(WORDS).json(path, multiLine=True)
+    return listed(rows.select(page_of(path), "DetectedText", "Geometry", F.monotonically_increasing_id().alias("at")), polygons)
+
+
+def listed(rows: DataFrame, polygons: bool = False) -> DataFrame:
+    """The columns of read_word_lists from words' rows (doc_id, DetectedText, Geometry, at), a page's in the order of `at`."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return rows.select("doc_id", F.lit("Word").alias("type"), place.alias("object_id"), F.col("DetectedText").alias("text"), F.lit(1.0).alias("score"), *[F.col(a).alias(b) for a, b in (("Left", "l"), ("Top", "t"), ("Width", "w"), ("Height", "h"))])
+    more = [F.col("Geometry.Polygon").alias("polygon")] if polygons else []
+    return rows.select("doc_id", F.lit("Word").alias("type"), place.alias("object_id"), F.col("DetectedText").alias("text"), F.lit(1.0).alias("score"), *[F.col(f"Geometry.BoundingBox.{a}").alias(b) for a, b in (("Left", "l"), ("Top", "t"), ("Width", "w"), ("Height", "h"))], *more)
 
 
 def read_constraints(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """must (doc_id, group_id, word_id) and cannot (doc_id, pair_id, side, word_id)."""
-    rows = spark.read.schema(CONSTRAINTS).json(path, multiLine=True).select(_page(path), "must_link", "must_not_link")
+    rows = spark.read.schema(CONSTRAINTS).json(path, multiLine=True).select(page_of(path), "must_link", "must_not_link")
     must = rows.select("doc_id", F.posexplode("must_link").alias("group_id", "g")).select("doc_id", "group_id", F.explode("g").alias("word_id"))
     cannot = rows.select("doc_id", F.posexplode("must_not_link").alias("pair_id", "p")).select("doc_id", "pair_id", F.posexplode("p").alias("i", "s"))
     return must, cannot.select("doc_id", "pair_id", F.when(F.col("i") == 0, "A").otherwise("B").alias("side"), F.explode("s").alias("word_id"))
@@ -74,22 +81,34 @@ def constraint_rows(must: DataFrame, cannot: DataFrame) -> DataFrame:
     return groups.join(pairs, "doc_id", "full").select("doc_id", empty("must_link", "array<array<int>>"), empty("must_not_link", "array<array<array<int>>>"))
 
 
+def corners(l: Column, t: Column, w: Column, h: Column) -> Column:  # noqa: E741
+    """The polygon of a box: its corners from the left upper one on, clockwise."""
+    point = lambda x, y: F.struct(x.cast("double").alias("X"), y.cast("double").alias("Y"))
+    return F.array(point(l, t), point(l + w, t), point(l + w, t + h), point(l, t + h))
+
+
 def result_rows(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(doc_id, Words, Phrases): boxes, texts, and ids by first appearance. Words without a cluster share one id where a page has
-    clusters, and have -1 where it has none. clusters: (doc_id, word_id, cluster)."""
-    laid = members.join(clusters.select("doc_id", "word_id", "cluster"), ["doc_id", "word_id"], "left")
+    """(doc_id, Words, Phrases): boxes, polygons, texts, and ids by first appearance. Words without a cluster share one id where a page has
+    clusters, and have -1 where it has none; likewise phrases. clusters: (doc_id, word_id, cluster). A word's polygon is that of the members' column
+    `polygon`, where there is one, else its box's corners; a phrase of one word has that word's."""
+    shape = F.coalesce(F.col("polygon"), corners(*map(F.col, "ltwh"))) if "polygon" in members.columns else corners(*map(F.col, "ltwh"))
+    laid = members.withColumn("polygon", shape).join(clusters.select("doc_id", "word_id", "cluster"), ["doc_id", "word_id"], "left")
     page = Window.partitionBy("doc_id")
-    first = laid.withColumns({"p0": F.min("word_id").over(Window.partitionBy("doc_id", "phrase_id")), "c0": F.min("word_id").over(Window.partitionBy("doc_id", "cluster")), "any": F.max("cluster").over(page)})
-    ids = first.withColumns({"PhraseId": F.dense_rank().over(page.orderBy("p0")) - 1, "ClusterId": F.when(F.col("any").isNull(), -1).otherwise(F.dense_rank().over(page.orderBy("c0")) - 1)})
-    box = lambda l, t, w, h: F.struct(F.struct(w.alias("Width"), t.alias("Top"), h.alias("Height"), l.alias("Left")).alias("BoundingBox")).alias("Geometry")  # noqa: E731, E741
+    first = laid.withColumns({"p0": F.min("word_id").over(Window.partitionBy("doc_id", "phrase_id")), "c0": F.min("word_id").over(Window.partitionBy("doc_id", "cluster")), "any": F.max("cluster").over(page), "phrased": F.max("phrase_id").over(page)})
+    number = lambda known, by: F.when(F.col(known).isNull(), -1).otherwise(F.dense_rank().over(page.orderBy(by)) - 1)
+    ids = first.withColumns({"PhraseId": number("phrased", "p0"), "ClusterId": number("any", "c0")})
+    geometry = lambda l, t, w, h, polygon: F.struct(F.struct(w.alias("Width"), t.alias("Top"), h.alias("Height"), l.alias("Left")).alias("BoundingBox"), polygon.alias("Polygon")).alias("Geometry")  # noqa: E731, E741
     ordered = lambda k, s: F.transform(F.array_sort(F.collect_list(F.struct(k, s.alias("s")))), lambda x: x["s"])
-    word = F.struct(box(*map(F.col, "ltwh")), F.col("text").alias("DetectedText"), F.lit("Word").alias("Type"), "PhraseId", "ClusterId")
+    word = F.struct(geometry(*map(F.col, "ltwh"), F.col("polygon")), F.col("text").alias("DetectedText"), F.lit("WORD").alias("Type"), "PhraseId", "ClusterId")
     words = ids.groupBy("doc_id").agg(ordered(F.col("word_id"), word).alias("Words"))
-    grouped = ids.groupBy("doc_id", "PhraseId").agg(
-        F.min("l").alias("l"), F.min("t").alias("t"), (F.max(F.col("l") + F.col("w")) - F.min("l")).alias("w"), (F.max(F.col("t") + F.col("h")) - F.min("t")).alias("h"), F.array_join(ordered(F.col("pos"), F.col("text")), " ").alias("text")
-    )
-    phrase = F.struct(box(*map(F.col, "ltwh")), F.col("text").alias("DetectedText"), F.lit("Phrase").alias("Type"))
-    return words.join(grouped.groupBy("doc_id").agg(ordered(F.col("PhraseId"), phrase).alias("Phrases")), "doc_id")
+    grouped = ids.filter("phrase_id is not null").groupBy("doc_id", "PhraseId").agg(
+        F.min("l").alias("l"), F.min("t").alias("t"), (F.max(F.col("l") + F.col("w")) - F.min("l")).alias("w"), (F.max(F.col("t") + F.col("h")) - F.min("t")).alias("h"),
+        F.array_join(ordered(F.col("pos"), F.col("text")), " ").alias("text"), F.count("*").alias("n"), F.first("polygon").alias("own"),
+    )
+    around = F.when(F.col("n") == 1, F.col("own")).otherwise(corners(*map(F.col, "ltwh")))
+    phrase = F.struct(geometry(*map(F.col, "ltwh"), around), F.col("text").alias("DetectedText"), F.lit("PHRASE").alias("Type"))
+    found = words.join(grouped.groupBy("doc_id").agg(ordered(F.col("PhraseId"), phrase).alias("Phrases")), "doc_id", "left")
+    return found.withColumn("Phrases", F.coalesce("Phrases", F.array().cast(found.schema["Phrases"].dataType)))
 
 
 def paired_images(spark: SparkSession, images: str, pages: DataFrame) -> DataFrame:

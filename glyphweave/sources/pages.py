@@ -50,10 +50,13 @@ from (select *, (length(text) * 31 + ascii(text) + doc_id) % (select count(*) fr
     when 'signup' then case when event_id % 5 = 0 then 'replace_must' else 'pop_must' end else case when event_id % 5 = 0 then 'replace_cannot' else 'pop_cannot' end end as action,
   case when event_type in ('click', 'view', 'purchase') or event_id % 5 <> 0 then null when event_type = 'signup' then concat('[[', event_id % 7, ', ', event_id % 9, ']]') else concat('[[[', event_id % 3, '], [4]]]') end as value,
   cast(event_id % 16 as int) as w1, cast(event_id % 11 as int) as w2 from events""",
-    "fx_tagged": """select doc_id, word_id, case word_id % 8 when 0 then concat(text, ' <S-PERSON>') when 1 then concat(text, ' <S-GPE>')
+    "fx_tagged": """select doc_id, word_id, case word_id % 20 when 0 then concat(text, ' <S-PERSON>') when 1 then concat(text, ' <S-GPE>')
   when 2 then concat('$', cast(word_id as varchar(20))) when 3 then concat(cast(word_id as varchar(20)), 'kg')
   when 4 then 'May' when 5 then concat(text, ' <B-ORG> of <I-ORG> x <E-ORG>')
-  when 6 then concat(text, ' <S-DATE>') else text end as tagged from fx_words""",
+  when 6 then concat(text, ' <S-DATE>') when 7 then concat('$-', cast(word_id as varchar(20))) when 8 then concat('$', cast(word_id as varchar(20)), 'e3')
+  when 9 then concat('$1.', cast(word_id as varchar(20)), '.3') when 10 then '$.' when 11 then concat('-', cast(word_id as varchar(20)), 'kg') when 12 then concat('.', cast(word_id as varchar(20)), 'kg')
+  when 13 then concat(cast(word_id as varchar(20)), 'µg') when 14 then concat(cast(word_id as varchar(20)), 'e3kg <S-QUANTITY>') when 15 then concat(text, '  <S-ORG>') when 16 then concat('<S-', text, '>')
+  when 17 then '5g' else text end as tagged from fx_words""",
 }
 
 

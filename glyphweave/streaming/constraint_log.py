@@ -87,7 +87,7 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack()
 
 
-def _valued(events: DataFrame) -> DataFrame:
+def valued(events: DataFrame) -> DataFrame:
     return events if "value" in events.columns else events.withColumn("value", F.lit(None).cast("string"))
 
 
@@ -104,7 +104,7 @@ def replay(events: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "must_link": [json.dumps(state["must"])], "must_not_link": [json.dumps(state["cannot"])]})
 
     order = [F.col("doc_id"), F.col("seq").asc_nulls_last()]
-    whole = _valued(events).select(*[F.col(c).cast("long") for c in ("doc_id", "seq", "w1", "w2")], "action", "value")
+    whole = valued(events).select(*[F.col(c).cast("long") for c in ("doc_id", "seq", "w1", "w2")], "action", "value")
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reduced = whole.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_reduce, "doc_id long, first long, stretch string")
     return reduced.groupBy("doc_id").applyInPandas(run, "doc_id long, must_link string, must_not_link string")
@@ -122,5 +122,5 @@ def replay_stream(events: DataFrame) -> DataFrame:
         state.update((json.dumps(held),))
         yield pd.DataFrame({"doc_id": [key[0]], "must_link": [json.dumps(held["must"])], "must_not_link": [json.dumps(held["cannot"])]})
 
-    grouped = _valued(events).select("seq", "doc_id", "action", "w1", "w2", "value").groupBy("doc_id")
+    grouped = valued(events).select("seq", "doc_id", "action", "w1", "w2", "value").groupBy("doc_id")
     return grouped.applyInPandasWithState(run, "doc_id long, must_link string, must_not_link string", "held string", "update", GroupStateTimeout.NoTimeout)

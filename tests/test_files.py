@@ -13,7 +13,7 @@ from glyphweave.operators.measures import best_assignment
 from glyphweave.plans import lineage
 from glyphweave.sources import ocr
 from glyphweave.streaming.constraint_log import Reduced, _apply, replay, replay_stream
-from glyphweave.streaming.ingest import ingest
+from glyphweave.streaming.ingest import ingest, read_table
 
 
 def test_objects_and_constraints(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_ingest(spark, tmp_path):
     for name in ("p", "q"):
         (source / f"{name}.json").write_text(json.dumps({"objects": [*words, {"type": "Line", "score": 0.9, "bbox": box}], "imageSize": {"width": 100, "height": 100}}))
         ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    got = sorted((r.doc_id, r.text) for r in read_table(spark, str(tmp_path / "out"), "words").collect())
     assert got == [("p", "ab"), ("q", "ab")]
 
 

@@ -92,7 +92,7 @@ def test_result_rows(spark):
     members = spark.createDataFrame([(1, w, t, 0.1 * w, 0.2, 0.05, 0.1, p, k) for w, t, p, k in ((0, "a", 0, 1), (1, "b", 0, 2), (2, "c", 2, 1))], "doc_id long, word_id int, text string, l double, t double, w double, h double, phrase_id int, pos int")
     clusters = spark.createDataFrame([(1, 2, 9), (1, 0, 4)], "doc_id long, word_id int, cluster int")
     (row,) = ocr.result_rows(members, clusters).collect()
-    assert [(w.DetectedText, w.PhraseId, w.ClusterId, w.Type) for w in row.Words] == [("a", 0, 0, "Word"), ("b", 0, 1, "Word"), ("c", 1, 2, "Word")]
+    assert [(w.DetectedText, w.PhraseId, w.ClusterId, w.Type) for w in row.Words] == [("a", 0, 0, "WORD"), ("b", 0, 1, "WORD"), ("c", 1, 2, "WORD")]
     assert [p.DetectedText for p in row.Phrases] == ["a b", "c"] and np.isclose(row.Phrases[0].Geometry.BoundingBox.Width, 0.15)
     (bare,) = ocr.result_rows(members, clusters.limit(0)).collect()
     assert [w.ClusterId for w in bare.Words] == [-1, -1, -1]
