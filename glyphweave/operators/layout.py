@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, bottom, centre_x, centre_y, gap_distance, overlap, right
+from ..plans.lineage import written
 from .graph import components
-from .paged import over_pages
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -60,20 +59,29 @@ def overlap_candidates(words: DataFrame, least: float = 0.7) -> DataFrame:
     return both.filter((F.col("u_word_id") != F.col("v_word_id")) & (area("u_") >= area("v_")) & (overlap("u_", "v_") > least)).select("doc_id", F.col("u_word_id").alias("i"), F.col("v_word_id").alias("j"))
 
 
-def drop_duplicate_boxes(words: DataFrame, least: float = 0.7) -> DataFrame:
-    """Drop a word that overlaps a word not larger than it, unless that one stands before it and is dropped itself.
+def duplicate_boxes(found: DataFrame) -> DataFrame:
+    """(doc_id, word_id) of the words that go, of candidates (doc_id, i, j): i goes if it has a j that stands after it, or one before it that stays.
 
-    A page's words are decided in id order; only those with candidates go to Python, many pages to a batch."""
+    Whether a word goes depends on words before it alone, so it is decided in rounds of joins: at once where a j stands after it or is no candidate itself, else when
+    its last open j is. A round's tables are written; rounds are as many as the longest chain of words that wait for one another."""
+    found = written(found, "candidates")
+    state = written(found.groupBy("doc_id", "i").agg((F.max("j") > F.col("i")).alias("gone")).withColumn("open", ~F.col("gone")), "boxes")
+    open_ = written(found.join(state.filter("open").select("doc_id", "i"), ["doc_id", "i"], "left_semi"), "open-boxes")
+    gone = state.filter("gone").select("doc_id", "i")
+    while open_.limit(1).count():
+        of = state.select("doc_id", F.col("i").alias("j"), F.col("gone").alias("j_gone"), F.col("open").alias("j_open"))
+        known = open_.join(of, ["doc_id", "j"], "left").select("doc_id", "i", "j", F.coalesce("j_gone", F.lit(False)).alias("j_gone"), F.coalesce("j_open", F.lit(False)).alias("j_open"))
+        known = written(known, "judged")
+        seen = known.groupBy("doc_id", "i").agg(F.max(~F.col("j_gone") & ~F.col("j_open")).alias("gone"), F.max("j_open").alias("waits"))
+        state = written(seen.select("doc_id", "i", "gone", (~F.col("gone") & F.col("waits")).alias("open")), "boxes")
+        gone = gone.union(state.filter("gone").select("doc_id", "i"))
+        open_ = written(known.filter("j_open").join(state.filter("open").select("doc_id", "i"), ["doc_id", "i"], "left_semi").select("doc_id", "i", "j"), "open-boxes")
+    return gone.withColumnRenamed("i", "word_id")
 
-    def decide(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray]:
-        gone: set[int] = set()
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if b > a or b not in gone:
-                gone.add(a)
-        return (np.array(sorted(gone), np.int32),)
 
-    dropped = over_pages(overlap_candidates(words, least), ["i", "j"], ["i", "j"], decide, {"word_id": "int"})
-    return words.join(dropped, ["doc_id", "word_id"], "left_anti")
+def drop_duplicate_boxes(words: DataFrame, least: float = 0.7) -> DataFrame:
+    """Drop a word that overlaps a word not larger than it, unless that one stands before it and is dropped itself."""
+    return words.join(duplicate_boxes(overlap_candidates(words, least)), ["doc_id", "word_id"], "left_anti")
 
 
 def min_sizes(words: DataFrame) -> DataFrame:
@@ -115,7 +123,39 @@ def phrases(words: DataFrame, threshold: float = 0.55) -> DataFrame:
     return union_boxes(named, "phrase_id")
 
 
+def nearest_distances(boxes: DataFrame, id_col: str = "word_id") -> DataFrame:
+    """(doc_id, id_col, nn): the distance of each box to the nearest other of its page; infinite where none is parted from it, and no row for a page's only box.
+
+    A page has a grid of about as many cells as boxes. A box looks one cell's width around itself; what it finds within that is the nearest. Boxes that find nothing
+    so near go on with cells twice as wide, until a cell is as wide as the page; those are few, so the work grows with the boxes, not with their square."""
+    kept = boxes.select("doc_id", F.col(id_col).alias("id"), *"ltwh")
+    page = kept.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("l").alias("x0"), F.min("t").alias("y0"), F.greatest(F.max(right()) - F.min("l"), F.max(bottom()) - F.min("t")).alias("extent"), F.avg(F.greatest("w", "h")).alias("side")
+    )
+    cell = F.greatest(F.col("extent") / F.ceil(F.sqrt("n")), F.col("side"), F.lit(1e-9))
+    kept = written(kept.join(page.filter("n > 1").select("doc_id", "x0", "y0", "extent", cell.alias("cell")), "doc_id"), "boxes")
+    open_, found, level = kept, None, 0
+    while True:
+        size = F.col("cell") * F.lit(float(2**level))
+
+        def cells(rows: DataFrame, p: str, around: float, size: Column = size) -> DataFrame:
+            span = lambda low, high, zero: F.explode(F.sequence(F.floor((F.col(low) - around * size - F.col(zero)) / size), F.floor((high + around * size - F.col(zero)) / size)))
+            wide = rows.withColumn("cx", span("l", right(), "x0")).withColumn("cy", span("t", bottom(), "y0"))
+            return wide.select("doc_id", "cx", "cy", *[F.col(c).alias(p + c) for c in ("id", *"ltwh")])
+
+        others = kept if level == 0 else kept.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+        both = cells(open_, "u_", 1.0).join(cells(others, "v_", 0.0), ["doc_id", "cx", "cy"]).filter("u_id <> v_id")
+        seen = both.groupBy("doc_id", F.col("u_id").alias("id")).agg(F.min(gap_distance("u_", "v_")).alias("nn"))
+        judged = open_.join(seen, ["doc_id", "id"], "left").withColumn("done", F.coalesce(F.col("nn") <= size, F.lit(False)) | (size >= F.col("extent")))
+        judged = written(judged, "near")
+        near = judged.filter("done").select("doc_id", F.col("id").alias(id_col), "nn")
+        found = near if found is None else found.union(near)
+        open_ = judged.filter("not done").drop("nn", "done")
+        if open_.limit(1).count() == 0:
+            return found
+        level += 1
+
+
 def nearest_gaps(words: DataFrame, ratio: float = 2.0) -> DataFrame:
     """(doc_id, word_id, nn, isolated): distance to the nearest other box; isolated above the page's mean times the ratio."""
-    near = pairs(words).filter(F.col("u_word_id") != F.col("v_word_id")).groupBy("doc_id", F.col("u_word_id").alias("word_id")).agg(F.min(gap_distance("u_", "v_")).alias("nn"))
-    return near.withColumn("isolated", F.round("nn", 9) > F.round(F.avg("nn").over(Window.partitionBy("doc_id")) * ratio, 9))
+    return nearest_distances(words).withColumn("isolated", F.round("nn", 9) > F.round(F.avg("nn").over(Window.partitionBy("doc_id")) * ratio, 9))

@@ -6,13 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .paged import over_pages
 
 
-def capped_pairs(found: DataFrame, cap: int) -> DataFrame:
+#: Pairs of a page that a task may hold; larger pages choose in rounds.
+PAGE_PAIRS = 2_000_000
+
+
+def capped_pairs(found: DataFrame, cap: int, most: int = PAGE_PAIRS) -> DataFrame:
     """Pairs taken in (rank, a, b) order while neither word was taken more than cap times; rank is a column of the input.
 
-    The choice is sequential in a page; a task holds a batch of pairs and a page's (see over_pages)."""
+    Pages of up to `most` pairs are gone through in order, many to a batch (see over_pages); those of more by parallel rounds (see taken_in_rounds)."""
 
     def take(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
         used: dict[int, int] = {}
@@ -23,7 +28,36 @@ def capped_pairs(found: DataFrame, cap: int) -> DataFrame:
                 used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
         return a[kept].astype(np.int32), b[kept].astype(np.int32)
 
-    return over_pages(found, ["rank", "a", "b"], ["rank", "a", "b"], take, {"a": "int", "b": "int"})
+    found = written(found.select("doc_id", "rank", "a", "b").filter("doc_id is not null"), "pairs")
+    large = written(found.groupBy("doc_id").count().filter(F.col("count") > most).select("doc_id"), "large-pages")
+    small = over_pages(found.join(large, "doc_id", "left_anti"), ["rank", "a", "b"], ["rank", "a", "b"], take, {"a": "int", "b": "int"})
+    if large.limit(1).count() == 0:
+        return small
+    return small.unionByName(taken_in_rounds(found.join(large, "doc_id", "left_semi"), cap))
+
+
+def taken_in_rounds(found: DataFrame, cap: int) -> DataFrame:
+    """The pairs (doc_id, a, b) that the ordered pass takes. A round takes every pair that is the first of those left at both of its words: no pair before it can
+    change its fate. A word that was taken more than cap times loses its other pairs. Tables of a round are written."""
+    copies = F.row_number().over(Window.partitionBy("doc_id", "rank", "a", "b").orderBy(F.lit(0)))
+    left = written(found.select("doc_id", F.struct("rank", "a", "b", copies.alias("copy")).alias("key")), "left")
+    ends = lambda pairs: pairs.select("doc_id", "key", F.explode(F.array_distinct(F.array("key.a", "key.b"))).alias("w"))
+    used, taken = None, None
+    while left.limit(1).count():
+        first = ends(left).groupBy("doc_id", "w").agg(F.min("key").alias("first"))
+        at = lambda c, first=first: first.select("doc_id", F.col("w").alias(c), F.col("first").alias(f"first_{c}"))
+        named = left.withColumns({"a": F.col("key.a"), "b": F.col("key.b")}).join(at("a"), ["doc_id", "a"]).join(at("b"), ["doc_id", "b"])
+        now = written(named.filter("key = first_a and key = first_b").select("doc_id", "key"), "taken")
+        taken = now if taken is None else taken.union(now)
+        more = ends(now).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+        used = written((more if used is None else used.union(more)).groupBy("doc_id", "w").agg(F.sum("n").alias("n")), "used")
+        full = used.filter(F.col("n") > cap)
+        rest = left.join(now, ["doc_id", "key"], "left_anti").withColumns({"a": F.col("key.a"), "b": F.col("key.b")})
+        for c in "ab":
+            rest = rest.join(full.select("doc_id", F.col("w").alias(c)), ["doc_id", c], "left_anti")
+        left = written(rest.select("doc_id", "key"), "left")
+    chosen = found.select("doc_id", "a", "b").limit(0) if taken is None else taken.select("doc_id", "key.a", "key.b")
+    return chosen.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
 
 
 def sampled_pairs(found: DataFrame, n: Column, seed: int = 0, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -34,24 +68,19 @@ def sampled_pairs(found: DataFrame, n: Column, seed: int = 0, by: tuple[str, ...
 
 
 def furthest_words(words: DataFrame, cluster: str, k: int) -> DataFrame:
-    """(doc_id, cluster, word_id, rank): from the smallest id on, each next word has the largest summed distance to those chosen."""
-
-    def choose(of: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, ...]:
-        rows, ranks = [], []
-        for at in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1):
-            x, picked = vec[at].astype(float), [0]
-            total = np.zeros(len(x))
-            while len(picked) < min(k, len(x)):
-                total += np.sqrt(((x - x[picked[-1]]) ** 2).sum(1))
-                left = np.round(total, 9)
-                left[picked] = -1
-                picked.append(int(left.argmax()))
-            rows += at[picked].tolist()
-            ranks += range(1, len(picked) + 1)
-        return of[rows].astype(np.int32), ids[rows].astype(np.int32), np.array(ranks, np.int32)
-
-    kept = words.select("doc_id", F.col(cluster).cast("int").alias("cluster"), "word_id", "vec").filter("cluster is not null")
-    return over_pages(kept, ["cluster", "word_id", "vec"], ["cluster", "word_id"], choose, {cluster: "int", "word_id": "int", "rank": "int"})
+    """(doc_id, cluster, word_id, rank): from the smallest id on, each next word has the largest summed distance to those chosen, of ties the smallest id.
+
+    A round joins the words with their cluster's choice so far and takes the best: the choice is k vectors a cluster, and a large cluster's words are spread over tasks."""
+    kept = words.select("doc_id", F.col(cluster).cast("int").alias(cluster), F.col("word_id").cast("int").alias("word_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).filter(F.col(cluster).isNotNull())
+    kept, by = written(kept, "cluster-words"), ["doc_id", cluster]
+    chosen = written(kept.groupBy(*by).agg(F.array(F.min_by(F.struct("word_id", "vec"), "word_id")).alias("chosen")), "chosen")
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+    for _ in range(k - 1):
+        far = kept.join(chosen, by).filter(~F.array_contains(F.col("chosen.word_id"), F.col("word_id")))
+        total = F.round(F.aggregate("chosen", F.lit(0.0), lambda s, c: s + apart(F.col("vec"), c["vec"])), 9)
+        best = far.groupBy(*by).agg(F.max_by(F.struct("word_id", "vec"), F.struct(total, -F.col("word_id"))).alias("best"))
+        chosen = written(chosen.join(best, by, "left").select(*by, F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("best"))).alias("chosen")), "chosen")
+    return chosen.select(*by, F.posexplode("chosen.word_id").alias("rank", "word_id")).select(*by, "word_id", (F.col("rank") + 1).alias("rank"))
 
 
 def numbered(members: DataFrame, group: str) -> DataFrame:
