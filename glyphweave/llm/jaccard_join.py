@@ -385,14 +385,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns: of the rows with its smallest id the one of a set that the text's key decides. Texts that are linked with nothing
     all stay, whatever their ids, and equal rows of such once. Rows with a null id stay."""
-    found = _rows(docs, id_col, text_col).filter("id is not null").withColumn("own", F.struct((F.col("component_id") != F.col("id")).alias("other"), "id", "key"))
+    found = materialise(_rows(docs, id_col, text_col).filter("id is not null"), "judged").withColumn("own", F.struct((F.col("component_id") != F.col("id")).alias("other"), "id", "key"))
     # a component's row is that of its smallest id, by its text's key; a text without words is a component of its own
     group = F.coalesce(F.col("root"), F.xxhash64("id", "key")), F.col("root").isNull()
     stay = found.groupBy(*[c.alias(k) for c, k in zip(group, ("g", "wordless"), strict=True)]).agg(F.min("own").alias("own")).select(F.col("own.id").alias("id"), F.col("own.key").alias("key"))
     times = found.groupBy("id", "key").agg(F.count("*").alias("times"))
-    stay = stay.distinct().join(times, ["id", "key"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "times")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), _key(F.col(f"`{text_col}`")).alias("key"))
-    held = keyed.join(stay, F.expr("id = s_id and key = s_key"))
-    single = held.filter("times = 1").select("row")
-    several = held.filter("times > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(several).unionByName(keyed.filter("id is null").select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    stay = materialise(stay.distinct().join(times, ["id", "key"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "times"), "stay")
+    here = lambda which: docs.join(stay.filter(which), (docs[f"`{id_col}`"].cast("long") == F.col("s_id")) & (_key(docs[f"`{text_col}`"]) == F.col("s_key")), "left_semi")
+    several = here("times > 1").dropDuplicates([id_col, text_col])
+    return here("times = 1").unionByName(several).unionByName(docs.filter(F.col(f"`{id_col}`").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
