@@ -305,8 +305,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     integer_ids(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # an id's texts are ranged by their beginnings, so that many of one id, or of none, are dealt out
-    rows = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions("id", "text")
+    # where many rows have one id, or none, its texts are ranged by their beginnings, which the ranges' sample must read; the order is the same
+    by, p = [F.col("id").asc_nulls_first()], partitions(spark)
+    most = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("every")).first()
+    if (most["most"] or 0) * p > (most["every"] or 0):
+        by.append(F.substring("text", 1, 64).asc_nulls_first())
+    rows = rows.repartitionByRange(p, *by).sortWithinPartitions("id", "text")
     rows.mapInArrow(encode, "shard long, n_tokens long, content binary").write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
     return read_shards(spark, path)
 
