@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -135,17 +135,50 @@ def attach_small(clusters: DataFrame, distances: DataFrame, isolated: DataFrame,
         state = written(state.join(moved, ["doc_id", "root"], "left").select("doc_id", id_col, F.coalesce("to", "root").alias("root")), "clusters")
 
 
-def entity_clusters(members: DataFrame, must: DataFrame, threshold: float = 0.15, attach: float = 0.5, isolation: float = 2.0, largest: int = 1) -> DataFrame:
-    """(doc_id, word_id, phrase_id, root): phrases joined below the distance threshold or by must-link groups, islands of up to `largest`
-    phrases attached."""
-    from .affinity import neural_affinity, threshold_graph
-    from .layout import nearest_gaps
+def phrase_distances(members: DataFrame, metric: str = "neural_affinity", reduce: str = "mean_without_log", cutoff: float = 0.25, up_to: float = 1.0) -> DataFrame:
+    """(doc_id, a, b, dist) of ordered pairs of a page's phrases. neural_affinity: the reduced score of their words' vectors; embedding_distance: see there; both are 1 where mean
+    heights are more unlike than the cutoff, and such pairs are there only where distances up_to more than 1 count. geometric_distance: of their boxes."""
+    from .affinity import embedding_distance, neural_affinity
+    from .layout import pairs
+    from .linking import boxed_phrases, geometric_distance
+
+    if metric == "geometric_distance":
+        one = geometric_distance(boxed_phrases(members), "phrase_id")
+        return one.union(one.select("doc_id", "b", "a", "dist"))
+    if metric not in ("neural_affinity", "embedding_distance"):
+        raise ValueError(f"no such metric: {metric}")
+    found = (neural_affinity(members, reduce, cutoff) if metric == "neural_affinity" else embedding_distance(members, cutoff)).select("doc_id", "a", "b", "dist")
+    if up_to <= 1:
+        return found
+    found, ids = written(found, "close"), members.select("doc_id", "phrase_id").distinct()
+    every = pairs(ids).filter("u_phrase_id <> v_phrase_id").select("doc_id", F.col("u_phrase_id").alias("a"), F.col("v_phrase_id").alias("b"))
+    return found.unionByName(every.join(found, ["doc_id", "a", "b"], "left_anti").withColumn("dist", F.lit(1.0)))
+
+
+def entity_clusters(
+    members: DataFrame, must: DataFrame, threshold: float = 0.15, attach: float = 0.5, isolation: float = 2.0, largest: int = 1, metric: str = "neural_affinity", reduce: str = "mean_without_log", cutoff: float = 0.25, algorithm: str = "graph", least: int = 5
+) -> DataFrame:
+    """(doc_id, word_id, phrase_id, root): the words of phrases that are clustered by a distance (see phrase_distances).
+
+    graph: phrases are joined below the threshold in either direction, or by must-link groups. dbscan: density clusters of phrases that have `least` others at the threshold
+    or nearer, themselves included; noise is left out, and must-link groups do not count. Where attach is above 0, islands of up to `largest` phrases are tied to the nearest
+    cluster below it; they are islands of the graph, which with dbscan has the must-link groups' edges alone."""
+    from .affinity import threshold_graph
+    from .layout import nearest_distances
     from .linking import boxed_phrases, group_phrase_pairs
 
-    distances = written(neural_affinity(members).withColumn("dist", F.round("dist", 9)), "distances")
+    if algorithm not in ("graph", "dbscan"):
+        raise ValueError(f"no such algorithm: {algorithm}")
+    distances = written(phrase_distances(members, metric, reduce, cutoff, max(threshold, attach)).withColumn("dist", F.round("dist", 9)), "distances")
     boxes = boxed_phrases(members)
-    links = threshold_graph(distances, threshold).union(group_phrase_pairs(must, members))
-    far = nearest_gaps(boxes.withColumnRenamed("phrase_id", "word_id"), isolation).filter("isolated").select("doc_id", F.col("word_id").alias("phrase_id"))
-    clusters = rooted(boxes, links, "phrase_id")
-    found = attach_islands(clusters, distances, far, attach) if largest == 1 else attach_small(clusters, distances, far, attach, largest)
-    return members.select("doc_id", "word_id", "phrase_id").join(found, ["doc_id", "phrase_id"])
+    named = members.select("doc_id", "word_id", "phrase_id")
+    if algorithm == "dbscan" and attach <= 0:
+        return named.join(dbscan(boxes, distances.filter(F.col("dist") <= threshold), least, "phrase_id"), ["doc_id", "phrase_id"])
+    links = group_phrase_pairs(must, members)
+    clusters = rooted(boxes, threshold_graph(distances, threshold).union(links) if algorithm == "graph" else links, "phrase_id")
+    if attach > 0:
+        gaps = nearest_distances(boxes, "phrase_id")
+        mean = F.avg("nn").over(Window.partitionBy("doc_id")) * isolation
+        far = gaps.withColumn("far", F.round("nn", 9) > F.round(mean, 9)).filter("far").select("doc_id", "phrase_id")
+        clusters = attach_islands(clusters, distances, far, attach) if largest == 1 else attach_small(clusters, distances, far, attach, largest)
+    return named.join(clusters, ["doc_id", "phrase_id"])

@@ -97,6 +97,41 @@ def last_written(found: DataFrame, order: str) -> DataFrame:
     return last.select("doc_id", F.col("x").alias("a"), F.col("y").alias("b"), *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
+#: Sources of pairs, in the order in which they are given up.
+SOURCES = ["in_phrase", "knn_must", "manual_must", "knn_cannot", "manual_cannot"]
+
+
+def pair_counts(sources: dict[str, DataFrame], count_mode: str = "reference") -> DataFrame:
+    """(doc_id, in_phrase, knn_must, manual_must, knn_cannot, manual_cannot): how many pairs (doc_id, a, b) each source of a page has, by name.
+
+    distinct: pairs in either order count once. reference: so do must-links, but cannot-links of neighbours count as often as they stand in the list, where pairs that are
+    mutual stand in both orders. Pairs of a word with itself do not count."""
+    if count_mode not in ("reference", "distinct"):
+        raise ValueError(f"no such count_mode: {count_mode}")
+    found = None
+    for name in SOURCES:
+        if name in sources:
+            rows = sources[name].filter("a <> b").select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            rows = rows if name == "knn_cannot" and count_mode == "reference" else rows.distinct()
+            rows = rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("source", F.lit(name))
+            found = rows if found is None else found.union(rows)
+    return found.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("source") == name, F.col("n"))), F.lit(0)).alias(name) for name in SOURCES])
+
+
+def within_budget(sources: dict[str, DataFrame], cap: int, ratio: float, count_mode: str = "reference", seed: int = 0) -> DataFrame:
+    """(doc_id, a, b, source): the pairs, each once per source, that are left when each source has given up what `budget` says, by lot."""
+    counts = written(pair_counts(sources, count_mode), "counts")
+    drops = written(budget(counts, cap, ratio), "drops")
+    kept = None
+    for name, rows in sources.items():
+        rows = rows.filter("a <> b").select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if f"drop_{name}" in drops.columns:
+            rows = sampled_pairs(rows.join(drops.select("doc_id", F.col(f"drop_{name}").alias("gone")), "doc_id", "left").withColumn("held", F.count("*").over(Window.partitionBy("doc_id"))), F.col("held") - F.coalesce("gone", F.lit(0)), seed)
+        rows = rows.select("doc_id", "a", "b", F.lit(name).alias("source"))
+        kept = rows if kept is None else kept.union(rows)
+    return kept
+
+
 def budget(counts: DataFrame, cap: int, ratio: float) -> DataFrame:
     """How many pairs each source of a page gives up: must-links above the cap, then the excess over must : cannot = ratio.
 

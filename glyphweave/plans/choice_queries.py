@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import constraints, graph, linking, measures, selection
 from ..sources import ocr
 from ..streaming import constraint_log
-from .catalog import CLEAN, MV, M, V, W, clean, register
+from .catalog import CLEAN, MV, M, V, W, by_word, clean, register
 from .pair_queries import _BOXES, _INSIDE, _MANUAL, _XC, _ROW
 from .score_queries import _BLOCK
 
 
 @register("t4_capped_height_pairs", (W,))
 def _t4(w):
-    return selection.capped_pairs(constraints.height_pairs(w).withColumn("rank", F.lit(0)), 15)
+    return by_word(selection.capped_pairs(constraints.height_pairs(w).withColumn("rank", F.lit(0)), 15))
 
 
 @register("t4_capped_ner_case_pairs", (MV,))
 def _t4_shared(m):
     ner = linking.ner_pairs(m)
     both = ner.union(ner.select("doc_id", F.col("b"), F.col("a"))).withColumn("rank", F.lit(0))
-    return selection.capped_pairs(both.unionByName(linking.case_pairs(m).withColumn("rank", F.lit(1))), 20)
+    return by_word(selection.capped_pairs(both.unionByName(linking.case_pairs(m).withColumn("rank", F.lit(1))), 20))
 
 
-@register("t7_furthest_words", (V,))
+def _t7_sql(k: int) -> str:
+    """Each choice from the summed distances to those before it."""
+    ctes = ", b as (select doc_id, label, word_id, vec::double[] as vec from fx_vec), w1 as (select doc_id, label, min(word_id) as word_id from b group by all), c1 as (select b.* from b join w1 using (doc_id, label, word_id))"
+    for n in range(2, k + 1):
+        far = " + ".join(f"list_distance(b.vec, c{i}.vec)" for i in range(1, n))
+        joins = " ".join(f"join c{i} on c{i}.doc_id = b.doc_id and c{i}.label = b.label and c{i}.word_id <> b.word_id" for i in range(1, n))
+        ctes += f", w{n} as (select b.doc_id, b.label, arg_max(b.word_id, (round({far}, 9), -b.word_id)) as word_id from b {joins} group by b.doc_id, b.label), c{n} as (select b.* from b join w{n} using (doc_id, label, word_id))"
+    return ctes + " " + " union all ".join(f"select doc_id, label, word_id, {n} as rank from c{n}" for n in range(1, k + 1))
+
+
+@register("t7_furthest_words", (V,), _t7_sql(4))
 def _t7(v):
     return selection.furthest_words(v, "label", 4)
 
@@ -64,6 +75,53 @@ def _s3(b):
     return selection.budget(b, 40, 1.5)
 
 
+_LISTS = """, placed as (select doc_id, phrase_id, word_id, pos, ner_tag, row_number() over (partition by doc_id order by word_id) as k from fx_mvec),
+must_list as (select u.doc_id, u.word_id as a, v.word_id as b from placed u join placed v on u.doc_id = v.doc_id and abs(u.k - v.k) = 1 where u.ner_tag = v.ner_tag or (u.k + v.k) % 4 = 1),
+cannot_list as (select u.doc_id, u.word_id as a, v.word_id as b from placed u join placed v on u.doc_id = v.doc_id and (v.k - u.k = 9 or (u.k - v.k = 9 and u.k % 2 = 0)))"""
+
+
+def _lists(m):
+    """Neighbour lists from the places of words: must-links in both orders, cannot-links in one order or in both."""
+    at = m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("word_id"))).select("doc_id", "word_id", "ner_tag", "k")
+    u, v = (at.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("word_id", "ner_tag", "k")]) for p in "uv")
+    steps = lambda which: F.explode(F.array(*[F.col("u_k") + s for s in which])).alias("v_k")
+    both = lambda which: u.select("*", steps(which)).join(v, ["doc_id", "v_k"])
+    pair = [F.col("u_word_id").alias("a"), F.col("v_word_id").alias("b")]
+    must = both((1, -1)).filter("u_ner_tag = v_ner_tag or (u_k + v_k) % 4 = 1").select("doc_id", *pair)
+    cannot = both((9, -9)).filter("v_k > u_k or u_k % 2 = 0").select("doc_id", *pair)
+    return must, cannot
+
+
+_COUNTED = f"""{_LISTS}, c as (select doc_id, count(*) as n, 'in_phrase' as s from (select distinct u.doc_id, u.word_id, v.word_id as b from fx_mvec u join fx_mvec v on u.doc_id = v.doc_id and u.phrase_id = v.phrase_id and u.word_id < v.word_id) group by doc_id
+  union all select doc_id, count(distinct (least(a, b), greatest(a, b))), 'knn_must' from must_list group by doc_id
+  union all select doc_id, count(*), 'knn_cannot' from cannot_list group by doc_id
+  union all select doc_id, count(*), 'manual_cannot' from (select distinct u.doc_id, least(u.word_id, v.word_id) as a, greatest(u.word_id, v.word_id) as b from fx_cannot u join fx_cannot v on u.doc_id = v.doc_id and u.pair_id = v.pair_id where u.side = 'A' and v.side = 'B') where a <> b group by doc_id),
+counts as (select doc_id, {", ".join(f"cast(coalesce(sum(n) filter (s = '{x}'), 0) as bigint) as {x}" for x in selection.SOURCES)} from c group by doc_id)"""
+
+
+def _sources(m, c):
+    must, cannot = _lists(m)
+    return {"in_phrase": linking.phrase_pairs(m), "knn_must": must, "knn_cannot": cannot, "manual_cannot": constraints.side_pairs(c)}
+
+
+@register("s3_pair_counts", (MV, "fx_cannot"), _COUNTED + " select * from counts")
+def _s3_counts(m, c):
+    return selection.pair_counts(_sources(m, c))
+
+
+@register("s3_within_budget", (MV, "fx_cannot"), _COUNTED + """, k as (select *, (in_phrase + knn_must)::double as m, (knn_cannot + manual_cannot)::double as c from counts), d as (select *, greatest(m - 60, 0) as o, least(m, 60) as kept from k),
+e as (select *, least(o, in_phrase) as f, kept > 1.2 * c and c > 0 as skewed from d), g as (select *, f + case when skewed then least(kept - 1.2 * c, in_phrase) else 0 end as di from e),
+h as (select doc_id, in_phrase - least(floor(di), in_phrase) as in_phrase, knn_must - least(floor(o - f + case when skewed then greatest(kept - 1.2 * c - di, 0) else 0 end), knn_must) as knn_must, least(case when skewed then 0 else least(greatest(c - floor(kept / 1.2::double), 0), c) end, knn_cannot) as gone, manual_cannot from g),
+u as (select doc_id, count(distinct (least(a, b), greatest(a, b))) as n from cannot_list group by doc_id)
+select h.doc_id, cast(h.in_phrase as bigint) as in_phrase, cast(h.knn_must as bigint) as knn_must, cast(greatest(coalesce(u.n, 0) - h.gone, 0) as bigint) as knn_cannot, h.manual_cannot from h left join u using (doc_id)""")
+def _s3_within(m, c):
+    kept = selection.within_budget(_sources(m, c), 60, 1.2)
+    counted = kept.groupBy("doc_id").agg(*[F.count(F.when(F.col("source") == s, 1)).alias(s) for s in ("in_phrase", "knn_must", "knn_cannot", "manual_cannot")])
+    pages = m.select("doc_id").union(c.select("doc_id")).distinct()
+    some = pages.join(selection.pair_counts(_sources(m, c)).select("doc_id"), "doc_id", "left_semi")
+    return some.join(counted, "doc_id", "left").select("doc_id", *[F.coalesce(s, F.lit(0)).alias(s) for s in ("in_phrase", "knn_must", "knn_cannot", "manual_cannot")])
+
+
 @register("a21_pair_counts", (M, "fx_cannot"), f", p as ({_INSIDE}), q as ({_MANUAL}) select doc_id, label, confidence, count(*) as n from (select * from p union all select * from q) group by all")
 def _a21(m, c):
     return _s1(m, c).groupBy("doc_id", "label", "confidence").agg(F.count("*").alias("n"))
@@ -97,6 +155,14 @@ def _a19(v):
     return measures.top_accuracy(scores).select(F.round("top1", 9).alias("top1"), F.round("top5", 9).alias("top5"))
 
 
+@register("a19_top_accuracy_of_some", (V,), """, s as (select doc_id || ':' || word_id as sample, label, unnest(range(10)) as class, unnest(vec[1:10]) as score from fx_vec),
+few as (select distinct sample from s order by sample limit 1008), r as (select *, row_number() over (partition by sample order by score desc, class) as k from s where sample in (from few)),
+g as (select sample, min(case when class = label then k end) as k from r group by sample) select round(avg(case when k <= 1 then 1 else 0 end), 9) as top1, round(avg(case when k <= 5 then 1 else 0 end), 9) as top5 from g""")
+def _a19_some(v):
+    scores = v.select(F.concat_ws(":", "doc_id", "word_id").alias("sample"), "label", F.posexplode(F.slice("vec", 1, 10)).alias("class", "score"))
+    return measures.top_accuracy(scores, most=1000, batch=8).select(F.round("top1", 9).alias("top1"), F.round("top5", 9).alias("top5"))
+
+
 @register("a20_epoch_scores", (V,), """, s as (select word_id % 7 as epoch, case when doc_id % 3 = 0 then 'val' else 'train' end as phase, avg(abs(vec[1]::double)) as loss, avg(label % 2) as accuracy from fx_vec group by all)
 select epoch, phase, round(loss, 6) as loss, round(accuracy, 6) as accuracy, phase = 'val' and row_number() over (partition by phase order by accuracy desc, epoch) = 1 as best from s""")
 def _a20(v):
@@ -150,20 +216,44 @@ def _u1(w):
     return linking.linked_by(clean(w), lambda both: F.greatest(F.abs(F.col("u_l") - F.col("v_l")), F.abs(F.col("u_t") - F.col("v_t"))), 0.03125)
 
 
-@register("g6_entity_clusters", (MV, "fx_must"), f"""{_BLOCK}, dist as (select doc_id, a, b, round(1 - avg(exp(-d * d / 1.5)), 9) as dist from d group by doc_id, a, b),
+_G6_BOX = f"box as ({_BOXES.replace('fx_members', 'fx_mvec')})"
+
+
+def _g6_sql(dist: str, threshold: float, attach: float) -> str:
+    return f"""{_BLOCK}, dist as (select doc_id, a, b, round({dist}, 9) as dist from d group by doc_id, a, b),
 held as (select distinct doc_id, group_id, phrase_id from fx_must join fx_mvec using (doc_id, word_id)),
-e as (select doc_id, a, b from dist where dist < 0.15 union select u.doc_id, u.phrase_id, v.phrase_id from held u join held v on u.doc_id = v.doc_id and u.group_id = v.group_id and u.phrase_id < v.phrase_id), {_CONNECT},
-box as ({_BOXES.replace('fx_members', 'fx_mvec')}), roots as (select box.doc_id, phrase_id, coalesce(root, phrase_id) as root from box left join comp on comp.doc_id = box.doc_id and comp.id = phrase_id),
+e as (select doc_id, a, b from dist where dist < {threshold} union select u.doc_id, u.phrase_id, v.phrase_id from held u join held v on u.doc_id = v.doc_id and u.group_id = v.group_id and u.phrase_id < v.phrase_id), {_CONNECT},
+{_G6_BOX}, roots as (select box.doc_id, phrase_id, coalesce(root, phrase_id) as root from box left join comp on comp.doc_id = box.doc_id and comp.id = phrase_id),
 gaps as (select u.doc_id, u.phrase_id, greatest(v.l - (u.l + u.w), u.l - (v.l + v.w), 0) as dx, greatest(v.t - (u.t + u.h), u.t - (v.t + v.h), 0) as dy from box u join box v on u.doc_id = v.doc_id and u.phrase_id <> v.phrase_id),
 nn as (select doc_id, phrase_id, min(case when dx = 0 and dy = 0 then 'inf'::double else sqrt(dx * dx + dy * dy) end) as nn from gaps group by all),
 far as (select doc_id, phrase_id, round(nn, 9) > round(avg(nn) over (partition by doc_id) * 2.0, 9) as far from nn),
 isl as (select r.doc_id, r.phrase_id, r.root, count(*) over (partition by r.doc_id, r.root) = 1 and not coalesce(far, false) as island from roots r left join far using (doc_id, phrase_id)),
-best as (select x.doc_id, x.a, arg_min(v.root, (x.dist, x.b)) as root from dist x join isl u on u.doc_id = x.doc_id and u.phrase_id = a join isl v on v.doc_id = x.doc_id and v.phrase_id = b where u.island and not v.island and dist < 0.5 group by x.doc_id, x.a)
-select m.doc_id, m.word_id, m.phrase_id, coalesce(best.root, isl.root) as root from fx_mvec m join isl using (doc_id, phrase_id) left join best on best.doc_id = m.doc_id and best.a = m.phrase_id""")
+best as (select x.doc_id, x.a, arg_min(v.root, (x.dist, x.b)) as root from dist x join isl u on u.doc_id = x.doc_id and u.phrase_id = a join isl v on v.doc_id = x.doc_id and v.phrase_id = b where u.island and not v.island and dist < {attach} group by x.doc_id, x.a)
+select m.doc_id, m.word_id, m.phrase_id, coalesce(best.root, isl.root) as root from fx_mvec m join isl using (doc_id, phrase_id) left join best on best.doc_id = m.doc_id and best.a = m.phrase_id"""
+
+
+@register("g6_entity_clusters", (MV, "fx_must"), _g6_sql("1 - avg(exp(-d * d / 1.5))", 0.15, 0.5))
 def _g6(m, g):
     return graph.entity_clusters(m, g).select("doc_id", "word_id", "phrase_id", "root")
 
 
+@register("g6_clusters_by_embedding", (MV, "fx_must"), _g6_sql("1 - avg(d) / 2", 0.05, 0.3))
+def _g6_embedding(m, g):
+    return graph.entity_clusters(m, g, 0.05, 0.3, metric="embedding_distance").select("doc_id", "word_id", "phrase_id", "root")
+
+
+@register("g6_clusters_by_density", (MV, "fx_must"), f"""{_BLOCK}, near as (select doc_id, a, b from d group by doc_id, a, b having round(avg(least(100, d * d / 1.5)), 9) <= 1.2), {_G6_BOX},
+core as (select c.doc_id, c.phrase_id from box c left join near n on n.doc_id = c.doc_id and n.a = c.phrase_id group by c.doc_id, c.phrase_id having count(n.b) + 1 >= 3),
+e as (select n.* from near n join core u on u.doc_id = n.doc_id and u.phrase_id = a join core v on v.doc_id = n.doc_id and v.phrase_id = b), {_CONNECT},
+roots as (select core.doc_id, core.phrase_id, coalesce(root, core.phrase_id) as root from core left join comp on comp.doc_id = core.doc_id and comp.id = core.phrase_id),
+found as (select * from roots union all select n.doc_id, n.a, min(root) from near n join roots r on r.doc_id = n.doc_id and r.phrase_id = n.b left join core c on c.doc_id = n.doc_id and c.phrase_id = n.a where c.doc_id is null group by n.doc_id, n.a)
+select m.doc_id, m.word_id, m.phrase_id, root from fx_mvec m join found using (doc_id, phrase_id)""")
+def _g6_density(m, g):
+    near = graph.phrase_distances(m, reduce="mean").withColumn("dist", F.round("dist", 9))
+    found = graph.dbscan(linking.boxed_phrases(m), near.filter("dist <= 1.2"), 3, "phrase_id")
+    return m.select("doc_id", "word_id", "phrase_id").join(found, ["doc_id", "phrase_id"]).select("doc_id", "word_id", "phrase_id", "root")
+
+
 @register("g4_small_islands", (MV, "fx_must"))
 def _g4(m, g):
     return graph.entity_clusters(m, g, largest=2).select("doc_id", "word_id", "phrase_id", "root")
@@ -180,9 +270,12 @@ def _io5(m):
     return ocr.result_rows(m, m.filter("label < 5").select("doc_id", "word_id", F.col("label").alias("cluster")))
 
 
-@register("io6_constraint_rows", ("fx_must", "fx_cannot"))
+@register("io6_constraint_rows", ("fx_must", "fx_cannot"), """, g as (select doc_id, list(ws order by group_id) as must_link from (select doc_id, group_id, list(word_id order by word_id) as ws from fx_must group by all) group by doc_id),
+s as (select doc_id, pair_id, [coalesce(list(word_id order by word_id) filter (side = 'A'), []), coalesce(list(word_id order by word_id) filter (side = 'B'), [])] as ws from fx_cannot group by all),
+p as (select doc_id, list(ws order by pair_id) as must_not_link from s group by doc_id)
+select doc_id, to_json(coalesce(must_link, []))::varchar as must_link, to_json(coalesce(must_not_link, []))::varchar as must_not_link from g full join p using (doc_id)""")
 def _io6(must, cannot):
-    return ocr.constraint_rows(must, cannot)
+    return ocr.constraint_rows(must, cannot).select("doc_id", *[F.to_json(c).alias(c) for c in ("must_link", "must_not_link")])
 
 
 @register("w2_constraint_replay", ("fx_clog",))
