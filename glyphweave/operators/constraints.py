@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import pairs
-from .paged import over_pages
+from .paged import TILE, by_size, over_pages, over_tiles
 
 # Codes of the entity names.
 NER_CODES = {
@@ -34,23 +34,42 @@ def height_pairs(words: DataFrame, ratio: float = 1.5) -> DataFrame:
     return found.select("doc_id", F.col("u_word_id").alias("a"), F.col("v_word_id").alias("b"))
 
 
-def nearest(vectors: DataFrame, k: int, farthest: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, farthest: bool = False, tile: int = TILE) -> DataFrame:
     """(doc_id, word_id, other, rank): by cosine distance inside a page, itself first on ties, then by id; rank 1 is skipped.
 
-    One matrix product per page, many pages to a batch (see over_pages)."""
+    One matrix product per page, many pages to a batch (see over_pages). Pages of more than `tile` words are cut into tiles: each pair of tiles gives each of its first
+    tile's words the k + 1 first of the second, and a word's lists of all tiles are ranked together, so no task has a page's square."""
 
-    def rank(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    def unit(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(float)
         norm = np.sqrt((x * x).sum(1))
         ok = norm > 0
-        ids, x = ids[ok], x[ok] / norm[ok][:, None]
-        d = np.round(1 - x @ x.T, 9)
-        tie = np.where(np.eye(len(ids), dtype=bool), -1, np.arange(len(ids))[None, :])
-        order = np.lexsort((tie, -d if farthest else d), axis=1)[:, 1 : k + 1]
+        return ids[ok], x[ok] / norm[ok][:, None]
+
+    def first(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's order of the others, and the distances; the others stand by id."""
+        d = np.round(1 - x @ y.T, 9)
+        tie = np.where(ids[:, None] == others[None, :], -1, np.arange(len(others))[None, :])
+        return np.lexsort((tie, -d if farthest else d), axis=1)[:, : k + 1], d
+
+    def rank(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, x = unit(ids, x)
+        order = first(ids, x, ids, x)[0][:, 1:]
         n = order.shape[1]
         return np.repeat(ids, n).astype(np.int32), ids[order.ravel()].astype(np.int32), np.tile(np.arange(2, n + 2), len(ids)).astype(np.int32)
 
-    return over_pages(vectors, ["word_id", "vec"], ["word_id"], rank, {"word_id": "int", "other": "int", "rank": "int"})
+    def of_tiles(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        (ids, x), (others, y) = unit(ids, x), unit(others, y)
+        order, d = first(ids, x, others, y)
+        return np.repeat(ids, order.shape[1]).astype(np.int32), others[order.ravel()].astype(np.int32), np.take_along_axis(d, order, 1).ravel()
+
+    small, large = by_size(vectors, tile)
+    found = over_pages(small, ["word_id", "vec"], ["word_id"], rank, {"word_id": "int", "other": "int", "rank": "int"})
+    if large is None:
+        return found
+    listed = over_tiles(large, of_tiles, {"word_id": "int", "other": "int", "d": "double"}, tile)
+    place = F.row_number().over(Window.partitionBy("doc_id", "word_id").orderBy(F.desc("d") if farthest else F.asc("d"), F.col("word_id") != F.col("other"), "other"))
+    return found.unionByName(listed.withColumn("rank", place).filter((F.col("rank") > 1) & (F.col("rank") <= k + 1)).drop("d"))
 
 
 def mutual(near: DataFrame) -> DataFrame:

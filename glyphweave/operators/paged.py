@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.lineage import written
 
 
 def _column(column: pa.Array) -> np.ndarray:
@@ -56,3 +59,38 @@ def over_pages(df: DataFrame, columns: list[str], order: list[str], f: Callable[
     wanted = list(dict.fromkeys([*columns, *order]))
     dealt = df.filter("doc_id is not null").select("doc_id", *wanted).repartition("doc_id").sortWithinPartitions("doc_id", *order)
     return dealt.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in returns.items()))
+
+
+#: Words of a page that a task may square; larger pages are cut into tiles of about as many.
+TILE = 2048
+
+
+def over_tiles(df: DataFrame, f: Callable[..., tuple[np.ndarray, ...]], returns: dict[str, str], size: int = TILE) -> DataFrame:
+    """doc_id and f's columns (name: type) of each ordered pair of tiles of each page, a tile with itself included: f(ids, x, other ids, other x) gets the words (word_id, vec) of
+    both, by id. A tile is dealt by a hash of the word, about `size` words to each, and a task holds one pair of them."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+    words = df.filter("doc_id is not null").select("doc_id", F.col("word_id").cast("int").alias("word_id"), F.transform("vec", lambda v: v.cast("double")).alias("vec"))
+    tiles = words.groupBy("doc_id").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    cut = words.join(tiles, "doc_id").withColumn("tile", F.pmod(F.xxhash64("word_id"), F.col("tiles")).cast("int"))
+    packed = written(cut.groupBy("doc_id", "tile").agg(F.array_sort(F.collect_list(F.struct("word_id", "vec"))).alias("of")).select("doc_id", "tile", F.col("of.word_id").alias("ids"), F.flatten("of.vec").alias("x")), "tiles")
+    other = packed.select("doc_id", F.col("tile").alias("other_tile"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"))
+    pairs = packed.join(other, "doc_id").select("doc_id", "ids", "x", "other_ids", "other_x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids, x, other_ids, other_x = (np.asarray(row.column(c).flatten()) for c in ("ids", "x", "other_ids", "other_x"))
+                found = f(ids, x.reshape(len(ids), -1), other_ids, other_x.reshape(len(other_ids), -1))
+                doc = row.column("doc_id").take(pa.array(np.zeros(len(found[0]), np.int64)))
+                yield pa.RecordBatch.from_arrays([doc, *map(pa.array, found)], ["doc_id", *returns])
+
+    return pairs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in returns.items()))
+
+
+def by_size(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of pages of up to `most` rows, and those of larger pages, None if there is none."""
+    large = written(df.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > most).select("doc_id"), "large-pages")
+    if large.limit(1).count() == 0:
+        return df, None
+    return df.join(large, "doc_id", "left_anti"), df.join(large, "doc_id", "left_semi")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphweave.functions.geometry import gap_distance
-from glyphweave.operators import layout, selection, vectors
+from glyphweave.operators import constraints, layout, selection, vectors
 
 
 def test_duplicate_boxes_as_the_ordered_pass(spark):
@@ -74,3 +74,17 @@ def test_components_by_power_iteration(spark):
     scores *= np.where(scores[np.abs(scores).argmax(0), [0, 1]] < 0, -1, 1)
     linear = {r.word_id: r.vec for r in vectors.kernel_components(vectors.gram(words), 2, 0).filter("doc_id = 1").collect()}
     assert np.allclose([linear[w] for w in range(40)], scores, atol=1e-6)
+
+
+def test_tiles_as_whole_pages(spark):
+    """Nearest, farthest and Gram tables with tiles of 16 words: ties, zero vectors, pages of a tile and of many."""
+    rng = np.random.default_rng(12)
+    rows = [(d, w, np.round(rng.normal(size=3) * (w % 11 > 0), 1).tolist()) for d, n in ((1, 9), (2, 16), (3, 90), (4, 41)) for w in range(n)]
+    rows += [(3, 200 + w, rows[30][2]) for w in range(5)]  # one vector many times
+    frame = spark.createDataFrame(rows, "doc_id long, word_id int, vec array<double>").repartition(4)
+    for farthest in (False, True):
+        whole, cut = (sorted(map(tuple, constraints.nearest(frame, 4, farthest, n).collect())) for n in (10**6, 16))
+        assert whole == cut and len(whole) > 400
+    for kernel in ("linear", "rbf", "poly", "cosine"):
+        whole, cut = ({(r.doc_id, r.a, r.b): r.k for r in vectors.gram(frame, kernel, tile=n).collect()} for n in (10**6, 16))
+        assert whole.keys() == cut.keys() and all(math.isclose(x, cut[key], abs_tol=1e-12) for key, x in whole.items())
