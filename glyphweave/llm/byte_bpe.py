@@ -167,8 +167,8 @@ def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, sizes binary, ids binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
-    """Per row: id, ids (the text's, little-endian, 32 bits each)."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20, decoded: bool = False) -> DataFrame:
+    """Per row: id, ids (the text's, little-endian, 32 bits each); decoded: also what `decode` makes of these ids, in the same tasks."""
     no_clash(id_col, RESULTS)
     spark = docs.sparkSession
     # as many buckets as words of the texts' size may need, and as the session wants parts, in powers of two
@@ -178,6 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     sent = chunks.select("chunk", F.explode("buckets").alias("b")).select("chunk", F.col("b.bucket").alias("bucket"), "b.words")
     answers = encode_words(sent, path, pattern).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
+    table = token_bytes(docs, path) if decoded else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,13 +192,51 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 at = np.empty(len(sizes), np.int64)
                 at[of("places", np.uint32)] = np.arange(len(sizes))
                 ids, n = spread(flat, sizes, at[of("numbers", np.uint32)], np.concatenate([[0], np.cumsum(of("counts", np.int64))]))
-                ends = 4 * np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())], ["id", "ids"])
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+                # some texts at a time, as the ids' bytes take several times their room
+                for a, b in pieces_of(ends, 1 << 19):
+                    columns = [row.column("ids").flatten().slice(a, b - a), binaries(ids[ends[a] : ends[b]].astype("<u4"), ends[a : b + 1] - ends[a])]
+                    if table is not None:
+                        columns.append(binaries(*looked_up(table.value, ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a])))
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     # a chunk of empty texts alone has no words, and so no answers
     joined = chunks.select("chunk", "ids", "counts", "numbers", "places").join(answers, "chunk", "left")
     joined = joined.withColumn("answers", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)))
-    return joined.select("ids", "counts", "numbers", "places", "answers").mapInArrow(rows, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return joined.select("ids", "counts", "numbers", "places", "answers").mapInArrow(rows, f"id {kind}, ids binary" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
+
+
+def pieces_of(ends: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches of texts of about `most` ids, one text at least."""
+    out, a = [], 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values[ends[d]:ends[d + 1]] as the bytes of text d."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * values.dtype.itemsize), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
+
+
+def token_bytes(df: DataFrame, path: str):
+    """The token-byte table, broadcast: all tokens' bytes by id, and how many each has."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table], np.int64)))
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that ids stand for, and where those of each text end."""
+    data, size = table
+    if len(ids) and (ids.max() >= len(size) or not size[ids].all()):
+        raise ValueError("an id is not in the vocabulary")
+    found, n = spread(data, size, ids, ends)
+    return found, np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -205,22 +244,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     ids are none."""
     if "decoded" in encoded.columns:
         raise ValueError("a column has the name of a result: decoded")
-    ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    sent = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table], np.int64)))
+    sent = token_bytes(encoded, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, size = sent.value
-        for batch in batches:
-            decoded = []
-            for raw in batch.column(ids_col).to_pylist():
-                ids = np.frombuffer(raw or b"", "<u4")
-                if len(ids) and (ids.max() >= len(size) or not size[ids].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                decoded.append(spread(data, size, ids, np.zeros(0, np.int64))[0].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+        for block in blocks(batches, ids_col, 2 << 20):
+            raw = block.column(ids_col).fill_null(b"").to_pylist()
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+            decoded = binaries(*looked_up(sent.value, np.frombuffer(b"".join(raw), "<u4"), ends))
+            yield pa.RecordBatch.from_arrays([*block.columns, decoded], [*block.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(rows, f"{kinds}, decoded binary")

@@ -85,7 +85,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (docs,) = tables(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return byte_bpe.digest(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True))
 
 
 def queries() -> dict:

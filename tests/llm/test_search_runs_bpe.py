@@ -171,6 +171,8 @@ def test_byte_bpe_edges(spark, docs, rows, empty, clashing, bpe):
     assert byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path)).count() == 0
     small = byte_bpe.encode(docs, path, pattern, most=2000)
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in small.collect()) == Counter((r["doc_id"], np.array(library.encode_ordinary(r["text"] or ""), "<u4").tobytes()) for r in rows)
+    together = byte_bpe.encode(docs, path, pattern, most=2000, decoded=True)
+    assert Counter(map(repr, together.collect())) == Counter(map(repr, byte_bpe.decode(small, path).collect()))
     empties = spark.createDataFrame([("k", ""), (None, None)], "doc_id string, text string").coalesce(1)
     assert sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in byte_bpe.decode(byte_bpe.encode(empties, path, pattern), path).collect()), key=repr) == [("k", b"", b""), (None, b"", b"")]
     assert byte_bpe.encode(clashing, path, pattern).columns == ["doc_id", "ids"]
