@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, no_clash, partitions
+from ._common import materialise_by, no_clash, partitions
 from ._exchange import pack, unpack
 from ._words import blocks
 from .token_output import LOOSE_SPACE, piece_borders
@@ -142,7 +142,7 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, pattern: str, most: i
             chunk += 1
 
     kind = base.schema["id"].dataType.simpleString()
-    return materialise(base.mapInArrow(rows, f"chunk long, ids array<{kind}>, counts binary, numbers binary, places binary, buckets array<struct<bucket:int,n:long,words:binary>>"), "pre-tokens")
+    return materialise_by(base.mapInArrow(rows, f"chunk long, ids array<{kind}>, counts binary, numbers binary, places binary, buckets array<struct<bucket:int,n:long,words:binary>>"), "pre-tokens", "chunk")
 
 
 def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -167,7 +167,7 @@ def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, sizes binary, ids binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = 8 << 20, decoded: bool = False) -> DataFrame:
     """Per row: id, ids (the text's, little-endian, 32 bits each); decoded: also what `decode` makes of these ids, in the same tasks."""
     no_clash(id_col, RESULTS)
     spark = docs.sparkSession
