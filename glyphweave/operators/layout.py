@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, bottom, centre_x, centre_y, gap_distance, overlap, right
 from ..plans.lineage import written
 from .graph import components
+from .paged import by_size, over_pages
 
 
 def prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -123,9 +125,30 @@ def phrases(words: DataFrame, threshold: float = 0.55) -> DataFrame:
     return union_boxes(named, "phrase_id")
 
 
-def nearest_distances(boxes: DataFrame, id_col: str = "word_id") -> DataFrame:
+#: Boxes of a page that a task may compare with one another.
+PAGE_BOXES = 1024
+
+
+def nearest_distances(boxes: DataFrame, id_col: str = "word_id", most: int = PAGE_BOXES) -> DataFrame:
     """(doc_id, id_col, nn): the distance of each box to the nearest other of its page; infinite where none is parted from it, and no row for a page's only box.
 
+    Pages of up to `most` boxes are compared whole, many to a batch; those of more by a grid (see distances_by_grid)."""
+
+    def compare(ids: np.ndarray, left: np.ndarray, top: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        apart = lambda low, size: np.maximum(np.maximum(low[None, :] - (low + size)[:, None], low[:, None] - (low + size)[None, :]), 0.0)
+        dx, dy = apart(left, w), apart(top, h)
+        d = np.where((dx == 0) & (dy == 0), np.inf, np.sqrt(dx * dx + dy * dy))
+        np.fill_diagonal(d, np.inf)
+        return (ids, d.min(1)) if len(ids) > 1 else (ids[:0], d[:0, 0])
+
+    small, large = by_size(boxes.select("doc_id", id_col, *"ltwh"), most)
+    found = over_pages(small, [id_col, *"ltwh"], [id_col], compare, {id_col: boxes.schema[id_col].dataType.simpleString(), "nn": "double"})
+    return found if large is None else found.unionByName(distances_by_grid(large, id_col))
+
+
+def distances_by_grid(boxes: DataFrame, id_col: str = "word_id") -> DataFrame:
+    """As nearest_distances, without a page's square in any task.
+
     A page has a grid of about as many cells as boxes. A box looks one cell's width around itself; what it finds within that is the nearest. Boxes that find nothing
     so near go on with cells twice as wide, until a cell is as wide as the page; those are few, so the work grows with the boxes, not with their square."""
     kept = boxes.select("doc_id", F.col(id_col).alias("id"), *"ltwh")

@@ -38,8 +38,9 @@ def test_nearest_distances_as_all_pairs(spark):
     frame = spark.createDataFrame(rows, "doc_id long, word_id int, l double, t double, w double, h double")
     want = layout.pairs(frame).filter("u_word_id <> v_word_id").groupBy("doc_id", F.col("u_word_id").alias("word_id")).agg(F.min(gap_distance("u_", "v_")).alias("nn"))
     want = {(r.doc_id, r.word_id): r.nn for r in want.collect()}
-    got = {(r.doc_id, r.word_id): r.nn for r in layout.nearest_distances(frame).collect()}
-    assert got == want and any(math.isinf(x) for x in got.values()) and len(got) == len(rows) - 1
+    for most in (0, 50, 10**6):
+        got = {(r.doc_id, r.word_id): r.nn for r in layout.nearest_distances(frame, most=most).collect()}
+        assert got == want and any(math.isinf(x) for x in got.values()) and len(got) == len(rows) - 1
 
 
 @pytest.mark.parametrize("most", [0, 40, 10**6])
