@@ -5,8 +5,8 @@ uniform one. The mixture weights depend on how often the contexts of two and thr
 learned by expectation-maximisation on held-out counts: one deleted part of the training texts is scored with the counts of the rest. Final
 scores use the counts of all training texts.
 
-Counts never leave Spark. A chunk of texts sends each distinct token and bigram once, with its count in the chunk; buckets of hashes add them up
-and answer each chunk in its own order. Longer n-grams are sent after that, and only where the shorter ones leave their count open: an n-gram
+Counts never leave Spark. A chunk of texts sends each distinct token and bigram once, with its count in the chunk, in one row per bucket with its
+neighbours'; buckets of hashes add them up and answer each chunk in its own order. Longer n-grams are sent after that, and only where the shorter ones leave their count open: an n-gram
 occurs no more often than either n-gram in it that is one token shorter. A training text's n-gram with a shorter one seen once is itself seen
 once, and a held-out text's with a shorter one never seen is never seen. Each round of the expectation-maximisation is one aggregation over the deleted part's exact estimates, in tasks; the driver gets one sum per
 bucket and order, whatever the corpus.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, no_clash
-from ._exchange import SENT, as_batch, buckets_of, chunk_table, chunk_texts, count_keys, counts_of, pack, sent_rows, unpack, with_counts
+from ._exchange import Counts, chunk_table, chunk_texts, count_keys, in_teams, pack, send, unpack, with_counts
 from ._words import U64, Texts, mix
 
 END, START = U64(0x9AE16A3B2F90404F), U64(0xC949D7C7509E6557)
@@ -70,7 +70,7 @@ class Tokens:
             out.append(before)
         return out
 
-    def counted(self, answers: pd.DataFrame, orders: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    def counted(self, counts: Counts, orders: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """By order from 1 to `orders`, of which answers are there: training counts of the n-grams at each token; in the deleted part's texts those
         of that part (what is seen once is theirs); in training texts, from two tokens on, whether held-out texts have them."""
         every, deleted, held = [], [], []
@@ -78,13 +78,13 @@ class Tokens:
             asked = np.flatnonzero(self.open(every, held, k))
             _, at = np.unique(self.grams(k)[asked], return_inverse=True)
             every.append(np.full(len(self.token), int(self.training), np.int64))
-            every[-1][asked] = counts_of(answers, k - 1, "counts")[at]
+            every[-1][asked] = counts(k - 1, "counts")[at]
             if self.part == 1:
                 deleted.append(np.ones(len(self.token), np.int64))
-                deleted[-1][asked] = counts_of(answers, k - 1, "in_part_1")[at]
+                deleted[-1][asked] = counts(k - 1, "in_part_1")[at]
             held.append(np.zeros(len(self.token), np.int64))
             if self.training and k > 1:
-                held[-1][asked] = counts_of(answers, k - 1, "in_part_2")[at]
+                held[-1][asked] = counts(k - 1, "in_part_2")[at]
         return every, deleted, held
 
     def open(self, every: list[np.ndarray], held: list[np.ndarray], order: int) -> np.ndarray:
@@ -140,31 +140,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("order must be 1 or more")
     rest = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
     # parts: 0 and 1 train, 1 is the deleted part, 2 is held out
-    chunks = chunk_table(docs, id_col, text_col, F.when(rest == held_out, 2).when(rest == deleted, 1).otherwise(0))
-    buckets = buckets_of(chunks)
+    chunks, buckets = in_teams(chunk_table(docs, id_col, text_col, F.when(rest == held_out, 2).when(rest == deleted, 1).otherwise(0)))
     read = lambda r: Tokens(r["lengths"], r["text"], r["part"])
 
-    def rows_of(t: Tokens, r, k: int, asked: np.ndarray) -> list[tuple]:
-        keys, n = np.unique(t.grams(k)[asked], return_counts=True)
-        return sent_rows(k - 1, r["part"], r["chunk"], keys, n, buckets, 64)
+    def run_of(t: Tokens, k: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(t.grams(k)[asked], return_counts=True)
 
-    def first_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                t = read(r)
-                rows = [x for k in range(1, min(order, 2) + 1) for x in rows_of(t, r, k, np.ones(len(t.token), bool))]
-                if rows:
-                    yield as_batch(rows)
+    def first_orders(r: dict, _: Counts | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        t = read(r)
+        return [run_of(t, k, np.ones(len(t.token), bool)) for k in range(1, min(order, 2) + 1)]
 
-    counted = count_keys(chunks.select("chunk", "part", "lengths", "text").mapInArrow(first_orders, SENT), "counts", held_from=1)
-    columns = [c.split()[0] for c in SENT.split(", ")]
+    counted = count_keys(send(chunks, list(range(min(order, 2))), first_orders, buckets, 64), "counts", held_from=1)
     for k in range(3, order + 1):
 
-        def longer(r: pd.Series, answers: pd.DataFrame, k: int = k) -> pd.DataFrame:
+        def longer(r: dict, counts: Counts | None, k: int = k) -> list[tuple[np.ndarray, np.ndarray]]:
             t = read(r)
-            return pd.DataFrame(rows_of(t, r, k, t.open(*t.counted(answers, k - 1)[::2], k)), columns=columns)
+            return [run_of(t, k, t.open(*t.counted(counts, k - 1)[::2], k))]
 
-        counted = counted.union(count_keys(with_counts(chunks, counted, longer, SENT), f"counts-{k}", held_from=1))
+        counted = counted.union(count_keys(send(chunks, [k - 1], longer, buckets, 64, counted), f"counts-{k}", held_from=1))
     total = counted.filter("kind = 0").agg(F.sum("n_keys"), F.sum("n_total"), F.sum("n_part_1")).first()
     distinct, n_all, n_deleted = (int(x or 0) for x in total)
     uniform = 1 / (distinct + 1)
@@ -177,14 +170,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = [c / np.maximum(x, 1) for c, x in zip(counts[:0:-1], contexts[::-1], strict=True)]
         return np.stack([*found, counts[0] / max(n, 1), np.full(len(counts[0]), uniform)], 1)
 
-    def deleted_events(r: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
+    def deleted_events(r: pd.Series, found: Counts) -> pd.DataFrame:
         t = read(r)
-        counts = [a - b for a, b in zip(*t.counted(answers, order)[:2], strict=True)]
+        counts = [a - b for a, b in zip(*t.counted(found, order)[:2], strict=True)]
         contexts = t.contexts(counts, ends - ends_deleted)
         return pd.DataFrame({"events": [[pack(x.astype(np.uint64)) for x in (*counts, *contexts)]]})
 
-    asked = chunks.filter("part = 1")
-    events = materialise(with_counts(asked, counted.join(asked.select("chunk"), "chunk", "left_semi"), deleted_events, "events array<binary>"), "events")
+    events = materialise(with_counts(chunks.filter("part = 1"), counted.filter("part = 1"), deleted_events, "events array<binary>"), "events")
     cells = BUCKETS ** min(order - 1, 2)
     weights = np.full((cells, order + 1), 1 / (order + 1))
 
@@ -211,9 +203,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         before = every
 
-    def score(r: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
+    def score(r: pd.Series, found: Counts) -> pd.DataFrame:
         t = read(r)
-        counts = t.counted(answers, order)[0]
+        counts = t.counted(found, order)[0]
         contexts = t.contexts(counts, ends)
         p = (estimates(counts, contexts, n_all) * weights[cell_of(contexts, len(t.token))]).sum(1)
         base = np.log10((counts[0] + 1) / (n_all + distinct + 1))

@@ -2,7 +2,7 @@
 
 A window can repeat only where both its halves do. Windows of about five words are counted first; those that repeat alone are extended to twice
 their length (to the asked length at the end) and counted again, until the asked length is reached or no candidate survives. A level's
-hashes are sent once per chunk of texts, sorted and merged; the answers come back in the same order. Lower levels only rule windows
+hashes are sent sorted, one row per bucket of hashes for a team of neighbouring chunks of texts; the answers come back in the same order. Lower levels only rule windows
 out, so short hashes serve them; the last level has 64-bit hashes of whole windows.
 
 Words that a repeated window covers, in whatever text, are removed; windows are judged on the input. A null text has no words. A text of
@@ -14,17 +14,15 @@ raises an error.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import no_clash
-from ._exchange import SENT, as_batch, buckets_of, chunk_table, chunk_texts, count_keys, counts_of, sent_rows, with_counts
+from ._exchange import Counts, chunk_table, chunk_texts, count_keys, in_teams, send, with_counts
 from ._words import U64, Texts, windows
 
 #: Bits of the lower levels' hashes: they may take a few windows more for repeated.
@@ -52,7 +50,7 @@ def _extended(alive: np.ndarray, of: np.ndarray, of_next: np.ndarray, step: int)
     return alive[start] & alive[start + step]
 
 
-def _alive(t: Texts, words: np.ndarray, lengths: list[int], counted: pd.DataFrame, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alive(t: Texts, words: np.ndarray, lengths: list[int], counts: Counts | None, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """After `known` counted levels: hashes of the next level's windows (or the last's), their places by text, which are candidates
     (after the last level: which repeat)."""
     alive = None
@@ -62,7 +60,7 @@ def _alive(t: Texts, words: np.ndarray, lengths: list[int], counted: pd.DataFram
         if k < known:
             at = np.flatnonzero(alive)
             _, back = np.unique(h[at], return_inverse=True)
-            found = counts_of(counted, k, "counts") >= 2
+            found = counts(k, "counts") >= 2
             alive = np.zeros(len(h), bool)
             alive[at] = found[back]
         of_before = of
@@ -72,41 +70,32 @@ def _alive(t: Texts, words: np.ndarray, lengths: list[int], counted: pd.DataFram
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shortest: int = 5) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (kept words, one space between), spans (first and last removed word of each stretch)."""
     no_clash(id_col, RESULTS)
-    chunks = chunk_table(docs, id_col, text_col)
-    buckets = buckets_of(chunks)
+    chunks, buckets = in_teams(chunk_table(docs, id_col, text_col))
     lengths = level_lengths(window, shortest)
     counted = None
 
-    def sent(lengths_text: bytes, text: bytes, chunk: int, k: int, answers: pd.DataFrame | None) -> list[tuple]:
-        t = Texts(chunk_texts(lengths_text, text), lower=False)
-        h, _, alive = _alive(t, t.hashes(), lengths, answers, k)
-        keys, n = np.unique(h[alive], return_counts=True)
-        return sent_rows(k, 0, chunk, keys, np.minimum(n, 2), buckets, 64 if k == len(lengths) - 1 else SHORT_BITS)
+    def level_of(k: int):
+        def runs(r: dict, counts: Counts | None) -> list[tuple[np.ndarray, np.ndarray]]:
+            t = Texts(chunk_texts(r["lengths"], r["text"]), lower=False)
+            h, _, alive = _alive(t, t.hashes(), lengths, counts, k)
+            keys, n = np.unique(h[alive], return_counts=True)
+            return [(keys, np.minimum(n, 2))]
 
-    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows = sent(r["lengths"], r["text"], r["chunk"], 0, None)
-                if rows:
-                    yield as_batch(rows)
+        return runs
 
     for k in range(len(lengths)):
-        if counted is None:
-            rows = chunks.select("chunk", "lengths", "text").mapInArrow(first_level, SENT)
-        else:
-            columns = [c.split()[0] for c in SENT.split(", ")]
-            rows = with_counts(chunks, counted, lambda r, c, k=k: pd.DataFrame(sent(r["lengths"], r["text"], r["chunk"], k, c), columns=columns), SENT)
+        rows = send(chunks, [k], level_of(k), buckets, 64 if k == len(lengths) - 1 else SHORT_BITS, counted)
         level = count_keys(rows, f"level-{lengths[k]}", 2)
         counted = level if counted is None else counted.union(level)
         if not (level.agg(F.sum("n_repeated")).first()[0] or 0):
             break
     survivors = k + 1 == len(lengths)
 
-    def finish(r: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
+    def finish(r: pd.Series, counts: Counts) -> pd.DataFrame:
         t = Texts(chunk_texts(r["lengths"], r["text"]), lower=False)
         repeated = np.zeros(0, bool)
         if survivors:
-            _, of, repeated = _alive(t, t.hashes(), lengths, answers, len(lengths))
+            _, of, repeated = _alive(t, t.hashes(), lengths, counts, len(lengths))
         # a stretch of covered words begins with a repeated window's start and ends `window` words after the last one's
         start = np.flatnonzero(repeated)
         if len(start):

@@ -110,10 +110,59 @@ def test_em_recovers_weights():
 def test_counts_beyond_32_bits(spark):
     """Large counts pass the exchange whole."""
     keys, most = np.array([3, 1 << 63], np.uint64), (1 << 40) + 1
-    rows = [_exchange.sent_rows(0, part, chunk, keys, np.array([most, 1], np.uint64), 4, 64) for chunk, part in ((1, 0), (2, 1))]
+    rows = [_exchange.sent_rows(0, part, chunk, {chunk: (keys, np.array([most, 1], np.uint64))}, 4, 64) for chunk, part in ((1, 0), (2, 1))]
     out = _exchange.count_keys(spark.createDataFrame(sum(rows, []), _exchange.SENT), "large").toPandas()
     for chunk in (1, 2):
-        of = out[out["chunk"] == chunk]
-        assert _exchange.counts_of(of, 0, "counts").tolist() == [2 * most, 2]
-    assert _exchange.counts_of(out[out["chunk"] == 2], 0, "in_part_1").tolist() == [most, 1]
+        assert _exchange.counts_by_chunk(out[out["team"] == chunk], 0, "counts")[chunk].tolist() == [2 * most, 2]
+    assert _exchange.counts_by_chunk(out[out["team"] == 2], 0, "in_part_1")[2].tolist() == [most, 1]
     assert out["n_total"].sum() == 2 * most + 2 and out["n_keys"].sum() == out["n_repeated"].sum() == 2
+
+
+def test_counts_of_a_team(spark):
+    """Runs of several chunks in one row each way, whatever buckets they miss."""
+    rng = np.random.default_rng(5)
+    runs = {7: np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)), 8: np.array([1 << 63], np.uint64), 9: np.zeros(0, np.uint64)}
+    runs[10] = np.unique(np.concatenate([runs[7][::3], runs[8]]))
+    sent = _exchange.sent_rows(0, 0, 5, {c: (x, np.arange(len(x)) + 1) for c, x in runs.items()}, 6, 64)
+    assert len(sent) <= 6
+    out = _exchange.count_keys(spark.createDataFrame(sent, _exchange.SENT), "team").toPandas()
+    want = collections.Counter()
+    for x in runs.values():
+        want.update(dict(zip(x.tolist(), range(1, len(x) + 1), strict=True)))
+    got = _exchange.counts_by_chunk(out, 0, "counts")
+    assert set(got) == {7, 8, 10} and all(got[c].tolist() == [want[k] for k in runs[c].tolist()] for c in got)
+    assert out["n_keys"].sum() == len(want) and _exchange.sent_rows(0, 0, 5, {9: (runs[9], runs[9])}, 6, 64) == []
+
+
+def test_sent_rows_grow_with_teams(spark, monkeypatch):
+    """A level sends a row per team and bucket at most, however many chunks the texts are in, and the results do not depend on either."""
+    docs = spark.range(400, numPartitions=2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> cast((x * 7 + id % 23 * x) % 97 as string))) as text")
+
+    def level(docs, chunk, team):
+        monkeypatch.setattr(_exchange, "CHUNK", team)
+        monkeypatch.setattr(_exchange, "TEAM", team)
+        chunks, buckets = _exchange.in_teams(_exchange.chunk_table(docs, "doc_id", "text", most=chunk))
+        hashes = lambda r, _: [np.unique(np.array([zlib.crc32(w) for t in _exchange.chunk_texts(r["lengths"], r["text"]).to_pylist() for w in t.encode().split()], np.uint64) << np.uint64(32), return_counts=True)]
+        counted = _exchange.count_keys(_exchange.send(chunks, [0], hashes, buckets, 64), "level")
+        total = counted.selectExpr("sum(n_keys)", "sum(n_total)").first()
+        return chunks.count(), chunks.select("team").distinct().count(), counted.count() / buckets, tuple(total)
+
+    one, two = level(docs, 200, 4000), level(docs.union(docs), 200, 4000)
+    alone = level(docs, 200, 200)
+    assert one[0] == alone[0] and one[0] > 100 and alone[1] > 4 * one[1] and alone[3] == one[3] and two[3] == (one[3][0], 2 * one[3][1])
+    assert one[2] <= one[1] and two[2] <= two[1] and two[1] <= 2 * one[1] + 4
+
+    def results(chunk, team):
+        monkeypatch.setattr(_exchange, "CHUNK", team)
+        monkeypatch.setattr(_exchange, "TEAM", team)
+        table = _exchange.chunk_table
+        for module in (substring_dedup, lm_scoring):
+            monkeypatch.setattr(module, "chunk_table", lambda *a: table(*a, most=chunk))
+        gone = sorted(map(tuple, substring_dedup.remove_repeats(docs, window=9).select("doc_id", "n_removed", "kept_sha256").collect()))
+        scores = sorted(map(tuple, lm_scoring.score_documents(docs).collect()))
+        monkeypatch.undo()
+        return gone, scores
+
+    (gone, scores), (gone_alone, scores_alone) = results(300, 5000), results(1 << 20, 1 << 20)
+    assert gone == gone_alone and any(r[1] for r in gone)
+    assert all(a[:5] == b[:5] and np.allclose(a[5:], b[5:]) for a, b in zip(scores, scores_alone, strict=True))
