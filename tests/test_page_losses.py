@@ -35,3 +35,22 @@ def test_words_with_pairs_stay_dealt(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges), exchanges
+
+
+def test_rounded_as_the_twin(spark):
+    """Doubles whose product with 1e9 falls on a half, beside what DuckDB rounds them to."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from glyphweave.functions.geometry import rounded
+
+    rng = np.random.default_rng(1)
+    near = (rng.integers(1, 10**9, 3000) + 0.5) / 1e9
+    values = [float(x) for x in np.concatenate([near, np.nextafter(near, 0), np.nextafter(near, 1), -near, [0.0, 0.25, -1.5]])]
+    frame = spark.createDataFrame([(x,) for x in values], "x double")
+    got = {r.x: r.y for r in frame.select("x", rounded(F.col("x"), 9).alias("y")).collect()}
+    con = duckdb.connect()
+    con.register("given", frame.toArrow())
+    assert all(got[x] == y for x, y in con.execute("select x, round(x, 9) from given").fetchall())
+    plain = {r.x: r.y for r in frame.select("x", F.round("x", 9).alias("y")).collect()}
+    assert plain != got
