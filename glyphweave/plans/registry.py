@@ -91,7 +91,7 @@ def _j4(w):
 
 @register("g2_components", (W,), CLEAN + EDGES + REACH + " select doc_id, word_id, root from comp")
 def _g2(w):
-    return graph.components(layout.horizontal_edges(clean(w)))
+    return layout.row_roots(clean(w))
 
 
 @register("g5_phrases", (W,), CLEAN + EDGES + REACH + """ select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h,
