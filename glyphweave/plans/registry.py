@@ -125,24 +125,20 @@ def _j22(w):
     return constraints.height_pairs(w)
 
 
-def _by_rank(near, k):
-    """One row per word, its others by rank from 2."""
-    return near.groupBy("doc_id", "word_id").agg(*[F.max(F.when(F.col("rank") == r, F.col("other"))).alias(f"other_{r}") for r in range(2, k + 2)])
-
-
-@register("t1_nearest_words", (V,), NEAREST_SQL)
+# pages as the views lay them out have 70 words at most
+@register("t1_nearest_words", (V,), NEAREST_SQL, packed=True)
 def _t1(v):
-    return _by_rank(constraints.nearest(v, 6), 6)
+    return constraints.nearest_columns(v, 6)
 
 
-@register("t2_farthest_words", (V,), FARTHEST_SQL)
+@register("t2_farthest_words", (V,), FARTHEST_SQL, packed=True)
 def _t2(v):
-    return _by_rank(constraints.nearest(v, 3, farthest=True), 3)
+    return constraints.nearest_columns(v, 3, farthest=True)
 
 
-@register("t3_mutual_neighbours", (V,), MUTUAL_SQL)
+@register("t3_mutual_neighbours", (V,), MUTUAL_SQL, packed=True)
 def _t3(v):
-    near = written(constraints.nearest(v, 6), "near")
+    near = written(constraints.nearest(v, 6, tile=None), "near")
     return constraints.mutual_weights(near, v.select("doc_id", "word_id")).withColumn("weight", F.round("weight", 9))
 
 

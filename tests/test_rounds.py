@@ -89,3 +89,19 @@ def test_tiles_as_whole_pages(spark):
     for kernel in ("linear", "rbf", "poly", "cosine"):
         whole, cut = ({(r.doc_id, r.a, r.b): r.k for r in vectors.gram(frame, kernel, tile=n).collect()} for n in (10**6, 16))
         assert whole.keys() == cut.keys() and all(math.isclose(x, cut[key], abs_tol=1e-12) for key, x in whole.items())
+
+
+def test_columns_as_rows(spark):
+    """A word's others as columns are those of its rows, from packed vectors too: pages of one word and of fewer than k, ties, zero vectors."""
+    rng = np.random.default_rng(13)
+    rows = [(d, w, np.round(rng.normal(size=3) * (w % 7 > 0), 1).tolist()) for d, n in ((1, 1), (2, 2), (3, 4), (4, 50)) for w in range(n)]
+    rows += [(4, 200 + w, rows[20][2]) for w in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, word_id int, vec array<float>").repartition(4)
+    packed = spark.createDataFrame([(d, w, np.array(x, np.float32).tobytes()) for d, w, x in rows], "doc_id long, word_id int, vec binary").repartition(3)
+    for farthest in (False, True):
+        want: dict = {}
+        for r in constraints.nearest(frame, 4, farthest).collect():
+            want.setdefault((r.doc_id, r.word_id), [None] * 4)[r.rank - 2] = r.other
+        for given in (frame, packed):
+            assert {(r.doc_id, r.word_id): list(r[2:]) for r in constraints.nearest_columns(given, 4, farthest).collect()} == want
+        assert sorted(map(tuple, constraints.nearest(packed, 4, farthest, 16).collect())) == sorted(map(tuple, constraints.nearest(frame, 4, farthest).collect()))
