@@ -24,3 +24,13 @@ def test_pooled_in_pages(spark, sf, how):
         want = x.mean(0) if how == "mean" else x.max(0) if how == "max" else np.fmin.reduce(x)
         assert np.allclose(got.pop(key), want, equal_nan=True)
     assert not got
+
+
+def _above_the_join(plan):
+    """What is done to words' rows after their vectors were joined, up to the first join."""
+    return plan.split("Join", 1)[0]
+
+
+def test_vectors_are_scaled_once_each(spark, sf):
+    plan = _plan(spark, sf, "v7_unit")
+    assert "BroadcastHashJoin" in plan and "transform(" not in _above_the_join(plan)
