@@ -34,3 +34,8 @@ def _above_the_join(plan):
 def test_vectors_are_scaled_once_each(spark, sf):
     plan = _plan(spark, sf, "v7_unit")
     assert "BroadcastHashJoin" in plan and "transform(" not in _above_the_join(plan)
+
+
+def test_words_are_combined_in_one_reading(spark, sf):
+    plan = _plan(spark, sf, "v2_combined")
+    assert "SortMergeJoin" not in plan and "Sort " not in plan
