@@ -39,3 +39,10 @@ def test_vectors_are_scaled_once_each(spark, sf):
 def test_words_are_combined_in_one_reading(spark, sf):
     plan = _plan(spark, sf, "v2_combined")
     assert "SortMergeJoin" not in plan and "Sort " not in plan
+
+
+def test_words_are_attached_in_one_reading(spark, sf):
+    plan = _plan(spark, sf, "v1_attached")
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    above = plan.split("BroadcastHashJoin", 1)[0]
+    assert "Sort" not in above and "Window" not in above  # no row with a vector is sorted
