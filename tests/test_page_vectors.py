@@ -46,3 +46,8 @@ def test_words_are_attached_in_one_reading(spark, sf):
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     above = plan.split("BroadcastHashJoin", 1)[0]
     assert "Sort" not in above and "Window" not in above  # no row with a vector is sorted
+
+
+def test_vectors_are_ranked_once_each(spark, sf):
+    plan = _plan(spark, sf, "a19_top_accuracy")
+    assert "collect_list" not in _above_the_join(plan) and "posexplode(slice" not in _above_the_join(plan)
