@@ -51,3 +51,19 @@ def test_words_are_attached_in_one_reading(spark, sf):
 def test_vectors_are_ranked_once_each(spark, sf):
     plan = _plan(spark, sf, "a19_top_accuracy")
     assert "collect_list" not in _above_the_join(plan) and "posexplode(slice" not in _above_the_join(plan)
+
+
+def test_head_on_counted_vectors(spark, sf):
+    """A vector with its number is the same to the head as that many rows of it, but for the scale that MLlib takes from n - 1 or its like."""
+    from pyspark.sql import functions as F
+
+    from glyphweave.operators import vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), int(n), (rng.normal(size=6) + np.eye(6)[i % 3]).tolist()) for i, n in enumerate(rng.integers(1, 9, 120))]
+    counted = spark.createDataFrame(rows, "at long, label int, n int, vec array<double>")
+    repeated = counted.select("at", "label", "vec", F.explode(F.sequence(F.lit(1), "n")))
+    one, two = (vectors.fit_head(x, weight=w) for x, w in ((counted, "n"), (repeated, None)))
+    a, b = ({r["at"]: r.probability for r in vectors.head_scores(counted, m, keys=("at",)).collect()} for m in (one, two))
+    assert a.keys() == b.keys() and all(np.allclose(x, b[k], atol=0.003) for k, x in a.items())
+    assert "UDF" not in _above_the_join(_plan(spark, sf, "v14_head_scores"))
