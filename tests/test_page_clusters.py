@@ -9,7 +9,7 @@ from glyphweave.operators import affinity, graph, layout, linking
 from glyphweave.plans import registry
 
 
-@pytest.mark.parametrize("name", ["g6_entity_clusters", "g6_clusters_by_embedding", "g6_clusters_by_density", "g4_small_islands"])
+@pytest.mark.parametrize("name", ["g6_entity_clusters", "g6_clusters_by_embedding", "g6_clusters_by_density", "g4_small_islands", "g3_dbscan"])
 def test_clusters_are_made_in_pages(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
@@ -55,3 +55,18 @@ def test_density_as_by_joins(spark, least, up_to):
     found = graph.dbscan(linking.boxed_phrases(members), near, least, "phrase_id")
     want = sorted(map(tuple, members.join(found, ["doc_id", "phrase_id"]).select("doc_id", "word_id", "phrase_id", "root").collect()))
     assert sorted(map(tuple, graph.density_clusters(members, 0.9, least, up_to=up_to).collect())) == want and want
+
+
+@pytest.mark.parametrize(("least", "cells"), [(1, 1 << 18), (3, 1 << 18), (3, 64), (5, 64)])
+def test_dense_boxes_as_by_joins(spark, monkeypatch, least, cells):
+    """No neighbour is dealt, whatever the pieces they are found in; plain pages and lone words included."""
+    rng = np.random.default_rng(6)
+    rows = [(d, w, *map(float, (rng.integers(0, 900) / 1024, rng.integers(0, 40) / 1024, 20 / 1024, rng.choice([12, 18]) / 1024))) for d, n in ((1, 1), (2, 25), (3, 70)) for w in range(n)]
+    words = spark.createDataFrame(rows, "doc_id long, word_id int, l double, t double, w double, h double")
+    near = linking.edges(words, 0.06, symmetric=True).filter(F.round("dist", 9) <= 0.05)
+    want = sorted(map(tuple, graph.dbscan(words, near, least).collect()))
+    for module in (linking, layout):
+        monkeypatch.setattr(module, "CELLS", cells)
+    found = linking.dense_boxes(words, 0.05, least, 0.06)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == want and want
