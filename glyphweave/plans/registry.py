@@ -9,7 +9,6 @@ from ..operators import constraints, graph, layout, linking, measures
 from . import choice_queries, pair_queries, score_queries  # noqa: F401
 from .vector_queries import FARTHEST_SQL, MUTUAL_SQL, NEAREST_SQL
 from .catalog import CLEAN, EDGES, L, OVERLAP, REACH, V, W, clean, oracle_sql, queries, register, register_by_word  # noqa: F401
-from .lineage import written
 
 
 @register("f1_word_score", (W,), " select doc_id, word_id, score from fx_words where score >= 0.1")
@@ -138,8 +137,7 @@ def _t2(v):
 
 @register("t3_mutual_neighbours", (V,), MUTUAL_SQL, packed=True)
 def _t3(v):
-    near = written(constraints.nearest(v, 6, tile=None), "near")
-    return constraints.mutual_weights(near, v.select("doc_id", "word_id")).withColumn("weight", F.round("weight", 9))
+    return constraints.mutual_in_pages(v, 6, 9)
 
 
 @register("g5_two_pass", (W,), CLEAN + EDGES + REACH + f""", ph as (select doc_id, phrase_id, min(l) as l, min(t) as t, max(l + w) - min(l) as w, max(t + h) - min(t) as h, string_agg(text, ' ' order by l + w / 2, word_id) as text, count(*) as n

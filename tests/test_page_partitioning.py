@@ -7,7 +7,7 @@ from glyphweave.plans import registry
 INSIDE = [
     "j4_horizontal_edges", "a8_stacked", "f14_allowed_must", "io5_result_rows", "f19_without_contradictions", "j23_drop_violating", "j10_box_gaps", "io11_cluster_listing",
     "j5_vertical_edges", "j6_symmetric_horizontal", "j6_symmetric_vertical", "j7_horizontal_v1", "j7_vertical_v1", "j8_horizontal_v2", "j8_vertical_v2", "t1_nearest_words", "t2_farthest_words",
-    "j11_affinity_mean", "j11_affinity_mean_without_log", "j11_affinity_middle", "j11_affinity_middle_without_log", "j12_embedding_distance",
+    "j11_affinity_mean", "j11_affinity_mean_without_log", "j11_affinity_middle", "j11_affinity_middle_without_log", "j12_embedding_distance", "t3_mutual_neighbours",
 ]
 
 

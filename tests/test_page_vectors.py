@@ -67,3 +67,16 @@ def test_head_on_counted_vectors(spark, sf):
     a, b = ({r["at"]: r.probability for r in vectors.head_scores(counted, m, keys=("at",)).collect()} for m in (one, two))
     assert a.keys() == b.keys() and all(np.allclose(x, b[k], atol=0.003) for k, x in a.items())
     assert "UDF" not in _above_the_join(_plan(spark, sf, "v14_head_scores"))
+
+
+def test_mutual_in_pages_as_by_joins(spark):
+    from glyphweave.operators import constraints
+
+    rng = np.random.default_rng(9)
+    rows = [(d, w, rng.integers(-2, 3, 3).astype(float).tolist()) for d, n in ((1, 1), (2, 2), (3, 40)) for w in range(n)]  # ties, equal and empty vectors
+    words = spark.createDataFrame(rows, "doc_id long, word_id int, vec array<double>")
+    for k in (1, 4):
+        want = constraints.mutual_weights(constraints.nearest(words, k), words.select("doc_id", "word_id")).collect()
+        got = {tuple(r)[:5]: r.weight for r in constraints.mutual_in_pages(words, k).collect()}
+        assert got.keys() == {tuple(r)[:5] for r in want} and len(got) > 2
+        assert all(np.isclose(got[tuple(r)[:5]], r.weight, atol=1e-12) for r in want)
