@@ -26,10 +26,10 @@ def _ami(pairs):
     return 0.0 if abs(low) < 1e-9 else (mi - emi) / low
 
 
-@pytest.mark.parametrize("name", ["a17_ami"])
+@pytest.mark.parametrize("name", ["a17_ami", "a18_matched_labels"])
 def test_no_row_of_a_class_is_joined(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1 and "FlatMapGroupsInPandas" not in plan
 
 
 def test_ami_of_pages(spark):
@@ -41,3 +41,48 @@ def test_ami_of_pages(spark):
     page, *classes = (np.array(c) for c in zip(*[(r[0] - 1, *r[2:]) for r in rows]))
     made = measures.Classes(page, *classes)
     assert np.allclose(made.expected(), made.expected(most=1))
+
+
+def _one_by_one(gain):
+    """The assignment of one table, row by row."""
+    n = len(gain)
+    u, v, held = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
+    for row in range(n):
+        held[n], col = row, n
+        least, back, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while held[col] >= 0:
+            done[col] = True
+            cost = -gain[held[col]] - u[held[col]] - v[:n]
+            better = ~done[:n] & (cost < least)
+            least[better], back[better] = cost[better], col
+            following = int(np.where(done[:n], np.inf, least).argmin())
+            step = least[following]
+            u[held[done]] += step
+            v[done] -= step
+            least[~done[:n]] -= step
+            col = following
+        while col != n:
+            held[col], col = held[back[col]], back[col]
+    out = np.empty(n, int)
+    out[held[:n]] = np.arange(n)
+    return out
+
+
+def test_matches_of_pages(spark, monkeypatch):
+    rows, labels = _labels(spark)
+    want = []
+    for d in range(1, 7):
+        count = Counter(r[2:] for r in rows if r[0] == d)
+        preds, truths = (sorted({p[k] for p in count}) for k in (0, 1))
+        square = np.zeros((max(len(preds), len(truths)),) * 2)
+        for (p, t), n in count.items():
+            square[preds.index(p), truths.index(t)] = n
+        to = _one_by_one(square)  # the same of equally good matches
+        hits = [int(square[i, to[i]]) for i in range(len(preds))]
+        want += [(d, p, truths[to[i]] if to[i] < len(truths) else -1, hits[i], sum(hits) / square.sum()) for i, p in enumerate(preds)]
+    for frame in (labels, measures.contingency(labels, "pred", "truth")):
+        assert sorted(map(tuple, measures.matched_labels(frame).collect())) == sorted(want)
+    page, *classes = (np.array(c) for c in zip(*[(r[0] - 1, *r[2:]) for r in rows]))
+    whole = measures.matches(measures.Classes(page, *classes))
+    monkeypatch.setattr(measures, "MOST_ENTRIES", 1)
+    assert all((a == b).all() for a, b in zip(whole, measures.matches(measures.Classes(page, *classes))))
