@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import normalised_box
 from ..operators import measures
 from ..operators.graph import rooted
-from ..plans.lineage import written
+from ..operators.paged import over_pages
 
 # The files' fields.
 OBJECTS = "objects array<struct<type string, score double, text struct<content string, score double>, bbox struct<vertices array<struct<x double, y double>>>>>, imageSize struct<width int, height int>"
@@ -131,13 +133,23 @@ def study_rows(initial: DataFrame, user: DataFrame, must: DataFrame, cannot: Dat
 
     initial, user: (doc_id, word_id, label) of the same words."""
     both = initial.select("doc_id", "word_id", F.col("label").alias("pred")).join(user.select("doc_id", "word_id", F.col("label").alias("truth")), ["doc_id", "word_id"])
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("word_id", c))), lambda x: x[c])
-    labels = both.groupBy("doc_id").agg(listed("pred").alias("initial_clusters"), listed("truth").alias("user_clusters"))
-    table = written(measures.contingency(both, "pred", "truth"), "contingency")
-    matched = measures.matched_labels(table).groupBy("doc_id").agg(F.max("accuracy").alias("acc"))
-    scored = labels.join(measures.ami(table), "doc_id", "left").join(measures.nmi(table), "doc_id", "left").join(matched, "doc_id", "left")
+    return studied(both, must, cannot)
+
+
+def studied(both: DataFrame, must: DataFrame, cannot: DataFrame) -> DataFrame:
+    """study_rows of words that have both labels (doc_id, word_id, pred, truth); a batch of pages is listed and scored at once, in its task."""
+
+    def score(page: np.ndarray, word: np.ndarray, pred: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray | pa.Array, ...]:
+        classes = measures.Classes(page, pred, truth)
+        cuts = pa.array(np.searchsorted(page, np.arange(classes.pages + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in (pred, truth)]
+        return np.arange(classes.pages), *lists, classes.ami(), classes.nmi(), measures.matches(classes)[2]
+
+    kinds = {name: f"array<{both.schema[c].dataType.simpleString()}>" for name, c in (("initial_clusters", "pred"), ("user_clusters", "truth"))}
+    known = both.filter("pred is not null and truth is not null")
+    scored = over_pages(known, ["word_id", "pred", "truth"], ["word_id"], score, kinds | dict.fromkeys(("ami", "nmi", "acc"), "double"), together=True)
     links = constraint_rows(must, cannot).select("doc_id", F.struct("must_link", "must_not_link").alias("user_constraints"))
-    return scored.join(links, "doc_id", "left").select("doc_id", "initial_clusters", "user_clusters", "ami", "nmi", "acc", "user_constraints")
+    return scored.join(links, "doc_id", "left").select("doc_id", "initial_clusters", "user_clusters", "ami", F.round("nmi", 6).alias("nmi"), "acc", "user_constraints")
 
 
 def labelled_images(spark: SparkSession, root: str) -> DataFrame:

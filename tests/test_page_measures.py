@@ -86,3 +86,22 @@ def test_matches_of_pages(spark, monkeypatch):
     whole = measures.matches(measures.Classes(page, *classes))
     monkeypatch.setattr(measures, "MOST_ENTRIES", 1)
     assert all((a == b).all() for a, b in zip(whole, measures.matches(measures.Classes(page, *classes))))
+
+
+def test_study_rows_of_pages(spark, sf):
+    """Labels are listed and scored in one reading of the words; the scores are those of the operators."""
+    from pyspark.sql import functions as F
+
+    from glyphweave.sources import ocr
+
+    plan = registry.queries()["io9_study_rows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "glyphweave/" not in plan and "FlatMapGroupsInPandas" not in plan  # no scratch table is read
+    rows, labels = _labels(spark)
+    must, cannot = spark.createDataFrame([(1, 0, 2)], "doc_id long, group_id int, word_id int"), spark.createDataFrame([], "doc_id long, pair_id int, side string, word_id int")
+    got = {r.doc_id: r for r in ocr.study_rows(*[labels.select("doc_id", "word_id", F.col(c).alias("label")) for c in ("pred", "truth")], must, cannot).collect()}
+    table = measures.contingency(labels, "pred", "truth")
+    for name, frame in (("ami", measures.ami(table)), ("nmi", measures.nmi(table)), ("acc", measures.matched_labels(table).groupBy("doc_id").agg(F.max("accuracy").alias("acc")))):
+        assert all(math.isclose(got[r.doc_id][name], r[name], abs_tol=1e-9) for r in frame.collect())
+    for d in range(1, 7):
+        assert (got[d].initial_clusters, got[d].user_clusters) == tuple([r[k] for r in rows if r[0] == d] for k in (2, 3))
+    assert got[1].user_constraints.must_link == [[2]] and got[2].user_constraints is None
