@@ -35,3 +35,26 @@ def test_rounded_as_the_twin(spark):
     assert all(got[x] == y for x, y in con.execute("select x, round(x, 9) from given").fetchall())
     plain = {r.x: r.y for r in frame.select("x", F.round("x", 9).alias("y")).collect()}
     assert plain != got
+
+
+def _sided(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, w, int(rng.integers(0, 1 + n // 4)), rng.normal(size=4).tolist()) for d, n in ((1, 1), (2, 30), (3, 12), (4, 3)) for w in range(n)]
+    rows += [(5, w, w, [0.0] * 4) for w in range(3)] + [(2, 95, None, [0.1] * 4), (2, 96, 0, None)]
+    members = spark.createDataFrame(rows, "doc_id long, word_id int, phrase_id int, vec array<double>")
+    sides = [(int(rng.integers(2, 5)), int(rng.integers(0, 3)), str(rng.choice(["A", "B"])), int(rng.integers(0, 14))) for _ in range(60)]
+    sides += [(2, 0, "A", 3), (2, 0, "B", 3), (2, 0, "A", 95), (2, 1, "B", 96), (2, 1, "B", 700), (5, 7, "A", 0), (3, None, "A", 1)]
+    return members, spark.createDataFrame(sides, "doc_id long, pair_id int, side string, word_id int")
+
+
+def test_contrastive_as_by_joins(spark, sf, monkeypatch):
+    from glyphweave.operators import affinity, constraints, linking
+    from glyphweave.plans import registry
+
+    members, cannot = _sided(spark)
+    found = affinity.pair_distances(linking.phrase_pairs(members).unionByName(constraints.side_pairs(cannot)), members.filter("vec is not null"))
+    want = {r.doc_id: r.loss for r in losses.contrastive_approx(found).collect()}
+    got = {r.doc_id: r.loss for r in losses.contrastive_in_pages(losses.sided(members, cannot)).collect()}
+    assert got.keys() == want.keys() and len(got) == 3 and all(math.isclose(got[d], x, abs_tol=1e-9) for d, x in want.items())
+    plan = registry.queries()["a9_contrastive_approx"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
