@@ -58,3 +58,25 @@ def test_contrastive_as_by_joins(spark, sf, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 3 and all(math.isclose(got[d], x, abs_tol=1e-9) for d, x in want.items())
     plan = registry.queries()["a9_contrastive_approx"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_refined_in_pages(spark, sf, monkeypatch):
+    """The matrix is that of pairs that are joined with their words, and no word is dealt again in an epoch."""
+    from glyphweave.operators import constraints, linking, vectors
+    from glyphweave.plans import registry
+
+    members, cannot = _sided(spark)
+    pairs = linking.phrase_pairs(members).unionByName(constraints.side_pairs(cannot))
+    want, of = vectors.refine(pairs, members.filter("vec is not null"), out=3, epochs=3)
+    got, losses_ = vectors.refine_in_pages(losses.sided(members, cannot), 4, out=3, epochs=3)
+    assert np.allclose(got, want, atol=1e-9) and np.allclose(losses_, of) and len(of) == 3
+    assert vectors.refine_in_pages(losses.sided(members, cannot).filter("doc_id = 1"), 4, out=3)[1] == []
+    plans = []
+    made = vectors._descended
+    monkeypatch.setattr(vectors, "_descended", lambda epoch, *a: (plans.append(epoch(np.zeros((64, 16)))._jdf.queryExecution().executedPlan().toString()), made(epoch, *a))[1])
+    for name in REFINED:
+        registry.queries()[name](spark, sf)
+    assert len(plans) == len(REFINED) and all("SortMergeJoin" not in p and "Union" not in p for p in plans)
+
+
+REFINED = ["v8_refined"]
