@@ -79,4 +79,4 @@ def test_refined_in_pages(spark, sf, monkeypatch):
     assert len(plans) == len(REFINED) and all("SortMergeJoin" not in p and "Union" not in p for p in plans)
 
 
-REFINED = ["v8_refined"]
+REFINED = ["v8_refined", "v10_epoch_vectors"]
