@@ -80,3 +80,16 @@ def test_mutual_in_pages_as_by_joins(spark):
         got = {tuple(r)[:5]: r.weight for r in constraints.mutual_in_pages(words, k).collect()}
         assert got.keys() == {tuple(r)[:5] for r in want} and len(got) > 2
         assert all(np.isclose(got[tuple(r)[:5]], r.weight, atol=1e-12) for r in want)
+
+
+def test_components_without_entries(spark, sf):
+    from glyphweave.operators import vectors
+
+    rng = np.random.default_rng(7)
+    words = spark.createDataFrame([(d, w, rng.normal(size=5).tolist()) for d, n in ((1, 1), (2, 2), (3, 30)) for w in range(n)], "doc_id long, word_id int, vec array<double>")
+    want = {(r.doc_id, r.word_id): r.vec for r in vectors.kernel_components(vectors.gram(words), 2).collect()}
+    for most in (None, 100, 10):
+        got = {(r.doc_id, r.word_id): r.vec for r in vectors.linear_components(words, 2, most).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], x, atol=1e-6) for k, x in want.items())
+    plan = _plan(spark, sf, "v3_kernel_components")
+    assert plan.count("MapInArrow") + plan.count("PythonMapInArrow") <= 4 and plan.count("Exchange hashpartitioning") == 1 and "glyphweave/" not in plan
