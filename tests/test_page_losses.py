@@ -80,3 +80,10 @@ def test_refined_in_pages(spark, sf, monkeypatch):
 
 
 REFINED = ["v8_refined", "v10_epoch_vectors"]
+
+
+def test_furthest_words_in_one_reading(spark, sf):
+    from glyphweave.plans import registry
+
+    plan = registry.queries()["t7_furthest_words"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "left_anti" not in plan.lower().replace("leftanti", "left_anti")
