@@ -70,3 +70,18 @@ def test_dense_boxes_as_by_joins(spark, monkeypatch, least, cells):
     found = linking.dense_boxes(words, 0.05, least, 0.06)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == want and want
+
+
+@pytest.mark.parametrize("name", ["g6_entity_clusters", "g6_clusters_by_embedding", "g4_small_islands"])
+def test_words_are_read_once(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_groups_beside_words(spark):
+    members, must = _members(spark)
+    once = must.filter("group_id is not null").groupBy("doc_id", "word_id").agg(F.min("group_id").alias("group_id"))
+    beside = members.join(once, ["doc_id", "word_id"], "left")
+    for largest, metric in ((1, "neural_affinity"), (3, "embedding_distance"), (1, "geometric_distance")):
+        want, got = (sorted(map(tuple, graph.entity_clusters(m, g, largest=largest, metric=metric).select("doc_id", "word_id", "phrase_id", "root").collect())) for m, g in ((members, once), (beside, None)))
+        assert want == got and want
